@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mensura.session import cut_lineage
+
 ROWS_PER_SLICE = 200_000
 
 
@@ -222,7 +224,8 @@ def median_table(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 def mad_table(df: DataFrame, keys: list[str], value: str, center: str = "center", mad: str = "mad") -> DataFrame:
     """Median and median absolute deviation per group."""
-    centers = median_table(df, keys, value, center)
+    # one row per group; written out so the deviations do not repeat the ranking
+    centers = cut_lineage(median_table(df, keys, value, center))
     spread = attach(df.select(*keys, value), centers, keys).withColumn("_dev", F.abs(F.col(value) - F.col(center)))
     # the centre is constant within a group, so it can ride along as a key
     return median_table(spread, [*keys, center], "_dev", mad)

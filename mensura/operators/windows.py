@@ -26,11 +26,21 @@ def centre(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     return with_group_stats(df, keys, _m=F.avg(column)).withColumn(name, F.col(column) - F.col("_m")).drop("_m")
 
 
-def robust_z(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """0.67448975 * (x - median) / MAD; 0 when the MAD is 0."""
-    out = attach(df, mad_table(df.filter(F.col(column).isNotNull()), keys, column, "_c", "_mad"), keys)
-    z = F.lit(0.67448975) * (F.col(column) - F.col("_c")) / F.col("_mad")
-    return out.withColumn(name, F.when(F.col("_mad") == 0, F.lit(0.0)).otherwise(z)).drop("_c", "_mad")
+def robust_z(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """0.67448975 * (x - median) / MAD; 0 when the MAD is 0.  ``columns``: input -> output.
+
+    All columns are ranked together in long form, in one set of shuffles.
+    """
+    long = df.select(*keys, *columns).unpivot(keys, list(columns), "_metric", "_x") if len(columns) > 1 else df.select(
+        *keys, F.lit(next(iter(columns))).alias("_metric"), F.col(next(iter(columns))).alias("_x"))
+    spread = mad_table(long.filter("_x is not null"), [*keys, "_metric"], "_x", "_c", "_mad")
+    pick = lambda c, v: F.max(F.when(F.col("_metric") == c, F.col(v)))
+    wide = spread.groupBy(*keys).agg(*[pick(c, v).alias(f"{v}_{c}") for c in columns for v in ("_c", "_mad")])
+    out = attach(df, wide, keys)
+    for c, name in columns.items():
+        z = F.lit(0.67448975) * (F.col(c) - F.col(f"_c_{c}")) / F.col(f"_mad_{c}")
+        out = out.withColumn(name, F.when(F.col(f"_mad_{c}") == 0, F.lit(0.0)).otherwise(z))
+    return out.drop(*[f"{v}_{c}" for c in columns for v in ("_c", "_mad")])
 
 
 def benjamini_hochberg(

@@ -139,7 +139,7 @@ def _(spark, d):
        s as (select event_type, quantile_cont(abs(value - m), 0.5) as mad from ev join c using (event_type) group by all)
        select event_id, case when mad = 0 then 0.0 else 0.67448975 * (value - m) / mad end as z from ev join c using (event_type) join s using (event_type)""")
 def _(spark, d):
-    return w.robust_z(events(spark, d), ["event_type"], "value", "z")
+    return w.robust_z(events(spark, d), ["event_type"], {"value": "z"})
 
 
 @query("w15_mass_numbering", "dataset unit:i cluster_id:i",
