@@ -10,6 +10,7 @@ from mensura.operators.ordering import attach, quantile_table
 from mensura.operators.windows import robust_z
 from mensura.plans.bindings import CM, EV, TR, channel_metrics, events, trials
 from mensura.plans.registry import query, table
+from mensura.session import cut_lineage
 from mensura.plans.sqltext import ctes, normal_p, normal_quantile, t_critical, t_p
 
 _ZCTE = "z as (select c_custkey, c_acctbal / 3000.0 as z from customer)"
@@ -119,7 +120,7 @@ def _(spark, d):
 
 def flag_channels(metrics, keys):
     """Robust z of four channel measures, then the joined reasons."""
-    m = metrics.withColumn("log_rms", F.log(F.greatest("rms", F.lit(1e-12)))).withColumn("low_r", -F.col("median_r"))
+    m = cut_lineage(metrics).withColumn("log_rms", F.log(F.greatest("rms", F.lit(1e-12)))).withColumn("low_r", -F.col("median_r"))
     m = robust_z(m, keys, {c: f"z_{c}" for c in ("log_rms", "line_db", "high_db", "low_r")})
     # Channel flag labels.
     reason = s.reasons(
