@@ -27,9 +27,22 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else (F.col(x) if isinstance(x, str) else F.lit(float(x)))
 
 
+def bind(fn, **values: Column) -> Column:
+    """``fn(**values)`` with every value computed once.
+
+    A lambda variable stands for the value, so a long formula does not repeat
+    the expressions it is built on.
+    """
+    packed = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(packed), lambda r: fn(**{k: r[k] for k in values})), F.lit(0))
+
+
 def erfc(x) -> Column:
     """Complementary error function, relative error near 1e-13."""
-    x = _col(x).cast("double")
+    return bind(_erfc, x=_col(x).cast("double"))
+
+
+def _erfc(x: Column) -> Column:
     a = F.abs(x)
     # erf(a) = 2/sqrt(pi) * exp(-a^2) * sum_n 2^n a^(2n+1) / (2n+1)!!
     series = F.aggregate(
@@ -68,7 +81,10 @@ def _horner(coefficients, x: Column) -> Column:
 
 def normal_quantile(p) -> Column:
     """Inverse normal CDF: rational start plus one Halley step; null outside (0, 1)."""
-    p = _col(p).cast("double")
+    return bind(_normal_quantile, p=_col(p).cast("double"))
+
+
+def _normal_quantile(p: Column) -> Column:
     tail_low = F.sqrt(-2.0 * F.log(p))
     tail_high = F.sqrt(-2.0 * F.log(1.0 - p))
     q = p - 0.5
@@ -78,11 +94,7 @@ def normal_quantile(p) -> Column:
     high = -_horner(ACKLAM_C, tail_high) / (_horner(ACKLAM_D, tail_high) * tail_high + one)
     mid = _horner(ACKLAM_A, r) * q / (_horner(ACKLAM_B, r) * r + one)
     start = F.when(p < ACKLAM_LOW, low).when(p > 1.0 - ACKLAM_LOW, high).otherwise(mid)
-    # aggregate over one element binds the start value to a variable, so it is written once
-    refined = F.aggregate(
-        F.array(start), F.lit(0.0),
-        lambda acc, x: _halley(x, p),
-    )
+    refined = bind(lambda x: _halley(x, p), x=start)
     return F.when((p > 0) & (p < 1), refined)
 
 
@@ -94,7 +106,10 @@ def _halley(x: Column, p: Column) -> Column:
 
 def log_gamma(x) -> Column:
     """ln Gamma for x > 0: Stirling series after shifting the argument by eight."""
-    x = _col(x).cast("double")
+    return bind(_log_gamma, x=_col(x).cast("double"))
+
+
+def _log_gamma(x: Column) -> Column:
     shift = F.log(x)
     for k in range(1, 8):
         shift = shift + F.log(x + float(k))
@@ -130,20 +145,26 @@ def t_two_sided_p(t, df, steps: int = 80) -> Column:
 
     Above 20,000 degrees of freedom the normal equivalent of Hill (1970) is used.
     """
-    t, df = _col(t).cast("double"), _col(df).cast("double")
+    return bind(lambda t, df: _t_tail(t, df, steps), t=_col(t).cast("double"), df=_col(df).cast("double"))
+
+
+def _t_tail(t: Column, df: Column, steps: int) -> Column:
     x = df / (df + t * t)
     y = t * t / (df + t * t)
     a, b = df / 2.0, F.lit(0.5)
     front = F.exp(
         log_gamma(a + 0.5) - log_gamma(a) - math.log(math.sqrt(math.pi)) + a * F.log(x) + 0.5 * F.log(y)
     )
-    tail = front / a * _beta_fraction(a, b, x, steps)
-    body = 1.0 - front / b * _beta_fraction(b, a, y, steps)
+    small = x < (a + 1.0) / (a + 2.5)
+    first, second = F.when(small, a).otherwise(b), F.when(small, b).otherwise(a)
+    part = front / first * bind(
+        lambda a, b, x: _beta_fraction(a, b, x, steps), a=first, b=second, x=F.when(small, x).otherwise(y)
+    )
     h = df - 0.5
     b48 = 48.0 * h * h
     w = h * F.log1p(t * t / df)
     z = ((((((-0.4 * w - 3.3) * w - 24.0) * w - 85.5) / (0.8 * w * w + 100.0 + b48)) + w + 3.0) / b48 + 1.0) * F.sqrt(w)
-    exact = F.when(t == 0, F.lit(1.0)).when(x < (a + 1.0) / (a + 2.5), tail).otherwise(body)
+    exact = F.when(t == 0, F.lit(1.0)).otherwise(bind(lambda p, s: F.when(s, p).otherwise(1.0 - p), p=part, s=small))
     return F.when(df > 20000.0, normal_two_sided_p(z)).otherwise(exact)
 
 
@@ -151,7 +172,10 @@ def t_quantile(q: float, df) -> Column:
     """Student-t quantile for q in (0.5, 1): expansion start, then Newton on the tail."""
     if not 0.5 < q < 1.0:
         raise ValueError("q must lie in (0.5, 1)")
-    df = _col(df).cast("double")
+    return bind(lambda df: _t_quantile(q, df), df=_col(df).cast("double"))
+
+
+def _t_quantile(q: float, df: Column) -> Column:
     alpha = 2.0 * (1.0 - q)
     z = _normal_quantile_float(q)
     start = (

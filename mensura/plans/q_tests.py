@@ -26,7 +26,8 @@ def behaviour_differences(spark, d):
     """A minus B per user and behaviour measure."""
     side = lambda m, c: F.max(F.when(F.col("condition") == c, F.col(m)))
     wide = behaviour(spark, d).groupBy("unit").agg(*[(side(m, "A") - side(m, "B")).alias(m) for m in METRICS])
-    return long_metrics(wide, ["unit"], METRICS).withColumnRenamed("value", "difference").filter("difference is not null")
+    long = long_metrics(wide, ["unit"], METRICS).withColumnRenamed("value", "difference").filter("difference is not null")
+    return cut_lineage(long)  # one row per user and measure
 
 
 _ONE = f"""st as (select metric, count(difference) as n, avg(difference) as mean, stddev_samp(difference) as sd, avg((difference > 0)::int) as direction_fraction
@@ -80,7 +81,7 @@ def _(spark, d):
 
 @query("i5_paired_effects", "metric n:i mean:6 ci95_low:5 ci95_high:5 dz:6 direction_fraction:6 p_t:6 p_wilcoxon:6 ci90_low:5 ci90_high:5 equivalence_bound:5 equivalent bootstrap_ci95_low:6 bootstrap_ci95_high:6")
 def _(spark, d):
-    diffs = cut_lineage(behaviour_differences(spark, d))
+    diffs = behaviour_differences(spark, d)
     return r.paired_effects(diffs, ["metric"], "difference", "unit", 20260924, 200)
 
 
@@ -168,7 +169,7 @@ nu0 as (select metric, rep, avg(difference * {sign('20261105', 'rep', 'unit')})
        + """select metric, any_value(n) as n, any_value(observed) as observed, quantile_cont(m, 0.025) as null_q025, quantile_cont(m, 0.5) as null_q500, quantile_cont(m, 0.975) as null_q975,
        (1 + sum((abs(m) >= abs(observed))::int)) / 501.0 as p_value from nu0 join ob using (metric) group by metric""")
 def _(spark, d):
-    return r.sign_flip_test(cut_lineage(behaviour_differences(spark, d)), ["metric"], "unit", "difference", 20261105, 500)
+    return r.sign_flip_test(behaviour_differences(spark, d), ["metric"], "unit", "difference", 20261105, 500)
 
 
 REPS = 200
@@ -222,7 +223,7 @@ def _(spark, d):
     return connected_components(nodes, edges, ["g"], "node")
 
 
-def clusters(spark, d, alpha: float = 0.3):
+def clusters(spark, d, alpha: float = 0.6):
     return r.cluster_permutation(
         cut_lineage(channel_differences(spark, d)), line_edges(spark, d), ["metric"], "channel", "unit", "difference", 20261103, REPS, alpha)
 
@@ -234,7 +235,7 @@ clusters as (select *, row_number() over (partition by metric order by cluster_m
 
 
 @query("i13_cluster_permutation", "metric cluster_id:i sign:i channels n_channels:i cluster_mass:6 p_value:6",
-       _clusters_sql(CLUSTER_TABLE + " select * from clusters", 0.3))
+       _clusters_sql(CLUSTER_TABLE + " select * from clusters", 0.6))
 def _(spark, d):
     return clusters(spark, d)
 
