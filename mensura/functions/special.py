@@ -44,19 +44,14 @@ def erfc(x) -> Column:
 
 def _erfc(x: Column) -> Column:
     a = F.abs(x)
-    # erf(a) = 2/sqrt(pi) * exp(-a^2) * sum_n 2^n a^(2n+1) / (2n+1)!!
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
-        F.struct(a.alias("term"), a.alias("total")),
-        lambda s, n: F.struct(
-            (s["term"] * 2.0 * a * a / (2.0 * n + 1.0)).alias("term"),
-            (s["total"] + s["term"] * 2.0 * a * a / (2.0 * n + 1.0)).alias("total"),
-        ),
-        lambda s: s["total"],
-    )
+    # erf(a) = 2/sqrt(pi) * exp(-a^2) * a * sum_n (2 a^2)^n / (2n+1)!!, nested from the inside out
+    series = F.lit(1.0)
+    for n in range(48, 0, -1):
+        series = series * (a * a * (2.0 / (2.0 * n + 1.0))) + 1.0
+    series = a * series
     small = 1.0 - 2.0 / math.sqrt(math.pi) * F.exp(-a * a) * series
     fraction = F.aggregate(
-        F.sequence(F.lit(80), F.lit(1), F.lit(-1)), a, lambda acc, k: a + (k / 2.0) / acc
+        F.sequence(F.lit(40), F.lit(1), F.lit(-1)), a, lambda acc, k: a + (k / 2.0) / acc
     )
     large = F.exp(-a * a) / math.sqrt(math.pi) / fraction
     upper = F.when(a < 2.5, small).otherwise(large)

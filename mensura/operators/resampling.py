@@ -150,10 +150,10 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Percentile bootstrap of a mean.  Only ``replicates`` means per group reach the quantile step."""
     complete = df.filter(F.col(value).isNotNull())
-    means = resample(complete, keys, unit, [value], seed, replicates).groupBy(*keys, "rep").agg(F.avg(value).alias("m"))
+    means = resample(complete, keys, unit, [value], seed, replicates).groupBy(*keys, "rep").agg(F.avg(value).alias("_mean"))
     tail = (1 - level) / 2
     return means.groupBy(*keys).agg(
-        F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"),
+        F.percentile("_mean", F.lit(tail)).alias("ci_low"), F.percentile("_mean", F.lit(1 - tail)).alias("ci_high"),
         F.count(F.lit(1)).alias("n_replicates"),
     )
 

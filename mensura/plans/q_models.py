@@ -188,11 +188,11 @@ def _(spark, d):
 
 
 def fold_predictions(spark, d):
-    s = subject_features(spark, d, 1).filter("usable and dprime_40 is not null")
+    s = cut_lineage(subject_features(spark, d, 1).filter("usable and dprime_40 is not null"))
     s, sex = m.treatment_columns(s, "sex", ["F", "M"], keep_first=True)
     s, segment = m.treatment_columns(s, "segment", keep_first=True)
     numeric = ["age", "metric_27", "metric_40"]
-    s = cut_lineage(s.select("unit", *numeric, *[F.col(f"`{c}`") for c in [*sex, *segment]], "dprime_40"))
+    s = s.select("unit", *numeric, *[F.col(f"`{c}`") for c in [*sex, *segment]], "dprime_40")
     sets = {"base": ["age", *sex, *segment], "extended": [*numeric, *sex, *segment]}
     return m.repeated_fold_ridge(s, [], "unit", numeric, [*sex, *segment], sets, "dprime_40", seed=20260921)
 
