@@ -28,6 +28,9 @@ def _seconds(df: DataFrame, lead: str) -> Column:
         return F.unix_micros(F.col(lead)).cast("double")
     if kind == "date":
         return F.unix_date(F.col(lead)).cast("double")
+    if kind == "string":
+        # the first seven bytes keep the byte order of the text
+        return F.conv(F.rpad(F.substring(F.hex(lead), 1, 14), 14, "0"), 16, 10).cast("double")
     return F.col(lead).cast("double")
 
 
@@ -102,7 +105,7 @@ def running(
     * ``next``: first non-null value strictly later,
     * ``suffix_min``: minimum from the row to the end.
 
-    The first ordering column must be a number, date or timestamp.  With
+    The first ordering column may be a number, date, timestamp or text.  With
     ``sliced`` the input already carries ``_slice`` and ``_n`` of the same order.
     """
     base = df if sliced else add_slices(df, keys, order[0], rows_per_slice)

@@ -139,7 +139,11 @@ def bootstrap_draws(groups: DataFrame, keys: list[str], size: str, seed, replica
 
 def resample(df: DataFrame, keys: list[str], unit: str, values: list[str], seed, replicates: int) -> DataFrame:
     """Every replicate's drawn rows: keys, rep and values."""
-    indexed = row_index(df.select(*keys, unit, *values), keys, [unit], "idx")
+    rows, order = df.select(*keys, unit, *values), [unit]
+    if dict(df.dtypes)[unit] == "string":
+        # text ids share prefixes: number them in hash order, which spreads evenly
+        rows, order = rows.withColumn("_place", F.xxhash64(unit)), ["_place", unit]
+    indexed = row_index(rows, keys, order, "idx")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     draws = bootstrap_draws(sizes, keys, "_size", seed, replicates)
     return draws.join(indexed.select(*keys, "idx", *values), [*keys, "idx"]).drop("idx")

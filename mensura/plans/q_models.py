@@ -16,7 +16,7 @@ from mensura.plans.bindings import (
 )
 from mensura.plans.q_aggregates import behaviour, subject_features
 from mensura.plans.registry import query, table
-from mensura.plans.sqltext import ctes
+from mensura.plans.sqltext import ctes, uniform
 from mensura.session import cut_lineage
 
 FLAGS = ["A", "N", "R"]
@@ -91,7 +91,36 @@ def _(spark, d):
     return benjamini_hochberg(joint, ["family"], "p_value", "q_value")
 
 
-@query("m6_unit_slopes", "unit:i slope_0:6 slope_1:6")
+_TWO = """var_pop({a}) as s11, var_pop({b}) as s22, covar_pop({a}, {b}) as s12, covar_pop({a}, y) as s1y, covar_pop({b}, y) as s2y"""
+
+
+@query("m2_ols_hc3_slopes", "term estimate:6 std_error:6 n:i",
+       ctes(_RR) + f""", x as (select discount as a, quantity as b, y from rr),
+       s as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, {_TWO.format(a='a', b='b')} from x),
+       f as (select *, s11 * s22 - s12 * s12 as det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2 from s),
+       e as (select n, b1, b2, (s22 * (a - ma) - s12 * (b - mb)) / det / n as g1, (s11 * (b - mb) - s12 * (a - ma)) / det / n as g2, a - ma as da, b - mb as db,
+         y - my - b1 * (a - ma) - b2 * (b - mb) as r from x, f),
+       h as (select *, r / (1 - 1.0 / n - da * g1 - db * g2) as q from e)
+       select 'discount' as term, any_value(b1) as estimate, sqrt(sum(power(g1 * q, 2))) as std_error, count(*) as n from h
+       union all select 'quantity', any_value(b2), sqrt(sum(power(g2 * q, 2))), count(*) from h""")
+def _(spark, d):
+    return m.coefficient_rows(m.ols_hc3(regression_rows(spark, d), [], ["discount", "quantity"], "y"), []).filter("term <> 'Intercept'")
+
+
+@query("m3_cluster_ols_slopes", "term estimate:6 std_error:6 n:i n_clusters:i",
+       ctes(_RR) + f""", x as (select unit, discount - avg(discount) over (partition by unit) as a, quantity - avg(quantity) over (partition by unit) as b, y - avg(y) over (partition by unit) as y from rr),
+       s as (select count(*) as n, count(distinct unit) as g, sum(a * a) as s11, sum(b * b) as s22, sum(a * b) as s12, sum(a * y) as s1y, sum(b * y) as s2y from x),
+       f as (select *, s11 * s22 - s12 * s12 as det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2 from s),
+       c as (select unit, sum(a * (x.y - b1 * a - b2 * b)) as u1, sum(b * (x.y - b1 * a - b2 * b)) as u2 from x, f group by unit),
+       v as (select sum(power((s22 * u1 - s12 * u2) / det, 2)) as v1, sum(power((s11 * u2 - s12 * u1) / det, 2)) as v2, any_value(g / (g - 1.0) * (n - 1.0) / (n - 2.0 - g)) as k from c, f)
+       select 'discount' as term, b1 as estimate, sqrt(k * v1) as std_error, n, g as n_clusters from f, v union all select 'quantity', b2, sqrt(k * v2), n, g from f, v""")
+def _(spark, d):
+    return m.coefficient_rows(m.cluster_ols(regression_rows(spark, d), [], "unit", ["discount", "quantity"], "y"), [], ["n_clusters"])
+
+
+@query("m6_unit_slopes", "unit:i slope_0:6 slope_1:6",
+       ctes(_RR) + f""", s as (select unit, {_TWO.format(a='discount', b='quantity / 10.0')} from rr group by unit)
+       select unit, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as slope_0, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as slope_1 from s""")
 def _(spark, d):
     rows, _ = coded_rows(spark, d)
     return m.unit_slopes_ols(rows, "unit", ["discount", "quantity"], "y")
@@ -180,6 +209,22 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("observed") - F.col("predicted"))).alias("mae"), F.avg("predicted").alias("mean_predicted"))
 
 
+_SUMS = "count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy"
+# one standardised feature: slope on the raw scale is (Sxy / n) / (sd^2 (1 + alpha / n)) with alpha 1
+_RIDGE_ONE = """mx as (select *, sx / n as mx, sy / n as my, sxx / n - (sx / n) * (sx / n) as v, sxy / n - sx / n * sy / n as c from tr),
+fit as (select *, c * n / (v * (n + 1.0)) as w from mx)"""
+
+
+@query("m9_ridge_one_feature", "unit:i n:i mae:6 mean_predicted:6",
+       "with x as (select l_suppkey as unit, l_quantity as x, l_extendedprice / 1009.0 as y from lineitem), t as (select " + _SUMS + " from x), u as (select unit, " + _SUMS + " from x group by unit), "
+       "tr as (select u.unit, t.n - u.n as n, t.sx - u.sx as sx, t.sy - u.sy as sy, t.sxx - u.sxx as sxx, t.sxy - u.sxy as sxy from u, t), " + _RIDGE_ONE +
+       " select x.unit, count(*) as n, avg(abs(y - my - w * (x - mx))) as mae, avg(my + w * (x - mx)) as mean_predicted from x join fit on fit.unit = x.unit group by x.unit")
+def _(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1009.0).alias("y"))
+    p = m.leave_unit_out_ridge(x, [], "unit", ["x"], [], {"one": ["x"]}, "y")
+    return p.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("observed") - F.col("predicted"))).alias("mae"), F.avg("predicted").alias("mean_predicted"))
+
+
 @query("m10_leave_unit_out_logistic", "unit:i model n:i log_loss:6")
 def _(spark, d):
     y, p = F.col("observed"), F.col("predicted")
@@ -204,6 +249,18 @@ def _(spark, d):
     return collapse_repeats(p, ["unit", "model"]).join(counts, ["unit", "model"])
 
 
+@query("m11_folds_one_feature", "unit:i repeat:i fold:i predicted:6",
+       "with s as (select c_custkey as unit, c_acctbal / 1000.0 as x, (c_custkey * 37 % 101)::double as y from customer), "
+       f"r as (select s.*, repeat, {uniform('one', 'repeat', 'unit')} as uu from s, range(0, 3) t(repeat)), "
+       "f as (select *, ntile(10) over (partition by repeat order by uu, unit) - 1 as fold from r), "
+       "t as (select " + _SUMS + " from s), u as (select repeat, fold, " + _SUMS + " from f group by all), "
+       "tr as (select u.repeat, u.fold, t.n - u.n as n, t.sx - u.sx as sx, t.sy - u.sy as sy, t.sxx - u.sxx as sxx, t.sxy - u.sxy as sxy from u, t), " + _RIDGE_ONE +
+       " select f.unit, f.repeat, f.fold, my + w * (x - mx) as predicted from f join fit on fit.repeat = f.repeat and fit.fold = f.fold")
+def _(spark, d):
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") * 37 % 101).cast("double").alias("y"))
+    return m.repeated_fold_ridge(s, [], "unit", ["x"], [], {"one": ["x"]}, "y", repeats=3, seed="one")
+
+
 def nested_features(spark, d):
     """Per user: two covariates, a paired contrast, split agreement, and the outcome contrast."""
     b = behaviour(spark, d)
@@ -314,6 +371,16 @@ def _(spark, d):
     return m.influence(influence_rows(spark, d), ["unit"], [f"{c}_z" for c in INFLUENCE], "dprime_40", "metric_40_z")
 
 
+@query("m19_influence_simple", "c_custkey:i leverage:8 loo_estimate:8 cooks_distance:8",
+       """with x as (select c_custkey, c_acctbal / 1000.0 as x, (c_custkey * 37 % 101)::double as y from customer),
+       s as (select count(*) as n, avg(x) as mx, avg(y) as my, var_pop(x) * count(*) as sxx, covar_pop(x, y) * count(*) as sxy, var_pop(y) * count(*) as syy from x),
+       e as (select c_custkey, n, sxx, sxy / sxx as b, x - mx as dx, 1.0 / n + power(x - mx, 2) / sxx as h, y - my - sxy / sxx * (x - mx) as e, (syy - sxy * sxy / sxx) / (n - 2) as s2 from x, s)
+       select c_custkey, h as leverage, b - dx / sxx * e / (1 - h) as loo_estimate, e * e * h / (2 * s2 * power(1 - h, 2)) as cooks_distance from e""")
+def _(spark, d):
+    x = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") * 37 % 101).cast("double").alias("y"))
+    return m.influence(x, ["c_custkey"], ["x"], "y", "x")
+
+
 @query("m19_variance_inflation", "term vif:6")
 def _(spark, d):
     return m.variance_inflation(influence_rows(spark, d), [f"{c}_z" for c in INFLUENCE])

@@ -121,3 +121,12 @@ def test_channel_correlations_with_gaps(spark):
     got = graph.channel_correlations(df, [], "c", [0, 1, 2, 3], "s", "x").toPandas().set_index(["a", "b"]).r
     want = pd.DataFrame(x).corr()
     assert all(got[(i, j)] == pytest.approx(want.loc[i, j]) for i in range(4) for j in range(4) if i != j)
+
+
+def test_text_units(values):
+    pdf, df = values
+    named = df.selectExpr("m", "concat('sub-', lpad(cast(unit as string), 3, '0')) as unit", "d")
+    out = r.bootstrap_mean(named, ["m"], "unit", "d", "b", 200).toPandas().set_index("m")
+    assert out.loc["a"].ci_low < pdf[pdf.m == "a"].d.mean() < out.loc["a"].ci_high
+    flips = r.sign_flip_test(named, ["m"], "unit", "d", "s", 99)
+    assert flips.count() == 2
