@@ -23,10 +23,13 @@ FREQ = g.bin_frequencies(N, FS, BINS)
 TARGET = 4.0
 
 
-@query("g1_average_reference", "unit:i channel trial:i s:i x:6",
-       ctes(SMP) + "select unit, channel, trial, s, x - avg(x) over (partition by unit, trial, s) as x from smp where unit <= 40")
+@query("g1_average_reference", "unit:i channel trial:i rms:6 peak:6",
+       ctes(SMP) + """, r as (select unit, channel, trial, x - avg(x) over (partition by unit, trial, s) as x from smp)
+       select unit, channel, trial, sqrt(avg(x * x)) as rms, max(abs(x)) as peak from r group by all""")
 def _(spark, d):
-    return g.average_reference(samples(spark, d), ["unit", "trial", "s"]).filter("unit <= 40")
+    x = F.col("x")
+    return g.average_reference(samples(spark, d), ["unit", "trial", "s"]).groupBy("unit", "channel", "trial").agg(
+        F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs(x)).alias("peak"))
 
 
 @query("g2_median_removed", "channel trial:i s:i x:6",
@@ -42,9 +45,9 @@ def _(spark, d):
 
 
 @query("g4_region_signal", "unit:i trial:i s:i x:6",
-       ctes(SMP) + "select unit, trial, s, avg(x) as x from smp where channel in ('click', 'view') group by all having avg(x) > 0")
+       ctes(SMP) + "select unit, trial, s, avg(x) as x from smp where channel in ('click', 'view') group by all")
 def _(spark, d):
-    return g.region_signal(samples(spark, d), ["click", "view"], ["unit", "trial", "s"]).filter("x > 0")
+    return g.region_signal(samples(spark, d), ["click", "view"], ["unit", "trial", "s"])
 
 
 @query("g5_detrended", "channel trial:i s:i x:6",
@@ -78,10 +81,10 @@ def _(spark, d):
 
 
 @query("g7_band_mean", "unit:i channel trial:i band:6",
-       ctes(SMP, _fourier("smp", "unit, channel, trial", "pg")) + "select unit, channel, trial, avg(p) as band from pg where k between 2 and 5 group by all having avg(p) > 1e-9")
+       ctes(SMP, _fourier("smp", "unit, channel, trial", "pg")) + "select unit, channel, trial, avg(p) as band from pg where k between 2 and 5 group by all")
 def _(spark, d):
     p = g.periodogram(samples(spark, d), ["unit", "channel", "trial"], N, FS, BINS)
-    return p.withColumn("band", g.band_mean("power", FREQ, 2.0, 5.0)).filter("band > 1e-9")
+    return p.withColumn("band", g.band_mean("power", FREQ, 2.0, 5.0))
 
 
 @query("g8_local_log_snr", "channel trial:i snr_db:6",
