@@ -83,7 +83,9 @@ def worst_cell(df: DataFrame, unit: list[str], cell: str, flag: str) -> DataFram
 
 def collapse_repeats(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Mean prediction over repeats; the observed value is constant within a key."""
-    return predictions.groupBy(*keys).agg(F.min("observed").alias("observed"), F.avg("predicted").alias("predicted"))
+    return predictions.groupBy(*keys).agg(
+        F.min("observed").alias("observed"), F.avg("predicted").alias("predicted"), F.count(F.lit(1)).alias("n_repeats")
+    )
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -244,9 +244,7 @@ def fold_predictions(spark, d):
 
 @query("m11_repeated_fold_ridge", "unit:i model n_repeats:i observed:6 predicted:6")
 def _(spark, d):
-    p = fold_predictions(spark, d)
-    counts = p.groupBy("unit", "model").agg(F.count(F.lit(1)).alias("n_repeats"))
-    return collapse_repeats(p, ["unit", "model"]).join(counts, ["unit", "model"])
+    return collapse_repeats(fold_predictions(spark, d), ["unit", "model"])
 
 
 @query("m11_folds_one_feature", "unit:i repeat:i fold:i predicted:6",
