@@ -45,10 +45,8 @@ def erfc(x) -> Column:
 def _erfc(x: Column) -> Column:
     a = F.abs(x)
     # erf(a) = 2/sqrt(pi) * exp(-a^2) * a * sum_n (2 a^2)^n / (2n+1)!!, nested from the inside out
-    series = F.lit(1.0)
-    for n in range(48, 0, -1):
-        series = series * (a * a * (2.0 / (2.0 * n + 1.0))) + 1.0
-    series = a * series
+    factors = F.expr("array(" + ", ".join(f"{2.0 / (2.0 * n + 1.0)!r}D" for n in range(48, 0, -1)) + ")")
+    series = a * F.aggregate(factors, F.lit(1.0), lambda total, f: total * (a * a * f) + 1.0)
     small = 1.0 - 2.0 / math.sqrt(math.pi) * F.exp(-a * a) * series
     fraction = F.aggregate(
         F.sequence(F.lit(40), F.lit(1), F.lit(-1)), a, lambda acc, k: a + (k / 2.0) / acc
