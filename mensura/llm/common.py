@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mensura.session import ensure_checkpoint_dir
 
@@ -67,3 +67,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sample_per(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
+    """At most ``n`` rows of each ``key``, the first in ``order``; map tasks keep ``n`` before the shuffle."""
+    rank = fresh(df, "_rank")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn(rank, place).filter(F.col(rank) <= n).drop(rank)
