@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, language, quality, token_counts
+from mensura.llm import bpe_codec, decontaminate, language, quality, token_counts
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,40 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = decontaminate.phrase_blocks(table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), blocks).drop("spans")
+
+
+OP2_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+starts as (
+  select item_id, w, unnest(range(1, greatest(2, len(w) - 11))) as i from item_words where len(w) > 0),
+phrases as (
+  select distinct item_id, array_to_string(w[i : i + 12], ' ') as p, len(w[i : i + 12]) as n from starts),
+places as (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+  from words, (select distinct n from phrases) where len(w) >= n),
+found as (
+  select doc_id, i, n, item_id from (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as p from places)
+  join phrases using (p, n)),
+hit as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from found) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(list, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join hit using (doc_id) left join items using (doc_id)
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.fit(docs))
@@ -31,9 +65,12 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontaminate": op2_decontaminate,
     "op7_language": op7_language,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+}
