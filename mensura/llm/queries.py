@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, quality, token_counts
+from mensura.llm import bpe_codec, decontaminate, language, quality, simhash, token_counts
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,10 @@ from words left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.fit(docs))
@@ -66,6 +70,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
