@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, quality, simhash, token_counts
+from mensura.llm import bpe_codec, decontaminate, language, quality, sharding, simhash, token_counts
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(docs, language.fit(docs))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
+    "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
 }
