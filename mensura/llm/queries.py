@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, quality, sharding, simhash, token_counts
+from mensura.llm import bpe_codec, decontaminate, language, quality, sharding, simhash, token_counts, warc
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,23 @@ from words left join hit using (doc_id) left join items using (doc_id)
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+with p as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+q as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as bigint)
+      >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest from p),
+r as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from q)
+select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to from r
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +91,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
@@ -83,4 +101,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_warc": OP3_SQL,
 }
