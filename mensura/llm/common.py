@@ -58,10 +58,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{unique}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, quality, sharding, simhash, token_counts, warc
+from mensura.llm import bpe_codec, decontaminate, language, lm_score, quality, sharding, simhash, token_counts, warc
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,10 @@ select page_id, payload_bytes, payload_digest, case when first <> page_id then '
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
+    "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
