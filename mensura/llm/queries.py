@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, lm_score, quality, sharding, simhash, token_counts, warc
+from mensura.llm import bpe_codec, decontaminate, language, lm_score, quality, sharding, simhash, token_counts, topk, warc
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
+select query_id, cast(place as integer) as rank, vec_id, score from r where place <= 5
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.fit(docs))
@@ -98,6 +114,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_lm_score": op4_lm_score,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op7_language": op7_language,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
@@ -107,4 +124,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op6_topk": OP6_SQL,
 }
