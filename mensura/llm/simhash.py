@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mensura.llm.common import raw_texts, written
+from mensura.llm.common import fresh, raw_texts, written
 from mensura.operators.graph import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -238,7 +238,7 @@ def _forest(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 
 
 def classes(marked: DataFrame, id_col: str, bits: str, radius: int = RADIUS, keep: int = KEEP, cell: int = CELL) -> DataFrame:
-    """One row per fingerprint: ``bits``, ``component_id`` (smallest id of its class).
+    """One row per fingerprint: ``bits``, ``class`` (its name), ``component_id`` (smallest id of the class).
 
     ``marked`` has ids and fingerprints and is read several times: write it first.
     """
@@ -249,7 +249,7 @@ def classes(marked: DataFrame, id_col: str, bits: str, radius: int = RADIUS, kee
     joined = connected_components(linked, edges, [], "bits")
     named = distinct.join(joined, "bits", "left").withColumn("class", F.coalesce("component", "bits"))
     names = named.groupBy("class").agg(F.min("own").alias("component_id"))
-    return named.select("bits", "class").join(names, "class").select("bits", "component_id")
+    return named.select("bits", "class").join(names, "class").select("bits", "class", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -257,3 +257,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("bits")), "marked")
     found = marked.join(classes(marked, "id", "bits", radius), "bits")
     return found.select(F.col("id").alias(id_col), hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """All columns of one row per class: that of the smallest id (null ids last), the first as written among equals."""
+    bits, at = fresh(docs, "bits"), fresh(docs, "at")
+    marked = written(
+        docs.withColumn(bits, fingerprint(F.col(text_col))).withColumn(at, F.monotonically_increasing_id()), "marked", compression="zstd"
+    )
+    narrow = marked.select(F.col(id_col).alias("id"), F.col(bits).alias("bits"), F.col(at).alias("at"))
+    named = narrow.join(classes(narrow, "id", "bits", radius).select("bits", "class"), "bits")
+    first = named.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first"))
+    kept = first.select(F.col("first.at").alias(at))
+    return marked.join(kept, at, "left_semi").select(*docs.columns)
