@@ -113,7 +113,9 @@ def require_family(df: DataFrame, keys: list[str], expected: int) -> DataFrame:
 
 
 def forbidden_labels(labels: list[str], tokens: list[str]) -> list[str]:
-    return sorted({t for label in labels for t in tokens if t in label.lower()})
+    """The tokens found in the field names, read as one lower-cased text."""
+    text = "\n".join(labels).lower()
+    return [t for t in sorted(set(tokens)) if text.find(t) >= 0]
 
 
 def require_clean_schema(df: DataFrame, tokens: list[str], summary: dict | None = None) -> DataFrame:

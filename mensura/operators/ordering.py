@@ -1,37 +1,33 @@
 """Exact ordered operators that never put a whole group into one task.
 
 A window partitioned by a unit puts all rows of that unit in one task, which
-fails when one unit holds a third of the data.  Here every group is cut into
-slices of its ordering column.  Window functions run inside ``(group, slice)``,
-and a short table with one row per slice carries totals from slice to slice.
-
-Slice edges come from exact per-group counts, minima and maxima, so a stage
-that is run again after a lost executor rebuilds the same slices.  Ordering
-columns that are themselves sums of doubles should be written out first
-(``session.cut_lineage``), because such sums may differ in the last bit.
+fails when one unit holds a third of the data.  Here the rows are range
+partitioned once by the group keys and the full order, ties told apart by their
+place in the input, so hot groups, dominating values, nulls, NaN and texts with
+a common start are split like any others, in Spark's own sort order (nulls
+first, NaN last).  The partition is the slice: window functions run inside
+``(group, slice)``, and a short table with one row per slice carries totals
+from slice to slice.
+
+Range bounds are sampled, so the sliced rows are written out before use
+(``session.cut_lineage``); whatever is run again later reads the same slices.
+A null key is a group like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mensura.session import cut_lineage
 
-ROWS_PER_SLICE = 200_000
-
 
-def _seconds(df: DataFrame, lead: str) -> Column:
-    kind = dict(df.dtypes)[lead]
-    if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{lead}`)").cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(lead)).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(lead)).cast("double")
-    if kind == "string":
-        # the first seven bytes keep the byte order of the text
-        return F.conv(F.rpad(F.substring(F.hex(lead), 1, 14), 14, "0"), 16, 10).cast("double")
-    return F.col(lead).cast("double")
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null; the key columns come from ``left``."""
+    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -42,7 +38,7 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     Without keys the table is one aggregate row and becomes a scalar subquery.
     """
     if keys:
-        return df.join(table, keys, how)
+        return join_null_safe(df, table, keys, how)
     names = table.columns
     packed = table.select(F.struct(*names).alias("_one"))
     return df.withColumn("_one", packed.scalar()).select(
@@ -56,23 +52,21 @@ def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> Da
     return attach(df, stats, keys)
 
 
-def add_slices(
-    df: DataFrame, keys: list[str], lead: str, rows_per_slice: int | None = None, weight: Column | None = None
-) -> DataFrame:
-    """Add ``_slice`` (0-based along ``lead``) and ``_n`` (rows, or summed weight, of the group)."""
-    size = rows_per_slice or ROWS_PER_SLICE
-    df = df.withColumn("_lead", _seconds(df, lead))
-    span = df.groupBy(*keys).agg(
-        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"),
-        F.min("_lead").alias("_lo"), F.max("_lead").alias("_hi"),
-    )
-    slices = F.ceil(F.col("_n") / F.lit(float(size)))
-    position = F.floor((F.col("_lead") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
-    sliced = attach(df, span, keys).withColumn(
-        "_slice",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(slices - 1, position)).otherwise(F.lit(0)).cast("bigint"),
-    )
-    return sliced.drop("_lead", "_lo", "_hi")
+def add_slices(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = None) -> DataFrame:
+    """Add ``_slice``, ascending along ``keys`` and ``order``; written out.
+
+    Without ``rows_per_slice`` the session's shuffle settings decide: adaptive
+    execution joins neighbouring small ranges up to its advisory size.
+    """
+    place = [*[F.col(k) for k in keys], *[F.col(c) for c in order], F.col("_tie")]
+    numbered = df.withColumn("_tie", F.monotonically_increasing_id())
+    if rows_per_slice:
+        # half as many rows again as sampled bounds may be off
+        parts = max(1, -(-3 * df.count() // (2 * rows_per_slice)))
+        ranged = numbered.repartitionByRange(parts, *place)
+    else:
+        ranged = numbered.repartitionByRange(*place)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()).drop("_tie"))
 
 
 _AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
@@ -95,6 +89,7 @@ def running(
     rows_per_slice: int | None = None,
     keep_sliced: bool = False,
     sliced: bool = False,
+    group_sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running values of each group in ``order``, any number in one pass.
 
@@ -105,10 +100,12 @@ def running(
     * ``next``: first non-null value strictly later,
     * ``suffix_min``: minimum from the row to the end.
 
-    The first ordering column may be a number, date, timestamp or text.  With
-    ``sliced`` the input already carries ``_slice`` and ``_n`` of the same order.
+    Ordering columns may have any sortable type.  With ``sliced`` the input
+    already carries the ``_slice`` of the same order.  With ``keep_sliced`` the
+    result keeps ``_slice`` and the number of rows of the group as ``_n``.
+    ``group_sums`` adds sums over the whole group.
     """
-    base = df if sliced else add_slices(df, keys, order[0], rows_per_slice)
+    base = df if sliced else add_slices(df, keys, order, rows_per_slice)
     slice_keys = [*keys, "_slice"]
     group = keys or [F.lit(0)]
     place = F.struct(*order)
@@ -137,10 +134,14 @@ def running(
         merge = _MERGE.get(_BACKWARD.get(kind, kind), F.coalesce)
         return merge(F.col(name), F.col(f"_b_{name}")).alias(name)
 
+    base = base.drop("_n")
     within = base.select("*", *local)
-    across = base.groupBy(*slice_keys).agg(*totals).select(*slice_keys, *carried)
-    result = within.join(across, slice_keys).select(
-        *[c for c in within.columns if c not in outputs],
+    whole = {"_n": F.count(F.lit(1)), **{name: F.sum(e) for name, e in (group_sums or {}).items()}}
+    sums = [F.sum(f"_w_{name}").over(Window.partitionBy(*group)).alias(name) for name in whole]
+    parts = [e.alias(f"_w_{name}") for name, e in whole.items()]
+    across = base.groupBy(*slice_keys).agg(*parts, *totals).select(*slice_keys, *sums, *carried)
+    result = join_null_safe(within, across, slice_keys).select(
+        *[c for c in within.columns if c not in outputs], *whole,
         *[merged(n, k) for n, (k, _) in outputs.items()],
     )
     return result if keep_sliced else result.drop("_slice", "_n")
@@ -166,17 +167,17 @@ def rank_table(
     """One row per distinct value: its multiplicity and average rank (ties share).
 
     Columns: keys, value, ``ties``, ``upto`` (rows at or below), ``total``, ``rank``.
-    Slice sizes follow the multiplicities, so all three uses of the counted
-    values read the same columns and share one shuffle.
+    Equal values are counted before the shuffle, so slices hold distinct values.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("ties"))
     )
-    base = add_slices(counts, keys, value, rows_per_slice, weight=F.col("ties")).withColumnRenamed("_n", "total")
-    ranked = running(base.withColumn("_n", F.col("total")), keys, [value], {"upto": ("sum", F.col("ties"))}, sliced=True, keep_sliced=keep_sliced)
-    return ranked.withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2.0)
+    ranked = running(
+        counts, keys, [value], {"upto": ("sum", F.col("ties"))}, rows_per_slice, keep_sliced=True, group_sums={"total": F.col("ties")}
+    ).withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2.0)
+    return ranked if keep_sliced else ranked.drop("_slice", "_n")
 
 
 def average_rank(
@@ -184,7 +185,7 @@ def average_rank(
 ) -> DataFrame:
     """Average-tie rank of ``value`` within the group, null for null values."""
     table = rank_table(df, keys, value, rows_per_slice=rows_per_slice)
-    return df.join(table.select(*keys, value, F.col("rank").alias(name)), [*keys, value], "left")
+    return join_null_safe(df, table.select(*keys, value, F.col("rank").alias(name)), [*keys, value], "left")
 
 
 def quantile_table(

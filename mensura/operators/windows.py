@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mensura.functions.scalar import normalise_trigger
-from mensura.operators.ordering import attach, mad_table, rank_table, row_index, running, with_group_stats
+from mensura.operators.ordering import attach, join_null_safe, mad_table, rank_table, row_index, running, with_group_stats
 from mensura.session import cut_lineage
 
 
@@ -63,7 +63,8 @@ def _step_adjust(
     """Monotone pass over the ranked distinct p-values, in the slices of the ranking."""
     ranked = rank_table(df, family, p, rows_per_slice=rows_per_slice, keep_sliced=True)
     adjusted = running(ranked, family, [p], {"_q": (kind, candidate)}, sliced=True)
-    return df.join(adjusted.select(*family, p, F.least(F.lit(1.0), F.col("_q")).alias(name)), [*family, p], "left")
+    table = adjusted.select(*family, p, F.least(F.lit(1.0), F.col("_q")).alias(name))
+    return join_null_safe(df, table, [*family, p], "left")
 
 
 def leave_one_out_mean(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
@@ -116,6 +117,8 @@ def reconstruct_trials(
 ) -> DataFrame:
     """Condition-target-response triples, one row per target; nothing is dropped.
 
+    The output columns and their order are fixed: they are the trial table's schema.
+
     The condition is the latest one since the previous target, the response is
     the event right after the target.  Both are running values over the ordered
     log, found in one pass, so a recording of any length is cut in slices.

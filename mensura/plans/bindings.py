@@ -178,13 +178,13 @@ le as (select x.a, y.a as b from lines x, lines y where abs(x.a - y.a) = 1)"""
 
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     """Status log per user: sample = event number in time order, code by event type."""
-    # Codes: 1 and 2 start a condition, 11 and 12 are targets, 50-55 answer a target.
+    # Codes: 1 and 2 start a condition, 31 and 32 are targets, 70-75 answer a target.
     k = F.col("k")
     code = (
         F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2)
-        .when((F.col("event_type") == "click") & (k % 2 == 0), 11).when(F.col("event_type") == "click", 12)
-        .when(F.col("event_type") == "purchase", F.when(k % 2 == 0, 51).otherwise(52))
-        .when(k < 50, 50).otherwise(55)
+        .when((F.col("event_type") == "click") & (k % 2 == 0), 31).when(F.col("event_type") == "click", 32)
+        .when(F.col("event_type") == "purchase", F.when(k % 2 == 0, 71).otherwise(72))
+        .when(k < 50, 70).otherwise(75)
     )
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{DAY_ZERO} 00:00:00', ts)")
     return events(spark, d).select("unit", "event_id", F.floor(micros / 1000000).cast("bigint").alias("sample"), (code + 256).alias("code"))
@@ -192,16 +192,17 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
 
 LOG = """elog as (select unit, event_id, cast(floor(epoch_us(ts) / 1000000.0) as bigint) - 1704067200 as sample,
   256 + case when event_type = 'signup' then 1 when event_type = 'view' then 2
-    when event_type = 'click' and k % 2 = 0 then 11 when event_type = 'click' then 12
-    when event_type = 'purchase' then (case when k % 2 = 0 then 51 else 52 end)
-    when k < 50 then 50 else 55 end as code from ev)"""
+    when event_type = 'click' and k % 2 = 0 then 31 when event_type = 'click' then 32
+    when event_type = 'purchase' then (case when k % 2 = 0 then 71 else 72 end)
+    when k < 50 then 70 else 75 end as code from ev)"""
 
+# invented codes of the synthetic log
 LOG_CONDITIONS = {1: "rhythmic", 2: "irregular"}
 LOG_RESPONSES = {
-    11: {50: "incorrect", 51: "correct", 55: "omission"},
-    12: {50: "incorrect", 52: "correct", 55: "omission"},
+    31: {70: "incorrect", 71: "correct", 75: "omission"},
+    32: {70: "incorrect", 72: "correct", 75: "omission"},
 }
-LOG_CONGRUENT = [11]
+LOG_CONGRUENT = [31]
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

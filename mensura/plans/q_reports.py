@@ -39,19 +39,19 @@ def alignment(spark, d, replicates: int = 100):
         frame = users.select("unit", F.lit(outcome).alias("outcome"), "x", F.round(outcome, 9).alias("y"))
         boot = r.bootstrap_spearman(frame, ["outcome"], "unit", "x", "y", 20260923 + i, replicates)
         parts.append(boot.select(
-            F.concat(F.lit("aggregate_to_"), "outcome").alias("evidence_pair"), F.lit("between-unit aggregate").alias("level"),
+            F.concat(F.lit("unit_mean_on_"), "outcome").alias("evidence_pair"), F.lit("units").alias("level"),
             F.col("rho").alias("estimate"), "ci_low", "ci_high", correlation_p("rho").alias("p_value"), F.col("n").alias("n_units"),
-            F.lit("matched metric and level").alias("status"), F.lit(1).alias("k")).join(neural, "k").drop("k"))
+            F.lit("same measure and level").alias("status"), F.lit(1).alias("k")).join(neural, "k").drop("k"))
     rows, products = m.add_products(prepared(spark, d).filter("correct = 1"), [("m40_z", "auditory")])
     fit = m.cluster_ols(rows, [], "unit", ["order_z", "m40_z", "m36_z", "auditory", *products], "log_rt")
     trial = m.linear_contrasts(fit, [], {"average": {"m40_z": 1.0, products[0]: 0.5}, "plain": {"m40_z": 1.0}})
     parts.append(trial.select(
-        F.concat(F.lit("trial_state_to_log_rt_"), "contrast").alias("evidence_pair"), F.lit("within-unit trial").alias("level"), "estimate", "ci_low", "ci_high",
-        "p_value", F.lit(None).cast("bigint").alias("n_units"), F.lit("level matched; reliability not established").alias("status")))
+        F.concat(F.lit("trial_on_log_rt_"), "contrast").alias("evidence_pair"), F.lit("trials").alias("level"), "estimate", "ci_low", "ci_high",
+        "p_value", F.lit(None).cast("bigint").alias("n_units"), F.lit("same level, measure without a reliability").alias("status")))
     adjusted = m.ols_hc3(users, [], ["itpc40", "itpc36"], "accuracy")
     parts.append(m.coefficient_rows(adjusted, []).filter("term <> 'Intercept'").select(
-        F.concat(F.lit("adjusted_"), "term").alias("evidence_pair"), F.lit("between-unit aggregate").alias("level"), "estimate", "ci_low", "ci_high", "p_value",
-        F.col("n").alias("n_units"), F.lit("level matched; reliability not transferred").alias("status")))
+        F.concat(F.lit("both_measures_on_accuracy_"), "term").alias("evidence_pair"), F.lit("units").alias("level"), "estimate", "ci_low", "ci_high", "p_value",
+        F.col("n").alias("n_units"), F.lit("same level, reliability of another model").alias("status")))
     return union_filled(parts)
 
 
@@ -108,13 +108,13 @@ def _(spark, d):
     loss = cut_lineage(held_out_loss(rows, ["dataset", "outcome", "unit", "model"], ["accuracy"]))
     audit = r.loss_audit(loss, ["dataset", "outcome"], "unit", 20261105, 200)
     linear = m.calibration_hc3(unit_means(rows.filter("outcome <> 'accuracy'"), ["dataset", "outcome", "model"]), ["dataset", "outcome", "model"])
-    linear = linear.select("dataset", "outcome", "model", "slope", "slope_se", F.lit("unit_level_ols_hc3").alias("method"))
+    linear = linear.select("dataset", "outcome", "model", "slope", "slope_se", F.lit("hc3_on_unit_means").alias("method"))
     binary = []
     for name in ("base", "extended"):
         terms = m.coefficient_rows(binary_calibration(rows.filter((F.col("outcome") == "accuracy") & (F.col("model") == name))), [])
         binary.append(terms.filter("term = 'logit_prediction'").select(
             F.lit("users").alias("dataset"), F.lit("accuracy").alias("outcome"), F.lit(name).alias("model"),
-            F.col("estimate").alias("slope"), F.col("std_error").alias("slope_se"), F.lit("clustered_logistic_gee").alias("method")))
+            F.col("estimate").alias("slope"), F.col("std_error").alias("slope_se"), F.lit("gee_logit_by_unit").alias("method")))
     calibration = linear.unionByName(binary[0]).unionByName(binary[1])
     return audit.select("dataset", "outcome", "n", "observed", "p_value").join(calibration, ["dataset", "outcome"])
 

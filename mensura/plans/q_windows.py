@@ -98,16 +98,16 @@ def reconstructed(spark, d, rows_per_slice=None):
 
 
 RECON = """lg as (select unit, event_id, sample, code & 255 as code, row_number() over (partition by unit order by sample, event_id) as pos from elog),
-lg2 as (select *, sum((code in (11, 12))::int) over (partition by unit order by pos rows between unbounded preceding and 1 preceding) as seg0,
+lg2 as (select *, sum((code in (31, 32))::int) over (partition by unit order by pos rows between unbounded preceding and 1 preceding) as seg0,
   lead(code) over (partition by unit order by pos) as ncode, lead(sample) over (partition by unit order by pos) as nsample from lg),
 lg3 as (select *, coalesce(seg0, 0) as seg from lg2),
 lg4 as (select *, last_value(case when code in (1, 2) then pos end ignore nulls) over (partition by unit, seg order by pos rows unbounded preceding) as cpos from lg3),
 rec0 as (select t.*, c.code as ccode, c.sample as csample,
-  case when t.ncode = 50 then 'incorrect' when t.ncode = 55 then 'omission' when t.ncode = t.code + 40 then 'correct' end as label
-  from lg4 t left join lg c on c.unit = t.unit and c.pos = t.cpos where t.code in (11, 12)),
+  case when t.ncode = 70 then 'incorrect' when t.ncode = 75 then 'omission' when t.ncode = t.code + 40 then 'correct' end as label
+  from lg4 t left join lg c on c.unit = t.unit and c.pos = t.cpos where t.code in (31, 32)),
 rec as (select unit, row_number() over (partition by unit order by pos) as trial_index, ccode as condition_code,
   case ccode when 1 then 'rhythmic' when 2 then 'irregular' else 'missing' end as condition, csample as stimulation_sample, code as target_code, sample as target_sample,
-  case when code = 11 then 'congruent' else 'incongruent' end as congruency, case when label is not null then ncode end as response_code,
+  case when code = 31 then 'congruent' else 'incongruent' end as congruency, case when label is not null then ncode end as response_code,
   coalesce(label, 'missing_or_unexpected') as response_class, code + 40 as expected_correct_code,
   (sample - csample) * 1000.0 / 0.01 as stimulation_to_target_ms,
   case when label in ('correct', 'incorrect') then (nsample - sample) * 1000.0 / 0.01 end as rt_ms, ccode is not null and label is not null as sequence_valid from rec0)"""
@@ -119,16 +119,16 @@ def _(spark, d):
     return reconstructed(spark, d, rows_per_slice=15)
 
 
-ALLOWED = [1, 2, 11, 12, 51, 52, 55]
+ALLOWED = [1, 2, 31, 32, 71, 72, 75]
 
 
 @query("w13_collapse_overlaps", "unit:i sample:i code:i n:i",
        ctes(EV, LOG) + """, one as (select unit, sample, max(code & 255) as code from elog group by all),
        n0 as (select *, row_number() over (partition by unit order by sample) as pos, lead(sample) over (partition by unit order by sample) - sample as gap,
          lead(code) over (partition by unit order by sample) as ncode, sample - lag(sample) over (partition by unit order by sample) as back from one),
-       n1 as (select *, coalesce(gap <= 20000 and ncode in (1, 2, 11, 12, 51, 52, 55), false) as link, coalesce(back <= 20000 and code in (1, 2, 11, 12, 51, 52, 55), false) as linked from n0),
+       n1 as (select *, coalesce(gap <= 20000 and ncode in (1, 2, 31, 32, 71, 72, 75), false) as link, coalesce(back <= 20000 and code in (1, 2, 31, 32, 71, 72, 75), false) as linked from n0),
        n2 as (select *, last_value(case when not linked then pos end ignore nulls) over (partition by unit order by pos rows unbounded preceding) as st from n1)
-       select unit, sample, case when link then ncode else code end as code, 1 as n from n2 where (pos - st) % 2 = 0 and (link or code in (1, 2, 11, 12, 51, 52, 55))""")
+       select unit, sample, case when link then ncode else code end as code, 1 as n from n2 where (pos - st) % 2 = 0 and (link or code in (1, 2, 31, 32, 71, 72, 75))""")
 def _(spark, d):
     one = event_log(spark, d).groupBy("unit", "sample").agg(F.max(F.col("code").bitwiseAND(255)).alias("code"))
     return w.collapse_overlaps(one, "unit", "sample", "code", ALLOWED, 20000, rows_per_slice=15).withColumn("n", F.lit(1))

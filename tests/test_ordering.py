@@ -81,42 +81,72 @@ def test_zscore_zero_spread_and_robust_z(spark):
     assert (r[r.u == "b"].z == 0).all() and r[r.u == "a"].z.max() == pytest.approx(0.67448975)
 
 
-def collapse_by_hand(events, allowed, gap):
-    out, i = [], 0
-    while i < len(events):
-        at, code = events[i]
-        if i + 1 < len(events) and 0 < events[i + 1][0] - at <= gap and events[i + 1][1] in allowed:
-            out.append((at, events[i + 1][1]))
-            i += 2
-            continue
-        if code in allowed:
-            out.append((at, code))
-        i += 1
-    return out
-
-
-def test_overlap_collapse_matches_sequential_rule(spark):
+#: stretches of an event log with what must be left of them, worked out by hand for allowed codes 1-3 and a gap of 2
+STRETCHES = [
+    ([(0, 9), (1, 1)], [(0, 1)]),  # a transition state takes the code of the marker behind it
+    ([(0, 1), (5, 2)], [(0, 1), (5, 2)]),  # too far apart
+    ([(0, 1), (1, 2), (2, 3)], [(0, 2), (2, 3)]),  # the pair is consumed, the third stands alone
+    ([(0, 1), (2, 2), (4, 3), (5, 1)], [(0, 2), (4, 1)]),  # two pairs
+    ([(0, 9), (1, 8), (2, 7)], []),  # no marker at all
+    ([(0, 1), (1, 9)], [(0, 1)]),  # a marker does not link to a state behind it
+    ([(0, 9), (2, 3), (4, 9), (6, 2)], [(0, 3), (4, 2)]),
+    ([(0, 2)], [(0, 2)]),
+]
+
+
+def test_overlap_collapse_of_worked_stretches(spark):
     rng = np.random.default_rng(3)
-    allowed = [1, 2, 3]
     rows, want = [], []
     for unit in range(12):
-        at = np.cumsum(rng.integers(1, 5, 60))
-        events = [(int(t), int(c)) for t, c in zip(at, rng.integers(1, 6, 60))]
-        rows += [(unit, t, c + 256) for t, c in events]
-        want += [(unit, t, c) for t, c in collapse_by_hand(events, allowed, 2)]
+        start = 0
+        for k in rng.integers(0, len(STRETCHES), 25):
+            given, left = STRETCHES[k]
+            rows += [(unit, start + t, c + 256) for t, c in given]
+            want += [(unit, start + t, c) for t, c in left]
+            start += 10 + int(rng.integers(0, 5))
     df = spark.createDataFrame(rows, "unit int, sample bigint, code int")
-    got = w.collapse_overlaps(df, "unit", "sample", "code", allowed, 2, rows_per_slice=9).collect()
+    got = w.collapse_overlaps(df, "unit", "sample", "code", [1, 2, 3], 2, rows_per_slice=9).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_trials_need_a_fresh_condition(spark):
-    log = [(1, 10, 1), (1, 20, 11), (1, 30, 51), (1, 40, 12), (1, 50, 50), (1, 60, 2), (1, 70, 11), (1, 80, 52)]
+    log = [(1, 10, 1), (1, 20, 31), (1, 30, 71), (1, 40, 32), (1, 50, 70), (1, 60, 2), (1, 70, 31), (1, 80, 72)]
     df = spark.createDataFrame(log, "unit int, sample bigint, code int")
     out = w.reconstruct_trials(
         df, "unit", ["sample"], "sample", "code", 1000.0, {1: "a", 2: "b"},
-        {11: {50: "incorrect", 51: "correct", 55: "omission"}, 12: {50: "incorrect", 52: "correct"}}, [11], rows_per_slice=3,
+        {31: {70: "incorrect", 71: "correct", 75: "omission"}, 32: {70: "incorrect", 72: "correct"}}, [31], rows_per_slice=3,
     ).orderBy("trial_index").toPandas()
     assert list(out.condition) == ["a", "missing", "b"]
     assert list(out.response_class) == ["correct", "incorrect", "missing_or_unexpected"]
     assert list(out.sequence_valid) == [True, False, False]
     assert out.rt_ms[0] == 10.0 and np.isnan(out.rt_ms[2])
+
+
+def widest(df, keys, order, size):
+    """Rows of the fullest slice."""
+    return o.add_slices(df, keys, order, size).groupBy("_slice").count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("value", [
+    "case when id = 0 then 1e9 else id end",  # an outlier
+    "case when id = 0 then double('nan') else id end",  # one NaN
+    "case when id % 3 = 0 then null else id end",  # many nulls
+    "concat('Customer#', lpad(id, 9, '0'))",  # texts with a long common start
+    "case when id % 10 > 0 then 7 else id end",  # one value with nine rows in ten
+])
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_no_slice_holds_twice_the_target(spark, value, keys):
+    df = spark.range(20_000).selectExpr("id", "case when id % 100 = 0 then id end as g", f"{value} as x")
+    assert widest(df, keys, ["x"], 500) <= 1000
+
+
+def test_null_keys_and_null_order_follow_sort_order(spark):
+    df = spark.createDataFrame(
+        [(None, 1.0), (None, None), (None, 3.0), ("a", float("nan")), ("a", None), ("a", 2.0)], "g string, x double"
+    )
+    out = {(r.g, str(r.x)): (r.i, r.n) for r in o.row_index(df, ["g"], ["x"], "i", total="n", rows_per_slice=1).collect()}
+    assert out == {(None, "None"): (1, 3), (None, "1.0"): (2, 3), (None, "3.0"): (3, 3), ("a", "None"): (1, 3), ("a", "2.0"): (2, 3), ("a", "nan"): (3, 3)}
+    stats = o.with_group_stats(df, ["g"], m=F.count("x")).collect()
+    assert len(stats) == 6 and {r.m for r in stats} == {2}
+    ranks = o.average_rank(df, ["g"], "x", "r", rows_per_slice=1).collect()
+    assert len(ranks) == 6 and sorted(r.r for r in ranks if r.g is None and r.x is not None) == [1.0, 2.0]
