@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -101,22 +103,66 @@ _DOUBLES = T.ArrayType(T.DoubleType())
 
 # --- least squares with robust covariance ---------------------------------------------
 
-def least_squares(df: DataFrame, keys: list[str], predictors: list[str], outcome: str) -> DataFrame:
-    """Coefficients, inverse Gram, residual and total sums of squares per model."""
-    p = len(predictors) + 1
-    stats = gram(df, keys, [*predictors, outcome])
+def standardised(df: DataFrame, keys: list[str], columns: list[str], kept: list[str] | None = None) -> DataFrame:
+    """Columns as ``_z0``, ``_z1``, ... with mean 0 and deviation 1 per model, and arrays ``_mean``, ``_scale``.
+
+    Cross-products of raw columns lose every digit when a column's mean is far
+    from zero (years, timestamps, ids), so models are fitted on these columns
+    and mapped back.  A column without spread keeps scale 1.
+    """
+    values = [_q(c).cast("double") for c in columns]
+    spread = [F.coalesce(F.stddev_pop(v), F.lit(0.0)) for v in values]
+    stats = df.groupBy(*keys).agg(
+        F.array(*[F.avg(v) for v in values]).alias("_mean"), F.array(*[F.when(s > 0, s).otherwise(1.0) for s in spread]).alias("_scale")
+    )
+    rows = attach(df.select(*keys, *(kept or []), *[v.alias(f"_z{i}") for i, v in enumerate(values)]), stats, keys)
+    return rows.withColumns({f"_z{i}": (F.col(f"_z{i}") - F.col("_mean")[i]) / F.col("_scale")[i] for i in range(len(columns))})
+
+
+def pseudo_inverse(a: np.ndarray) -> tuple[np.ndarray, int]:
+    """Inverse of a symmetric matrix and its rank; directions without information get 0."""
+    values, vectors = np.linalg.eigh((a + a.T) / 2)
+    kept = values > 1e-12 * max(values.max(initial=0.0), 1e-300)
+    v = vectors[:, kept]
+    return (v / values[kept]) @ v.T, int(kept.sum())
+
+
+def _back(mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Map from coefficients of [1, standardised columns] to those of [1, columns]."""
+    out = np.diag(np.concatenate([[1.0], 1.0 / scale]))
+    out[0, 1:] = -mean / scale
+    return out
+
+
+def least_squares(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """Fit on ``standardised`` rows whose last column is the outcome.
+
+    ``beta`` and ``inverse`` belong to the standardised columns, ``coefficients``
+    to the given ones; residual and total sums of squares are in the outcome's
+    unit.  With a singular design the fit is that of a pseudo-inverse and
+    ``rank`` is below ``p``.
+    """
+    stats = gram(rows, keys, [f"_z{i}" for i in range(p)])
+    scales = rows.groupBy(*keys).agg(F.first("_mean").alias("means"), F.first("_scale").alias("scales"))
 
     def solve(row):
         g = _square(row.gram, p + 1)
-        inverse = np.linalg.inv(g[:p, :p])
+        inverse, rank = pseudo_inverse(g[:p, :p])
         beta = inverse @ g[:p, p]
-        n = g[0, 0]
-        return [(beta.tolist(), inverse.ravel().tolist(), n, float(g[p, p] - beta @ g[:p, p]), float(g[p, p] - g[0, p] ** 2 / n))]
-
-    fields = [T.StructField("beta", _DOUBLES), T.StructField("inverse", _DOUBLES)] + [
+        mean, scale = np.asarray(row.means, dtype=float), np.asarray(row.scales, dtype=float)
+        unit = scale[-1] ** 2
+        raw = scale[-1] * (_back(mean[:-1], scale[:-1]) @ beta)
+        raw[0] += mean[-1]
+        rss = max(0.0, float(g[p, p] - beta @ g[:p, p]))
+        return [(
+            beta.tolist(), inverse.ravel().tolist(), raw.tolist(), mean.tolist(), scale.tolist(), g[0, 0],
+            rss * unit, float(g[p, p] - g[0, p] ** 2 / g[0, 0]) * unit, rank,
+        )]
+
+    fields = [T.StructField(c, _DOUBLES) for c in ("beta", "inverse", "coefficients", "mean", "scale")] + [
         T.StructField(c, T.DoubleType()) for c in ("n", "rss", "tss")
-    ]
-    return _solve_rows(stats, keys, fields, solve)
+    ] + [T.StructField("rank", T.LongType())]
+    return _solve_rows(attach(stats, scales, keys), keys, fields, solve)
 
 
 def _leverage(terms: list[Column], inverse: str) -> Column:
@@ -137,17 +183,18 @@ def _fitted(terms: list[Column], beta: str) -> Column:
 
 
 def ols_hc3(df: DataFrame, keys: list[str], predictors: list[str], outcome: str) -> DataFrame:
-    """One row per model: ``terms``, ``beta``, ``cov`` (HC3, flattened), n, R2, adjusted R2.
+    """One row per model: ``terms``, ``beta``, ``cov`` (HC3, flattened), n, R2, adjusted R2, ``rank``.
 
-    Two aggregates over the rows: cross-products, then leverage-weighted scores.
+    Three aggregates over the rows: moments, cross-products, then
+    leverage-weighted scores.
     """
     names = ["Intercept", *predictors]
     p = len(names)
-    fit = least_squares(df, keys, predictors, outcome)
-    rows = attach(df.select(*keys, *[_q(c) for c in predictors], _q(outcome)), fit, keys)
-    terms = [F.lit(1.0)] + [_q(c).cast("double") for c in predictors]
-    residual = _q(outcome) - _fitted(terms, "beta")
-    rows = rows.withColumn("_w", F.pow(residual / (1.0 - _leverage(terms, "inverse")), F.lit(2.0)))
+    rows = standardised(df, keys, [*predictors, outcome])
+    fit = least_squares(rows, keys, p)
+    terms = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(p - 1)]
+    residual = F.col(f"_z{p - 1}") - _fitted(terms, "beta")
+    rows = attach(rows, fit, keys).withColumn("_w", F.pow(residual / (1.0 - _leverage(terms, "inverse")), F.lit(2.0)))
     pairs = _packed(p)
     meat = rows.groupBy(*keys).agg(*[F.sum(F.col("_w") * terms[i] * terms[j]).alias(f"_m{k}") for k, (i, j) in enumerate(pairs)])
     meat = meat.select(*keys, F.array(*[f"_m{k}" for k in range(len(pairs))]).alias("meat"))
@@ -155,9 +202,13 @@ def ols_hc3(df: DataFrame, keys: list[str], predictors: list[str], outcome: str)
 
     def solve(row):
         inverse = np.asarray(row.inverse).reshape(p, p)
-        cov = inverse @ _square(row.meat, p) @ inverse
-        r2 = 1.0 - row.rss / row.tss
-        return [(names, list(row.beta), cov.ravel().tolist(), int(row.n), r2, 1.0 - (1.0 - r2) * (row.n - 1) / (row.n - p))]
+        scale = np.asarray(row.scale)
+        back = scale[-1] * _back(np.asarray(row.mean)[:-1], scale[:-1])
+        cov = back @ inverse @ _square(row.meat, p) @ inverse @ back.T
+        r2 = 1.0 - row.rss / row.tss if row.tss > 0 else math.nan
+        left = row.n - row.rank
+        adjusted = 1.0 - (1.0 - r2) * (row.n - 1) / left if left > 0 else math.nan
+        return [(names, list(row.coefficients), cov.ravel().tolist(), int(row.n), r2, adjusted, int(row.rank))]
 
     return _solve_rows(both, keys, _MODEL_FIELDS + _R2_FIELDS, solve)
 
@@ -166,7 +217,7 @@ _MODEL_FIELDS = [
     T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("beta", _DOUBLES),
     T.StructField("cov", _DOUBLES), T.StructField("n", T.LongType()),
 ]
-_R2_FIELDS = [T.StructField("r_squared", T.DoubleType()), T.StructField("adjusted_r_squared", T.DoubleType())]
+_R2_FIELDS = [T.StructField("r_squared", T.DoubleType()), T.StructField("adjusted_r_squared", T.DoubleType()), T.StructField("rank", T.LongType())]
 
 
 def coefficient_rows(models: DataFrame, keys: list[str], extra: list[str] | None = None, z: float = 1.959963984540054) -> DataFrame:
@@ -225,27 +276,32 @@ def _outer_sum(df: DataFrame, keys: list[str], vector: str, p: int, name: str) -
 
 
 def _cluster_result(keys: list[str], names: list[str], df: DataFrame) -> DataFrame:
+    """Map slopes and sandwich back from standardised columns; one cluster has no covariance."""
     p = len(names)
 
     def solve(row):
-        inverse = np.linalg.inv(_square(row.bread, p))
+        inverse, _ = pseudo_inverse(_square(row.bread, p))
         g, n = row.n_clusters, row.n_rows
         k = p + g
-        factor = g / (g - 1.0) * (n - 1.0) / (n - k)
-        cov = factor * inverse @ _square(row.meat, p) @ inverse
-        return [(names, list(row.solution), cov.ravel().tolist(), int(n), int(g))]
+        factor = g / (g - 1.0) * (n - 1.0) / (n - k) if g > 1 and n > k else math.nan
+        back = np.asarray(row.factor, dtype=float)
+        cov = factor * np.outer(back, back) * (inverse @ _square(row.meat, p) @ inverse)
+        return [(names, (back * np.asarray(row.solution)).tolist(), cov.ravel().tolist(), int(n), int(g))]
 
     return _solve_rows(df, keys, _MODEL_FIELDS + [T.StructField("n_clusters", T.LongType())], solve)
 
 
 def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str], outcome: str) -> DataFrame:
-    """OLS with unit fixed effects and cluster-robust covariance, from one pass.
+    """OLS with unit fixed effects and cluster-robust covariance, from moments and one pass.
 
     Per-unit cross-products give the within-unit Gram matrix, the slopes, and
     also each unit's score: s_u = c_u - W_u b.  The rows are not read again.
     """
     p = len(predictors)
-    per_unit = gram(df, [*keys, unit], [*predictors, outcome])
+    rows = standardised(df, keys, [*predictors, outcome], kept=[unit])
+    per_unit = gram(rows, [*keys, unit], [f"_z{i}" for i in range(p + 1)])
+    scale = F.first("_scale")
+    factors = rows.groupBy(*keys).agg(F.array(*[scale[p] / scale[i] for i in range(p)]).alias("factor"))
 
     def within(row):
         g = _square(row.gram, p + 2)
@@ -259,7 +315,7 @@ def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str]
 
     def slopes(row):
         w = _square(row.within, p + 1)
-        return [(np.linalg.solve(w[:p, :p], w[:p, p]).tolist(), [w[i, j] for i, j in _packed(p)])]
+        return [((pseudo_inverse(w[:p, :p])[0] @ w[:p, p]).tolist(), [w[i, j] for i, j in _packed(p)])]
 
     fit = _solve_rows(total, keys, [T.StructField("solution", _DOUBLES), T.StructField("bread", _DOUBLES)], slopes)
 
@@ -269,7 +325,7 @@ def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str]
 
     scores = _solve_rows(attach(units, fit, keys), [*keys, unit], [T.StructField("score", _DOUBLES)], score)
     meat = _outer_sum(scores, keys, "score", p, "meat")
-    return _cluster_result(keys, predictors, attach(attach(fit, meat, keys), counts, keys))
+    return _cluster_result(keys, predictors, attach(attach(attach(fit, meat, keys), counts, keys), factors, keys))
 
 
 def _sigmoid(x: Column) -> Column:
@@ -287,8 +343,10 @@ def cluster_logit(
     outcome carry no information on the slopes; their effect is held at a bound.
     """
     p = len(predictors)
-    x = [_q(c).cast("double") for c in predictors]
-    rows = df.select(unit, *[_q(c) for c in predictors], _q(outcome).cast("double").alias("_y"))
+    x = [F.col(f"_z{i}") for i in range(p)]
+    rows = standardised(df, [], predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
+    scale = F.first("_scale")
+    factor = rows.agg(F.array(*[1.0 / scale[i] for i in range(p)]).alias("f")).first()["f"]
     effects = cut_lineage(rows.groupBy(unit).agg(
         F.log((F.sum("_y") + 0.5) / (F.count(F.lit(1)) - F.sum("_y") + 0.5)).alias("_alpha"),
         F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_ones"),
@@ -319,7 +377,7 @@ def cluster_logit(
             *[F.sum(F.col("_gb")[i] - F.col("_b")[i] * F.col("_ga") / F.col("_d")).alias(f"g{i}") for i in range(p)],
         ).first()
         hessian = _square([schur[f"s{k}"] for k in range(len(pairs))], p)
-        step = np.linalg.solve(hessian, [schur[f"g{i}"] for i in range(p)])
+        step = pseudo_inverse(hessian)[0] @ np.array([schur[f"g{i}"] for i in range(p)])
         move = F.col("_ga")
         for i in range(p):
             move = move - float(step[i]) * F.col("_b")[i]
@@ -330,6 +388,8 @@ def cluster_logit(
         beta = beta + step
         if np.max(np.abs(step)) < tolerance:
             break
+    else:
+        raise RuntimeError(f"the logit did not settle in {max_iterations} steps; the outcome may be separated")
     final = cut_lineage(unit_sums(effects, beta).join(effects, unit)).filter(
         (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))
     )
@@ -339,6 +399,7 @@ def cluster_logit(
     counts = effects.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("_size").cast("double").alias("n_rows"))
     meat = _outer_sum(final, [], "_gb", p, "meat")
     stats = attach(attach(bread, meat, []), counts, []).withColumn("solution", F.array(*[F.lit(float(b)) for b in beta]))
+    stats = stats.withColumn("factor", F.array(*[F.lit(float(f)) for f in factor]))
     return _cluster_result([], predictors, stats)
 
 
@@ -465,11 +526,13 @@ def gee_exchangeable(
             rho = 0.0
         bread, score, meat = step_sums(sums, rho)
         sums.unpersist()
-        step = np.linalg.solve(bread, score)
+        step = pseudo_inverse(bread)[0] @ score
         if iteration > 0 and np.max(np.abs(step)) < tolerance:
             break
         beta = beta + step
-    inverse = np.linalg.inv(bread)
+    else:
+        raise RuntimeError(f"the estimating equations did not settle in {max_iterations} steps")
+    inverse, _ = pseudo_inverse(bread)
     cov = inverse @ meat @ inverse
     schema = T.StructType(_MODEL_FIELDS + [T.StructField("n_units", T.LongType()), T.StructField("working_correlation", T.DoubleType())])
     return df.sparkSession.createDataFrame(
@@ -846,31 +909,33 @@ def influence(df: DataFrame, ids: list[str], predictors: list[str], outcome: str
     """
     names = ["Intercept", *predictors]
     p, at = len(names), names.index(term)
-    fit = least_squares(df, [], predictors, outcome)
-    rows = attach(df.select(*ids, *[_q(c) for c in predictors], _q(outcome)), fit, [])
-    terms = [F.lit(1.0)] + [_q(c).cast("double") for c in predictors]
-    rows = rows.withColumn("_h", _leverage(terms, "inverse")).withColumn("_e", _q(outcome) - _fitted(terms, "beta"))
-    direction = F.lit(0.0)
-    for j, t in enumerate(terms):
-        direction = direction + F.col("inverse")[at * p + j] * t
-    scale = F.col("rss") / (F.col("n") - p)
+    rows = standardised(df, [], [*predictors, outcome], kept=ids)
+    rows = attach(rows, least_squares(rows, [], p), [])
+    terms = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(p - 1)]
+    unit = F.col("scale")[p - 1]
+    rows = rows.withColumn("_h", _leverage(terms, "inverse")).withColumn("_e", unit * (F.col(f"_z{p - 1}") - _fitted(terms, "beta")))
+    own = lambda i: reduce(add, [F.col("inverse")[i * p + j] * t for j, t in enumerate(terms)])
+    if at:
+        direction = own(at) / F.col("scale")[at - 1]
+    else:
+        direction = own(0) - reduce(add, [F.col("mean")[i - 1] / F.col("scale")[i - 1] * own(i) for i in range(1, p)], F.lit(0.0))
+    residual_variance = F.col("rss") / (F.col("n") - F.col("rank"))
     return rows.select(
         *ids, F.col("_h").alias("leverage"),
-        (F.col("beta")[at] - direction * F.col("_e") / (1.0 - F.col("_h"))).alias("loo_estimate"),
-        (F.col("_e") * F.col("_e") * F.col("_h") / (p * scale * F.pow(1.0 - F.col("_h"), F.lit(2.0)))).alias("cooks_distance"),
+        (F.col("coefficients")[at] - direction * F.col("_e") / (1.0 - F.col("_h"))).alias("loo_estimate"),
+        (F.col("_e") * F.col("_e") * F.col("_h") / (p * residual_variance * F.pow(1.0 - F.col("_h"), F.lit(2.0)))).alias("cooks_distance"),
     )
 
 
 def variance_inflation(df: DataFrame, predictors: list[str]) -> DataFrame:
     """Diagonal of the inverse correlation matrix of the predictors."""
     p = len(predictors)
-    stats = gram(df, [], predictors)
+    stats = gram(standardised(df, [], predictors), [], [f"_z{i}" for i in range(p)])
 
     def solve(row):
-        g = _square(row.gram, p + 1)
-        c = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]
-        d = np.sqrt(np.diag(c))
-        return [(t, float(v)) for t, v in zip(predictors, np.diag(np.linalg.inv(c / np.outer(d, d))))]
+        inverse, rank = pseudo_inverse(_square(row.gram, p + 1)[1:, 1:] / row.gram[0])
+        # without full rank some predictor is a sum of others
+        return [(t, float(v) if rank == p else math.inf) for t, v in zip(predictors, np.diag(inverse))]
 
     return _solve_rows(stats, [], [T.StructField("term", T.StringType()), T.StructField("vif", T.DoubleType())], solve)
 
@@ -909,13 +974,12 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, covariates:
     for i, c in enumerate(columns):
         ranked = average_rank(ranked, keys, c, f"_rank{i}")
     p = len(columns)
-    stats = gram(ranked, keys, [f"_rank{i}" for i in range(p)])
+    stats = gram(standardised(ranked, keys, [f"_rank{i}" for i in range(p)]), keys, [f"_z{i}" for i in range(p)])
 
     def solve(row):
-        g = _square(row.gram, p + 1)
-        c = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]
-        d = np.sqrt(np.diag(c))
-        precision = np.linalg.inv(c / np.outer(d, d))
-        return [(int(g[0, 0]), float(-precision[-2, -1] / math.sqrt(precision[-2, -2] * precision[-1, -1])))]
+        n = row.gram[0]
+        precision, rank = pseudo_inverse(_square(row.gram, p + 1)[1:, 1:] / n)
+        rho = -precision[-2, -1] / math.sqrt(precision[-2, -2] * precision[-1, -1]) if rank == p else math.nan
+        return [(int(n), float(rho))]
 
     return _solve_rows(stats, keys, [T.StructField("n", T.LongType()), T.StructField("partial_rho", T.DoubleType())], solve)

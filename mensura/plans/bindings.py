@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mensura.operators.ordering import row_index
+from mensura.operators.ordering import attach, row_index
 from mensura.plans.registry import table
 
-TYPES = ["click", "error", "purchase", "signup", "view"]
+#: origin of sample numbers; any instant serves
 DAY_ZERO = "2024-01-01"
-N_DAYS, N_HOURS = 30, 24
+N_HOURS = 24
+
+
+def event_types(spark: SparkSession, d: str) -> list[str]:
+    """The channel list: all event types of the table, sorted."""
+    return sorted(r[0] for r in table(spark, d, "events").select("event_type").distinct().collect())
+
+
+def nation_keys(spark: SparkSession, d: str) -> list[int]:
+    return sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").distinct().collect())
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -65,26 +74,30 @@ behdiff as (select metric, unit, max(case when condition = 'A' then value end) -
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly series: unit = user, channel = event type, trial = day, s = hour, zero filled."""
+    """Hourly series: unit = user, channel = event type, trial = day, s = hour, zero filled.
+
+    Types and days are those of the table; days count from its first.
+    """
     ev = table(spark, d, "events")
-    cells = ev.groupBy(
-        F.col("user_id").alias("unit"), F.col("event_type").alias("channel"),
-        F.expr(f"datediff(ts, date'{DAY_ZERO}')").alias("trial"), F.hour("ts").alias("s"),
+    bounds = ev.agg(
+        F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"), F.array_sort(F.collect_set("event_type")).alias("types"))
+    dated = attach(ev, bounds, [])
+    cells = dated.groupBy(
+        F.col("user_id").alias("unit"), F.col("event_type").alias("channel"), F.date_diff("ts", "first").alias("trial"), F.hour("ts").alias("s"),
     ).agg(F.sum("value").alias("x"))
     grid = (
-        ev.select(F.col("user_id").alias("unit")).distinct()
-        .withColumn("channel", F.explode(F.array(*[F.lit(t) for t in TYPES])))
-        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(N_DAYS - 1))))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(N_HOURS - 1))))
+        attach(ev.select(F.col("user_id").alias("unit")).distinct(), bounds, [])
+        .withColumn("channel", F.explode("types")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.date_diff("last", "first"))))
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(N_HOURS - 1)))).drop("first", "last", "types")
     )
     return grid.join(cells, ["unit", "channel", "trial", "s"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
 
 
 SMP = """smp as (select g.unit, g.channel, g.trial, g.s, coalesce(c.x, 0.0) as x from
   (select u.unit, t.channel, dd.trial, h.s from (select distinct user_id as unit from events) u,
-    (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as channel) t,
-    (select unnest(range(0, 30)) as trial) dd, (select unnest(range(0, 24)) as s) h) g
-  left join (select user_id as unit, event_type as channel, datediff('day', date '2024-01-01', cast(ts as date)) as trial,
+    (select distinct event_type as channel from events) t,
+    (select unnest(range(0, (select datediff('day', min(cast(ts as date)), max(cast(ts as date))) + 1 from events))) as trial) dd, (select unnest(range(0, 24)) as s) h) g
+  left join (select user_id as unit, event_type as channel, datediff('day', (select min(cast(ts as date)) from events), cast(ts as date)) as trial,
     hour(ts) as s, sum(value) as x from events group by all) c
   on g.unit = c.unit and g.channel = c.channel and g.trial = c.trial and g.s = c.s)"""
 
@@ -92,13 +105,14 @@ SMP = """smp as (select g.unit, g.channel, g.trial, g.s, coalesce(c.x, 0.0) as x
 def pooled_samples(spark: SparkSession, d: str) -> DataFrame:
     """The hourly series summed over users: channel = event type."""
     ev = table(spark, d, "events")
-    cells = ev.groupBy(
-        F.col("event_type").alias("channel"), F.expr(f"datediff(ts, date'{DAY_ZERO}')").alias("trial"), F.hour("ts").alias("s")
+    bounds = ev.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
+    cells = attach(ev, bounds, []).groupBy(
+        F.col("event_type").alias("channel"), F.date_diff("ts", "first").alias("trial"), F.hour("ts").alias("s")
     ).agg(F.sum("value").alias("x"))
     grid = (
-        ev.select(F.col("event_type").alias("channel")).distinct()
-        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(N_DAYS - 1))))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(N_HOURS - 1))))
+        attach(ev.select(F.col("event_type").alias("channel")).distinct(), bounds, [])
+        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.date_diff("last", "first"))))
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(N_HOURS - 1)))).drop("first", "last")
     )
     return grid.join(cells, ["channel", "trial", "s"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
 

@@ -12,6 +12,7 @@ from mensura.plans.bindings import (
     BEH, BEHLONG, CD, CM, EV, FT, LE, LOG, PR, PSMP, RUNS, SMP, TR, channel_differences, channel_metrics, event_log, events, features,
     line_edges, pooled_samples, predictions, runs, samples, trials,
 )
+from mensura.plans.bindings import nation_keys
 from mensura.plans.q_joins import ALLPAIRS, KNN, knn, nation_daily
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import average_rank, ctes, normal_quantile
@@ -178,12 +179,15 @@ def _(spark, d):
     return a.spearman(x, ["lang"], "u", "v")
 
 
-RING = "ring as (select n_nationkey as a, (n_nationkey + 1) % 25 as b from nation union select (n_nationkey + 1) % 25, n_nationkey from nation)"
+RING = """nr as (select n_nationkey as a, coalesce(lead(n_nationkey) over (order by n_nationkey), min(n_nationkey) over ()) as b from nation),
+ring as (select a, b from nr union select b, a from nr)"""
 
 
 def nation_ring(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("x"), F.pmod(F.col("n_nationkey") + 1, F.lit(25)).alias("y"))
-    return graph.both_directions(n, "x", "y")
+    """Neighbouring keys in sort order, the last next to the first."""
+    keys = nation_keys(spark, d)
+    ring = spark.createDataFrame(list(zip(keys, keys[1:] + keys[:1])), "x int, y int")
+    return graph.both_directions(ring, "x", "y")
 
 
 PROFILE = """prof as (select a as channel, count(*) as n_neighbours, quantile_cont(r, 0.5) as median_neighbour_r, min(r) as minimum_neighbour_r, max(r) as maximum_neighbour_r,
@@ -194,7 +198,7 @@ PROFILE = """prof as (select a as channel, count(*) as n_neighbours, quantile_co
 @query("a19_neighbour_profile", "channel:i n_neighbours:i median_neighbour_r:6 minimum_neighbour_r:6 maximum_neighbour_r:6 strongest_neighbour:i median_global_r:6",
        ctes(ALLPAIRS, RING, PROFILE) + "select * from prof")
 def _(spark, d):
-    cc = graph.channel_correlations(nation_daily(spark, d), [], "channel", list(range(25)), "s", "x")
+    cc = graph.channel_correlations(nation_daily(spark, d), [], "channel", nation_keys(spark, d), "s", "x")
     return a.neighbour_profile(cc, nation_ring(spark, d)).withColumnRenamed("a", "channel")
 
 
@@ -311,9 +315,11 @@ def _(spark, d):
 
 
 @query("v6_list_round_trip", "unit:i channels n_channels:i",
-       ctes(CM) + "select unit, string_agg(distinct cast(channel as varchar), ';' order by cast(channel as varchar)) as channels, count(distinct channel) as n_channels from cm where n_trials > 28 group by unit")
+       ctes(CM) + "select unit, string_agg(distinct cast(channel as varchar), ';' order by cast(channel as varchar)) as channels, count(distinct channel) as n_channels from cm where n_trials > (select avg(n_trials) from cm) group by unit")
 def _(spark, d):
-    big = channel_metrics(spark, d).filter("n_trials > 28").select("unit", F.col("channel").cast("string").alias("channel")).distinct()
+    m = channel_metrics(spark, d)
+    average = m.agg(F.avg("n_trials").alias("average"))
+    big = attach(m, average, []).filter("n_trials > average").select("unit", F.col("channel").cast("string").alias("channel")).distinct()
     listed = reshape.collapse_list(big, ["unit"], "channel", "channels")
     back = reshape.explode_list(listed, "channels", "channel")
     counts = back.groupBy("unit").agg(F.count(F.lit(1)).alias("n_channels"))

@@ -10,6 +10,7 @@ from mensura.plans.bindings import (
     CD, CM, EV, FT, LE, LOG, PR, RUNS, TR, channel_differences, channel_metrics, event_log, events, features, line_edges,
     predictions, runs, trials,
 )
+from mensura.plans.bindings import nation_keys
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import ctes
 
@@ -129,7 +130,7 @@ ALLPAIRS = _NATION + """, cc as (select p.channel as a, q.channel as b, count(*)
 
 @query("j10_all_pair_correlations", "a:i b:i n:i r:6", ctes(ALLPAIRS) + "select * from cc")
 def _(spark, d):
-    return graph.channel_correlations(nation_daily(spark, d), [], "channel", list(range(25)), "s", "x")
+    return graph.channel_correlations(nation_daily(spark, d), [], "channel", nation_keys(spark, d), "s", "x")
 
 
 _EPOCH = ctes(EV, LOG) + """, len as (select unit, max(sample) + 1 as n from elog group by unit),

@@ -12,7 +12,7 @@ from mensura.operators.ordering import row_index
 from mensura.operators.resampling import bootstrap_mean, one_sample_t, signed_rank
 from mensura.operators.windows import benjamini_hochberg, centre, holm, zscore
 from mensura.plans.bindings import (
-    BEH, CM, EV, FT, PR, TR, TYPES, channel_metrics, events, features, predictions, regression_rows, runs, trials,
+    BEH, CM, EV, FT, PR, TR, channel_metrics, event_types, events, features, predictions, regression_rows, runs, trials,
 )
 from mensura.plans.q_aggregates import behaviour, subject_features
 from mensura.plans.registry import query, table
@@ -192,13 +192,13 @@ def model_sets(dummies):
 
 
 def rt_predictions(spark, d):
-    frame, dummies = m.treatment_columns(prepared(spark, d).filter("correct = 1 and rt > 0"), "trial_type", TYPES, keep_first=True)
+    frame, dummies = m.treatment_columns(prepared(spark, d).filter("correct = 1 and rt > 0"), "trial_type", event_types(spark, d), keep_first=True)
     frame = cut_lineage(frame.select("unit", "order_z", *NEURAL, *[F.col(f"`{c}`") for c in dummies], "log_rt"))
     return m.leave_unit_out_ridge(frame, [], "unit", ["order_z", *NEURAL], dummies, model_sets(dummies), "log_rt")
 
 
 def accuracy_predictions(spark, d):
-    frame, dummies = m.treatment_columns(prepared(spark, d), "trial_type", TYPES, keep_first=True)
+    frame, dummies = m.treatment_columns(prepared(spark, d), "trial_type", event_types(spark, d), keep_first=True)
     frame = cut_lineage(frame.select("unit", "order_z", *NEURAL, *[F.col(f"`{c}`") for c in dummies], "correct"))
     return m.leave_unit_out_logistic(frame, "unit", ["order_z", *NEURAL], dummies, model_sets(dummies), "correct")
 

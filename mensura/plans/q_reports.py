@@ -12,7 +12,7 @@ from mensura.operators.guards import require_family, single_row
 from mensura.operators.reshape import union_filled
 from mensura.operators.windows import benjamini_hochberg, holm
 from mensura.plans.bindings import (
-    BEH, BEHLONG, CD, CM, EV, FT, PR, TESTS, TR, TYPES, channel_differences, channel_metrics, line_edges, predictions, tests_table,
+    BEH, BEHLONG, CD, CM, EV, FT, PR, TESTS, TR, channel_differences, channel_metrics, event_types, line_edges, predictions, tests_table,
 )
 from mensura.plans.q_aggregates import GATE, LOSS, behaviour, gate_record, losses
 from mensura.plans.q_models import accuracy_predictions, binary_calibration, prepared, rt_predictions, unit_means, _HC3
@@ -153,7 +153,7 @@ def _(spark, d):
     first = base.agg(F.min("unit").alias("unit"))
     specs = one("main", base).unionByName(one("strict", prepared(spark, d, strict=True))).unionByName(
         one("without_first_unit", base.join(first, "unit", "left_anti"))).unionByName(one("envelope", prepared(spark, d, family="envelope")))
-    rows, dummies = m.treatment_columns(specs.filter("correct = 1"), "trial_type", TYPES)
+    rows, dummies = m.treatment_columns(specs.filter("correct = 1"), "trial_type", event_types(spark, d))
     terms = ["order_z", "m40_z", "m36_z", "m40_aud", "m36_aud"]
     fit = m.cluster_ols(rows, ["specification"], "unit", [*terms, *dummies], "log_rt")
     return m.coefficient_rows(fit, ["specification"], ["n_clusters"]).filter(F.col("term").isin(terms))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mensura.operators.graph import both_directions
 from mensura.operators.joins import windows_join
+from mensura.operators.ordering import attach
 from mensura.plans.bindings import CM, EV, LOG, channel_metrics, event_log
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import ctes
@@ -45,14 +46,15 @@ def _(spark, d):
 
 
 @query("s5_unit_files_validated", "file_unit rule",
-       ctes(CM) + """, per as (select cast(unit as varchar) as file_unit, count(distinct condition) as k from cm where n_trials >= 36 group by all)
+       ctes(CM) + """, per as (select cast(unit as varchar) as file_unit, count(distinct condition) as k from cm where n_trials >= (select avg(n_trials) from cm) group by all)
        select file_unit, 'condition_mismatch' as rule from per where k <> 2
        union all select cast(s_suppkey as varchar), 'missing' from supplier
          where cast(s_suppkey as varchar) not in (select file_unit from per)""")
 def _(spark, d):
-    # a folder per unit, as separate runs would leave them; cells need 36 trials
+    # a folder per unit, as separate runs would leave them; cells need as many trials as the average cell
     path = scratch(spark)
-    supported = channel_metrics(spark, d).filter("n_trials >= 36")
+    m = channel_metrics(spark, d)
+    supported = attach(m, m.agg(F.avg("n_trials").alias("average")), []).filter("n_trials >= average").drop("average")
     supported.withColumn("folder", F.col("unit")).write.partitionBy("folder").option("header", True).csv(path)
     schema = "unit bigint, channel int, condition string, price double, quantity double, n_trials bigint"
     loaded = tables.read_unit_tables(spark, path, schema, r"folder=(\d+)")
@@ -88,10 +90,10 @@ def _(spark, d):
     return inside.groupBy("unit", "window_start").agg(F.count(F.lit(1)).alias("n_events"), F.sum("code").alias("code_sum"))
 
 
-@query("s9_fixed_columns_sink", "unit:i channel:i condition price:6", ctes(CM) + "select * from cm where n_trials >= 5")
+@query("s9_fixed_columns_sink", "unit:i channel:i condition price:6", ctes(CM) + "select * from cm")
 def _(spark, d):
     path = scratch(spark)
-    sinks.write_table(channel_metrics(spark, d).filter("n_trials >= 5"), path, ["unit", "channel", "condition", "price"])
+    sinks.write_table(channel_metrics(spark, d), path, ["unit", "channel", "condition", "price"])
     return spark.read.schema("unit bigint, channel int, condition string, price double").parquet(path)
 
 

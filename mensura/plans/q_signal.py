@@ -10,7 +10,7 @@ from mensura.operators import graph
 from mensura.operators import signal as g
 from mensura.operators.aggregates import behaviour_summary, neighbour_profile, peak_to_peak, signal_summary
 from mensura.operators.ordering import median_table, row_index
-from mensura.plans.bindings import EV, FT, PSMP, SMP, TYPES, features, pooled_samples, samples
+from mensura.plans.bindings import EV, FT, PSMP, SMP, event_types, features, pooled_samples, samples
 from mensura.plans.q_aggregates import RING, nation_ring
 from mensura.plans.q_functions import flag_channels
 from mensura.plans.q_joins import ALLPAIRS, _NATION, nation_daily
@@ -170,7 +170,7 @@ def _(spark, d):
 @query("g16_channel_condition_metrics", "unit:i channel n_trials:i itpc:6 evoked_snr_db:5",
        ctes(SMP, _EVOKED, _fourier("evk", "unit, channel", "pg"), _demod("smp", "unit, channel, trial", "ph"),
             "coh as (select unit, channel, avg(r) as itpc from (select unit, channel, s, sqrt(power(avg(ure), 2) + power(avg(uim), 2)) as r from ph group by all) group by all)",
-            f"snr as (select unit, channel, {_SNR} as evoked_snr_db from pg group by all)") + "select unit, channel, 30 as n_trials, itpc, evoked_snr_db from coh join snr using (unit, channel)")
+            f"snr as (select unit, channel, {_SNR} as evoked_snr_db from pg group by all)") + "select unit, channel, (select count(distinct trial) from smp) as n_trials, itpc, evoked_snr_db from coh join snr using (unit, channel)")
 def _(spark, d):
     coherence = g.mean_coherence(unit_phases(spark, d, pooled=False), ["unit", "channel"])
     snr = spectra(spark, d).filter("n_trials >= 4").select("unit", "channel", "n_trials", g.local_log_snr("evoked", FREQ, TARGET).alias("evoked_snr_db"))
@@ -180,9 +180,11 @@ def _(spark, d):
 def condition_bundle(spark, d):
     """Coherence and three ratios per channel with odd/even and half splits, two aggregates in all."""
     trial = F.col("trial")
-    splits = {"odd": trial % 2 == 0, "even": trial % 2 == 1, "first": trial < 15, "second": trial >= 15}
+    pooled = pooled_samples(spark, d)
+    half = pooled.agg(F.floor((F.max("trial") + 1) / 2)).first()[0]
+    splits = {"odd": trial % 2 == 0, "even": trial % 2 == 1, "first": trial < half, "second": trial >= half}
     coherence = g.mean_coherence(unit_phases(spark, d), ["channel"], where={f"{k}_itpc": c for k, c in splits.items()})
-    coefficients = g.coefficients(pooled_samples(spark, d), ["channel", "trial"], N, BINS)
+    coefficients = g.coefficients(pooled, ["channel", "trial"], N, BINS)
     power = g.condition_spectra(coefficients, ["channel"], N, FS, BINS, splits).filter("n_trials >= 4")
     snr = lambda c: g.local_log_snr(c, FREQ, TARGET)
     return coherence.join(power.select(
@@ -195,7 +197,7 @@ def _half_snr(name: str, cond: str) -> str:
         f",\ns_{name} as (select channel, {_SNR} as {name}_snr from pg_{name} group by all)"
 
 
-_SPLITS = {"odd": "trial % 2 = 0", "even": "trial % 2 = 1", "first": "trial < 15", "second": "trial >= 15"}
+_SPLITS = {"odd": "trial % 2 = 0", "even": "trial % 2 = 1", "first": "trial < (select (max(trial) + 1) // 2 from psmp)", "second": "trial >= (select (max(trial) + 1) // 2 from psmp)"}
 _ITPC_PARTS = ", ".join(f"sqrt(power(avg(case when {c} then ure end), 2) + power(avg(case when {c} then uim end), 2)) as {k}_itpc" for k, c in _SPLITS.items())
 
 
@@ -207,20 +209,20 @@ _ITPC_PARTS = ", ".join(f"sqrt(power(avg(case when {c} then ure end), 2) + power
             _fourier("psmp", "channel, trial", "pt"), "ptm as (select channel, k, avg(p) as p from pt group by all)", f"s_total as (select channel, {_SNR} as total_snr from ptm group by all)",
             "resp as (select channel, trial, s, x - avg(x) over (partition by channel, s) as x from psmp)", _fourier("resp", "channel, trial", "pr_"),
             "prm as (select channel, k, avg(p) as p from pr_ group by all)", f"s_induced as (select channel, {_SNR} as induced_snr from prm group by all)")
-       + "select *, 30 as n_trials from co join s_evoked using (channel) join s_total using (channel) join s_induced using (channel) join s_odd using (channel) join s_even using (channel) join s_first using (channel) join s_second using (channel)")
+       + "select *, (select count(distinct trial) from psmp) as n_trials from co join s_evoked using (channel) join s_total using (channel) join s_induced using (channel) join s_odd using (channel) join s_even using (channel) join s_first using (channel) join s_second using (channel)")
 def _(spark, d):
     return condition_bundle(spark, d)
 
 
 def epoch_table(spark, d):
-    """One epoch per user and day: range over channels, range of the region signal."""
+    """One epoch per user and day: median range of its channels, range of the region signal."""
     s = samples(spark, d)
-    scalp = peak_to_peak(s, ["unit", "trial"], "channel", "x").select("unit", "trial", F.col("max_ptp").alias("median_ptp"))
+    scalp = peak_to_peak(s, ["unit", "trial"], "channel", "x").select("unit", "trial", "median_ptp")
     region = g.region_signal(s, ["click", "view"], ["unit", "trial", "s"]).groupBy("unit", "trial").agg((F.max("x") - F.min("x")).alias("roi_ptp"))
     return scalp.join(region, ["unit", "trial"]).withColumn("within_bounds", F.col("trial") > 0)
 
 
-ARTIFACT = """pp as (select unit, trial, max(p) as median_ptp from (select unit, trial, channel, max(x) - min(x) as p from smp group by all) group by all),
+ARTIFACT = """pp as (select unit, trial, quantile_cont(p, 0.5) as median_ptp from (select unit, trial, channel, max(x) - min(x) as p from smp group by all) group by all),
 rp as (select unit, trial, max(x) - min(x) as roi_ptp from (select unit, trial, s, avg(x) as x from smp where channel in ('click', 'view') group by all) group by all),
 ep as (select *, trial > 0 as within_bounds from pp join rp using (unit, trial)),
 cen as (select unit, quantile_cont(median_ptp, 0.5) as c1, quantile_cont(roi_ptp, 0.5) as c2 from ep where within_bounds group by unit),
@@ -254,7 +256,7 @@ SFREQ = g.bin_frequencies(SEG, SFS, SBINS)
 
 def noise_ratios(spark, d):
     long = pooled_samples(spark, d).select("channel", (F.col("trial") * 24 + F.col("s")).alias("s"), "x")
-    cut = g.segments(long, ["channel"], SEG, STEP).filter(F.col("segment") <= 28)
+    cut = g.segments(long, ["channel"], SEG, STEP)  # incomplete segments have no coefficients
     power = g.periodogram(cut, ["channel", "segment"], SEG, SFS, SBINS)
     mean = power.groupBy("channel").agg(F.array(*[F.avg(F.col("power")[i]) for i in range(len(SBINS))]).alias("power"))
     return mean.select(
@@ -269,7 +271,7 @@ def _ratio(a: str, refs: list[str]) -> str:
 
 _NOISE = PSMP + f""",
 cont as (select channel, trial * 24 + s as t, x from psmp),
-seg as (select channel, j as segment, t - j * {STEP} as s, x from cont, range(0, 29) r(j) where t >= j * {STEP} and t < j * {STEP} + {SEG}),
+seg as (select channel, j as segment, t - j * {STEP} as s, x from cont, (select unnest(range(0, (select (max(t) + 1 - {SEG}) // {STEP} + 1 from cont))) as j) r where t >= j * {STEP} and t < j * {STEP} + {SEG}),
 sf as (select channel, segment, regr_slope(x, s) as b, regr_intercept(x, s) as a from seg group by all),
 sc as (select channel, segment, k, sum((0.5 - 0.5 * cos(2 * pi() * s / {SEG})) * (x - a - b * s) * cos(2 * pi() * k * s / {SEG})) as re,
   sum((0.5 - 0.5 * cos(2 * pi() * s / {SEG})) * (x - a - b * s) * sin(2 * pi() * k * s / {SEG})) as im from seg join sf using (channel, segment), range(0, 25) r(k) group by all),
@@ -284,10 +286,12 @@ def _(spark, d):
 
 def channel_qc(spark, d):
     """Signal summary, noise ratios, correlation profile and flags per channel."""
+    types = event_types(spark, d)
     s = pooled_samples(spark, d).withColumn("t", F.col("trial") * 24 + F.col("s"))
     summary = s.groupBy("channel").agg(F.avg(F.col("x").isNotNull().cast("double")).alias("finite_fraction"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    cc = graph.channel_correlations(s, [], "channel", TYPES, "t", "x")
-    ring = spark.createDataFrame([(TYPES[i], TYPES[(i + k) % 5]) for i in range(5) for k in (1, 4)], "a string, b string")
+    cc = graph.channel_correlations(s, [], "channel", types, "t", "x")
+    n = len(types)
+    ring = spark.createDataFrame([(types[i], types[(i + k) % n]) for i in range(n) for k in (1, n - 1)], "a string, b string")
     profile = neighbour_profile(cc, ring).withColumnRenamed("a", "channel")
     joined = summary.join(noise_ratios(spark, d), "channel").join(profile, "channel").withColumn("median_r", F.col("median_neighbour_r"))
     return flag_channels(joined, [])
@@ -297,7 +301,7 @@ def channel_qc(spark, d):
        ctes(_NOISE) + """, sm as (select channel, sqrt(avg(x * x)) as rms from psmp group by all),
        cc as (select p.channel as a, q.channel as b, corr(p.x, q.x) as r from cont p join cont q on p.t = q.t and p.channel <> q.channel group by all),
        ty as (select channel as a, row_number() over (order by channel) - 1 as i from sm),
-       ring as (select p.a, q.a as b from ty p join ty q on (p.i + 1) % 5 = q.i or (p.i + 4) % 5 = q.i),
+       ring as (select p.a, q.a as b from ty p join ty q on (p.i + 1) % (select count(*) from ty) = q.i or (q.i + 1) % (select count(*) from ty) = p.i),
        prof as (select a as channel, count(*) as n_neighbours, quantile_cont(r, 0.5) as median_neighbour_r, arg_max(b, r) as strongest_neighbour, any_value(m) as median_global_r
          from cc join ring using (a, b) join (select a, quantile_cont(r, 0.5) as m from cc group by a) gl using (a) group by a),
        m1 as (select *, ln(rms) as log_rms, -median_neighbour_r as low_r from sm join noise using (channel) join prof using (channel)),

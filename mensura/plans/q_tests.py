@@ -203,8 +203,8 @@ def _(spark, d):
     return members.groupBy("metric", "rep", "sign", "component").agg(F.count(F.lit(1)).alias("n_channels"), F.sum(F.abs("t")).alias("cluster_mass"))
 
 
-_CG = """nodes as (select distinct l_suppkey as node from lineitem where l_quantity >= 49.5),
-pairs as (select distinct l_orderkey, l_suppkey from lineitem where l_quantity >= 49.5),
+_CG = """nodes as (select distinct l_suppkey as node from lineitem),
+pairs as (select distinct l_orderkey, l_suppkey from lineitem),
 ed as (select distinct p.l_suppkey as a, q.l_suppkey as b from pairs p join pairs q on p.l_orderkey = q.l_orderkey and p.l_suppkey <> q.l_suppkey)"""
 
 
@@ -215,7 +215,7 @@ def _(spark, d):
     # an order links its suppliers in a chain by key order: same components, no pair per group
     from mensura.operators.ordering import running
 
-    big = table(spark, d, "lineitem").filter("l_quantity >= 49.5").select("l_orderkey", F.col("l_suppkey").alias("node")).distinct()
+    big = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("node")).distinct()
     chain = running(big, ["l_orderkey"], ["node"], {"_prev": ("before", F.col("node"))}).filter("_prev is not null")
     one = chain.select(F.lit(0).alias("g"), F.col("_prev").alias("a"), F.col("node").alias("b"))
     edges = one.unionByName(one.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

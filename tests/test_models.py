@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mensura.operators import models as m
 
@@ -209,3 +210,42 @@ def test_variance_inflation_and_contrast(data):
     row, c = fit.first(), m.linear_contrasts(fit, [], {"mean": {"a": 1.0, "b": 0.5}}).first()
     w = np.array([0, 1, 0.5])
     assert c.estimate == pytest.approx(w @ row.beta) and c.std_error == pytest.approx(math.sqrt(w @ np.reshape(row.cov, (3, 3)) @ w))
+
+
+def shifted_frames(spark, amount):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b"], 60), "u": np.tile(np.arange(12), 10), "x": np.round(rng.normal(size=120), 3), "z": np.round(rng.normal(size=120), 3)})
+    pdf["y"] = 1 + 2 * pdf.x - pdf.z + np.round(rng.normal(scale=0.5, size=120), 3)
+    pdf["o"] = (pdf.x + rng.normal(size=120) > 0).astype(int)
+    return spark.createDataFrame(pdf).withColumn("x", F.col("x") * 1024 + float(amount))
+
+
+@pytest.mark.parametrize("kind", ["hc3", "cluster", "logit"])
+def test_shifted_predictors_change_nothing(spark, kind):
+    def fit(amount):
+        df = shifted_frames(spark, amount)
+        if kind == "hc3":
+            models = m.ols_hc3(df, ["g"], ["x", "z"], "y")
+        elif kind == "cluster":
+            models = m.cluster_ols(df, ["g"], "u", ["x", "z"], "y")
+        else:
+            models = m.cluster_logit(df, "u", ["x", "z"], "o").withColumn("g", F.lit("all"))
+        rows = m.coefficient_rows(models, ["g"]).filter("term <> 'Intercept'").orderBy("g", "term").collect()
+        return np.array([(r.estimate, r.std_error) for r in rows])
+
+    assert np.allclose(fit(0), fit(2**30), rtol=1e-6, atol=0)
+
+
+def test_singular_groups_return_rows(spark):
+    df = shifted_frames(spark, 0).withColumn("x", F.when(F.col("g") == "a", 7.0).otherwise(F.col("x")))
+    df = df.withColumn("twice", 2 * F.col("z"))
+    fits = {r.g: r for r in m.ols_hc3(df, ["g"], ["x", "z"], "y").collect()}
+    assert (fits["a"]["rank"], fits["b"]["rank"]) == (2, 3) and all(np.isfinite(fits["a"].beta))
+    both = m.ols_hc3(df, ["g"], ["z", "twice"], "y").collect()
+    assert all(r["rank"] == 2 for r in both)
+    alone = {r.g: r for r in m.ols_hc3(df, ["g"], ["z"], "y").collect()}
+    for r in both:
+        assert r.beta[1] + 2 * r.beta[2] == pytest.approx(alone[r.g].beta[1])
+    one = m.cluster_ols(df.filter("u = 3"), ["g"], "u", ["x", "z"], "y").collect()
+    assert len(one) == 2 and all(v is None for r in one for v in r["cov"])
+    assert {r.vif for r in m.variance_inflation(df, ["z", "twice"]).collect()} == {float("inf")}
