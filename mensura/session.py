@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,8 @@ def build_session(app: str = "mensura", master: str | None = None, **conf: str)
     """A session with adaptive execution and skew-join splitting switched on.
 
     On a cluster the master, memory and shuffle width come from spark-submit;
-    only the settings the operators rely on are fixed here.
+    only the settings the operators rely on are fixed here.  The package goes
+    to the workers, so operators run from any folder.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -20,12 +23,29 @@ def build_session(app: str = "mensura", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package as a zip file to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_mensura_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-mensura-")) / "mensura.zip"  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._mensura_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
