@@ -19,20 +19,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mensura.functions.scalar import uniform
 from mensura.functions.special import chi2_two_df_p, normal_two_sided_p
-from mensura.operators.ordering import attach, row_index
+from mensura.operators.ordering import attach, join_null_safe, row_index
 from mensura.session import cut_lineage
 
-MAX_LEVELS = 200
-
 
 # --- design -----------------------------------------------------------------------
 
 def category_levels(df: DataFrame, column: str) -> list:
-    """Sorted distinct levels; the count is checked before they reach the driver."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in found)
+    """Sorted distinct levels.  Each becomes a column of the design, so they fit on the driver whenever the design does."""
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def treatment_columns(df: DataFrame, column: str, levels: list | None = None, keep_first: bool = False) -> tuple[DataFrame, list[str]]:
@@ -90,9 +85,9 @@ def _solve_rows(df: DataFrame, keys: list[str], fields: list[T.StructField], sol
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row in pdf.itertuples(index=False):
-                head = tuple(getattr(row, k) for k in keys)
-                rows += [head + r for r in solve(row)]
+            heads = zip(*[pdf[k].tolist() for k in keys]) if keys else [()] * len(pdf)
+            for head, row in zip(heads, pdf.itertuples(index=False)):
+                rows += [tuple(head) + r for r in solve(row)]
             yield pd.DataFrame(rows, columns=names)
 
     return df.mapInPandas(run, schema)
@@ -594,6 +589,20 @@ def _fold_ridges(
     return _solve_rows(joined, [*keys, *fold_keys], _ridge_fields(), solve)
 
 
+def _stable(df: DataFrame, keys: list[str], kept: list[str], numeric: list[str], dummies: list[str], outcome: str) -> DataFrame:
+    """Numeric columns and outcome (``_y``) standardised per key, dummies as given, plus ``observed``.
+
+    Standardising on training rows afterwards undoes the shift and the scale, so
+    the fits are those of the raw columns without their loss of digits.
+    """
+    plain = [*kept, *[_q(c).cast("double").alias(c) for c in dummies], _q(outcome).cast("double").alias("observed")]
+    rows = standardised(df, keys, [*numeric, outcome], kept=plain)
+    n = len(numeric)
+    return rows.withColumns({**{c: F.col(f"_z{i}") for i, c in enumerate(numeric)}, "_y": F.col(f"_z{n}"), "_my": F.col("_mean")[n], "_sy": F.col("_scale")[n]}).drop(
+        "_mean", "_scale", *[f"_z{i}" for i in range(n + 1)]
+    )
+
+
 def leave_unit_out_ridge(
     df: DataFrame, keys: list[str], unit: str, numeric: list[str], dummies: list[str],
     models: dict[str, list[str]], outcome: str, alpha: float = 1.0,
@@ -604,13 +613,13 @@ def leave_unit_out_ridge(
     on the training rows) and ``dummies``.
     """
     columns = [*numeric, *dummies]
-    per_unit = gram(df, [*keys, unit], [*columns, outcome])
+    rows = _stable(df, keys, [unit], numeric, dummies, outcome)
+    per_unit = gram(rows, [*keys, unit], [*columns, "_y"])
     size = len(columns) + 2
     total = add_arrays(per_unit, keys, "gram", size * (size + 1) // 2)
     fits = _fold_ridges(per_unit, total, keys, [unit], columns, numeric, models, alpha)
-    rows = df.select(*keys, unit, *[_q(c) for c in columns], _q(outcome).alias("observed"))
     scored = rows.join(fits, [*keys, unit])
-    return scored.select(*keys, unit, "model", "observed", _predict(columns).alias("predicted"))
+    return scored.select(*keys, unit, "model", "observed", (F.col("_my") + F.col("_sy") * _predict(columns)).alias("predicted"))
 
 
 def _predict(columns: list[str]) -> Column:
@@ -638,209 +647,217 @@ def repeated_fold_ridge(
 ) -> DataFrame:
     """Held-out predictions of repeated k-fold ridge: one row per unit, repeat and model."""
     columns = [*numeric, *dummies]
-    folded = assign_folds(df, keys, unit, n_folds, repeats, seed)
-    per_fold = gram(folded, [*keys, "repeat", "fold"], [*columns, outcome])
-    total = gram(df, keys, [*columns, outcome])
+    rows = _stable(df, keys, [unit], numeric, dummies, outcome)
+    # folds are drawn on a narrow table and the rows copied per repeat on the way into the sums only
+    folds = cut_lineage(assign_folds(rows.select(*keys, unit).distinct(), keys, unit, n_folds, repeats, seed))
+    folded = rows.join(folds, [*keys, unit])
+    per_fold = gram(folded, [*keys, "repeat", "fold"], [*columns, "_y"])
+    total = gram(rows, keys, [*columns, "_y"])
     fits = _fold_ridges(per_fold, total, keys, ["repeat", "fold"], columns, numeric, models, alpha)
-    rows = folded.select(*keys, "repeat", "fold", unit, *[_q(c) for c in columns], _q(outcome).alias("observed"))
-    scored = rows.join(fits, [*keys, "repeat", "fold"])
-    return scored.select(*keys, "repeat", "fold", unit, "model", "n_train", "observed", _predict(columns).alias("predicted"))
+    scored = folded.join(fits, [*keys, "repeat", "fold"])
+    return scored.select(
+        *keys, "repeat", "fold", unit, "model", "n_train", "observed", (F.col("_my") + F.col("_sy") * _predict(columns)).alias("predicted"))
+
+
+def _block_product(rows: DataFrame, fits: DataFrame, work, schema: str, rows_per_block: int, fits_per_block: int) -> DataFrame:
+    """``work(rows, fits)`` for every block of rows with every block of fits, inside tasks.
+
+    Both tables must be written out.  A hold-out over units needs every row
+    against every fit; in blocks the work is matrix products, and what leaves a
+    task is one partial result per fit.
+    """
+    n_rows, n_fits = rows.count(), fits.count()
+    row_blocks, fit_blocks = max(1, -(-n_rows // rows_per_block)), max(1, -(-n_fits // fits_per_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = F.monotonically_increasing_id()
+    left = rows.withColumn("_rb", F.pmod(place, F.lit(row_blocks)).cast("int")).withColumn("_fb", every(fit_blocks))
+    right = fits.withColumn("_fb", F.pmod(place, F.lit(fit_blocks)).cast("int")).withColumn("_rb", every(row_blocks))
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return work(a, b)
+
+    return left.groupBy("_rb", "_fb").cogroup(right.groupBy("_rb", "_fb")).applyInPandas(both, schema)
+
+
+def _own(units: pd.Series, fitted: pd.Series) -> np.ndarray:
+    """Place of each row's unit among the fitted units, -1 if it is not there; any type of id."""
+    return pd.Index(fitted).get_indexer(units)
 
 
 def leave_unit_out_logistic(
     df: DataFrame, unit: str, numeric: list[str], dummies: list[str], models: dict[str, list[str]], outcome: str,
-    c: float = 1.0, iterations: int = 25, tolerance: float = 1e-8, folds_per_round: int = 512,
+    c: float = 1.0, iterations: int = 25, tolerance: float = 1e-8, folds_per_block: int = 512, rows_per_block: int = 20_000,
 ) -> DataFrame:
     """Held-out probabilities, each unit predicted by an L2 logistic fit on all others.
 
-    All folds of a round take their Newton step together: a task multiplies its
-    rows with the round's coefficient matrix (``folds_per_round`` columns at
-    most), leaves out each fold's own unit, and returns one partial sum per fold.
-    Rows are never copied per fold.  Training-fold means and SDs come from sums.
+    The fits are a table with one row per unit and model.  A Newton step
+    multiplies blocks of rows with blocks of fits, leaves out each fit's own
+    unit, adds the partial sums per fit and solves them in tasks; only the
+    largest step reaches the driver.  Training means and SDs come from sums.
     """
     columns = [*numeric, *dummies]
     p = len(columns) + 1
-    pairs = _packed(p)
-    rows = df.select(_q(unit).alias("_unit"), *[_q(x).cast("double").alias(f"_x{i}") for i, x in enumerate(columns)],
-                     _q(outcome).cast("double").alias("_y"))
-    moments = gram(rows, ["_unit"], [f"_x{i}" for i in range(p - 1)])
-    total = np.asarray(add_arrays(moments, [], "gram", p * (p + 1) // 2).first()["gram"])
-    numbered = cut_lineage(row_index(moments, [], ["_unit"], "_i"))
-    n_units = numbered.count()
-    results = []
-    for low in range(0, n_units, folds_per_round):
-        part = numbered.filter((F.col("_i") > low) & (F.col("_i") <= low + folds_per_round)).orderBy("_i").collect()
-        units = np.asarray([r["_unit"] for r in part])
-        for name, used in models.items():
-            keep = np.asarray([0] + [columns.index(x) + 1 for x in used])
-            means, scales = np.zeros((len(units), p)), np.ones((len(units), p))
-            for k, r in enumerate(part):
-                g = _square(total - np.asarray(r["gram"]), p)
-                for x in used:
-                    if x in numeric:
-                        i = columns.index(x) + 1
-                        mean = g[0, i] / g[0, 0]
-                        sd = math.sqrt(max(g[i, i] / g[0, 0] - mean * mean, 0.0))
-                        means[k, i], scales[k, i] = mean, sd if sd > 0 else 1.0
-            beta = _newton_folds(rows, units, means, scales, keep, p, c, iterations, tolerance)
-            raw = np.zeros((len(units), p))
-            raw[:, keep] = beta / scales[:, keep]
-            raw[:, 0] = beta[:, 0] - (beta[:, 1:] * means[:, keep[1:]] / scales[:, keep[1:]]).sum(axis=1)
-            results += [(int(u), name, b[0], b[1:]) for u, b in zip(units.tolist(), raw.tolist())]
-    fits = df.sparkSession.createDataFrame(results, "_unit bigint, model string, intercept double, weights array<double>")
-    scored = rows.join(fits, "_unit")
-    eta = F.col("intercept")
-    for i in range(p - 1):
-        eta = eta + F.col("weights")[i] * F.col(f"_x{i}")
-    return scored.select(F.col("_unit").alias(unit), "model", F.col("_y").alias("observed"), _sigmoid(eta).alias("predicted"))
-
-
-def _newton_folds(rows, units, means, scales, keep, p, c, iterations, tolerance) -> np.ndarray:
-    q = len(keep)
-    pairs = _packed(q)
-    first, second = (np.asarray(v) for v in zip(*pairs))
-    beta = np.zeros((len(units), q))
+    rows = _stable(df, [], [_q(unit).alias("_unit")], numeric, dummies, outcome)
+    rows = cut_lineage(rows.select("_unit", *[_q(x).alias(f"_x{i}") for i, x in enumerate(columns)], F.col("observed").alias("_y")))
     names = [f"_x{i}" for i in range(p - 1)]
-    order = np.argsort(units)
-    ranked = units[order]
-
-    def sums_for(current: np.ndarray):
-        # slopes act on (x - mean) / scale, folded into raw-scale coefficients
-        slope = current / scales[:, keep]
-        shift = current[:, 0] - (slope[:, 1:] * means[:, keep[1:]]).sum(axis=1)
-        slope[:, 0] = shift
-
-        def run(batches):
-            gradient = np.zeros((len(units), q))
-            hessian = np.zeros((len(units), len(pairs)))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])[:, keep]
-                y = pdf["_y"].to_numpy(float)
-                at = np.searchsorted(ranked, pdf["_unit"].to_numpy())
-                at = np.minimum(at, len(ranked) - 1)
-                own = np.where(ranked[at] == pdf["_unit"].to_numpy(), order[at], -1)
+    moments = gram(rows, ["_unit"], names)
+    total = np.asarray(add_arrays(moments, [], "gram", p * (p + 1) // 2).first()["gram"] or np.zeros(p * (p + 1) // 2), dtype=float)
+    kept = {name: np.asarray([0] + [columns.index(x) + 1 for x in used]) for name, used in models.items()}
+
+    def begin(row):
+        g = _square(total - np.asarray(row.gram), p)
+        out = []
+        for name, used in models.items():
+            mean, scale = np.zeros(p), np.ones(p)
+            for x in used:
+                if x in numeric and g[0, 0] > 0:
+                    i = columns.index(x) + 1
+                    mean[i] = g[0, i] / g[0, 0]
+                    sd = math.sqrt(max(g[i, i] / g[0, 0] - mean[i] ** 2, 0.0))
+                    scale[i] = sd if sd > 0 else 1.0
+            q = kept[name]
+            out.append((name, mean[q].tolist(), scale[q].tolist(), [0.0] * len(q), math.inf))
+        return out
+
+    fields = [T.StructField("model", T.StringType())] + [T.StructField(f, _DOUBLES) for f in ("mean", "scale", "beta")] + [
+        T.StructField("largest", T.DoubleType())]
+    fits = cut_lineage(_solve_rows(moments, ["_unit"], fields, begin))
+
+    def sums(data: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, part in block.groupby("model", sort=False):
+            q = kept[name]
+            first, second = (np.asarray(v) for v in zip(*_packed(len(q))))
+            beta, mean, scale = (np.stack(part[f].to_numpy()) for f in ("beta", "mean", "scale"))
+            slope = beta / scale
+            slope[:, 0] = beta[:, 0] - (slope[:, 1:] * mean[:, 1:]).sum(axis=1)
+            if len(data):
+                x = np.column_stack([np.ones(len(data)), data[names].to_numpy(float)])[:, q]
+                own = _own(data["_unit"], part["_unit"])
                 prob = 1.0 / (1.0 + np.exp(-(x @ slope.T)))
-                error, weight = y[:, None] - prob, prob * (1.0 - prob)
+                error, weight = data["_y"].to_numpy(float)[:, None] - prob, prob * (1.0 - prob)
                 mine = np.flatnonzero(own >= 0)
                 error[mine, own[mine]] = 0.0
                 weight[mine, own[mine]] = 0.0
-                gradient += error.T @ x
-                hessian += weight.T @ (x[:, first] * x[:, second])
-            yield pd.DataFrame({"f": np.arange(len(units)), "g": list(gradient), "h": list(hessian)})
-
-        partial = rows.mapInPandas(run, "f int, g array<double>, h array<double>")
-        return partial.groupBy("f").agg(
-            F.array(*[F.sum(F.col("g")[i]) for i in range(q)]).alias("g"),
-            F.array(*[F.sum(F.col("h")[k]) for k in range(len(pairs))]).alias("h"),
-        ).collect()  # at most folds_per_round rows
+                gradient, hessian = error.T @ x, weight.T @ (x[:, first] * x[:, second])
+            else:
+                gradient, hessian = np.zeros((len(part), len(q))), np.zeros((len(part), len(first)))
+            out.append(pd.DataFrame({"_unit": part["_unit"].to_numpy(), "model": name, "g": list(gradient), "h": list(hessian)}))
+        return pd.concat(out) if out else pd.DataFrame({"_unit": [], "model": [], "g": [], "h": []})
+
+    kind = rows.schema["_unit"].dataType.simpleString()
+    widest = max(len(q) for q in kept.values())
+    add_up = lambda name, n: F.filter(F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)]), lambda v: v.isNotNull()).alias(name)
+
+    def step(row):
+        mean, scale, beta = (np.asarray(v, dtype=float) for v in (row.mean, row.scale, row.beta))
+        q = len(beta)
+        # raw sums to standardised ones: z = T x with T lower triangular in the constant
+        t = np.diag(1.0 / scale)
+        t[1:, 0] = -mean[1:] / scale[1:]
+        penalty = np.full(q, 1.0 / c)
+        penalty[0] = 0.0
+        move = pseudo_inverse(t @ _square(row.h, q) @ t.T + np.diag(penalty))[0] @ (t @ np.asarray(row.g) - penalty * beta)
+        return [(mean.tolist(), scale.tolist(), (beta + move).tolist(), float(np.max(np.abs(move))))]
 
     for _ in range(iterations):
-        largest = 0.0
-        for r in sums_for(beta):
-            k = r["f"]
-            # raw-scale sums to standardised ones: z = T x with T lower triangular in the constant
-            t = np.diag(1.0 / scales[k, keep])
-            t[1:, 0] = -means[k, keep[1:]] / scales[k, keep[1:]]
-            g = t @ np.asarray(r["g"])
-            h = t @ _square(r["h"], q) @ t.T
-            penalty = np.full(q, 1.0 / c)
-            penalty[0] = 0.0
-            step = np.linalg.solve(h + np.diag(penalty), g - penalty * beta[k])
-            beta[k] = beta[k] + step
-            largest = max(largest, float(np.max(np.abs(step))))
-        if largest < tolerance:
+        partial = _block_product(rows, fits, sums, f"_unit {kind}, model string, g array<double>, h array<double>", rows_per_block, folds_per_block)
+        added = partial.groupBy("_unit", "model").agg(add_up("g", widest), add_up("h", widest * (widest + 1) // 2))
+        fits = cut_lineage(_solve_rows(attach(fits, added, ["_unit", "model"]), ["_unit", "model"], fields[1:], step))
+        if (fits.agg(F.max("largest")).first()[0] or 0.0) < tolerance:
             break
-    return beta
+    else:
+        raise RuntimeError(f"the held-out logits did not settle in {iterations} steps")
+
+    def raw(row):
+        mean, scale, beta = (np.asarray(v, dtype=float) for v in (row.mean, row.scale, row.beta))
+        weights = np.zeros(p - 1)
+        weights[kept[row.model][1:] - 1] = beta[1:] / scale[1:]
+        return [(float(beta[0] - (beta[1:] * mean[1:] / scale[1:]).sum()), weights.tolist())]
+
+    final = _solve_rows(fits, ["_unit", "model"], [T.StructField("intercept", T.DoubleType()), T.StructField("weights", _DOUBLES)], raw)
+    scored = join_null_safe(rows, final, ["_unit"])
+    return scored.select(F.col("_unit").alias(unit), "model", F.col("_y").alias("observed"), _sigmoid(_predict(names)).alias("predicted"))
 
 
 def nested_ridge(
     df: DataFrame, unit: str, numeric: list[str], dummies: list[str], models: dict[str, list[str]], outcome: str,
-    alphas=(0.1, 1.0, 10.0, 100.0), n_inner: int = 5, seed="inner", outers_per_round: int = 512,
+    alphas=(0.1, 1.0, 10.0, 100.0), n_inner: int = 5, seed="inner", outers_per_block: int = 512, rows_per_block: int = 20_000,
 ) -> DataFrame:
     """Leave-one-unit-out ridge whose penalty is chosen by inner folds on mean absolute error.
 
     One row per unit.  Inner folds are fixed by hash, so the training sums of
-    (outer unit, inner fold) are total - inner fold - outer unit.  Validation
-    errors are one matrix product per batch of rows against a round's
-    coefficients; only sums per (outer, penalty) leave a task.  Errors are
-    averaged within each inner fold and then over folds; ties keep the smaller
-    penalty.
+    (outer unit, inner fold) are total - inner fold - outer unit and every
+    system is solved in the task that holds the unit's sums.  Validation errors
+    are matrix products of blocks of rows with blocks of fits; only sums per
+    (outer, fold, penalty) leave a task.  Errors are averaged within each inner
+    fold and then over folds; ties keep the smaller penalty.
     """
     columns = [*numeric, *dummies]
-    size = len(columns) + 2
-    packed = size * (size + 1) // 2
-    base = assign_folds(
-        df.select(_q(unit).alias("_unit"), *[_q(x).cast("double").alias(f"_x{i}") for i, x in enumerate(columns)],
-                  _q(outcome).cast("double").alias("_y")),
-        [], "_unit", n_inner, 1, seed,
-    ).drop("repeat")
-    base = cut_lineage(base)
+    size, grid = len(columns) + 2, len(alphas)
     names = [f"_x{i}" for i in range(len(columns))]
-    per_unit = cut_lineage(row_index(gram(base, ["_unit", "fold"], [*names, "_y"]), [], ["_unit"], "_i"))
-    inner_rows = add_arrays(per_unit, ["fold"], "gram", packed).collect()  # n_inner rows
-    inner = {r["fold"]: np.asarray(r["gram"]) for r in inner_rows}
-    total = sum(inner.values())
+    stable = _stable(df, [], [_q(unit).alias("_unit")], numeric, dummies, outcome)
+    base = cut_lineage(assign_folds(
+        stable.select("_unit", *[_q(x).alias(f"_x{i}") for i, x in enumerate(columns)], "_y", "observed", "_my", "_sy"), [], "_unit", n_inner, 1, seed,
+    ).drop("repeat"))
+    per_unit = cut_lineage(gram(base, ["_unit", "fold"], [*names, "_y"]))
+    inner = {r["fold"]: np.asarray(r["gram"]) for r in add_arrays(per_unit, ["fold"], "gram", size * (size + 1) // 2).collect()}  # n_inner rows
+    total = sum(inner.values()) if inner else np.zeros(size * (size + 1) // 2)
+    inner_folds = sorted(inner)
     place = {x: i + 1 for i, x in enumerate(columns)}
-    n_units = per_unit.count()
-    results = []
-    for low in range(0, n_units, outers_per_round):
-        part = per_unit.filter((F.col("_i") > low) & (F.col("_i") <= low + outers_per_round)).orderBy("_i").collect()
-        units = np.asarray([r["_unit"] for r in part])
+
+    def solve(row):
+        own = np.asarray(row.gram)
+        out = []
         for name, used in models.items():
             f = [place[x] for x in used]
             standard = [place[x] for x in used if x in numeric]
-            w = np.zeros((len(part), len(inner), len(alphas), size - 1))
-            final = []
-            for k, r in enumerate(part):
-                own = np.asarray(r["gram"])
-                for i, g in inner.items():
-                    train = total - g - (0.0 if r["fold"] == i else own)
-                    for j, (_, b0, b) in enumerate(_ridge(_square(train, size), standard, f, size - 1, alphas)):
-                        w[k, i, j, 0] = b0
-                        w[k, i, j, f] = b
-                final.append(_ridge(_square(total - own, size), standard, f, size - 1, alphas))
-            errors = _inner_errors(base, names, units, w)
-            for k, r in enumerate(part):
-                best = int(np.argmin(errors[k]))
-                a, b0, b = final[k][best]
-                full = np.zeros(len(columns))
-                full[[i - 1 for i in f]] = b
-                results.append((int(units[k]), name, a, b0, full.tolist()))
-    fits = df.sparkSession.createDataFrame(results, "_unit bigint, model string, alpha double, intercept double, weights array<double>")
-    eta = F.col("intercept")
-    for i, x in enumerate(names):
-        eta = eta + F.col("weights")[i] * F.col(x)
-    return base.join(fits, "_unit").select(F.col("_unit").alias(unit), "model", "alpha", F.col("_y").alias("observed"), eta.alias("predicted"))
-
-
-def _inner_errors(base: DataFrame, names: list[str], units: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Mean over inner folds of the mean absolute validation error, per (outer, alpha)."""
-    outers, folds, grid, _ = w.shape
-
-    def run(batches):
-        sums = np.zeros((folds, outers, grid))
-        counts = np.zeros((folds, outers))
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-            y, own, fold = pdf["_y"].to_numpy(float), pdf["_unit"].to_numpy(), pdf["fold"].to_numpy()
-            for i in range(folds):
-                pick = fold == i
-                if pick.any():
-                    miss = np.abs(y[pick][:, None, None] - np.tensordot(x[pick], w[:, i], axes=([1], [2])))
-                    other = own[pick][:, None] != units[None, :]
-                    sums[i] += (miss * other[:, :, None]).sum(axis=0)
-                    counts[i] += other.sum(axis=0)
-        for i in range(folds):
-            yield pd.DataFrame({"i": np.full(outers, i, dtype="int32"), "k": np.arange(outers, dtype="int32"), "c": counts[i], "e": list(sums[i])})
-
-    partial = base.mapInPandas(run, "i int, k int, c double, e array<double>")
-    rows = partial.groupBy("i", "k").agg(F.sum("c").alias("c"), F.array(*[F.sum(F.col("e")[j]) for j in range(grid)]).alias("e")).collect()
-    out = np.zeros((outers, grid))
-    for r in rows:
-        out[r["k"]] += np.asarray(r["e"]) / r["c"] / folds
-    return out
+
+            def weights(packed: np.ndarray) -> np.ndarray:
+                w = np.zeros((grid, size - 1))
+                for j, (_, b0, b) in enumerate(_ridge(_square(packed, size), standard, f, size - 1, alphas)):
+                    w[j, 0] = b0
+                    w[j, f] = b
+                return w
+
+            trained = [weights(total - inner[i] - (0.0 if row.fold == i else own)) for i in inner_folds]
+            out.append((name, np.stack(trained).ravel().tolist(), weights(total - own).ravel().tolist()))
+        return out
+
+    fields = [T.StructField("model", T.StringType()), T.StructField("inner", _DOUBLES), T.StructField("final", _DOUBLES)]
+    fits = cut_lineage(_solve_rows(per_unit, ["_unit", "fold"], fields, solve).drop("fold"))
+
+    def errors(data: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, part in block.groupby("model", sort=False):
+            w = np.stack(part["inner"].to_numpy()).reshape(len(part), len(inner_folds), grid, size - 1)
+            own = _own(data["_unit"], part["_unit"]) if len(data) else np.zeros(0, dtype=int)
+            for k, i in enumerate(inner_folds):
+                pick = (data["fold"] == i).to_numpy() if len(data) else np.zeros(0, dtype=bool)
+                x = np.column_stack([np.ones(pick.sum()), data.loc[pick, names].to_numpy(float)])
+                miss = np.abs(data.loc[pick, "_y"].to_numpy(float)[:, None, None] - np.tensordot(x, w[:, k], axes=([1], [2])))
+                other = own[pick][:, None] != np.arange(len(part))[None, :]
+                out.append(pd.DataFrame({
+                    "_unit": part["_unit"].to_numpy(), "model": name, "i": np.int32(i), "c": other.sum(axis=0).astype(float),
+                    "e": list((miss * other[:, :, None]).sum(axis=0)),
+                }))
+        return pd.concat(out) if out else pd.DataFrame({"_unit": [], "model": [], "i": [], "c": [], "e": []})
+
+    kind = base.schema["_unit"].dataType.simpleString()
+    partial = _block_product(
+        base.select("_unit", "fold", *names, "_y"), fits, errors, f"_unit {kind}, model string, i int, c double, e array<double>", rows_per_block, outers_per_block)
+    per_fold = partial.groupBy("_unit", "model", "i").agg(F.sum("c").alias("c"), *[F.sum(F.col("e")[j]).alias(f"e{j}") for j in range(grid)])
+    mean_error = per_fold.groupBy("_unit", "model").agg(F.array(*[F.avg(F.col(f"e{j}") / F.col("c")) for j in range(grid)]).alias("error"))
+
+    def choose(row):
+        best = int(np.nanargmin(np.asarray(row.error, dtype=float)))
+        w = np.asarray(row.final).reshape(grid, size - 1)[best]
+        return [(float(alphas[best]), float(w[0]), w[1:].tolist())]
+
+    chosen = _solve_rows(attach(fits, mean_error, ["_unit", "model"]), ["_unit", "model"], [
+        T.StructField("alpha", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("weights", _DOUBLES)], choose)
+    return join_null_safe(base, chosen, ["_unit"]).select(
+        F.col("_unit").alias(unit), "model", "alpha", "observed", (F.col("_my") + F.col("_sy") * _predict(names)).alias("predicted"))
 
 
 def train_only_scaling(df: DataFrame, fold: str, column: str, folds: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def test_leave_unit_out_ridge(data):
 
 def test_leave_unit_out_logistic(data):
     pdf, df = data
-    out = m.leave_unit_out_logistic(df, "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "z", folds_per_round=6).toPandas()
+    out = m.leave_unit_out_logistic(df, "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "z", folds_per_block=6, rows_per_block=90).toPandas()
     for u in (2, 11):
         train, test = pdf[pdf.unit != u], pdf[pdf.unit == u]
         mean, sd = train[["a", "b"]].mean(), train[["a", "b"]].std(ddof=0)
@@ -164,7 +164,7 @@ def test_nested_ridge(data, spark):
     small = pdf.head(40)
     df = spark.createDataFrame(small)
     alphas = (0.1, 1.0, 10.0, 100.0)
-    out = m.nested_ridge(df, "row", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y", outers_per_round=17).toPandas().set_index("row")
+    out = m.nested_ridge(df, "row", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y", outers_per_block=17, rows_per_block=15).toPandas().set_index("row")
     fold = m.assign_folds(df, [], "row", 5, 1, "inner").toPandas().set_index("row").fold
     for held in (0, 13, 39):
         train = small[small.row != held]
@@ -249,3 +249,17 @@ def test_singular_groups_return_rows(spark):
     one = m.cluster_ols(df.filter("u = 3"), ["g"], "u", ["x", "z"], "y").collect()
     assert len(one) == 2 and all(v is None for r in one for v in r["cov"])
     assert {r.vif for r in m.variance_inflation(df, ["z", "twice"]).collect()} == {float("inf")}
+
+
+def test_held_out_models_take_text_units_and_shifted_columns(data, spark):
+    pdf, _ = data
+    named = pdf.assign(unit="s" + pdf.unit.astype(str), row="r" + pdf.row.astype(str), a=pdf.a + 1e9)
+    df = spark.createDataFrame(named)
+    plain = m.leave_unit_out_logistic(spark.createDataFrame(pdf), "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "z").toPandas()
+    text = m.leave_unit_out_logistic(df, "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "z").toPandas()
+    assert np.allclose(np.sort(plain.predicted), np.sort(text.predicted), atol=1e-5)
+    ridge = m.leave_unit_out_ridge(df, [], "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y").toPandas()
+    want = m.leave_unit_out_ridge(spark.createDataFrame(pdf), [], "unit", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y").toPandas()
+    assert np.allclose(np.sort(ridge.predicted), np.sort(want.predicted), atol=1e-5)
+    nested = m.nested_ridge(df.limit(30), "row", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y").toPandas()
+    assert len(nested) == 30 and nested.row.str.startswith("r").all()
