@@ -16,7 +16,7 @@ from mensura.plans.bindings import (
 )
 from mensura.plans.q_aggregates import LOSS, behaviour, losses, subject_features
 from mensura.plans.registry import query, table
-from mensura.plans.sqltext import average_rank, ctes, normal_p, sign, t_critical, t_p, uniform
+from mensura.plans.sqltext import average_rank, ctes, normal_p, sign, sign_bits, signed, t_critical, t_p, uniform
 from mensura.session import cut_lineage
 
 METRICS = ["accuracy", "median_correct_rt_ms", "inverse_efficiency_ms"]
@@ -160,21 +160,24 @@ def _(spark, d):
     return r.bootstrap_split_half(cut_lineage(half_values(spark, d)), ["condition"], "unit", "odd", "even", 20261206, 100)
 
 
+#: replicates as the protocol states them
+FLIPS, REPS = 100_000, 10_000
 _FLIP = f"""ob as (select metric, count(*) as n, avg(difference) as observed from src group by metric),
-nu0 as (select metric, rep, avg(difference * {sign('20261105', 'rep', 'unit')}) as m from src, range(0, 500) t(rep) group by all)"""
+{sign_bits('20261105', 'src', FLIPS)},
+nu0 as (select metric, b * 32 + j as rep, avg({signed('difference')}) as m from src join bits using (unit), range(0, 32) t(j) where b * 32 + j < {FLIPS} group by all)"""
 
 
 @query("i9_sign_flip_test", "metric n:i observed:6 null_q025:6 null_q500:6 null_q975:6 p_value:6",
        ctes(EV, TR, BEH, BEHLONG, "src as (select metric, unit, difference from behdiff where difference is not null)", _FLIP)
-       + """select metric, any_value(n) as n, any_value(observed) as observed, quantile_cont(m, 0.025) as null_q025, quantile_cont(m, 0.5) as null_q500, quantile_cont(m, 0.975) as null_q975,
-       (1 + sum((abs(m) >= abs(observed))::int)) / 501.0 as p_value from nu0 join ob using (metric) group by metric""")
+       + f"""select metric, any_value(n) as n, any_value(observed) as observed, quantile_cont(m, 0.025) as null_q025, quantile_cont(m, 0.5) as null_q500, quantile_cont(m, 0.975) as null_q975,
+       (1 + sum((abs(m) >= abs(observed))::int)) / {FLIPS + 1}.0 as p_value from nu0 join ob using (metric) group by metric""")
 def _(spark, d):
-    return r.sign_flip_test(behaviour_differences(spark, d), ["metric"], "unit", "difference", 20261105, 500)
+    return r.sign_flip_test(behaviour_differences(spark, d), ["metric"], "unit", "difference", 20261105, FLIPS)
 
 
-REPS = 200
-_SF = f"""flip as (select metric, channel, -1 as rep, unit, difference as v, difference as raw from cd
-  union all select metric, channel, rep, unit, difference * {sign('20261103', 'rep', 'unit')}, difference from cd, range(0, {REPS}) q(rep)),
+_SF = f"""{sign_bits('20261103', 'cd', REPS)},
+flip as (select metric, channel, -1 as rep, unit, difference as v, difference as raw from cd
+  union all select metric, channel, b * 32 + j, unit, {signed('difference')}, difference from cd join bits using (unit), range(0, 32) q(j) where b * 32 + j < {REPS}),
 tv as (select metric, channel, rep, count(*) as n, avg(v) / (stddev_samp(v) / sqrt(count(*))) as t from flip group by all)"""
 
 

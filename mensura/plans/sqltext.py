@@ -90,6 +90,16 @@ def sign(seed: str, rep: str, unit: str) -> str:
     return f"(case when (({bits} >> ({rep} % 32)) & 1) = 1 then 1.0 else -1.0 end)"
 
 
+def sign_bits(seed: str, source: str, replicates: int) -> str:
+    """CTE ``bits``: one hash for the signs of 32 replicates of a unit; ``signed`` reads them."""
+    return f"""bits as (select unit, b, cast('0x' || substr(md5(concat_ws('|', '{seed}', b, unit)), 1, 8) as bigint) as h
+  from (select distinct unit from {source}), range(0, {-(-replicates // 32)}) r(b))"""
+
+
+def signed(value: str) -> str:
+    return f"(case when (h >> j) & 1 = 1 then {value} else -{value} end)"
+
+
 def average_rank(value: str, partition: str = "") -> str:
     by = f"partition by {partition} " if partition else ""
     same = f"partition by {partition + ', ' if partition else ''}{value}"
