@@ -52,21 +52,13 @@ def rollup_runs(
 
 def trial_summary(trials: DataFrame, keys: list[str], rt: str, plausible: str, valid: str) -> DataFrame:
     """Counts, median time and flag fractions per cell; null keys form their own cells."""
-    filled = trials
-    for k in keys:
-        filled = filled.withColumn(f"_null_{k}", F.col(k).isNull()).withColumn(k, F.coalesce(F.col(k), F.lit("")))
-    cells = [*keys, *[f"_null_{k}" for k in keys]]
-    base = filled.groupBy(*cells).agg(
+    base = trials.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.avg(F.col(plausible).cast("double")).alias("plausible_fraction"),
         F.avg(F.col(valid).cast("double")).alias("valid_fraction"),
     )
-    medians = median_table(filled.filter(F.col(rt).isNotNull()), cells, rt, "median_rt")
-    out = base.join(medians, cells, "left")
-    return out.select(
-        *[F.when(~F.col(f"_null_{k}"), F.col(k)).alias(k) for k in keys],
-        "n_trials", "median_rt", "plausible_fraction", "valid_fraction",
-    )
+    medians = median_table(trials.filter(F.col(rt).isNotNull()), keys, rt, "median_rt")
+    return attach(base, medians, keys, "left").select(*keys, "n_trials", "median_rt", "plausible_fraction", "valid_fraction")
 
 
 def code_counts(events: DataFrame, code: str, allowed: list) -> DataFrame:

@@ -119,15 +119,21 @@ def response_windows(assigned: DataFrame, time: str, windows: list[float], keys:
 def compare_tables(
     archived: DataFrame, reproduced: DataFrame, keys: list[str], rtol: float = 1e-10, atol: float = 1e-12
 ) -> DataFrame:
-    """Cells that differ beyond ``max(atol, rtol * max(|a|, |b|))``; null equals null."""
+    """Cells that differ beyond ``max(atol, rtol * max(|a|, |b|))``; null equals null.
+
+    A key on one side only is one row with field ``(row)`` and ``present`` on
+    its side.  Tables with different columns are refused.
+    """
+    if set(archived.columns) != set(reproduced.columns):
+        raise ValueError(f"columns on one side only: {sorted(set(archived.columns) ^ set(reproduced.columns))}")
     values = [c for c in archived.columns if c not in keys]
     numeric = {c for c, t in archived.dtypes if t in ("double", "float", "int", "bigint", "smallint")}
-
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*keys, F.struct(*values).alias(side))
-
-    both = packed(archived, "a").join(packed(reproduced, "b"), keys, "full_outer")
-    cells = []
+    side = lambda df, name: df.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.struct(F.lit(True).alias("_there"), *values).alias(name))
+    same_key = reduce(lambda x, y: x & y, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    both = side(archived, "a").join(side(reproduced, "b"), same_key, "full_outer")
+    in_both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    where = lambda name: F.when(F.col(name).isNotNull(), "present")
+    cells = [F.when(~in_both, F.struct(F.lit("(row)").alias("field"), where("a").alias("archived"), where("b").alias("reproduced")))]
     for c in values:
         a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
         if c in numeric:
@@ -136,7 +142,6 @@ def compare_tables(
         else:
             close = a == b
         same = F.when(a.isNull() & b.isNull(), F.lit(True)).otherwise(F.coalesce(close, F.lit(False)))
-        cells.append(F.when(~same, F.struct(F.lit(c).alias("field"), a.cast("string").alias("archived"), b.cast("string").alias("reproduced"))))
-    return (
-        both.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("cell")).select(*keys, "cell.*")
-    )
+        cells.append(F.when(in_both & ~same, F.struct(F.lit(c).alias("field"), a.cast("string").alias("archived"), b.cast("string").alias("reproduced"))))
+    named = [F.when(F.col("a").isNotNull(), F.col(f"_a_{k}")).otherwise(F.col(f"_b_{k}")).alias(k) for k in keys]
+    return both.select(*named, F.explode(F.array_compact(F.array(*cells))).alias("cell")).select(*keys, "cell.*")

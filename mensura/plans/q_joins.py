@@ -152,14 +152,14 @@ def _(spark, d):
 
 
 @query("j12_response_windows", "unit:i window_s:2 n_responses:i n_assigned:i n_unassigned:i n_stimuli_answered:i",
-       ctes(EV, LOG) + """, r as (select *, last_value(case when code & 255 in (11, 12) then sample end ignore nulls)
+       ctes(EV, LOG) + """, r as (select *, last_value(case when code & 255 in (31, 32) then sample end ignore nulls)
            over (partition by unit order by sample, event_id rows between unbounded preceding and 1 preceding) as st from elog),
-       w as (select r.*, v.w, coalesce(sample - st <= v.w, false) as hit from r, (values (3600.0), (14400.0), (43200.0)) v(w) where code & 255 >= 50)
+       w as (select r.*, v.w, coalesce(sample - st <= v.w, false) as hit from r, (values (3600.0), (14400.0), (43200.0)) v(w) where code & 255 >= 70)
        select unit, w as window_s, count(*) as n_responses, sum(hit::int) as n_assigned, sum((not hit)::int) as n_unassigned,
          count(distinct case when hit then st end) as n_stimuli_answered from w group by all""")
 def _(spark, d):
     log = event_log(spark, d).withColumn("code", F.col("code").bitwiseAND(255))
-    assigned = joins.latest_stimulus(log, ["unit"], ["sample", "event_id"], "sample", F.col("code").isin(11, 12), F.col("code") >= 50)
+    assigned = joins.latest_stimulus(log, ["unit"], ["sample", "event_id"], "sample", F.col("code").isin(31, 32), F.col("code") >= 70)
     return joins.response_windows(assigned, "sample", [3600.0, 14400.0, 43200.0], ["unit"])
 
 

@@ -106,7 +106,7 @@ def _(spark, d):
     from mensura.operators.aggregates import held_out_loss
 
     loss = cut_lineage(held_out_loss(rows, ["dataset", "outcome", "unit", "model"], ["accuracy"]))
-    audit = r.loss_audit(loss, ["dataset", "outcome"], "unit", 20261105, 200)
+    audit = r.loss_audit(loss, ["dataset", "outcome"], "unit", 20261105, 10_000)
     linear = m.calibration_hc3(unit_means(rows.filter("outcome <> 'accuracy'"), ["dataset", "outcome", "model"]), ["dataset", "outcome", "model"])
     linear = linear.select("dataset", "outcome", "model", "slope", "slope_se", F.lit("hc3_on_unit_means").alias("method"))
     binary = []

@@ -16,7 +16,7 @@ from mensura.plans.bindings import (
 )
 from mensura.plans.q_aggregates import LOSS, behaviour, losses, subject_features
 from mensura.plans.registry import query, table
-from mensura.plans.sqltext import average_rank, ctes, normal_p, sign, sign_bits, signed, t_critical, t_p, uniform
+from mensura.plans.sqltext import average_rank, ctes, normal_p, sign_bits, signed, t_critical, t_p, uniform
 from mensura.session import cut_lineage
 
 METRICS = ["accuracy", "median_correct_rt_ms", "inverse_efficiency_ms"]
@@ -294,18 +294,19 @@ def _(spark, d):
 
 AUDIT = f"""inc as (select dataset, outcome, unit, max(case when model = 'base' then loss end) as base, max(case when model = 'extended' then loss end) as ext from loss group by all),
 de as (select *, ext - base as delta from inc),
-nul as (select dataset, outcome, rep, avg(delta * {sign('20261105', 'rep', 'unit')}) as m from de, range(0, 200) q(rep) group by all),
+{sign_bits('20261105', 'de', REPS)},
+nul as (select dataset, outcome, b * 32 + j as rep, avg({signed('delta')}) as m from de join bits using (unit), range(0, 32) q(j) where b * 32 + j < {REPS} group by all),
 oo as (select dataset, outcome, count(*) as n, avg(base) as mean_base, avg(ext) as mean_extended, avg(delta) as observed, quantile_cont(delta, 0.5) as median_delta,
   quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25) as iqr_delta, avg((delta < 0)::int) as fraction_improved,
   (sum(delta) - max(delta)) / (count(*) - 1) as loo_min, (sum(delta) - min(delta)) / (count(*) - 1) as loo_max from de group by all),
 audit as (select oo.*, nn.* exclude (dataset, outcome) from oo join (select nul.dataset, nul.outcome, quantile_cont(m, 0.025) as null_q025, quantile_cont(m, 0.5) as null_q500, quantile_cont(m, 0.975) as null_q975,
-  (1 + sum((abs(m) >= abs(observed))::int)) / 201.0 as p_value from nul join oo on oo.dataset = nul.dataset and oo.outcome = nul.outcome group by all) nn on nn.dataset = oo.dataset and nn.outcome = oo.outcome)"""
+  (1 + sum((abs(m) >= abs(observed))::int)) / {REPS + 1}.0 as p_value from nul join oo on oo.dataset = nul.dataset and oo.outcome = nul.outcome group by all) nn on nn.dataset = oo.dataset and nn.outcome = oo.outcome)"""
 
 
 @query("i17_loss_audit", "dataset outcome n:i mean_base:6 mean_extended:6 observed:6 null_q025:6 null_q500:6 null_q975:6 p_value:6 median_delta:6 iqr_delta:6 fraction_improved:6 loo_min:6 loo_max:6",
        ctes(PR, LOSS, AUDIT) + "select * from audit")
 def _(spark, d):
-    return r.loss_audit(cut_lineage(losses(spark, d)), ["dataset", "outcome"], "unit", 20261105, 200)
+    return r.loss_audit(cut_lineage(losses(spark, d)), ["dataset", "outcome"], "unit", 20261105, REPS)
 
 
 @query("i18_behaviour_reliability", "measure n:i rho:6 spearman_brown:6",

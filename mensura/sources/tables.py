@@ -44,14 +44,22 @@ def read_unit_tables(
 def unit_table_violations(
     tables: DataFrame, unit: str, condition: str, conditions: list[str], expected: DataFrame
 ) -> DataFrame:
-    """Files whose unit id or condition set is wrong, and expected units without a file."""
-    want = F.array_sort(F.array(*[F.lit(c) for c in conditions]))
+    """Files whose unit id or condition set is wrong, and expected units without a file.
+
+    A null id is a wrong id, and so is a file without any; a null condition is
+    none of the expected.
+    """
+    known = F.col(condition).isin(conditions)
     per_file = tables.groupBy("file_unit").agg(
-        F.min(F.col(unit).cast("string")).alias("_lo"), F.max(F.col(unit).cast("string")).alias("_hi"),
-        F.array_sort(F.collect_set(condition)).alias("_conditions"),
+        F.min(F.coalesce(F.col(unit).cast("string") == F.col("file_unit"), F.lit(False))).alias("_own"),
+        F.min(F.coalesce(known, F.lit(False))).alias("_known"),
+        *[F.max(F.coalesce(F.col(condition) == F.lit(c), F.lit(False))).alias(f"_has{i}") for i, c in enumerate(conditions)],
     )
-    wrong_id = per_file.filter((F.col("_lo") != F.col("file_unit")) | (F.col("_hi") != F.col("file_unit")))
-    wrong_set = per_file.filter(F.col("_conditions") != want)
+    wrong_id = per_file.filter(~F.col("_own"))
+    complete = F.col("_known")
+    for i in range(len(conditions)):
+        complete = complete & F.col(f"_has{i}")
+    wrong_set = per_file.filter(~complete)
     missing = expected.select(F.col(unit).cast("string").alias("file_unit")).join(per_file, "file_unit", "left_anti")
     row = lambda d, rule: d.select("file_unit", F.lit(rule).alias("rule"))
     return row(wrong_id, "unit_mismatch").unionByName(row(wrong_set, "condition_mismatch")).unionByName(row(missing, "missing"))

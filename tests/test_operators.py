@@ -46,7 +46,7 @@ def test_null_group_keys_are_kept_in_trial_summary(spark):
 
 def test_forbidden_labels_and_empty_band():
     assert guards.forbidden_labels(["mean_ITPC", "n"], ["itpc", "snr"]) == ["itpc"]
-    with pytest.raises(ValueError, match="no bins"):
+    with pytest.raises(ValueError, match="none of the frequencies"):
         g.band_mean("power", [0.0, 1.0], 5.0, 6.0)
     with pytest.raises(ValueError):
         g.trim(None, 5, 3)
@@ -119,3 +119,35 @@ def test_windows_join_is_half_open(spark):
     windows = spark.createDataFrame([("r", 3, 7), ("r", 5, 18)], "rec string, lo bigint, hi bigint")
     out = joins.windows_join(samples, windows, ["rec"], "s", "lo", "hi", 5).groupBy("lo").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("s").alias("n"))
     assert sorted(map(tuple, out.collect())) == [(3, 3, 6, 4), (5, 5, 17, 13)]
+
+
+def test_compare_tables_reports_lone_rows_and_columns(spark):
+    from mensura.operators import joins
+
+    a = spark.createDataFrame([(1, None), (2, 2.0), (None, 3.0)], "k int, v double")
+    b = spark.createDataFrame([(2, 2.5), (None, 3.0), (4, None)], "k int, v double")
+    got = sorted(map(tuple, joins.compare_tables(a, b, ["k"]).collect()))
+    assert got == [(1, "(row)", "present", None), (2, "v", "2.0", "2.5"), (4, "(row)", None, "present")]
+    with pytest.raises(ValueError, match="one side only"):
+        joins.compare_tables(a, b.withColumn("w", F.lit(1)), ["k"])
+
+
+def test_null_keys_and_ids(spark):
+    from mensura.operators import aggregates
+    from mensura.sources import tables
+
+    t = spark.createDataFrame([(1, 100.0, True, True), (None, 200.0, True, False), (None, 400.0, False, False)], "k int, rt double, p boolean, v boolean")
+    assert {r.k: (r.n_trials, r.median_rt) for r in aggregates.trial_summary(t, ["k"], "rt", "p", "v").collect()} == {1: (1, 100.0), None: (2, 300.0)}
+    files = spark.createDataFrame([("1", 1, "A"), ("1", 1, "B"), ("2", None, "A"), ("2", None, "B"), ("3", 3, "A"), ("3", 3, None)], "file_unit string, unit int, c string")
+    want = spark.createDataFrame([(1,), (2,), (3,), (9,)], "unit int")
+    found = sorted(map(tuple, tables.unit_table_violations(files, "unit", "c", ["A", "B"], want).collect()))
+    assert found == [("2", "unit_mismatch"), ("3", "condition_mismatch"), ("9", "missing")]
+
+
+def test_artifacts_with_nan_are_not_rejected(spark):
+    from mensura.operators import signal
+
+    rows = [(1, i, True, 10.0 + i % 3, 5.0 + i % 2) for i in range(12)] + [(1, 99, True, float("nan"), float("nan"))]
+    epochs = spark.createDataFrame(rows, "unit int, trial int, within_bounds boolean, median_ptp double, roi_ptp double")
+    out = {r.trial: r.rejection_reason for r in signal.epoch_artifacts(epochs, ["unit"]).collect()}
+    assert out[99] == "" and set(out.values()) == {""}
