@@ -124,9 +124,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression by Newton steps with a small ridge."""
+    """Weighted logistic regression by Newton steps; the ridge only keeps separable samples finite."""
     z = np.column_stack([np.ones(len(x)), x])
-    beta, ridge = np.zeros(3), np.diag([1e-6, 1e-3, 1e-3]) * len(x)
+    beta, ridge = np.zeros(3), np.diag([1e-9, 1e-6, 1e-6]) * len(x)
     for _ in range(100):
         p = _logistic(z @ beta)
         step = np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) + ridge, z.T @ (w * (y - p)) - ridge @ beta)
