@@ -190,10 +190,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 rows.append([found[i] for i in at])
             yield pa.array(rows, type=pa.list_(pa.binary()))
 
-    known = docs.filter(
-        F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held_out)
-    ).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    chosen = sample_per(known, "lang", F.struct(F.xxhash64("id", "text"), "id", "text"), SAMPLE_DOCS)
+    teaches = F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held_out)
+    rows = docs.filter(teaches).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
+        return Network([])
+    # a draw below the language's share leaves about eight times the sample for the exact choice
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 8 * SAMPLE_DOCS / n) * (1 << 30)))])
+    few = rows.filter(F.col("text").isNotNull() & (draw < share[F.col("lang")]))
+    chosen = sample_per(few, "lang", F.struct(draw, "id", "text"), SAMPLE_DOCS)
     runs: dict[str, list[bytes]] = {}
     for row in chosen.select("lang", spread(F.col("text")).alias("runs")).collect():
         runs.setdefault(row["lang"], []).extend(bytes(x) for x in row["runs"])

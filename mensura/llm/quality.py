@@ -148,10 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         share = next(iter(counts), 0.5)
         return QualityModel(b"", b"", (float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)), 0.0, 0.0))
-    order = F.struct(F.xxhash64("id", F.lit(1)), "id")
-    chosen = F.broadcast(sample_per(known, "label", order, SAMPLE))  # two labels: 2 * SAMPLE rows at most
+    # a draw below the label's share leaves about four times the sample for the exact choice
+    draw = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for q, n in sorted(counts.items()) for x in (q, int(min(1.0, 4 * SAMPLE / n) * (1 << 30)))])
+    few = known.filter(draw < share[F.col("label")])
+    chosen = F.broadcast(sample_per(few, "label", F.struct(draw, "id"), SAMPLE))  # two labels: 2 * SAMPLE rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    texts = sample_per(texts, "label", F.struct(F.xxhash64("id", F.lit(1)), "id", "text"), SAMPLE)
+    texts = sample_per(texts, "label", F.struct(draw, "id", "text"), SAMPLE)
     teaches = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2)) == 0
     cut = texts.filter(teaches).select("label", _excerpts(F.col("text")).alias("cut")).collect()
     good, bad = (_dictionary([bytes(x) for r in cut if r["label"] == q for x in r["cut"]]) for q in (1, 0))
