@@ -76,8 +76,9 @@ def _counted(stored: DataFrame) -> DataFrame:
                     counts.update(words)
                     counts[lbl.END] += 1
                 else:
-                    for word in set(words).difference(counts):
-                        counts[word] = 0
+                    for word in words:
+                        if word not in counts:
+                            counts[word] = 0
         if counts:
             yield rows(current, counts)
 
