@@ -19,7 +19,7 @@ import numpy as np
 
 SHORTLIST, ENDINGS, WIDTH = 640, 383, 16
 #: noise classes shared by the tokens of a batch
-NOISE, BATCH, RATE = 48, 2048, 0.07
+NOISE, BATCH, RATE = 48, 2048, 0.05
 END = b""  # no word is empty
 
 
@@ -118,8 +118,9 @@ def gradient(p: Parameters, h1: np.ndarray, h2: np.ndarray, w: np.ndarray, noise
     predicted = r1 @ p.C1 + r2 @ p.C2
     true, false = _sides(p, predicted, w, noise, log_k_noise)
     n = np.float32(1 / len(w))
-    miss = -n / (1 + np.exp(np.clip(true, -30, 30)))  # (sigmoid(true) - 1) / tokens
-    wrong = n / (1 + np.exp(np.clip(-false, -30, 30)))
+    with np.errstate(over="ignore"):  # an infinite exponential gives the limit 0
+        miss = -n / (1 + np.exp(true))  # (sigmoid(true) - 1) / tokens
+        wrong = n / (1 + np.exp(-false))
     g = Parameters(len(p.b))
     down = miss[:, None] * p.Q[w] + wrong @ p.Q[noise]
     g.Q[:] = _sums(len(p.b), w, miss[:, None] * predicted)
