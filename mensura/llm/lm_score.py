@@ -9,10 +9,9 @@
 3. The log-bilinear model (``lbl``) learns from every training token: in each of
    ``ROUNDS`` rounds all tasks start from the same parameters, pass over their
    own texts with noise-contrastive estimation, and their parameters are
-   averaged by tokens in two steps.  In a large corpus the first round only
-   warms up, on every eighth text, so that the averaged models start alike; the
-   last round reads all.  Only the frequent words, the totals of the
-   ending classes and the averaged parameters reach the driver, all of fixed size.
+   averaged by tokens in two steps.  Every round reads all training texts, at
+   every size.  Only the frequent words, the totals of the ending classes and
+   the averaged parameters reach the driver, all of fixed size.
 4. Blocks meet their dictionaries and are scored with normalised probabilities.
 
 Tokens are words between ASCII white space in lower case (A-Z), then one end.
@@ -36,8 +35,8 @@ from mensura.llm.common import byte_batches, fold, raw_texts, written
 
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
-#: rounds of training; all but the last read every ``WARM_SHARE``-th text of a corpus of over ``WARM_TOKENS`` tokens
-ROUNDS, WARM_SHARE, WARM_TOKENS = 2, 8, 10_000_000
+#: rounds of training, each over all training texts
+ROUNDS = 2
 PARTIALS = 32
 MEMO_WORDS = 300_000
 
@@ -128,7 +127,7 @@ def vocabulary(words: DataFrame) -> tuple[lbl.Vocabulary, int, int]:
     return made, int(total), int(types)
 
 
-def train(stored: DataFrame, vocab: lbl.Vocabulary, tokens: int, rounds: int = ROUNDS) -> lbl.Parameters:
+def train(stored: DataFrame, vocab: lbl.Vocabulary, rounds: int = ROUNDS) -> lbl.Parameters:
     noise = lbl.noise_distribution(vocab)
     params = lbl.Parameters.new(noise)
     texts = stored.filter("trains").select("text", "at")
@@ -152,9 +151,7 @@ def train(stored: DataFrame, vocab: lbl.Vocabulary, tokens: int, rounds: int = R
             if trainer:
                 yield _partial([(trainer.p.flat.astype(np.float64), float(trainer.tokens))])
 
-        warming = turn < rounds - 1 and tokens > WARM_TOKENS
-        chosen = texts.filter(F.pmod(F.xxhash64("at"), F.lit(WARM_SHARE)) == 0) if warming else texts
-        parts = chosen.mapInArrow(learn, "flat array<double>, weight double").repartition(PARTIALS)
+        parts = texts.mapInArrow(learn, "flat array<double>, weight double").repartition(PARTIALS)
         sums = parts.mapInArrow(_combine, "flat array<double>, weight double").collect()
         flat = lbl.averaged((np.array(r["flat"]), r["weight"]) for r in sums)
         params = params if flat is None else lbl.Parameters(vocab.classes, flat)
@@ -190,7 +187,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     stored = _stored(docs, id_col, text_col, folds, held_out)
     words = dictionaries(stored)
     vocab, total, types = vocabulary(words)
-    params = train(stored, vocab, total, rounds)
+    params = train(stored, vocab, rounds)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:

@@ -97,3 +97,23 @@ def test_edges(spark):
     assert lm_score.lm_scores(docs.filter("false")).collect() == []
     only = docs.filter(F.expr("crc32(cast(doc_id as string)) % 5 = 1"))
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in lm_score.lm_scores(only).collect())
+
+
+def test_every_round_reads_every_training_token_of_a_large_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(400)], "doc_id long, text string")
+    vocabulary, averaged, seen = lm_score.vocabulary, lbl.averaged, []
+
+    def large(words):
+        vocab, _, types = vocabulary(words)
+        return vocab, 1 << 40, types
+
+    def counting(parts):
+        parts = list(parts)
+        seen.append(sum(w for _, w in parts))
+        return averaged(parts)
+
+    monkeypatch.setattr(lm_score, "vocabulary", large)
+    monkeypatch.setattr(lbl, "averaged", counting)
+    lm_score.lm_scores(docs)
+    trains = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(400))
+    assert seen == [5 * trains] * lm_score.ROUNDS
