@@ -35,8 +35,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or null, have no language; documents that mix languages stay."""
+    """Texts without a letter, or null, have no language; documents that mix languages stay.
+
+    If no row teaches a language there is no model, and the texts with a letter stay.
+    """
     net = language.fit(docs)
+    if not net.languages:
+        return _filtered(docs, language.has_letter(F.col("text")), lambda lettered: lettered)
     return _filtered(docs, language.identify(F.col("text"), net), lambda found: found["lang_pred"] != "und")
 
 

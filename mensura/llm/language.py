@@ -247,6 +247,18 @@ def _has_letter(text: bytes) -> bool:
     return re.search(rb"[A-Za-z]", text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether each whole text has a letter; null has none."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            data, offsets = raw_texts(column)
+            yield pa.array([_has_letter(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], type=pa.bool_())
+
+    return run(text)
+
+
 def identify(text: Column, net: Network) -> Column:
     """Struct of ``lang_pred`` and ``score`` for every whole text."""
 

@@ -52,3 +52,14 @@ def test_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), SF).collect() == []
         assert stage(spark, docs, SF).count() <= 7
+
+
+def test_unlabelled_corpus_keeps_texts_with_a_letter(spark):
+    texts = ["a b c", "12 %", None, "", "\u4e2d\u6587", "d e f", "\u2014 7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5]
+    # the only labelled row is held out of the training
+    held = docs.withColumn("lang", F.when(F.expr("doc_id = 5"), "en"))
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, held, SF).collect()) == [0, 4, 5]
