@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, language, lm_score, quality, sharding, simhash, token_counts, topk, warc
+from mensura.llm import bpe_codec, decontaminate, filter_audit, language, lexical, lm_score, quality, sharding, simhash, token_counts, topk, warc
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -108,6 +108,69 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as part from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+f as (
+  select doc_id, part, cast(len(ws) < 200 as int) + 2 * cast(100 * len(list_distinct(ws)) < 50 * len(ws) as int)
+    + 4 * cast(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) as int)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as int)
+    + 16 * cast(coalesce(doc_id > min(doc_id) over (partition by t), false) as int) as mask from w),
+l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from f left join l using (doc_id) group by part, mask),
+s as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+orders as (
+  select s1.c || s2.c || s3.c || s4.c || s5.c as filter_order, [s1.b, s2.b, s3.b, s4.b, s5.b] as bits
+  from s s1, s s2, s s3, s s4, s s5 where s1.b + s2.b + s3.b + s4.b + s5.b = 31
+    and len(list_distinct([s1.b, s2.b, s3.b, s4.b, s5.b])) = 5),
+steps as (
+  select filter_order, k as step, bits[k] as bit, coalesce(list_sum(bits[1 : k - 1]), 0) as earlier
+  from (select *, unnest([1, 2, 3, 4, 5]) as k from orders)),
+r as (
+  select part, filter_order, step, bit,
+    sum(case when mask & (earlier + bit) = 0 then n else 0 end) as kept,
+    sum(case when mask & bit > 0 and mask & earlier = 0 then n else 0 end) as removed,
+    sum(case when mask & bit > 0 and mask & earlier > 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & bit > 0 and mask & earlier = 0 then good else 0 end) as good_lost,
+    sum(case when mask & bit > 0 and mask & earlier = 0 then toxic else 0 end) as toxic_lost
+  from cells, (select filter_order, step, bit, cast(earlier as int) as earlier from steps) group by part, filter_order, step, bit)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+item_terms as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+total as (select cast(count(*) as bigint) as n_docs, cast(sum(len(w)) as bigint) as n_terms from words where len(w) > 0),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words)
+  where term in (select term from item_terms) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as weight
+  from tf, total group by term, n_docs),
+m as (select doc_id, 50 + (50 * len(w) * n_docs) // n_terms as m from words, total where len(w) > 0),
+parts as (select doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * m)) as part from tf join weights using (term) join m using (doc_id)),
+scored as (select item_id, doc_id, cast(sum(part) as bigint) as score from item_terms join parts using (term) group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scored where score > 0)
+select item_id, cast(place as integer) as rank, doc_id, score from ranked where place <= 50
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -119,10 +182,14 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op6_topk": OP6_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
