@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mensura.llm import bpe_codec, decontaminate, filter_audit, language, lexical, lm_score, quality, sharding, simhash, token_counts, topk, warc
+from mensura.llm import bpe_codec, decontaminate, filter_audit, jaccard, language, lexical, lm_score, quality, sharding, simhash, token_counts, topk, warc
 from mensura.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -108,6 +108,35 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encoded_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_texts(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with words as (
+  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) end) as s
+  from words where len(w) > 0),
+grams as (select doc_id, len(s) as n, hash(g) as g from (select doc_id, s, unnest(s) as g from sets)),
+ranked as (select doc_id, n, g, row_number() over (partition by doc_id order by df, g) as place
+  from grams join (select g, count(*) as df from grams group by g) using (g)),
+prefixes as (select doc_id, n, g from ranked where place <= n - cast(ceil(0.85 * n) as bigint) + 1),
+pairs as (select distinct a.doc_id as a, b.doc_id as b from prefixes a join prefixes b using (g)
+  where a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+links as (
+  select a, b from pairs join grams x on x.doc_id = a join grams y on y.doc_id = b and x.g = y.g
+  group by a, b, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+edges as (select a, b from links union all select b, a from links),
+reach(id, other) using key (id, other) as (
+  select doc_id, doc_id from documents union select r.id, e.b from reach r join edges e on r.other = e.a)
+select d.doc_id, cast(coalesce(len(s), 0) as bigint) as n_shingles, c.component_id
+from documents d left join sets using (doc_id) join (select id, min(other) as component_id from reach group by id) c on c.id = d.doc_id
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -182,6 +211,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_filter_audit": op12_filter_audit,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -190,6 +220,7 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op6_topk": OP6_SQL,
+    "op11_jaccard_join": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
 }
