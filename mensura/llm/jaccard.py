@@ -13,9 +13,10 @@ components of all links.
    ``slack`` fragments and meet under such a segment.  A set leaves out its
    weak segments (empty or of frequent shingles only) as long as they are at
    most ``slack``; if more than ``slack`` are empty, it is cut once more in another order.
-3. Sets that share a segment form a cell.  Cells propose pairs whose sizes and
-   bitmaps allow a link: in the first rounds the nearest and the leading partner
-   of each member in another class, in the last all that are still in different
+3. Sets that share a segment form a cell; cells of the same members are one.
+   Cells propose pairs whose sizes and bitmaps allow a link: small cells all of
+   them, larger ones in the first rounds the nearest and the leading partner of
+   each member in another class, in the last all that are still in different
    classes.  A group of near copies thus costs a few pairs per member, and no
    link between classes is lost.  Cells above ``CELL`` rows are dealt to pairs of parts.
 4. Pairs are verified vertically: the sets of cells are cut into ``FRAGMENTS``
@@ -37,22 +38,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mensura.llm.common import byte_batches, raw_texts, written
 from mensura.llm.token_counts import sections
 from mensura.operators.graph import connected_components
 
 SHINGLE, PERCENT = 4, 85
-#: log2 of the buckets of the frequency sketch; a bucket is frequent above twice the mean plus FLOOR
-SKETCH_BITS, FLOOR = 18, 64
+#: log2 of the buckets of the frequency sketch; a bucket is frequent this many standard deviations above the mean, plus FLOOR
+SKETCH_BITS, DEVIATIONS, FLOOR = 18, 4, 16
 BITMAP_BITS = 512
 FRAGMENTS = 8
 #: rounds that propose nearest and leading partners only
 NEAR_ROUNDS = 2
 CELL, CHUNK_ROWS, BLOCK = 2048, 100_000, 256
+#: cells up to this size are compared side by side and whole in the first round; runs up to RUN_ROWS are named by their members
+SMALL, RUN_ROWS = 6, 100_000
 BATCH_BYTES, OUT_ROWS = 4 << 20, 200_000
-#: log2 of the bits of the filter of sets that are in cells; where it is full, more sets are cut than needed
+#: log2 of the bits of the filter of the texts whose sets are needed; where it is full, more are cut than needed
 FILTER_BITS = 23
 PARTIALS = 8
 #: memory bounds per worker
@@ -216,7 +219,8 @@ def frequent_buckets(marked: DataFrame) -> np.ndarray:
     parts = marked.filter("sketch is not null").select("sketch").mapInArrow(_summed, "sketch binary")
     held = parts.repartition(PARTIALS).mapInArrow(_summed, "sketch binary").collect()
     counts = sum((np.frombuffer(r["sketch"], dtype=np.int64) for r in held), np.zeros(1 << SKETCH_BITS, dtype=np.int64))
-    return counts > 2 * counts.mean() + FLOOR
+    mean = counts.mean()
+    return counts > mean + DEVIATIONS * np.sqrt(mean) + FLOOR
 
 
 def cells(docs: DataFrame, text_col: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -244,40 +248,68 @@ def cells(docs: DataFrame, text_col: str, width: int, percent: int, frequent: np
                     )
 
     signed = docs.select(text_col).mapInArrow(sign, "sig bigint, key bigint")
+    met = signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "cell bigint, key bigint")
+    return met.distinct()
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of runs with two keys; a run may go on over any number of batches, of which one row is held."""
-        last: tuple[int, int, bool] | None = None  # signature and key of the last row, and whether it went out
-        for batch in batches:
-            sig, key = (batch.column(i).to_numpy() for i in (0, 1))
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one signature with several keys, named by their members, so that equal cells fall together.
+
+    At most ``RUN_ROWS`` and a batch are held; a longer run goes out row by row under its signature.
+    """
+    sig, key = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    long = None  # the signature of a run that is going out row by row
+    cells = lambda cell, members: pa.RecordBatch.from_arrays([pa.array(cell), pa.array(members)], names=["cell", "key"])
+    for batch in batches:
+        sig, key = (np.concatenate([held, batch.column(i).to_numpy()]) for i, held in enumerate((sig, key)))
+        if not len(sig):
+            continue
+        if long is not None:
+            going = int(np.searchsorted(sig, long, side="right"))
+            if going:
+                yield cells(sig[:going], key[:going])
+            sig, key = sig[going:], key[going:]
             if not len(sig):
                 continue
-            if last is not None:
-                sig, key = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], key])
-            other = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-            out = last is not None and last[2]
-            sig, key = sig[other], key[other]
-            same = sig[1:] == sig[:-1]
-            many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            sent = many.copy()
-            sent[0] &= not out
-            last = int(sig[-1]), int(key[-1]), bool(many[-1]) or (out and len(sig) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[sent]), pa.array(key[sent])], names=["sig", "key"])
-
-    return signed.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(shared, "sig bigint, key bigint")
+            long = None
+        last = int(np.searchsorted(sig, sig[-1], side="left"))
+        yield cells(*_named(sig[:last], key[:last]))
+        sig, key = sig[last:], key[last:]
+        if len(sig) > RUN_ROWS and key[0] != key[-1]:
+            long = sig[-1]
+            yield cells(sig, key)
+            sig, key = sig[:0], key[:0]
+        elif len(sig) > RUN_ROWS:  # one key alone so far
+            sig, key = sig[:1], key[:1]
+    yield cells(*_named(sig, key))
+
+
+def _named(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and key of each different row whose signature has several keys."""
+    if not len(sig):
+        return sig, key
+    other = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+    sig, key = sig[other], key[other]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    members = np.add.reduceat(mixed(key.view(np.uint64), 3), starts)
+    return np.repeat(mixed(members).view(np.int64), sizes)[np.repeat(sizes > 1, sizes)], key[np.repeat(sizes > 1, sizes)]
 
 
 def proposals(members: DataFrame, percent: int, every: bool, cell: int = CELL) -> DataFrame:
-    """Pairs ``a`` < ``b`` of ``members`` (``sig``, ``key``, ``n``, ``bits``, ``component``) that may link across classes."""
-    open_ = members.groupBy("sig").agg(
+    """Pairs ``a`` < ``b`` of ``members`` (``cell``, ``key``, ``n``, ``bits``, ``component``) that may link across classes.
+
+    Of cells up to ``SMALL`` rows these are all; of larger ones all only if ``every``.
+    """
+    open_ = members.groupBy("cell").agg(
         F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("sig", F.ceil(F.col("rows") / cell).cast("int").alias("parts"))
+    ).filter("low < high").select("cell", F.ceil(F.col("rows") / cell).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     with_each = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("u"), F.greatest(part, j).alias("v"))
     )
-    dealt = members.join(open_, "sig").select("sig", "key", "n", "component", "bits", F.explode(with_each).alias("c"))
-    met = dealt.select("sig", "c.u", "c.v", "key", "n", "component", "bits").repartition("sig", "u", "v").sortWithinPartitions("sig", "u", "v", "key")
+    dealt = members.join(open_, "cell").select("cell", "key", "n", "component", "bits", F.explode(with_each).alias("c"))
+    met = dealt.select("cell", "c.u", "c.v", "key", "n", "component", "bits").repartition("cell", "u", "v").sortWithinPartitions("cell", "u", "v", "key")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -298,7 +330,7 @@ def proposals(members: DataFrame, percent: int, every: bool, cell: int = CELL) -
 
 
 def _starts(rows: pa.Table) -> np.ndarray:
-    keys = [rows.column(c).to_numpy() for c in ("sig", "u", "v")]
+    keys = [rows.column(c).to_numpy() for c in ("cell", "u", "v")]
     change = np.zeros(rows.num_rows, dtype=bool)
     change[:1] = True
     for k in keys:
@@ -313,19 +345,35 @@ def _pairs(rows: pa.Table, percent: int, every: bool) -> Iterator[pa.RecordBatch
     key, n, component = (rows.column(c).to_numpy() for c in ("key", "n", "component"))
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
     edges = np.append(_starts(rows), rows.num_rows)
-    found: list[np.ndarray] = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        if b - a > 1:
-            i, j = allowed_pairs(n[a:b], component[a:b], bits[a:b], percent, every)
-            if len(i):
-                i, j = key[a:b][i], key[a:b][j]
-                found.append(np.column_stack([np.minimum(i, j), np.maximum(i, j)]))
+    sizes = np.diff(edges)
+    i, j = small_pairs(n, component, bits, np.repeat(sizes, sizes), np.repeat(edges[1:], sizes), percent)
+    found = [np.column_stack([key[i], key[j]])]
+    for a, b in zip(edges[:-1][sizes > SMALL], edges[1:][sizes > SMALL]):
+        i, j = allowed_pairs(n[a:b], component[a:b], bits[a:b], percent, every)
+        found.append(np.column_stack([key[a:b][i], key[a:b][j]]))
+    found = [np.sort(f, axis=1) for f in found if len(f)]
     if found:
         pairs = np.unique(np.concatenate(found), axis=0)
         for i in range(0, len(pairs), OUT_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + OUT_ROWS, c].copy()) for c in (0, 1)], names=["a", "b"])
 
 
+def small_pairs(n: np.ndarray, component: np.ndarray, bits: np.ndarray, size: np.ndarray, end: np.ndarray, percent: int
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that ``allowed_pairs`` finds in cells up to ``SMALL`` rows, side by side; ``size`` and ``end`` are those of each row's cell."""
+    left, right = [], []
+    at = np.flatnonzero((size > 1) & (size <= SMALL))
+    for lag in range(1, SMALL):
+        at = at[at + lag < end[at]]
+        gap = np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
+        ok = (component[at] != component[at + lag]) & (100 * low >= percent * high)
+        ok &= gap * (100 + percent) <= (100 - percent) * (low + high)
+        left.append(at[ok])
+        right.append(at[ok] + lag)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def allowed_pairs(n: np.ndarray, component: np.ndarray, bits: np.ndarray, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of different classes whose sizes and bitmaps allow a link: all, or the leading and the nearest of each row."""
     left, right = [], []
@@ -348,29 +396,40 @@ def allowed_pairs(n: np.ndarray, component: np.ndarray, bits: np.ndarray, percen
     return np.concatenate(left), np.concatenate(right)
 
 
-def in_cells(met: DataFrame) -> np.ndarray:
-    """Bit set of fixed size that holds every key of the cells."""
-    word = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS - 6)).cast("int")
-    rows = met.select(word.alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 58) as int))").alias("bit"))
-    held = rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+def _tag(id_: Column) -> Column:
+    return F.xxhash64(F.coalesce(id_.cast("string"), F.lit("")))
+
+
+def id_filter(chosen: DataFrame) -> np.ndarray:
+    """Bit set of fixed size that holds the ids ``own`` of the sets to be cut."""
+    tag = _tag(F.col("own"))
+    word, bit = F.pmod(tag, F.lit(1 << FILTER_BITS - 6)).cast("int"), F.shiftrightunsigned(tag, 58).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    held = chosen.select(word.alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
     out[held["w"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
 
-def segments(docs: DataFrame, text_col: str, width: int, wanted: np.ndarray) -> DataFrame:
-    """``key``, ``fragment``, ``seg``: the sets that may be in a cell, cut vertically."""
+def segments(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: np.ndarray) -> DataFrame:
+    """``key``, ``fragment``, ``seg``: sets of the texts whose id may be wanted, cut vertically.
+
+    A set may come several times, from texts that share it.
+    """
     edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], dtype=np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(width), set()
         for batch in batches:
-            for _, _, texts in _texts(batch.column(0)):
+            tags = batch.column(0).to_numpy().view(np.uint64)
+            held = wanted[tags % np.uint64(len(wanted))] >> (tags >> np.uint64(58)) & np.uint64(1)
+            chosen = batch.column(1).take(pa.array(np.flatnonzero(held)))
+            for _, _, texts in _texts(chosen):
                 keys, parts = [], []
                 for text in texts:
                     shingles = shingler.of(text)
                     key = _key(shingles)
-                    if key not in seen and int(wanted[key % len(wanted)]) >> (key >> 58) & 1:
+                    if key not in seen:
                         seen.add(key)
                         keys.append(key)
                         parts += np.split(shingles, np.searchsorted(shingles, edges))
@@ -383,15 +442,16 @@ def segments(docs: DataFrame, text_col: str, width: int, wanted: np.ndarray) ->
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64))),
                     ], names=["key", "fragment", "seg"])
 
-    return docs.select(text_col).mapInArrow(cut, "key bigint, fragment int, seg array<bigint>")
+    return docs.select(_tag(F.col(id_col)), text_col).mapInArrow(cut, "key bigint, fragment int, seg array<bigint>")
 
 
 def verified(pairs: DataFrame, segs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs that link: overlaps are counted per fragment and summed per pair."""
     left = segs.select(F.col("key").alias("a"), "fragment", F.col("seg").alias("one"))
     right = segs.select(F.col("key").alias("b"), "fragment", F.col("seg").alias("two"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", F.size(F.array_intersect("one", "two")).cast("bigint").alias("overlap")
+    # the maximum drops what a set that comes several times repeats
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).groupBy("a", "b", "fragment").agg(
+        F.max(F.size(F.array_intersect("one", "two"))).cast("bigint").alias("overlap")
     )
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     both = summed.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(
@@ -400,24 +460,30 @@ def verified(pairs: DataFrame, segs: DataFrame, sizes: DataFrame, percent: int)
     return both.filter(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
-def set_components(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, text_col: str, width: int, percent: int,
+def set_components(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, id_col: str, text_col: str, width: int, percent: int,
                    near_rounds: int = NEAR_ROUNDS, cell: int = CELL) -> DataFrame:
-    """``key``, ``component`` of the sets that link with another; ``sets`` has ``key``, ``n``, ``bits``."""
+    """``key``, ``component`` of the sets that link with another; ``sets`` has ``key``, ``n``, ``bits``, ``own``."""
     met = written(cells(docs, text_col, width, percent, frequent), "cells")
-    members = sets.join(met.select("key").distinct(), "key", "left_semi")
-    segs = written(segments(docs, text_col, width, in_cells(met)).dropDuplicates(["key", "fragment"]), "segments")
-    labels = members.select("key", F.col("key").alias("component"))
-    links = tried = None
+    sizes = met.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > SMALL).select("cell")
+    large = written(met.join(sizes, "cell"), "large")
+    members = written(sets.join(met.select("key").distinct(), "key", "left_semi").withColumn("component", F.col("key")), "members")
+    segs = labels = links = tried = None
     for turn in range(near_rounds + 1):
-        rows = met.join(members.join(labels, "key"), "key")
+        known = members if labels is None else members.drop("component").join(labels, "key")
+        rows = (met if turn == 0 else large).join(known.drop("own"), "key")
         pairs = proposals(rows, percent, turn == near_rounds, cell)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(pairs, segs, members, percent), "links")
+        if segs is None:  # of all sets that are, or may yet be, in a pair
+            chosen = pairs.select("a").union(pairs.select("b")).union(large.select("key")).toDF("key").distinct()
+            segs = written(segments(docs, id_col, text_col, width, id_filter(members.join(chosen, "key", "left_semi"))), "segments")
+        found = written(verified(pairs, segs, members.select("key", "n"), percent), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         edges = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         linked = edges.select(F.col("a").alias("key")).distinct()
         joined = connected_components(linked, edges, [], "key")
+        if large.isEmpty():
+            break
         labels = members.select("key").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
     return joined
 
@@ -433,7 +499,7 @@ def linked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ), "distinct")
     if not sets.filter("clash").isEmpty():
         raise RuntimeError("two different shingle sets have one digest")
-    joined = set_components(docs, sets.select("key", "n", "bits"), frequent, text_col, width, percent, near_rounds, cell)
+    joined = set_components(docs, sets.select("key", "n", "bits", "own"), frequent, id_col, text_col, width, percent, near_rounds, cell)
     named = sets.select("key", "own").join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("own").alias("component_id"))
     of_set = named.select("key", "component").join(names, "component").select("key", "component_id")

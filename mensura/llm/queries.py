@@ -113,7 +113,7 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = r"""
-with words as (
+with recursive words as (
   select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 sets as (
@@ -130,7 +130,7 @@ links as (
   select a, b from pairs join grams x on x.doc_id = a join grams y on y.doc_id = b and x.g = y.g
   group by a, b, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
 edges as (select a, b from links union all select b, a from links),
-reach(id, other) using key (id, other) as (
+reach(id, other) as (
   select doc_id, doc_id from documents union select r.id, e.b from reach r join edges e on r.other = e.a)
 select d.doc_id, cast(coalesce(len(s), 0) as bigint) as n_shingles, c.component_id
 from documents d left join sets using (doc_id) join (select id, min(other) as component_id from reach group by id) c on c.id = d.doc_id

@@ -124,3 +124,24 @@ def test_bitmaps_bound_the_differences():
         y = np.unique(np.concatenate([x[draw.random(len(x)) < 0.9], draw.integers(0, 1 << 63, 20, dtype=np.uint64)]))
         gap = (int.from_bytes(jaccard.bitmap(x)) ^ int.from_bytes(jaccard.bitmap(y))).bit_count()
         assert gap <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+@pytest.mark.parametrize("run_rows", [100_000, 5])
+@pytest.mark.parametrize("batch", [1, 3, 50])
+def test_cells_of_sorted_rows(monkeypatch, run_rows, batch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "RUN_ROWS", run_rows)
+    draw = random.Random(batch)
+    runs = [sorted(draw.choices(range(30), k=draw.choice([1, 1, 2, 3, 9, 25]))) for _ in range(40)] + [[4] * 20, [1, 2], [1, 2]]
+    rows = [(s * 10, k) for s, run in enumerate(runs) for k in run]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + batch]], pa.int64()) for c in (0, 1)], names=["sig", "key"])
+               for i in range(0, len(rows), batch)]
+    cells = {}
+    for out in jaccard._shared(iter(batches)):
+        for cell, key in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            cells.setdefault(cell, set()).add(key)
+    want = {frozenset(r) for r in runs if len(set(r)) > 1}
+    assert {frozenset(c) for c in cells.values()} == want
+    if run_rows > 100:
+        assert len(cells) == len(want)
