@@ -21,6 +21,7 @@ influence; an empty table stays empty.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,24 +36,29 @@ BATCH_BYTES = 2 << 20
 #: log2 of the mean chunk length in bytes
 CHUNK_BITS = 8
 #: memory bounds per worker; what is forgotten is encoded again
-MEMO_PIECES, MEMO_CHUNK_BYTES = 300_000, 24 << 20
+MEMO_PIECES, MEMO_CHUNK_BYTES = 500_000, 24 << 20
 
 _STATE: dict[str, "Codec"] = {}
 
 
+_BYTE_HASHES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+#: first bytes of characters before which a capital letter makes a section whole (see ``tokenizer``)
+_MARKS = re.compile(rb"[\xcc\xcd\xd2\xe1\xe2\xe3\xef\xf0]")
+
+
+def _whole(section: bytes) -> bool:
+    """``needs_whole``, looked for only where one of its bytes occurs."""
+    return (b"<|" in section or _MARKS.search(section) is not None) and needs_whole(section)
+
+
 def chunk_ends(data: bytes, bits: int = CHUNK_BITS) -> np.ndarray:
     """End offsets of content-defined chunks: where the hash of the last 16 bytes has ``bits`` leading zeros."""
-    values = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-    rolled = (values + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    rolled ^= rolled >> np.uint64(29)
-    factor = np.uint64(0xD6E8FEB86659FD93)
-    with np.errstate(over="ignore"):
-        for width in (1, 2, 4, 8):
-            shifted = np.zeros_like(rolled)
-            shifted[width:] = rolled[:-width]
-            rolled = rolled + factor * shifted
-            factor = factor * factor
-    return np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + 1
+    rolled = _BYTE_HASHES[np.frombuffer(data, dtype=np.uint8)]
+    factor = 0x6659FD93
+    for width in (1, 2, 4, 8):
+        rolled[width:] += rolled[:-width] * np.uint32(factor)
+        factor = factor * factor & 0xFFFFFFFF
+    return np.flatnonzero(rolled < np.uint32(1 << 32 - bits)) + 1
 
 
 class Codec:
@@ -77,15 +83,18 @@ class Codec:
         return [(np.asarray(i, dtype="<u4").tobytes(), d.encode()) for i, d in zip(ids, decoded)]
 
     def _words(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
-        split = [(w, PIECE.findall(w)) for w in words]
-        new = list({p for _, pieces in split for p in pieces}.difference(self.pieces))
+        """The memo, with all ``words`` in it; a word of ASCII letters is a piece by itself."""
+        memo = self.pieces
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
+        split = [(w, PIECE.findall(w)) for w in words.difference(memo) if not w.isalpha()]
+        new = {w for w in words.difference(memo) if w.isalpha()}
+        new = list(new.union(*[p for _, p in split]).difference(memo))
         sizes = np.concatenate([[0], np.cumsum([len(p) for p in new], dtype=np.int64)])
         for a, b in byte_batches(sizes, ENCODE_BYTES):
-            self.pieces.update(zip(new[a:b], self._library([p.decode("utf-8", "replace") for p in new[a:b]])))
-        get = self.pieces.__getitem__
-        return {w: get(p[0]) if len(p) == 1 else _joined([get(q) for q in p]) for w, p in split}
+            memo.update(zip(new[a:b], self._library([p.decode("utf-8", "replace") for p in new[a:b]])))
+        memo.update([(w, _joined([memo[q] for q in p])) for w, p in split if len(p) > 1])
+        return memo
 
     def batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded UTF-8) of each text."""
@@ -95,7 +104,7 @@ class Codec:
         for text in texts:
             plan: list = []
             for section in sections(text):
-                if needs_whole(section):
+                if _whole(section):
                     plan.append(section)
                     continue
                 section = section.lower()
