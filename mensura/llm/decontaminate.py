@@ -10,9 +10,10 @@ once through wavelet ranks, every occurrence is located by walking to the next
 sampled position, and the found word ranges merge into removal spans.
 
 A phrase is a window of ``window`` words of an item; an item of fewer words,
-but not none, is one phrase.  Benchmarks are handed to the tasks in blocks of
-at most ``BENCHMARK_BYTES`` text, one search after the other, so what is
-broadcast at once has a bound for a benchmark of any size.
+but not none, is one phrase.  Benchmarks are searched in blocks of about
+``BENCHMARK_BYTES`` text, one after the other, and rows with hits are written
+between them, so what the driver and the tasks hold at once has a bound for a
+benchmark of any size (a single longer item is a block by itself).
 
 Null and empty texts have no words and are never contaminated.  Items without
 words and null items have no phrase; an item whose id is null marks words but
@@ -24,14 +25,15 @@ nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mensura.llm.common import byte_batches, raw_texts
+from mensura.llm.common import byte_batches, fresh, raw_texts, shared_folder, written
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
@@ -40,7 +42,8 @@ BENCHMARK_BYTES = 4 << 20
 
 #: ASCII digits and small letters, and every character beyond ASCII
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-FOUND = "struct<n_words:bigint,spans:array<struct<first:int,last:int,from_byte:bigint,to_byte:bigint>>,items:array<string>>"
+SPANS = "array<struct<first:int,last:int,from_byte:bigint,to_byte:bigint>>"
+FOUND = f"struct<n_words:bigint,spans:{SPANS},items:array<string>>"
 
 
 @dataclass
@@ -203,16 +206,16 @@ def _with_bytes(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b - 1, "from_byte": words[a][0], "to_byte": words[b - 1][1]} for a, b in ranges]
 
 
-def _merged(text: bytes, one: list[dict], two: list[dict]) -> list[dict]:
-    if not one or not two:
-        return one or two
-    ranges: list[list[int]] = []
-    for a, b in sorted((s["first"], s["last"] + 1) for s in one + two):
-        if ranges and a <= ranges[-1][1]:
-            ranges[-1][1] = max(ranges[-1][1], b)
+def _merged(spans: list[dict]) -> list[dict]:
+    """Ranges of several searches of one text as one; neighbours and overlaps join."""
+    out: list[dict] = []
+    for span in sorted(spans, key=lambda s: (s["first"], s["last"])):
+        if out and span["first"] <= out[-1]["last"] + 1:
+            if span["last"] > out[-1]["last"]:
+                out[-1] = {**out[-1], "last": span["last"], "to_byte": span["to_byte"]}
         else:
-            ranges.append([a, b])
-    return _with_bytes(text, [(a, b) for a, b in ranges])
+            out.append(span)
+    return out
 
 
 def _searched(wanted: Phrases):
@@ -236,48 +239,68 @@ def _packed(rows: list[tuple[int, list[dict], list[str]]]) -> pa.Array:
     )
 
 
-def hits(text: Column, blocks: list[Phrases]) -> Column:
+def hits(text: Column, wanted: Phrases) -> Column:
     """Struct of ``n_words``, merged ``spans`` (words first to last, bytes from and to) and sorted ``items``."""
 
     @F.arrow_udf(FOUND)
-    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shards = _searched(blocks[0] if blocks else Phrases({}, []))
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shards = _searched(wanted)
         for column in batches:
             yield _packed(list(shards(column)))
 
-    def further(wanted: Phrases):
-        @F.arrow_udf(FOUND)
-        def also(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            shards = _searched(wanted)
-            for column, earlier in batches:
-                data, offsets = raw_texts(column)
-                rows = []
-                for i, ((n, spans, items), old) in enumerate(zip(shards(column), earlier.to_pylist())):
-                    whole = data[offsets[i] : offsets[i + 1]]
-                    rows.append((n, _merged(whole, old["spans"], spans), sorted({*old["items"], *items})))
-                yield _packed(rows)
-
-        return also
-
-    found = first(text)
-    for block in blocks[1:]:
-        found = further(block)(text, found)
-    return found
+    return search(text)
+
+
+def _joined(spans: Column) -> Column:
+    @F.arrow_udf(SPANS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fields = [("first", pa.int32()), ("last", pa.int32()), ("from_byte", pa.int64()), ("to_byte", pa.int64())]
+        for column in batches:
+            yield pa.array([_merged(held) for held in column.to_pylist()], pa.list_(pa.struct(fields)))
+
+    return run(spans)
 
 
 def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
-                  limit: int = BENCHMARK_BYTES) -> list[Phrases]:
-    """The benchmark's phrases in blocks of about ``limit`` bytes of text."""
+                  limit: int = BENCHMARK_BYTES) -> Iterator[Phrases]:
+    """The benchmark's phrases in blocks of about ``limit`` bytes of text, fetched one at a time."""
     items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // limit))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [phrases(sorted(map(tuple, items.filter(block == k).collect()), key=str), window) for k in range(parts)]
-
-
-def contamination(docs: DataFrame, blocks: list[Phrases], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for k in range(parts):
+        yield phrases(sorted(map(tuple, items.filter(block == k).collect()), key=str), window)
+
+
+def with_hits(docs: DataFrame, blocks: Iterable[Phrases], name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the struct of ``hits`` for all ``blocks`` in the column ``name``.
+
+    A benchmark of one block is one pass.  More are searched one after the other:
+    each block's rows with hits are written before the next block is fetched,
+    so neither the driver nor a task ever holds two, and rows meet by shuffle.
+    """
+    blocks = iter(blocks)
+    first = next(blocks, Phrases({}, []))
+    second = next(blocks, None)
+    if second is None:
+        return docs.withColumn(name, hits(F.col(text_col), first))
+    at = fresh(docs, "at")
+    held = written(docs.withColumn(at, F.monotonically_increasing_id()), "documents", compression="zstd")
+    folder = shared_folder(docs.sparkSession, "hits")
+    for k, block in enumerate(chain([first, second], blocks)):
+        found = held.select(F.col(at).alias("at"), hits(F.col(text_col), block).alias("f")).select("at", "f.*")
+        (found if k == 0 else found.filter(F.size("spans") > 0)).write.parquet(f"{folder}/block={k}")
+    every = docs.sparkSession.read.parquet(folder)
+    met = every.groupBy("at").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ).select(F.col("at").alias(at), F.struct("n_words", _joined(F.col("spans")).alias("spans"), "items").alias(name))
+    return held.join(met, at).select(*docs.columns, name)
+
+
+def contamination(docs: DataFrame, blocks: Iterable[Phrases], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``spans`` of every row."""
-    found = docs.select(F.col(id_col), hits(F.col(text_col), blocks).alias("_found"))
+    found = with_hits(docs.select(F.col(id_col), F.col(text_col)), blocks, "_found", text_col)
     out = found.select(
         id_col, F.col("_found.n_words").alias("n_words"), n_hit(F.col("_found")).alias("n_hit"),
         F.size("_found.items").cast("bigint").alias("n_items"),

@@ -62,8 +62,11 @@ def test_blocks_give_the_same_result(spark):
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = {i: by_hand(t, items, 3) for i, t in [*enumerate(docs), (None, docs[0])]}
     for limit in (1 << 20, 20):
-        blocks = dc.phrase_blocks(bench, window=3, limit=limit)
+        blocks = list(dc.phrase_blocks(bench, window=3, limit=limit))
         assert len(blocks) == 1 if limit > 20 else len(blocks) > 2
+        spans = {r.doc_id: r.spans for r in dc.contamination(frame, iter(blocks)).collect()}
+        whole = spans if limit > 20 else whole
+        assert spans == whole  # the same ranges, merged across blocks
         rows = dc.contamination(frame, blocks).collect()
         assert len(rows) == len(docs) + 1
         for r in rows:
@@ -76,7 +79,7 @@ def test_blocks_give_the_same_result(spark):
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([("q", "two three, FOUR")], "item_id string, text string")
     docs = spark.createDataFrame([(1, "One, two! Three four. Five é"), (2, None)], "doc_id long, text string")
-    found = docs.withColumn("found", dc.hits(F.col("text"), dc.phrase_blocks(bench)))
+    found = docs.withColumn("found", dc.hits(F.col("text"), next(dc.phrase_blocks(bench))))
     cut = {r.doc_id: r.left for r in found.select("doc_id", dc.without_spans(F.col("text"), F.col("found.spans")).alias("left")).collect()}
     assert cut == {1: "One, . Five é", 2: None}
 
