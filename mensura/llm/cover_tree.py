@@ -16,6 +16,8 @@ import numpy as np
 FAN, LEAF, QUERY_LEAF = 12, 32, 16
 #: data rows scored in the first leaf pass of a query node; later passes double
 PASS_ROWS = 128
+#: largest score, and its negative the smallest; one below it stands for no score
+LIMIT = np.iinfo(np.int64).max
 
 
 class CoverTree:
@@ -76,13 +78,17 @@ class CoverTree:
 
 
 def products(a: CoverTree, rows, b: CoverTree, columns) -> np.ndarray:
-    """Exact integer inner products: doubles where they are exact, else 64-bit integers."""
+    """Exact integer inner products: doubles where they are exact, else 64-bit integers, held at their limits beyond them."""
     largest = a.largest * b.largest * max(1, a.vectors.shape[1])
     if largest < 2.0**53:
         return (a.floats[rows] @ b.floats[columns].T).astype(np.int64)
+    left, right = a.vectors[rows], b.vectors[columns]
+    found = left @ right.T  # modulo 2**64, hence exact wherever the product fits
     if largest >= 2.0**63:
-        raise OverflowError("an inner product may exceed 64 bits")
-    return a.vectors[rows] @ b.vectors[columns].T
+        for i, j in np.argwhere(np.abs(a.floats[rows] @ b.floats[columns].T) > 2.0**62):
+            exact = sum(x * y for x, y in zip(left[i].tolist(), right[j].tolist()))
+            found[i, j] = max(-LIMIT, min(LIMIT, exact))
+    return found
 
 
 class Search:

@@ -2,7 +2,8 @@
 
 Every component x becomes floor(256 x).  Rows with a null id, a null vector, or
 a null or non-finite component take no part; repeated rows with one id count
-once.  Only vectors of equal length meet.
+once.  Only vectors of equal length meet.  Components beyond 64 bits are held at
+the nearest 64-bit integer, and so are scores (at -(2**63 - 1) below).
 
 Equal vectors collapse to one row with the k + 1 smallest ids, which is all a
 query can ever return of them, so a very common vector costs one comparison.

@@ -55,8 +55,22 @@ def test_large_products_stay_exact():
     a = np.array([[2**28 + 1, 3]], dtype=np.int64)
     tree, larger = cover_tree.CoverTree(a), cover_tree.CoverTree(a << 10)
     assert cover_tree.products(tree, [0], tree, [0])[0, 0] == (2**28 + 1) ** 2 + 9
-    with pytest.raises(OverflowError):
-        cover_tree.products(larger, [0], larger, [0])
+    vast = cover_tree.CoverTree(np.array([[2**62, -(2**40)], [-(2**62), 1], [3, 2**21]], dtype=np.int64))
+    exact = [[max(-cover_tree.LIMIT, min(cover_tree.LIMIT, sum(x * y for x, y in zip(v, w)))) for w in vast.vectors.tolist()] for v in vast.vectors.tolist()]
+    assert cover_tree.products(vast, [0, 1, 2], vast, [0, 1, 2]).tolist() == exact
+    assert cover_tree.products(larger, [0], larger, [0])[0, 0] == cover_tree.LIMIT
+
+
+def test_huge_components_end_no_query(spark):
+    rows = [(0, [1e30, 0.0]), (50, [-1e30, 1.0]), (1, [2.0, 1.0]), (2, [-1.0, 1e30]), (3, [0.5, 0.5])]
+    held = {i: [max(-(2**63), min(2**63 - 1, int(256 * float(np.float32(x)) // 1))) for x in v] for i, v in rows}
+    score = lambda q, c: max(-cover_tree.LIMIT, min(cover_tree.LIMIT, sum(x * y for x, y in zip(held[q], held[c]))))
+    want = []
+    for q in (0, 50):
+        best = sorted((-score(q, c), c) for c in held if c != q)[:3]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(frame, k=3).collect()) == want
 
 
 @pytest.mark.parametrize("block", [4096, 7])
