@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mensura.operators.graph import both_directions
 from mensura.operators.joins import windows_join
 from mensura.operators.ordering import attach
-from mensura.plans.bindings import CM, EV, LOG, channel_metrics, event_log
+from mensura.plans.bindings import CM, EV, LOG, SMP, channel_metrics, event_log, samples
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import ctes
-from mensura.session import ensure_checkpoint_dir
-from mensura.sources import sinks, tables
+from mensura.session import cut_lineage, ensure_checkpoint_dir
+from mensura.sources import recordings, sheets, sinks, tables
 
 
 def scratch(spark) -> str:
@@ -23,10 +22,15 @@ def scratch(spark) -> str:
 
 @query("s1_csv_scan", "unit:i channel:i condition price:6 quantity:6 n_trials:i", ctes(CM) + "select * from cm")
 def _(spark, d):
+    # two exports with their columns in another order, one of them with a further column
     path = scratch(spark)
     columns = ["unit", "channel", "condition", "price", "quantity", "n_trials"]
-    sinks.write_table(channel_metrics(spark, d), path, columns, "csv")
-    return tables.read_csv(spark, path, "unit bigint, channel int, condition string, price double, quantity double, n_trials bigint")
+    m = cut_lineage(channel_metrics(spark, d).select(*columns))
+    sinks.write_table(m.filter("channel % 2 = 0"), f"{path}/even", columns, "csv")
+    noted = m.filter("channel % 2 = 1").withColumn("note", F.lit("odd"))
+    sinks.write_table(noted, f"{path}/odd", ["note", *reversed(columns)], "csv")
+    schema = "unit bigint, channel int, condition string, price double, quantity double, n_trials bigint"
+    return tables.read_csv(spark, [f"{path}/even", f"{path}/odd"], schema)
 
 
 @query("s2_tsv_scan", "participant_id:i balance:2 segment",
@@ -34,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark)
     table(spark, d, "customer").select(
-        F.col("c_custkey").alias("participant_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")
+        F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("participant_id"), F.col("c_acctbal").alias("balance")
     ).write.option("header", True).option("sep", "\t").csv(path)
     return tables.read_tsv(spark, path, "participant_id bigint, balance double, segment string")
 
@@ -45,6 +49,16 @@ def _(spark, d):
     return tables.read_participants(spark, f"{d}/customer.parquet", None, "c_mktsegment", ["BUILDING", "MACHINERY"])
 
 
+@query("s3_sheet_participants", "c_custkey:i c_acctbal:2 c_mktsegment",
+       "select c_custkey, c_acctbal, c_mktsegment from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+def _(spark, d):
+    # a workbook per nation, as sites would send them
+    path = scratch(spark)
+    sheets.write_sheets(table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal", "c_custkey"), "c_nationkey", path)
+    people = sheets.read_sheet(spark, path, "c_custkey bigint, c_acctbal double, c_mktsegment string")
+    return people.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+
+
 @query("s5_unit_files_validated", "file_unit rule",
        ctes(CM) + """, per as (select cast(unit as varchar) as file_unit, count(distinct condition) as k from cm where n_trials >= (select avg(n_trials) from cm) group by all)
        select file_unit, 'condition_mismatch' as rule from per where k <> 2
@@ -65,8 +79,10 @@ def _(spark, d):
 @query("s6_undirected_edges", "a:i b:i",
        "select distinct a, b from (select l_linenumber as a, l_linenumber + 1 as b from lineitem union all select l_linenumber + 1, l_linenumber from lineitem)")
 def _(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("x"), (F.col("l_linenumber") + 1).alias("y")).distinct()
-    return both_directions(lines, "x", "y")
+    path = scratch(spark)
+    lines = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("channel_a"), (F.col("l_linenumber") + 1).alias("channel_b"), F.lit(1.0).alias("distance"))
+    sinks.write_table(lines.distinct(), path, ["distance", "channel_b", "channel_a"], "csv")
+    return tables.read_edges(spark, path)
 
 
 @query("s7_missing_inputs", "c_custkey:i",
@@ -90,6 +106,24 @@ def _(spark, d):
     return inside.groupBy("unit", "window_start").agg(F.count(F.lit(1)).alias("n_events"), F.sum("code").alias("code_sum"))
 
 
+@query("s8_recording_windows", "unit:i channel window_start:i n:i total:i",
+       ctes(SMP) + """, len as (select unit, max(trial) * 24 + 24 as n from smp group by unit),
+       starts as (select distinct unit, cast(floor(greatest(0, n - 48) * i / 17) as bigint) as window_start from len, range(0, 18) t(i)),
+       rec as (select unit, channel, trial * 24 + s as sample, cast(round(x * 100) as bigint) as value from smp where channel in ('click', 'view'))
+       select r.unit, channel, window_start, count(*) as n, sum(value) as total from starts s join rec r
+         on r.unit = s.unit and sample >= window_start and sample < window_start + 48 group by all""")
+def _(spark, d):
+    # the hourly series of every user as a recording of its own, a day a record; two channels in 18 windows are read
+    path = scratch(spark)
+    series = samples(spark, d).select(
+        F.col("unit").cast("string").alias("file"), "channel", (F.col("trial") * 24 + F.col("s")).cast("bigint").alias("sample"), F.round(F.col("x") * 100).alias("value"))
+    recordings.write_recordings(series, path, rate=24)
+    lengths = series.groupBy("file").agg((F.max("sample") + 1).alias("n"))
+    windows = lengths.select("file", F.explode(tables.even_windows("n", 48, 18)).alias("window_start")).withColumn("stop", F.col("window_start") + 48)
+    read = recordings.read_recordings(spark, path, ["click", "view"], windows)
+    return read.groupBy(F.col("file").alias("unit"), "channel", "window_start").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("s9_fixed_columns_sink", "unit:i channel:i condition price:6", ctes(CM) + "select * from cm")
 def _(spark, d):
     path = scratch(spark)
@@ -127,6 +161,12 @@ def _(spark, d):
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+@query("s12_range_fingerprints", "name length:i tree_sha256")
+def _(spark, d):
+    files = tables.range_fingerprints(spark, f"{d}/*.parquet")
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
 @query("s13_source_identity", "name")
 def _(spark, d):
     current = tables.fingerprints(spark, f"{d}/*.parquet")

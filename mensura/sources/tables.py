@@ -2,15 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import csv
+import hashlib
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from mensura.operators.guards import nan_to_null
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from mensura.operators.guards import nan_to_null
+from mensura.session import cut_lineage
+
+
+#: threads that look into files for their first line
+HEADER_READERS = 16
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """First line of a file in any storage that Spark reads, compressed or not; only its first buffer is fetched."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        opened = codec.createInputStream(stream) if codec else stream
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def headers(spark: SparkSession, path: str | list[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` by the column names of their first line; empty files are left out."""
+    files = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        lines = pool.map(lambda f: _first_line(spark, f), files)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file, line in sorted(zip(files, lines)):
+        names = tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), []))
+        if names:
+            layouts.setdefault(names, []).append(file)
+    return layouts
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ",", optional: Iterable[str] = (),
+    unit_pattern: str | None = None,
+) -> DataFrame:
+    """Delimited text, columns found by the header of each file; NaN and empty cells become null.
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ",") -> DataFrame:
-    """Delimited text with a header; NaN and empty cells become null."""
-    frame = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
-    return nan_to_null(frame)
+    Files may have the declared columns in any order, and others, which are not
+    parsed.  A declared column that a file lacks is an error that names the
+    file, unless it is ``optional``: then it is null there.  Files of one layout
+    form one scan, in which Spark compares every file's header with the layout
+    again.  ``unit_pattern`` adds ``file_unit``, its first group in the file's path.
+    """
+    wanted = spark.createDataFrame([], schema).schema
+    types = {f.name: f.dataType for f in wanted}
+    extra = T.StructType([T.StructField("file_unit", T.StringType())] if unit_pattern else [])
+    parts = []
+    for names, files in headers(spark, path, sep).items():
+        twice = sorted({n for n in names if [x.lower() for x in names].count(n.lower()) > 1})
+        lacking = sorted(set(types) - set(names) - set(optional))
+        if twice or lacking:
+            what = f"repeats the columns {twice}" if twice else f"lacks the columns {lacking}"
+            raise ValueError(f"the header of {files[0]} {what}")
+        found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        frame = spark.read.schema(found).option("header", True).option("sep", sep).option("enforceSchema", False).csv(files)
+        columns = [(F.col(f"`{n}`") if n in names else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
+        if unit_pattern:
+            columns.append(F.regexp_extract(F.col("_metadata.file_path"), unit_pattern, 1).alias("file_unit"))
+        parts.append(frame.select(*columns))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*wanted.fields, *extra.fields]))
+    return nan_to_null(reduce(DataFrame.unionByName, parts))
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -36,9 +101,7 @@ def read_unit_tables(
     spark: SparkSession, paths: str | list[str], schema: T.StructType | str, unit_pattern: str
 ) -> DataFrame:
     """Per-unit files in one scan; ``file_unit`` is taken from the file path."""
-    frame = spark.read.schema(schema).option("header", True).csv(paths)
-    path = F.col("_metadata.file_path")
-    return nan_to_null(frame.select("*", F.regexp_extract(path, unit_pattern, 1).alias("file_unit")))
+    return read_csv(spark, paths, schema, unit_pattern=unit_pattern)
 
 
 def unit_table_violations(
@@ -69,7 +132,7 @@ def read_edges(spark: SparkSession, path: str, a: str = "channel_a", b: str = "c
     """Undirected edge list as both directions (a, b)."""
     from mensura.operators.graph import both_directions
 
-    frame = spark.read.schema(f"{a} string, {b} string, distance double").option("header", True).csv(path)
+    frame = read_csv(spark, path, f"{a} string, {b} string, distance double", optional=["distance"])
     return both_directions(frame, a, b)
 
 
@@ -87,10 +150,101 @@ def even_windows(n_samples: str | Column, width: int, n_windows: int) -> Column:
     return F.array_distinct(starts)
 
 
+#: endings at which Spark's text scan gives the unpacked content
+UNPACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
+
+
+def _pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Raw bytes of files between line feeds, in ranges as Spark splits files: ``path``, ``length``, ``start``, ``at``, ``piece``."""
+    read = spark.read.option("lineSep", "\n").text(paths)
+    packed = [f for f in read.inputFiles() if f.endswith(UNPACKED)]
+    if packed:
+        raise ValueError(f"Spark unpacks {packed[0]} while it reads; its own bytes cannot be fingerprinted")
+    return read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"),
+    )
+
+
+def _with_empty(spark: SparkSession, paths: str | list[str], digests: DataFrame, **empty: str) -> DataFrame:
+    """All files below ``paths``, also those without a byte, which scans leave out."""
+    files = spark.read.text(paths).inputFiles()
+    listed = spark.createDataFrame([(f,) for f in files], "path string")
+    name = lambda c: F.regexp_replace(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+    found = digests.withColumn("_path", name(F.col("path"))).drop("path")
+    joined = listed.join(found, name(F.col("path")) == F.col("_path"), "left").drop("_path")
+    return joined.select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in empty.items()])
+
+
 def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SHA-256 of each input file."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each input file, streamed: ``path``, ``length``, ``sha256``.
+
+    The pieces between line feeds are brought into file order by a sort that may
+    spill, and a task feeds them to the hash one by one, so no file is ever in
+    memory.  The hash is sequential within a file; for very large files
+    ``range_fingerprints`` works on all ranges at once.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # path, length, hash, bytes so far
+
+        def closed():
+            path, length, digest, fed = state
+            if fed < length:  # the file ends in a line feed
+                digest.update(b"\n")
+            return pa.RecordBatch.from_pydict({"path": [path], "length": [length], "sha256": [digest.hexdigest()]})
+
+        for batch in batches:
+            for path, length, piece in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "piece")]):
+                if state is None or state[0] != path:
+                    if state is not None:
+                        yield closed()
+                    state = [path, length, hashlib.sha256(piece), len(piece)]
+                else:
+                    state[2].update(b"\n")
+                    state[2].update(piece)
+                    state[3] += len(piece) + 1
+        if state is not None:
+            yield closed()
+
+    ordered = _pieces(spark, paths).repartition("path").sortWithinPartitions("path", "start", "at").select("path", "length", "piece")
+    found = ordered.mapInArrow(stream, "path string, length bigint, sha256 string")
+    return _with_empty(spark, paths, found, sha256=hashlib.sha256(b"").hexdigest())
+
+
+#: pieces under one leaf of a range fingerprint
+LEAF_PIECES = 4096
+
+
+def range_fingerprints(spark: SparkSession, paths: str | list[str], leaf_pieces: int = LEAF_PIECES) -> DataFrame:
+    """Hash tree over the ranges of each file: ``path``, ``length``, ``tree_sha256``.
+
+    Pieces are numbered through the file from the counts of the ranges before
+    theirs; ``leaf_pieces`` of them form a leaf, whose SHA-256 covers them in
+    order, and the leaves' digests are combined in the same way until one is
+    left.  How Spark split the file leaves no trace in the result.
+    """
+    pieces = cut_lineage(_pieces(spark, paths).withColumn("d", F.unhex(F.sha2("piece", 256))).drop("piece"))
+    ranges = pieces.groupBy("path", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_first"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # a range lies in one task, where ``at`` is consecutive
+    level = cut_lineage(pieces.join(ranges, ["path", "start"]).select(
+        "path", "length", (F.col("_before") + F.col("at") - F.col("_first")).alias("i"), "d"
+    ))
+    roots = None
+    while True:
+        leaf = F.floor(F.col("i") / leaf_pieces).cast("bigint")
+        joined = F.aggregate(F.sort_array(F.collect_list(F.struct("i", "d"))), F.lit(b""), lambda s, x: F.concat(s, x["d"]))
+        level = cut_lineage(level.groupBy("path", "length", leaf.alias("i")).agg(F.unhex(F.sha2(joined, 256)).alias("d")))
+        taller = level.filter("i > 0").select("path").distinct()
+        done = level.join(taller, "path", "left_anti")
+        roots = done if roots is None else roots.unionByName(done)
+        if taller.isEmpty():
+            break
+        level = level.join(taller, "path", "left_semi")
+    whole = F.sha2(F.concat(F.col("length").cast("string").cast("binary"), F.col("d")), 256)
+    return _with_empty(spark, paths, roots.select("path", "length", whole.alias("tree_sha256")), tree_sha256=hashlib.sha256(b"0").hexdigest())
 
 
 def fingerprint_mismatches(current: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:

@@ -22,3 +22,17 @@ def test_grouped_model_runs_from_another_folder(tmp_path):
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
     assert int(done.stdout.split("rows")[1]) > 0
+
+
+def test_core_queries_without_the_corpus_libraries():
+    script = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {str(ROOT)!r})
+        sys.modules["zstandard"] = None  # importing it fails
+        import __spark_entry__ as entry
+        names = set(entry.queries())
+        print("names", "a1_behaviour_summary" in names, any(n.startswith("op") or n == "pipeline" for n in names), set(entry.oracle_sql()) <= names)
+    """)
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", script], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split()[1:] == ["True", "False", "True"]
