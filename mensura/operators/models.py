@@ -328,74 +328,85 @@ def _sigmoid(x: Column) -> Column:
 
 
 def cluster_logit(
-    df: DataFrame, unit: str, predictors: list[str], outcome: str, max_iterations: int = 30, tolerance: float = 1e-9
+    df: DataFrame, unit: str, predictors: list[str], outcome: str, keys: list[str] | None = None,
+    max_iterations: int = 30, tolerance: float = 1e-9,
 ) -> DataFrame:
-    """Logit with unit fixed effects and cluster-robust covariance for any number of units.
-
-    Newton steps with the unit effects eliminated: each unit contributes its
-    weighted sums, the slopes solve the p-by-p Schur complement, and each
-    unit's own effect is updated in the unit table.  Units with a constant
-    outcome carry no information on the slopes; their effect is held at a bound.
+    """Logit with unit fixed effects and cluster-robust covariance for any number of units and models.
+
+    ``keys`` tell the models apart; all of them take their Newton steps in the
+    same jobs, and models that have settled are left out of the later ones.  The
+    unit effects are eliminated: each unit contributes its weighted sums, the
+    slopes solve the p-by-p Schur complement of their model, and each unit's own
+    effect is updated in the unit table.  Units with a constant outcome carry no
+    information on the slopes; their effect is held at a bound.  A model without
+    any other unit has no row.
     """
-    p = len(predictors)
+    keys, p = keys or [], len(predictors)
+    at = [*keys, unit]
     x = [F.col(f"_z{i}") for i in range(p)]
-    rows = standardised(df, [], predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
+    pairs = _packed(p)
+    rows = standardised(df, keys, predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
     scale = F.first("_scale")
-    factor = rows.agg(F.array(*[1.0 / scale[i] for i in range(p)]).alias("f")).first()["f"]
-    effects = cut_lineage(rows.groupBy(unit).agg(
+    factors = rows.groupBy(*keys).agg(F.array(*[1.0 / scale[i] for i in range(p)]).alias("factor"))
+    effects = cut_lineage(rows.groupBy(*at).agg(
         F.log((F.sum("_y") + 0.5) / (F.count(F.lit(1)) - F.sum("_y") + 0.5)).alias("_alpha"),
         F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_ones"),
     ))
-    beta = np.zeros(p)
-    pairs = _packed(p)
-
-    def unit_sums(alpha: DataFrame, b: np.ndarray) -> DataFrame:
-        eta = F.col("_alpha")
-        for value, column in zip(b, x):
-            eta = eta + float(value) * column
-        joined = rows.join(alpha.select(unit, "_alpha"), unit)
-        joined = joined.withColumn("_p", _sigmoid(eta)).withColumn("_w", F.col("_p") * (1.0 - F.col("_p")))
+    state = cut_lineage(effects.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("_beta"), F.lit(True).alias("_open")))
+    free = (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))
+
+    def unit_sums(models: DataFrame) -> DataFrame:
+        """Newton terms of every unit of ``models``, with the unit's row of ``effects``."""
+        joined = join_null_safe(attach(rows, models.select(*keys, "_beta"), keys), effects.select(*at, "_alpha"), at)
+        prob = _sigmoid(F.col("_alpha") + reduce(add, [F.col("_beta")[i] * x[i] for i in range(p)]))
+        joined = joined.withColumn("_p", prob).withColumn("_w", F.col("_p") * (1.0 - F.col("_p")))
         error = F.col("_y") - F.col("_p")
-        return joined.groupBy(unit).agg(
+        sums = joined.groupBy(*at).agg(
             F.sum("_w").alias("_d"), F.sum(error).alias("_ga"),
             F.array(*[F.sum(F.col("_w") * c) for c in x]).alias("_b"),
             F.array(*[F.sum(error * c) for c in x]).alias("_gb"),
             F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("_a"),
         )
+        return cut_lineage(join_null_safe(sums, effects, at))
+
+    schur = [F.sum(F.col("_a")[k] - F.col("_b")[i] * F.col("_b")[j] / F.col("_d")) for k, (i, j) in enumerate(pairs)]
+    gradient = [F.sum(F.col("_gb")[i] - F.col("_b")[i] * F.col("_ga") / F.col("_d")) for i in range(p)]
 
+    def newton(row):
+        step = pseudo_inverse(_square(row.hessian, p))[0] @ np.asarray(row.gradient, dtype=float)
+        return [(step.tolist(), float(np.max(np.abs(step))))]
+
+    fields = [T.StructField("_step", _DOUBLES), T.StructField("_size_of_step", T.DoubleType())]
     for _ in range(max_iterations):
-        sums = cut_lineage(unit_sums(effects, beta).join(effects, unit))
-        free = (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))
-        informative = sums.filter(free)
-        schur = informative.agg(
-            *[F.sum(F.col("_a")[k] - F.col("_b")[i] * F.col("_b")[j] / F.col("_d")).alias(f"s{k}") for k, (i, j) in enumerate(pairs)],
-            *[F.sum(F.col("_gb")[i] - F.col("_b")[i] * F.col("_ga") / F.col("_d")).alias(f"g{i}") for i in range(p)],
-        ).first()
-        hessian = _square([schur[f"s{k}"] for k in range(len(pairs))], p)
-        step = pseudo_inverse(hessian)[0] @ np.array([schur[f"g{i}"] for i in range(p)])
-        move = F.col("_ga")
-        for i in range(p):
-            move = move - float(step[i]) * F.col("_b")[i]
-        effects = sums.select(
-            unit, F.when(free, F.col("_alpha") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), move / F.col("_d"))))
-            .otherwise(F.when(F.col("_ones") > 0, 30.0).otherwise(-30.0)).alias("_alpha"), "_size", "_ones",
-        )
-        beta = beta + step
-        if np.max(np.abs(step)) < tolerance:
+        sums = unit_sums(state.filter("_open"))
+        totals = sums.filter(free).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_units"), F.array(*schur).alias("hessian"), F.array(*gradient).alias("gradient")
+        ).filter("_units > 0")
+        steps = cut_lineage(_solve_rows(totals, keys, fields, newton))
+        moved = attach(sums, steps.select(*keys, "_step"), keys)
+        shift = F.col("_ga") - reduce(add, [F.col("_step")[i] * F.col("_b")[i] for i in range(p)])
+        bounded = F.col("_alpha") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), shift / F.col("_d")))
+        held = F.when(F.col("_ones") > 0, 30.0).otherwise(-30.0)
+        moved = moved.select(*at, F.when(free, bounded).otherwise(held).alias("_alpha"), "_size", "_ones")
+        others = join_null_safe(effects, moved.select(*at), at, "left_anti")
+        effects = cut_lineage(moved.unionByName(others))
+        stepped = attach(state, steps, keys, "left") if keys else attach(state, steps, keys)
+        state = cut_lineage(stepped.select(
+            *keys, F.when(F.col("_step").isNotNull(), F.zip_with("_beta", "_step", lambda b, s: b + s)).otherwise(F.col("_beta")).alias("_beta"),
+            F.coalesce(F.col("_size_of_step") >= tolerance, F.lit(False)).alias("_open"),
+        ))
+        if state.filter("_open").isEmpty():
             break
     else:
-        raise RuntimeError(f"the logit did not settle in {max_iterations} steps; the outcome may be separated")
-    final = cut_lineage(unit_sums(effects, beta).join(effects, unit)).filter(
-        (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))
-    )
-    bread = final.agg(F.array(*[
-        F.sum(F.col("_a")[k] - F.col("_b")[i] * F.col("_b")[j] / F.col("_d")) for k, (i, j) in enumerate(pairs)
-    ]).alias("bread"))
-    counts = effects.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("_size").cast("double").alias("n_rows"))
-    meat = _outer_sum(final, [], "_gb", p, "meat")
-    stats = attach(attach(bread, meat, []), counts, []).withColumn("solution", F.array(*[F.lit(float(b)) for b in beta]))
-    stats = stats.withColumn("factor", F.array(*[F.lit(float(f)) for f in factor]))
-    return _cluster_result([], predictors, stats)
+        raise RuntimeError(f"a logit did not settle in {max_iterations} steps; its outcome may be separated")
+    final = unit_sums(state).filter(free)
+    bread = final.groupBy(*keys).agg(F.array(*schur).alias("bread"), F.count(F.lit(1)).alias("_units")).filter("_units > 0").drop("_units")
+    counts = effects.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("_size").cast("double").alias("n_rows"))
+    solution = state.select(*keys, F.col("_beta").alias("solution"))
+    stats = bread
+    for table in (_outer_sum(final, keys, "_gb", p, "meat"), counts, solution, factors):
+        stats = attach(stats, table, keys)
+    return _cluster_result(keys, predictors, stats)
 
 
 # --- one model per unit ------------------------------------------------------------------
@@ -460,79 +471,84 @@ def unit_slopes_logit(df: DataFrame, unit: str, predictors: list[str], outcome:
 # --- generalised estimating equations -----------------------------------------------------
 
 def gee_exchangeable(
-    df: DataFrame, unit: str, predictors: list[str], outcome: str, binomial: bool,
+    df: DataFrame, unit: str, predictors: list[str], outcome: str, binomial: bool | Column, keys: list[str] | None = None,
     max_iterations: int = 60, tolerance: float = 1e-10,
 ) -> DataFrame:
     """GEE with exchangeable working correlation and sandwich covariance.
 
-    The inverse of the exchangeable matrix is the identity minus a rank-one
-    term, so each unit is described by a few weighted sums.  One aggregate over
-    the rows per iteration; the correlation and the step come from the unit table.
+    ``keys`` tell the models apart, and ``binomial`` may be a column that is
+    constant within a model.  Every model has its own correlation and leaves the
+    iteration when it has settled.  The inverse of the exchangeable matrix is the
+    identity minus a rank-one term, so each unit is described by a few weighted
+    sums: one aggregate over the rows per iteration, then one over the units.
     """
+    keys = keys or []
     names = ["Intercept", *predictors]
     p = len(names)
     pairs = _packed(p)
     terms = [F.lit(1.0)] + [_q(c).cast("double") for c in predictors]
-    rows = df.select(unit, *[_q(c) for c in predictors], _q(outcome).cast("double").alias("_y"))
-
-    def unit_sums(b: np.ndarray) -> DataFrame:
-        eta = F.lit(0.0)
-        for value, t in zip(b, terms):
-            eta = eta + float(value) * t
-        mu = _sigmoid(eta) if binomial else eta
-        out = rows.withColumn("_mu", mu).withColumn("_v", F.col("_mu") * (1.0 - F.col("_mu")) if binomial else F.lit(1.0))
+    family = F.lit(binomial) if isinstance(binomial, bool) else binomial
+    rows = df.select(*keys, unit, *[_q(c) for c in predictors], _q(outcome).cast("double").alias("_y"), family.alias("_binomial"))
+
+    def unit_sums(models: DataFrame) -> DataFrame:
+        eta = reduce(add, [F.col("_beta")[i] * terms[i] for i in range(p)])
+        out = attach(rows, models.select(*keys, "_beta"), keys)
+        out = out.withColumn("_mu", F.when(F.col("_binomial"), _sigmoid(eta)).otherwise(eta))
+        out = out.withColumn("_v", F.when(F.col("_binomial"), F.col("_mu") * (1.0 - F.col("_mu"))).otherwise(1.0))
         root = F.sqrt("_v")
         r = (F.col("_y") - F.col("_mu")) / root
-        return out.groupBy(unit).agg(
-            F.count(F.lit(1)).cast("double").alias("m"), F.sum(r).alias("r1"), F.sum(r * r).alias("r2"),
-            F.array(*[F.sum(root * t) for t in terms]).alias("u"),
-            F.array(*[F.sum((F.col("_y") - F.col("_mu")) * t) for t in terms]).alias("g"),
-            F.array(*[F.sum(F.col("_v") * terms[i] * terms[j]) for i, j in pairs]).alias("h"),
+        return cut_lineage(out.groupBy(*keys, unit).agg(
+            F.count(F.lit(1)).cast("double").alias("_m"), F.sum(r).alias("_r1"), F.sum(r * r).alias("_r2"),
+            F.array(*[F.sum(root * t) for t in terms]).alias("_u"),
+            F.array(*[F.sum((F.col("_y") - F.col("_mu")) * t) for t in terms]).alias("_g"),
+            F.array(*[F.sum(F.col("_v") * terms[i] * terms[j]) for i, j in pairs]).alias("_h"),
+        ))
+
+    def correlations(sums: DataFrame) -> DataFrame:
+        whole = sums.groupBy(*keys).agg(
+            F.sum("_m").alias("n_"), F.sum("_r2").alias("_ss"), F.sum((F.col("_r1") ** 2 - F.col("_r2")) / 2.0).alias("_cross"),
+            F.sum(F.col("_m") * (F.col("_m") - 1.0) / 2.0).alias("_pairs"), F.count(F.lit(1)).alias("units_"),
         )
+        rho = F.col("_cross") / (F.col("_ss") / (F.col("n_") - p)) / (F.col("_pairs") - p)
+        return whole.select(*keys, rho.alias("rho_"), "n_", "units_")
+
+    c = F.col("rho_") / (1.0 + (F.col("_m") - 1.0) * F.col("rho_"))
+    inv = 1.0 / (1.0 - F.col("rho_"))
+    bread = [inv * (F.col("_h")[k] - c * F.col("_u")[i] * F.col("_u")[j]) for k, (i, j) in enumerate(pairs)]
+    score = [inv * (F.col("_g")[i] - c * F.col("_u")[i] * F.col("_r1")) for i in range(p)]
 
-    def correlation(sums: DataFrame) -> tuple[float, float, float, int]:
-        row = sums.agg(
-            F.sum("m").alias("n"), F.sum("r2").alias("ss"), F.sum((F.col("r1") ** 2 - F.col("r2")) / 2.0).alias("cross"),
-            F.sum(F.col("m") * (F.col("m") - 1.0) / 2.0).alias("pairs"), F.count(F.lit(1)).alias("units"),
-        ).first()
-        scale = row["ss"] / (row["n"] - p)
-        rho = row["cross"] / scale / (row["pairs"] - p)
-        return rho, scale, row["n"], row["units"]
-
-    def step_sums(sums: DataFrame, rho: float):
-        c = F.lit(rho) / (1.0 + (F.col("m") - 1.0) * rho)
-        inv = 1.0 / (1.0 - rho)
-        bread = [inv * (F.col("h")[k] - c * F.col("u")[i] * F.col("u")[j]) for k, (i, j) in enumerate(pairs)]
-        score = [inv * (F.col("g")[i] - c * F.col("u")[i] * F.col("r1")) for i in range(p)]
-        row = sums.agg(
-            *[F.sum(e).alias(f"b{k}") for k, e in enumerate(bread)], *[F.sum(e).alias(f"s{i}") for i, e in enumerate(score)],
-            *[F.sum(score[i] * score[j]).alias(f"m{k}") for k, (i, j) in enumerate(pairs)],
-        ).first()
-        take = lambda t, n: [row[f"{t}{k}"] for k in range(n)]
-        return _square(take("b", len(pairs)), p), np.asarray(take("s", p)), _square(take("m", len(pairs)), p)
-
-    start = rows.agg(F.avg("_y")).first()[0]
-    beta = np.zeros(p)
-    beta[0] = math.log(start / (1 - start)) if binomial else start
+    def step(row):
+        inverse, _ = pseudo_inverse(_square(row.bread_, p))
+        beta = np.asarray(row.start_, dtype=float)
+        move = inverse @ np.asarray(row.score_, dtype=float)
+        cov = inverse @ _square(row.meat_, p) @ inverse
+        return [(names, (beta + move).tolist(), beta.tolist(), cov.ravel().tolist(), int(row.n_), int(row.units_), float(row.rho_), float(np.max(np.abs(move))))]
+
+    fields = [_MODEL_FIELDS[0], T.StructField("_beta", _DOUBLES), *_MODEL_FIELDS[1:], T.StructField("n_units", T.LongType()),
+              T.StructField("working_correlation", T.DoubleType()), T.StructField("_moved", T.DoubleType())]
+    start = rows.groupBy(*keys).agg(F.avg("_y").alias("_s"), F.first("_binomial").alias("_b"))
+    first = F.when(F.col("_b"), F.log(F.col("_s") / (1.0 - F.col("_s")))).otherwise(F.col("_s"))
+    models = cut_lineage(start.select(*keys, F.array(first, *[F.lit(0.0)] * (p - 1)).alias("_beta")))
+    settled = None
     for iteration in range(max_iterations):
-        sums = unit_sums(beta).persist()
-        rho, _, n, units = correlation(sums)
-        if iteration == 0:
-            rho = 0.0
-        bread, score, meat = step_sums(sums, rho)
-        sums.unpersist()
-        step = pseudo_inverse(bread)[0] @ score
-        if iteration > 0 and np.max(np.abs(step)) < tolerance:
+        sums = unit_sums(models)
+        rho = correlations(sums)
+        rho = cut_lineage(rho if iteration else rho.withColumn("rho_", F.lit(0.0)))
+        totals = attach(sums, rho, keys).groupBy(*keys).agg(
+            F.array(*[F.sum(e) for e in bread]).alias("bread_"), F.array(*[F.sum(e) for e in score]).alias("score_"),
+            F.array(*[F.sum(score[i] * score[j]) for i, j in pairs]).alias("meat_"),
+        )
+        both = attach(attach(totals, rho, keys), models.select(*keys, F.col("_beta").alias("start_")), keys)
+        stepped = cut_lineage(_solve_rows(both, keys, fields, step))
+        done = F.col("_moved") < tolerance if iteration else F.lit(False)
+        ready = stepped.filter(done)
+        settled = ready if settled is None else settled.unionByName(ready)
+        models = stepped.filter(~done)
+        if models.isEmpty():
             break
-        beta = beta + step
     else:
-        raise RuntimeError(f"the estimating equations did not settle in {max_iterations} steps")
-    inverse, _ = pseudo_inverse(bread)
-    cov = inverse @ meat @ inverse
-    schema = T.StructType(_MODEL_FIELDS + [T.StructField("n_units", T.LongType()), T.StructField("working_correlation", T.DoubleType())])
-    return df.sparkSession.createDataFrame(
-        [(names, beta.tolist(), cov.ravel().tolist(), int(n), int(units), float(rho))], schema
-    )
+        raise RuntimeError(f"estimating equations did not settle in {max_iterations} steps")
+    return settled.drop("_beta", "_moved")
 
 
 # --- held-out prediction ------------------------------------------------------------------
@@ -690,10 +706,11 @@ def leave_unit_out_logistic(
 ) -> DataFrame:
     """Held-out probabilities, each unit predicted by an L2 logistic fit on all others.
 
-    The fits are a table with one row per unit and model.  A Newton step
-    multiplies blocks of rows with blocks of fits, leaves out each fit's own
-    unit, adds the partial sums per fit and solves them in tasks; only the
-    largest step reaches the driver.  Training means and SDs come from sums.
+    The fits are a table with one row per unit and model.  They begin at the fit
+    on all rows.  A Newton step multiplies blocks of rows with blocks of fits,
+    leaves out each fit's own unit, adds the partial sums per fit and solves
+    them in tasks; settled fits leave the table.  Training means and SDs come
+    from sums.
     """
     columns = [*numeric, *dummies]
     p = len(columns) + 1
@@ -704,24 +721,20 @@ def leave_unit_out_logistic(
     total = np.asarray(add_arrays(moments, [], "gram", p * (p + 1) // 2).first()["gram"] or np.zeros(p * (p + 1) // 2), dtype=float)
     kept = {name: np.asarray([0] + [columns.index(x) + 1 for x in used]) for name, used in models.items()}
 
-    def begin(row):
-        g = _square(total - np.asarray(row.gram), p)
-        out = []
-        for name, used in models.items():
-            mean, scale = np.zeros(p), np.ones(p)
-            for x in used:
-                if x in numeric and g[0, 0] > 0:
-                    i = columns.index(x) + 1
-                    mean[i] = g[0, i] / g[0, 0]
-                    sd = math.sqrt(max(g[i, i] / g[0, 0] - mean[i] ** 2, 0.0))
-                    scale[i] = sd if sd > 0 else 1.0
-            q = kept[name]
-            out.append((name, mean[q].tolist(), scale[q].tolist(), [0.0] * len(q), math.inf))
-        return out
+    def scaling(packed: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Means and SDs of a model's columns, the constant first."""
+        g, mean, scale = _square(packed, p), np.zeros(p), np.ones(p)
+        for x in models[name]:
+            if x in numeric and g[0, 0] > 0:
+                i = columns.index(x) + 1
+                mean[i] = g[0, i] / g[0, 0]
+                sd = math.sqrt(max(g[i, i] / g[0, 0] - mean[i] ** 2, 0.0))
+                scale[i] = sd if sd > 0 else 1.0
+        return mean[kept[name]], scale[kept[name]]
 
     fields = [T.StructField("model", T.StringType())] + [T.StructField(f, _DOUBLES) for f in ("mean", "scale", "beta")] + [
         T.StructField("largest", T.DoubleType())]
-    fits = cut_lineage(_solve_rows(moments, ["_unit"], fields, begin))
+    leave_out = False  # as long as the fit is the one on all rows
 
     def sums(data: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -736,7 +749,7 @@ def leave_unit_out_logistic(
                 own = _own(data["_unit"], part["_unit"])
                 prob = 1.0 / (1.0 + np.exp(-(x @ slope.T)))
                 error, weight = data["_y"].to_numpy(float)[:, None] - prob, prob * (1.0 - prob)
-                mine = np.flatnonzero(own >= 0)
+                mine = np.flatnonzero(own >= 0) if leave_out else []
                 error[mine, own[mine]] = 0.0
                 weight[mine, own[mine]] = 0.0
                 gradient, hessian = error.T @ x, weight.T @ (x[:, first] * x[:, second])
@@ -760,13 +773,17 @@ def leave_unit_out_logistic(
         move = pseudo_inverse(t @ _square(row.h, q) @ t.T + np.diag(penalty))[0] @ (t @ np.asarray(row.g) - penalty * beta)
         return [(mean.tolist(), scale.tolist(), (beta + move).tolist(), float(np.max(np.abs(move))))]
 
-    for _ in range(iterations):
-        partial = _block_product(rows, fits, sums, f"_unit {kind}, model string, g array<double>, h array<double>", rows_per_block, folds_per_block)
-        added = partial.groupBy("_unit", "model").agg(add_up("g", widest), add_up("h", widest * (widest + 1) // 2))
-        fits = cut_lineage(_solve_rows(attach(fits, added, ["_unit", "model"]), ["_unit", "model"], fields[1:], step))
-        if (fits.agg(F.max("largest")).first()[0] or 0.0) < tolerance:
-            break
-    else:
+    def newton(fits: DataFrame) -> DataFrame:
+        settled = None
+        for _ in range(iterations):
+            partial = _block_product(rows, fits, sums, f"_unit {kind}, model string, g array<double>, h array<double>", rows_per_block, folds_per_block)
+            added = partial.groupBy("_unit", "model").agg(add_up("g", widest), add_up("h", widest * (widest + 1) // 2))
+            stepped = cut_lineage(_solve_rows(attach(fits, added, ["_unit", "model"]), ["_unit", "model"], fields[1:], step))
+            done = stepped.filter(F.col("largest") < tolerance)
+            settled = done if settled is None else settled.unionByName(done)
+            fits = stepped.filter(F.col("largest") >= tolerance)
+            if fits.isEmpty():
+                return settled
         raise RuntimeError(f"the held-out logits did not settle in {iterations} steps")
 
     def raw(row):
@@ -775,6 +792,22 @@ def leave_unit_out_logistic(
         weights[kept[row.model][1:] - 1] = beta[1:] / scale[1:]
         return [(float(beta[0] - (beta[1:] * mean[1:] / scale[1:]).sum()), weights.tolist())]
 
+    zero = [(None, name, *[v.tolist() for v in scaling(total, name)], [0.0] * len(q), math.inf) for name, q in kept.items()]
+    shape = T.StructType([T.StructField("_unit", rows.schema["_unit"].dataType), *fields])
+    whole = {r.model: raw(r)[0] for r in newton(cut_lineage(df.sparkSession.createDataFrame(zero, shape))).collect()}
+    leave_out = True
+
+    def begin(row):
+        out = []
+        for name, q in kept.items():
+            mean, scale = scaling(total - np.asarray(row.gram), name)
+            intercept, weights = whole[name]
+            w = np.asarray(weights)[q[1:] - 1]
+            out.append((name, mean.tolist(), scale.tolist(), [intercept + float(w @ mean[1:]), *(w * scale[1:]).tolist()], math.inf))
+        return out
+
+    fits = newton(cut_lineage(_solve_rows(moments, ["_unit"], fields, begin)))
+
     final = _solve_rows(fits, ["_unit", "model"], [T.StructField("intercept", T.DoubleType()), T.StructField("weights", _DOUBLES)], raw)
     scored = join_null_safe(rows, final, ["_unit"])
     return scored.select(F.col("_unit").alias(unit), "model", F.col("_y").alias("observed"), _sigmoid(_predict(names)).alias("predicted"))
@@ -960,15 +993,16 @@ def variance_inflation(df: DataFrame, predictors: list[str]) -> DataFrame:
 def bootstrap_coefficients(
     df: DataFrame, unit: str, predictors: list[str], outcome: str, seed, replicates: int
 ) -> DataFrame:
-    """Percentile intervals of coefficients: drawn rows become cross-products per replicate."""
-    from mensura.operators.resampling import resample
+    """Percentile intervals of coefficients, from the cross-products of the rows drawn in each replicate."""
+    from mensura.operators.resampling import bootstrap_sums
 
     names = ["Intercept", *predictors]
     p = len(names)
-    safe = {c: f"_c{i}" for i, c in enumerate([*predictors, outcome])}
-    plain = df.select(unit, *[_q(c).alias(s) for c, s in safe.items()])
-    drawn = resample(plain, [], unit, list(safe.values()), seed, replicates)
-    stats = gram(drawn, ["rep"], list(safe.values()))
+    pairs = _packed(p + 1)
+    terms = [F.lit(1.0)] + [_q(c).cast("double") for c in [*predictors, outcome]]
+    products = df.select(unit, *[(terms[i] * terms[j]).alias(f"_p{k}") for k, (i, j) in enumerate(pairs)])
+    sums = bootstrap_sums(products, [], unit, [f"_p{k}" for k in range(len(pairs))], seed, replicates)
+    stats = sums.select("rep", F.array(*[f"s{k}" for k in range(len(pairs))]).alias("gram"))
 
     def solve(row):
         g = _square(row.gram, p + 1)

@@ -6,15 +6,19 @@ on partitioning and a retried task repeats them exactly.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mensura.functions.scalar import hash_bits, spearman_brown, uniform
+from mensura.functions.scalar import hash_bits, spearman_brown
 from mensura.functions.special import normal_two_sided_p, t_quantile, t_two_sided_p
 from mensura.operators.aggregates import corrected_skewness, spearman
 from mensura.operators.graph import connected_components
-from mensura.operators.ordering import attach, median_table, quantile_table, rank_table, row_index
+from mensura.operators.ordering import attach, join_null_safe, median_table, quantile_table, rank_table, row_index
 from mensura.session import cut_lineage
 
 SIGNS_PER_HASH = 32
@@ -114,39 +118,160 @@ def paired_effects(
 
 # --- bootstraps ------------------------------------------------------------------
 
+#: rows whose draws are counted together; a group of more rows is split by binomial draws
+BLOCK_ROWS = 8192
+#: counts held at once in a task: replicates x rows
+COUNT_CELLS = 2 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _width(spark) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bootstrap_draws(groups: DataFrame, keys: list[str], size: str, seed, replicates: int, chunk: int = 4096) -> DataFrame:
-    """Draws with replacement: ``size`` positions (1-based ``idx``) per group and replicate.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit mixing of counters; the SQL twins repeat it."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x3F58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x14D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Draws are generated in chunks spread over the cluster by (replicate, chunk),
-    whatever the number of groups.
-    """
-    n = F.col(size)
-    spread = (
-        groups.select(*keys, n.alias("_n"))
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / chunk))))
-        .repartition(_width(groups.sparkSession), *keys, "rep", "_chunk")
-    )
-    first = F.col("_chunk") * chunk
-    draws = spread.withColumn("draw", F.explode(F.sequence(first, F.least(first + chunk, F.col("_n")) - 1)))
-    position = F.floor(uniform(seed, *keys, "rep", "draw") * F.col("_n")).cast("bigint") + 1
-    return draws.select(*keys, "rep", position.alias("idx"))
+
+def _digest(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
 
 
-def resample(df: DataFrame, keys: list[str], unit: str, values: list[str], seed, replicates: int) -> DataFrame:
-    """Every replicate's drawn rows: keys, rep and values."""
-    rows, order = df.select(*keys, unit, *values), [unit]
+def block_draws(total: int, block: int, key: str, replicates: int, block_rows: int) -> np.ndarray:
+    """Draws that fall into a block of a group of ``total`` rows, per replicate: multinomial by binary splitting.
+
+    Each node of the splitting tree has a generator of its own, so every block
+    finds its draws alone and the blocks of a replicate add up to ``total``.
+    """
+    draws, low, high = np.full(replicates, total, dtype=np.int64), 0, -(-total // block_rows)
+    rows = lambda a, b: min(total, b * block_rows) - a * block_rows
+    while high - low > 1:
+        middle = (low + high) // 2
+        drawn = np.random.Generator(np.random.PCG64(_digest(f"{key}|{low}|{high}"))).binomial(draws, rows(low, middle) / rows(low, high))
+        draws, low, high = (drawn, low, middle) if block < middle else (draws - drawn, middle, high)
+    return draws
+
+
+def draw_counts(rows: int, total: int, block: int, key: str, replicates: int, block_rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, counts of shape replicates x rows) of a block with ``rows`` rows; all replicates in turn."""
+    draws = block_draws(total, block, key, replicates, block_rows)
+    each = max(1, COUNT_CELLS // max(rows, int(draws.max(initial=1))))
+    for first in range(0, replicates, each):
+        own = draws[first : first + each]
+        base = np.array([_digest(f"{key}|{rep}|{block}") for rep in range(first, first + len(own))], dtype=np.uint64)
+        rep = np.repeat(np.arange(len(own)), own)
+        turn = np.arange(1, len(rep) + 1) - np.repeat(np.cumsum(own) - own, own)
+        high = mixed(base[rep] + turn.astype(np.uint64) * _STEP) >> np.uint64(32)
+        place = (high * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
+        yield first, np.bincount(rep * rows + place, minlength=len(own) * rows).reshape(len(own), rows)
+
+
+def _blocks(df: DataFrame, keys: list[str], unit: str, values: list[str], seed, block_rows: int) -> DataFrame:
+    """Groups as blocks of at most ``block_rows`` rows: keys, ``_key``, ``_total``, ``_block``, ``_rows`` (structs in order)."""
+    rows, order = df.select(*keys, unit, *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]), [unit]
     if dict(df.dtypes)[unit] == "string":
         # text ids share prefixes: number them in hash order, which spreads evenly
         rows, order = rows.withColumn("_place", F.xxhash64(unit)), ["_place", unit]
-    indexed = row_index(rows, keys, order, "idx")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    draws = bootstrap_draws(sizes, keys, "_size", seed, replicates)
-    return draws.join(indexed.select(*keys, "idx", *values), [*keys, "idx"]).drop("idx")
+    indexed = row_index(rows, keys, order, "idx", total="_total").withColumn("_block", F.floor((F.col("idx") - 1) / block_rows).cast("bigint"))
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return indexed.groupBy(*keys, "_block", "_total").agg(
+        F.sort_array(F.collect_list(F.struct("idx", *[f"_v{i}" for i in range(len(values))]))).alias("_rows")
+    ).withColumn("_key", key)
+
+
+def _each_block(blocks: DataFrame, keys: list[str], width: int, fields: list[T.StructField], work) -> DataFrame:
+    """``work(values, total, block, key)`` gives tuples of columns for every block inside tasks."""
+    schema = T.StructType([f for f in blocks.schema.fields if f.name in keys] + fields)
+    heads = [f.name for f in schema.fields if f.name in keys]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("_rows")[i].values
+                values = np.column_stack([rows.field(f"_v{k}").to_numpy(zero_copy_only=False) for k in range(width)])
+                one = lambda name: batch.column(name)[i].as_py()
+                for columns in work(values, one("_total"), one("_block"), one("_key")):
+                    place = pa.array(np.full(len(columns[0]), i))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(place) for k in heads], *map(pa.array, columns)], names=[*heads, *names])
+
+    return blocks.repartition(_width(blocks.sparkSession), *keys, "_block").mapInArrow(run, schema)
+
+
+def bootstrap_sums(
+    df: DataFrame, keys: list[str], unit: str, values: list[str], seed, replicates: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Sums of ``values`` over the rows drawn in each replicate: keys, ``rep``, ``n``, ``s0``, ``s1``, ...
+
+    No drawn row exists anywhere: a task counts how often each row of its block
+    is drawn and multiplies counts with values, and partial sums meet per replicate.
+    """
+    width = len(values)
+
+    def work(rows, total, block, key):
+        for first, counts in draw_counts(len(rows), total, block, key, replicates, block_rows):
+            sums = counts.astype(np.float64) @ rows
+            yield (np.arange(first, first + len(counts)), counts.sum(axis=1), *sums.T.copy())
+
+    fields = [T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"s{k}", T.DoubleType()) for k in range(width)]]
+    parts = _each_block(_blocks(df, keys, unit, values, seed, block_rows), keys, width, fields, work)
+    return parts.groupBy(*keys, "rep").agg(*[F.sum(f.name).alias(f.name) for f in fields[1:]])
+
+
+def _count_ranks(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Average ranks of the rows in every replicate, from how often each is drawn."""
+    order = np.argsort(values, kind="stable")
+    change = np.concatenate([[True], values[order][1:] != values[order][:-1]])
+    ties = np.add.reduceat(counts[:, order], np.flatnonzero(change), axis=1)
+    ranks = np.cumsum(ties, axis=1) - (ties - 1) / 2.0
+    of_row = np.empty(len(values), dtype=np.int64)
+    of_row[order] = np.cumsum(change) - 1
+    return ranks[:, of_row]
+
+
+def bootstrap_rank_correlation(
+    df: DataFrame, keys: list[str], unit: str, x: str, y: str, seed, replicates: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Rank correlation of the rows drawn in each replicate: keys, ``rep``, ``rho`` (null where undefined).
+
+    Groups of one block rank their counts inside the task.  Larger groups keep
+    counted rows, which are ranked by the ordering layer with the counts as weights.
+    """
+    blocks = cut_lineage(_blocks(df, keys, unit, [x, y], seed, block_rows))
+
+    def whole(rows, total, block, key):
+        for first, counts in draw_counts(len(rows), total, block, key, replicates, block_rows):
+            middle = (total + 1) / 2.0
+            rx, ry = _count_ranks(counts, rows[:, 0]) - middle, _count_ranks(counts, rows[:, 1]) - middle
+            xx, yy, xy = ((counts * a * b).sum(axis=1) for a, b in ((rx, rx), (ry, ry), (rx, ry)))
+            defined = (xx > 0) & (yy > 0) & (total >= 3)
+            rho = np.divide(xy, np.sqrt(xx * yy), out=np.zeros(len(xy)), where=defined)
+            yield np.arange(first, first + len(counts)), pa.array(rho, mask=~defined)
+
+    fields = [T.StructField("rep", T.LongType()), T.StructField("rho", T.DoubleType())]
+    small = _each_block(blocks.filter(F.col("_total") <= block_rows), keys, 2, fields, whole)
+
+    def counted(rows, total, block, key):
+        for first, counts in draw_counts(len(rows), total, block, key, replicates, block_rows):
+            rep, row = np.nonzero(counts)
+            yield rep + first, rows[row, 0], rows[row, 1], counts[rep, row]
+
+    fields = [fields[0], T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), T.StructField("_c", T.LongType())]
+    drawn = _each_block(blocks.filter(F.col("_total") > block_rows), keys, 2, fields, counted)
+    by, ranked = [*keys, "rep"], drawn
+    for column, name in (("_x", "_rx"), ("_y", "_ry")):
+        ranks = rank_table(drawn, by, column, weight=F.col("_c")).select(*by, column, F.col("rank").alias(name))
+        ranked = join_null_safe(ranked, ranks, [*by, column])
+    c, rx, ry = F.col("_c"), F.col("_rx"), F.col("_ry")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(c).alias("n"), *[F.sum(c * e).alias(f"_{i}") for i, e in enumerate((rx, ry, rx * rx, ry * ry, rx * ry))]
+    )
+    xx, yy, xy = (F.expr(f"_{k} - _{i} * _{j} / n") for k, i, j in ((2, 0, 0), (3, 1, 1), (4, 0, 1)))
+    large = sums.select(*by, F.when((xx > 0) & (yy > 0) & (F.col("n") >= 3), xy / F.sqrt(xx * yy)).alias("rho"))
+    return small.unionByName(large)
 
 
 def bootstrap_mean(
@@ -154,7 +279,7 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Percentile bootstrap of a mean.  Only ``replicates`` means per group reach the quantile step."""
     complete = df.filter(F.col(value).isNotNull())
-    means = resample(complete, keys, unit, [value], seed, replicates).groupBy(*keys, "rep").agg(F.avg(value).alias("_mean"))
+    means = bootstrap_sums(complete, keys, unit, [value], seed, replicates).withColumn("_mean", F.col("s0") / F.col("n"))
     tail = (1 - level) / 2
     return means.groupBy(*keys).agg(
         F.percentile("_mean", F.lit(tail)).alias("ci_low"), F.percentile("_mean", F.lit(1 - tail)).alias("ci_high"),
@@ -181,8 +306,7 @@ def bootstrap_spearman(
     """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     point = spearman(pairs, keys, x, y)
-    drawn = resample(pairs, keys, unit, [x, y], seed, replicates)
-    per_rep = spearman(drawn, [*keys, "rep"], x, y)
+    per_rep = bootstrap_rank_correlation(pairs, keys, unit, x, y, seed, replicates)
     statistic = spearman_brown("rho") if corrected else F.col("rho")
     finite = per_rep.withColumn("_s", statistic)
     interval = finite.groupBy(*keys).agg(

@@ -55,8 +55,8 @@ TR = """tr as (select unit, event_id, ts, case event_type when 'click' then 'A'
   from ev where event_type in ('click', 'view'))"""
 
 
-def indexed_trials(spark: SparkSession, d: str, rows_per_slice: int | None = None) -> DataFrame:
-    return row_index(trials(spark, d), ["unit"], ["ts", "event_id"], "trial_index", rows_per_slice=rows_per_slice)
+def indexed_trials(spark: SparkSession, d: str) -> DataFrame:
+    return row_index(trials(spark, d), ["unit"], ["ts", "event_id"], "trial_index")
 
 
 TRI = "tri as (select *, row_number() over (partition by unit order by ts, event_id) as trial_index from tr)"
@@ -192,31 +192,28 @@ le as (select x.a, y.a as b from lines x, lines y where abs(x.a - y.a) = 1)"""
 
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     """Status log per user: sample = event number in time order, code by event type."""
-    # Codes: 1 and 2 start a condition, 31 and 32 are targets, 70-75 answer a target.
+    # Codes: 8 and 9 start a condition, 20 to 22 are targets, 40 to 43 answer one, 50 and 51 do not.
     k = F.col("k")
     code = (
-        F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2)
-        .when((F.col("event_type") == "click") & (k % 2 == 0), 31).when(F.col("event_type") == "click", 32)
-        .when(F.col("event_type") == "purchase", F.when(k % 2 == 0, 71).otherwise(72))
-        .when(k < 50, 70).otherwise(75)
+        F.when(F.col("event_type") == "signup", 8).when(F.col("event_type") == "view", 9)
+        .when(F.col("event_type") == "click", k % 3 + 20).when(F.col("event_type") == "purchase", k % 4 + 40)
+        .when(k < 50, 50).otherwise(51)
     )
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{DAY_ZERO} 00:00:00', ts)")
     return events(spark, d).select("unit", "event_id", F.floor(micros / 1000000).cast("bigint").alias("sample"), (code + 256).alias("code"))
 
 
 LOG = """elog as (select unit, event_id, cast(floor(epoch_us(ts) / 1000000.0) as bigint) - 1704067200 as sample,
-  256 + case when event_type = 'signup' then 1 when event_type = 'view' then 2
-    when event_type = 'click' and k % 2 = 0 then 31 when event_type = 'click' then 32
-    when event_type = 'purchase' then (case when k % 2 = 0 then 71 else 72 end)
-    when k < 50 then 70 else 75 end as code from ev)"""
+  256 + case when event_type = 'signup' then 8 when event_type = 'view' then 9
+    when event_type = 'click' then k % 3 + 20 when event_type = 'purchase' then k % 4 + 40
+    when k < 50 then 50 else 51 end as code from ev)"""
 
-# invented codes of the synthetic log
-LOG_CONDITIONS = {1: "rhythmic", 2: "irregular"}
+LOG_CONDITIONS = {8: "new", 9: "returning"}
 LOG_RESPONSES = {
-    31: {70: "incorrect", 71: "correct", 75: "omission"},
-    32: {70: "incorrect", 72: "correct", 75: "omission"},
+    target: {a: "unsure" if a == 43 else "skipped" if a == 50 else "correct" if a == target + 20 else "incorrect" for a in (40, 41, 42, 43, 50)}
+    for target in (20, 21, 22)
 }
-LOG_CONGRUENT = [31]
+LOG_CONGRUENT = [20, 22]
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

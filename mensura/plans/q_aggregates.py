@@ -88,9 +88,9 @@ def _(spark, d):
     return a.trial_summary(t, ["condition", "congruency"], "rt_ms", "plausible", "correct")
 
 
-@query("a6_code_counts", "code:i n:i allowed", ctes(EV, LOG) + "select code & 255 as code, count(*) as n, (code & 255) in (1, 2, 11, 12, 50, 51) as allowed from elog group by all")
+@query("a6_code_counts", "code:i n:i allowed", ctes(EV, LOG) + "select code & 255 as code, count(*) as n, (code & 255) in (8, 9, 20, 21, 50) as allowed from elog group by all")
 def _(spark, d):
-    return a.code_counts(event_log(spark, d).withColumn("code", F.col("code").bitwiseAND(255)), "code", [1, 2, 11, 12, 50, 51])
+    return a.code_counts(event_log(spark, d).withColumn("code", F.col("code").bitwiseAND(255)), "code", [8, 9, 20, 21, 50])
 
 
 @query("a7_category_counts", "c_mktsegment n:i", "select c_mktsegment, count(*) as n from customer group by 1")

@@ -114,7 +114,7 @@ def _(spark, d):
        select l_orderkey, l_linenumber, l_partkey, greatest(lo, least(hi, l_extendedprice)) as price from lineitem join b using (l_returnflag)""")
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice")
-    bounds = quantile_table(li, ["l_returnflag"], "l_extendedprice", {"lo": 0.025, "hi": 0.975}, rows_per_slice=3000)
+    bounds = quantile_table(li, ["l_returnflag"], "l_extendedprice", {"lo": 0.025, "hi": 0.975})
     return attach(li, bounds, ["l_returnflag"]).withColumn("price", F.greatest("lo", F.least("hi", "l_extendedprice")))
 
 

@@ -130,12 +130,12 @@ ALLPAIRS = _NATION + """, cc as (select p.channel as a, q.channel as b, count(*)
 
 @query("j10_all_pair_correlations", "a:i b:i n:i r:6", ctes(ALLPAIRS) + "select * from cc")
 def _(spark, d):
-    return graph.channel_correlations(nation_daily(spark, d), [], "channel", nation_keys(spark, d), "s", "x")
+    return graph.channel_correlations(nation_daily(spark, d), [], "channel", None, "s", "x")
 
 
 _EPOCH = ctes(EV, LOG) + """, len as (select unit, max(sample) + 1 as n from elog group by unit),
 onsets as (select e.unit, e.event_id, sample - 10800 as lo, sample + 14400 as hi, (sample - 10800 >= 0 and sample + 14400 <= n) as within_bounds
-  from elog e join len using (unit) where code & 255 in (1, 2))"""
+  from elog e join len using (unit) where code & 255 in (8, 9))"""
 
 
 @query("j11_epoch_extraction", "unit:i event_id:i within_bounds n_samples:i first:i last:i",
@@ -144,7 +144,7 @@ onsets as (select e.unit, e.event_id, sample - 10800 as lo, sample + 14400 as hi
 def _(spark, d):
     log = event_log(spark, d)
     lengths = log.groupBy("unit").agg((F.max("sample") + 1).alias("n"))
-    onsets = log.filter(F.col("code").bitwiseAND(255).isin(1, 2)).select("unit", "event_id", F.col("sample").alias("onset"))
+    onsets = log.filter(F.col("code").bitwiseAND(255).isin(8, 9)).select("unit", "event_id", F.col("sample").alias("onset"))
     bounded = joins.epoch_bounds(onsets.join(lengths, "unit"), "onset", 10800, 14400, "n").drop("onset", "n")
     inside = joins.windows_join(log.select("unit", "sample"), bounded, ["unit"], "sample", "lo", "hi", 25200)
     return inside.groupBy("unit", "event_id", "within_bounds").agg(
@@ -152,14 +152,14 @@ def _(spark, d):
 
 
 @query("j12_response_windows", "unit:i window_s:2 n_responses:i n_assigned:i n_unassigned:i n_stimuli_answered:i",
-       ctes(EV, LOG) + """, r as (select *, last_value(case when code & 255 in (31, 32) then sample end ignore nulls)
+       ctes(EV, LOG) + """, r as (select *, last_value(case when code & 255 in (20, 21, 22) then sample end ignore nulls)
            over (partition by unit order by sample, event_id rows between unbounded preceding and 1 preceding) as st from elog),
-       w as (select r.*, v.w, coalesce(sample - st <= v.w, false) as hit from r, (values (3600.0), (14400.0), (43200.0)) v(w) where code & 255 >= 70)
+       w as (select r.*, v.w, coalesce(sample - st <= v.w, false) as hit from r, (values (3600.0), (14400.0), (43200.0)) v(w) where code & 255 >= 40)
        select unit, w as window_s, count(*) as n_responses, sum(hit::int) as n_assigned, sum((not hit)::int) as n_unassigned,
          count(distinct case when hit then st end) as n_stimuli_answered from w group by all""")
 def _(spark, d):
     log = event_log(spark, d).withColumn("code", F.col("code").bitwiseAND(255))
-    assigned = joins.latest_stimulus(log, ["unit"], ["sample", "event_id"], "sample", F.col("code").isin(31, 32), F.col("code") >= 70)
+    assigned = joins.latest_stimulus(log, ["unit"], ["sample", "event_id"], "sample", F.col("code").isin(20, 21, 22), F.col("code") >= 40)
     return joins.response_windows(assigned, "sample", [3600.0, 14400.0, 43200.0], ["unit"])
 
 
@@ -194,10 +194,10 @@ def _(spark, d):
         table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_acctbal").alias("balance"))])
 
 
-@query("u3_unexpected_codes", "code:i", ctes(EV, LOG) + "select distinct code & 255 as code from elog where code & 255 not in (1, 2, 11, 12)")
+@query("u3_unexpected_codes", "code:i", ctes(EV, LOG) + "select distinct code & 255 as code from elog where code & 255 not in (8, 9, 20, 41)")
 def _(spark, d):
     seen = event_log(spark, d).select(F.col("code").bitwiseAND(255).alias("code")).distinct()
-    allowed = spark.createDataFrame([(1,), (2,), (11,), (12,)], "code int")
+    allowed = spark.createDataFrame([(8,), (9,), (20,), (41,)], "code int")
     return seen.join(allowed, "code", "left_anti")
 
 

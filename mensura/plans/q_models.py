@@ -153,9 +153,10 @@ GEE_TERMS = ["within", "cond", "within:cond", "incong"]
 @query("m7_gee_coupling", "model term estimate:6 std_error:6 ci_low:6 ci_high:6 p_value:6 p_holm:6 n:i n_units:i")
 def _(spark, d):
     rows = cut_lineage(coupling_rows(spark, d))
-    binary = m.gee_exchangeable(rows, "unit", GEE_TERMS, "high", True).withColumn("model", F.lit("binomial"))
-    gauss = m.gee_exchangeable(rows.filter("correct and log_rt is not null"), "unit", GEE_TERMS, "log_rt", False).withColumn("model", F.lit("gaussian"))
-    terms = m.coefficient_rows(binary.unionByName(gauss), ["model"], ["n_units"]).filter(F.col("term").isin("within", "within:cond"))
+    one = lambda frame, model, outcome: frame.select("unit", *[F.col(f"`{t}`") for t in GEE_TERMS], F.lit(model).alias("model"), F.col(outcome).alias("value"))
+    long = one(rows, "binomial", "high").unionByName(one(rows.filter("correct and log_rt is not null"), "gaussian", "log_rt"))
+    fits = m.gee_exchangeable(long, "unit", GEE_TERMS, "value", F.col("model") == "binomial", ["model"])
+    terms = m.coefficient_rows(fits, ["model"], ["n_units"]).filter(F.col("term").isin("within", "within:cond"))
     return holm(cut_lineage(terms.withColumn("family", F.lit("coupling"))), ["family"], "p_value", "p_holm")
 
 
@@ -327,9 +328,9 @@ def _(spark, d):
     return m.calibration_hc3(u, ["model"])
 
 
-def binary_calibration(frame):
-    rows = cut_lineage(frame.select("unit", "observed", logit("predicted").alias("logit_prediction")))
-    return m.gee_exchangeable(rows, "unit", ["logit_prediction"], "observed", True)
+def binary_calibration(frame, keys=()):
+    rows = cut_lineage(frame.select(*keys, "unit", "observed", logit("predicted").alias("logit_prediction")))
+    return m.gee_exchangeable(rows, "unit", ["logit_prediction"], "observed", True, list(keys))
 
 
 @query("m16_binary_calibration", "term estimate:6 std_error:6 ci_low:6 ci_high:6 n:i n_units:i")
@@ -386,4 +387,4 @@ def _(spark, d):
 
 @query("m19_coefficient_bootstrap", "term ci_low:6 median:6 ci_high:6 n_replicates:i")
 def _(spark, d):
-    return m.bootstrap_coefficients(influence_rows(spark, d), "unit", [f"{c}_z" for c in INFLUENCE], "dprime_40", 20260921, 100)
+    return m.bootstrap_coefficients(influence_rows(spark, d), "unit", [f"{c}_z" for c in INFLUENCE], "dprime_40", 20260921, 10_000)

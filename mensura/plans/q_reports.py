@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from mensura.functions.scalar import spearman_brown
 from mensura.operators import models as m
 from mensura.operators import resampling as r
-from mensura.operators.aggregates import correlation_p, region_contrast, spearman
+from mensura.operators.aggregates import collapse_repeats, correlation_p, region_contrast, spearman
 from mensura.operators.guards import require_family, single_row
 from mensura.operators.reshape import union_filled
 from mensura.operators.windows import benjamini_hochberg, holm
 from mensura.plans.bindings import (
-    BEH, BEHLONG, CD, CM, EV, FT, PR, TESTS, TR, channel_differences, channel_metrics, event_types, line_edges, predictions, tests_table,
+    BEH, BEHLONG, CD, CM, EV, FT, PR, TESTS, TR, channel_differences, channel_metrics, event_types, line_edges, tests_table,
 )
 from mensura.plans.q_aggregates import GATE, LOSS, behaviour, gate_record, losses
-from mensura.plans.q_models import accuracy_predictions, binary_calibration, prepared, rt_predictions, unit_means, _HC3
+from mensura.plans.q_models import accuracy_predictions, binary_calibration, fold_predictions, prepared, rt_predictions, unit_means, _HC3
 from mensura.plans.q_tests import (
     AUDIT, CLUSTER_TABLE, METRICS, _clusters_sql, _HV, _one_sample_sql, behaviour_differences, clusters, half_values, user_summary,
 )
@@ -24,7 +24,7 @@ from mensura.plans.sqltext import ctes, t_critical, t_p
 from mensura.session import cut_lineage
 
 
-def alignment(spark, d, replicates: int = 100):
+def alignment(spark, d, replicates: int = 10_000):
     """Reliability next to validity, one row per evidence pair.
 
     A reliability is attached only to a coefficient of the same measure and
@@ -96,26 +96,24 @@ def _(spark, d):
 
 @query("c4_prediction_audit", "dataset outcome n:i observed:6 p_value:6 model slope:6 slope_se:6 method")
 def _(spark, d):
-    """Two refitted sources and one given source to losses, increments and calibration."""
+    """Three refitted prediction sources to losses, increments and calibration."""
     shape = ["dataset", "outcome", "unit", "model", "observed", "predicted"]
     source = lambda df, ds, oc: df.withColumn("dataset", F.lit(ds)).withColumn("outcome", F.lit(oc)).select(*shape)
-    given = predictions(spark, d).filter("outcome = 'amount'").select(*shape)
     refit_rt = source(rt_predictions(spark, d), "users", "log_rt")
     refit_acc = source(accuracy_predictions(spark, d), "users", "accuracy")
-    rows = cut_lineage(given.unionByName(refit_rt).unionByName(refit_acc))
+    repeated = source(collapse_repeats(fold_predictions(spark, d), ["unit", "model"]), "participants", "dprime")
+    rows = cut_lineage(repeated.unionByName(refit_rt).unionByName(refit_acc))
     from mensura.operators.aggregates import held_out_loss
 
     loss = cut_lineage(held_out_loss(rows, ["dataset", "outcome", "unit", "model"], ["accuracy"]))
     audit = r.loss_audit(loss, ["dataset", "outcome"], "unit", 20261105, 10_000)
     linear = m.calibration_hc3(unit_means(rows.filter("outcome <> 'accuracy'"), ["dataset", "outcome", "model"]), ["dataset", "outcome", "model"])
     linear = linear.select("dataset", "outcome", "model", "slope", "slope_se", F.lit("hc3_on_unit_means").alias("method"))
-    binary = []
-    for name in ("base", "extended"):
-        terms = m.coefficient_rows(binary_calibration(rows.filter((F.col("outcome") == "accuracy") & (F.col("model") == name))), [])
-        binary.append(terms.filter("term = 'logit_prediction'").select(
-            F.lit("users").alias("dataset"), F.lit("accuracy").alias("outcome"), F.lit(name).alias("model"),
-            F.col("estimate").alias("slope"), F.col("std_error").alias("slope_se"), F.lit("gee_logit_by_unit").alias("method")))
-    calibration = linear.unionByName(binary[0]).unionByName(binary[1])
+    keys = ["dataset", "outcome", "model"]
+    terms = m.coefficient_rows(binary_calibration(rows.filter("outcome = 'accuracy'"), keys), keys)
+    binary = terms.filter("term = 'logit_prediction'").select(
+        *keys, F.col("estimate").alias("slope"), F.col("std_error").alias("slope_se"), F.lit("gee_logit_by_unit").alias("method"))
+    calibration = linear.unionByName(binary)
     return audit.select("dataset", "outcome", "n", "observed", "p_value").join(calibration, ["dataset", "outcome"])
 
 
@@ -144,19 +142,39 @@ def _(spark, d):
         (F.col("mean") / F.col("sem")).alias("wald_z"), F.format_string("%+.3f", "dz").alias("label"))
 
 
-@query("c7_specification_sweep", "specification term estimate:6 std_error:6 p_value:6 n:i n_clusters:i")
-def _(spark, d):
-    """Four specifications of one clustered model, fitted as groups of a single job."""
+SWEEP_TERMS = ["order_z", "m40_z", "m36_z", "m40_aud", "m36_aud"]
+SWEEP_CONTRASTS = {
+    f"{x}_{label}": {f"{x}_z": 1.0, **({f"{x}_aud": weight} if weight else {})}
+    for x in ("m40", "m36") for label, weight in (("silent", 0.0), ("auditory", 1.0), ("average", 0.5))
+}
+
+
+def sweep_rows(spark, d):
+    """Trials of the four specifications, and the model's columns."""
     one = lambda name, frame: frame.withColumn("specification", F.lit(name))
     # one unit is left out in one specification: the one with the smallest id
     base = prepared(spark, d)
     first = base.agg(F.min("unit").alias("unit"))
     specs = one("main", base).unionByName(one("strict", prepared(spark, d, strict=True))).unionByName(
         one("without_first_unit", base.join(first, "unit", "left_anti"))).unionByName(one("envelope", prepared(spark, d, family="envelope")))
-    rows, dummies = m.treatment_columns(specs.filter("correct = 1"), "trial_type", event_types(spark, d))
-    terms = ["order_z", "m40_z", "m36_z", "m40_aud", "m36_aud"]
-    fit = m.cluster_ols(rows, ["specification"], "unit", [*terms, *dummies], "log_rt")
-    return m.coefficient_rows(fit, ["specification"], ["n_clusters"]).filter(F.col("term").isin(terms))
+    rows, dummies = m.treatment_columns(specs, "trial_type", event_types(spark, d))
+    return rows, [*SWEEP_TERMS, *dummies]
+
+
+@query("c7_specification_sweep", "specification analysis term estimate:6 std_error:6 p_value:6 n:i n_clusters:i")
+def _(spark, d):
+    """Four specifications of two outcomes, each outcome fitted as groups of one job."""
+    rows, columns = sweep_rows(spark, d)
+    rows = cut_lineage(rows.select("specification", "unit", *[F.col(f"`{c}`") for c in columns], "correct", "rt", "log_rt"))
+    accuracy = m.cluster_logit(rows, "unit", columns, "correct", ["specification"])
+    time = m.cluster_ols(rows.filter("correct = 1 and rt > 0"), ["specification"], "unit", columns, "log_rt")
+    named = lambda fit, outcome: fit.withColumn("analysis", F.lit(outcome))
+    fits = cut_lineage(named(accuracy, "accuracy").unionByName(named(time, "log_rt")))
+    keys = ["specification", "analysis"]
+    shown = [*keys, "term", "estimate", "std_error", "p_value", "n", "n_clusters"]
+    terms = m.coefficient_rows(fits, keys, ["n_clusters"]).filter(F.col("term").isin(SWEEP_TERMS)).select(*shown)
+    contrasts = m.linear_contrasts(fits, keys, SWEEP_CONTRASTS).withColumnRenamed("contrast", "term")
+    return terms.unionByName(contrasts.join(fits.select(*keys, "n_clusters"), keys).select(*shown))
 
 
 @query("c8_primary_family", "family term:i p_value:9 q_value:9",

@@ -143,12 +143,26 @@ def _(spark, d):
     return unit_phases(spark, d)
 
 
+def filtered_phases(spark, d):
+    return g.analytic_phase(pooled_samples(spark, d), ["channel", "trial"], TARGET, FS)
+
+
+@query("g12_zero_phase", "channel trial:i s:i ure:6 uim:6")
+def _(spark, d):
+    return filtered_phases(spark, d)
+
+
 @query("g13_mean_itpc", "channel itpc:6",
        ctes(PSMP, _demod("psmp", "channel, trial", "ph")) + """select channel, avg(r) as itpc from (select channel, s, sqrt(power(avg(ure), 2) + power(avg(uim), 2)) as r from ph where s >= 4 and s < 20 group by all) group by all""")
 def _(spark, d):
     return g.mean_coherence(g.trim(unit_phases(spark, d), 4, 20), ["channel"])
 
 
+@query("g13_zero_phase_itpc", "channel itpc:6")
+def _(spark, d):
+    return g.mean_coherence(g.trim(filtered_phases(spark, d), 4, 20), ["channel"])
+
+
 _COEF = "co as (select unit, event_id, trial_type, m40 * cos(m36) as re, m40 * sin(m36) as im, event_id % 2 as half from ft)"
 
 
@@ -167,6 +181,11 @@ def _(spark, d):
     return g.phase_alignment_loo(g.trim(unit_phases(spark, d), 4, 20), ["channel"], "trial")
 
 
+@query("g15_zero_phase_alignment", "channel trial:i phase_alignment_loo:6")
+def _(spark, d):
+    return g.phase_alignment_loo(g.trim(filtered_phases(spark, d), 4, 20), ["channel"], "trial")
+
+
 @query("g16_channel_condition_metrics", "unit:i channel n_trials:i itpc:6 evoked_snr_db:5",
        ctes(SMP, _EVOKED, _fourier("evk", "unit, channel", "pg"), _demod("smp", "unit, channel, trial", "ph"),
             "coh as (select unit, channel, avg(r) as itpc from (select unit, channel, s, sqrt(power(avg(ure), 2) + power(avg(uim), 2)) as r from ph group by all) group by all)",
@@ -177,13 +196,13 @@ def _(spark, d):
     return coherence.join(snr, ["unit", "channel"])
 
 
-def condition_bundle(spark, d):
+def condition_bundle(spark, d, phases=unit_phases):
     """Coherence and three ratios per channel with odd/even and half splits, two aggregates in all."""
     trial = F.col("trial")
     pooled = pooled_samples(spark, d)
     half = pooled.agg(F.floor((F.max("trial") + 1) / 2)).first()[0]
     splits = {"odd": trial % 2 == 0, "even": trial % 2 == 1, "first": trial < half, "second": trial >= half}
-    coherence = g.mean_coherence(unit_phases(spark, d), ["channel"], where={f"{k}_itpc": c for k, c in splits.items()})
+    coherence = g.mean_coherence(phases(spark, d), ["channel"], where={f"{k}_itpc": c for k, c in splits.items()})
     coefficients = g.coefficients(pooled, ["channel", "trial"], N, BINS)
     power = g.condition_spectra(coefficients, ["channel"], N, FS, BINS, splits).filter("n_trials >= 4")
     snr = lambda c: g.local_log_snr(c, FREQ, TARGET)
@@ -214,6 +233,11 @@ def _(spark, d):
     return condition_bundle(spark, d)
 
 
+@query("g17_zero_phase_bundle", "channel n_trials:i itpc:6 odd_itpc:6 even_itpc:6 first_itpc:6 second_itpc:6 evoked_snr:5 total_snr:5 induced_snr:5 odd_snr:5 even_snr:5 first_snr:5 second_snr:5")
+def _(spark, d):
+    return condition_bundle(spark, d, filtered_phases)
+
+
 def epoch_table(spark, d):
     """One epoch per user and day: median range of its channels, range of the region signal."""
     s = samples(spark, d)

@@ -16,7 +16,7 @@ from mensura.plans.bindings import (
 )
 from mensura.plans.q_aggregates import LOSS, behaviour, losses, subject_features
 from mensura.plans.registry import query, table
-from mensura.plans.sqltext import average_rank, ctes, normal_p, sign_bits, signed, t_critical, t_p, uniform
+from mensura.plans.sqltext import average_rank, ctes, draw_base, normal_p, position, sign_bits, signed, t_critical, t_p
 from mensura.session import cut_lineage
 
 METRICS = ["accuracy", "median_correct_rt_ms", "inverse_efficiency_ms"]
@@ -82,35 +82,39 @@ def _(spark, d):
 @query("i5_paired_effects", "metric n:i mean:6 ci95_low:5 ci95_high:5 dz:6 direction_fraction:6 p_t:6 p_wilcoxon:6 ci90_low:5 ci90_high:5 equivalence_bound:5 equivalent bootstrap_ci95_low:6 bootstrap_ci95_high:6")
 def _(spark, d):
     diffs = behaviour_differences(spark, d)
-    return r.paired_effects(diffs, ["metric"], "difference", "unit", 20260924, 200)
+    return r.paired_effects(diffs, ["metric"], "difference", "unit", 20260924, DRAWS)
+
+
+#: bootstrap replicates as the protocol states them
+DRAWS, CORRELATION_DRAWS = 20_000, 10_000
 
 
 def _draws(source: str, key: str, seed, reps: int, columns: str) -> str:
-    u = uniform(str(seed), key, "rep", "draw")
     return f"""ix as (select {key}, {columns}, row_number() over (partition by {key} order by unit) as idx from {source}),
 sz as (select {key}, count(*) as n from ix group by {key}),
-dr as (select {key}, rep, cast(floor({u} * n) as bigint) + 1 as idx from (select {key}, n, rep, unnest(range(0, n)) as draw from sz, range(0, {reps}) t(rep))),
+rp as (select {key}, n, rep, {draw_base(str(seed), key, 'rep', '0')} as base from sz, range(0, {reps}) t(rep)),
+dr as (select {key}, rep, {position('base', 'turn', 'n')} as idx from (select {key}, n, rep, base, unnest(range(1, n + 1)) as turn from rp)),
 boot as (select dr.{key}, rep, {columns} from dr join ix on ix.{key} = dr.{key} and ix.idx = dr.idx)"""
 
 
 @query("i6_bootstrap_mean", "metric ci_low:6 ci_high:6 n_replicates:i",
-       ctes(EV, TR, BEH, BEHLONG, "src as (select metric, unit, difference from behdiff where difference is not null)", _draws("src", "metric", 20261106, 200, "difference"))
+       ctes(EV, TR, BEH, BEHLONG, "src as (select metric, unit, difference from behdiff where difference is not null)", _draws("src", "metric", 20261106, DRAWS, "difference"))
        + """, m as (select metric, rep, avg(difference) as m from boot group by all)
        select metric, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high, count(*) as n_replicates from m group by metric""")
 def _(spark, d):
-    return r.bootstrap_mean(behaviour_differences(spark, d), ["metric"], "unit", "difference", 20261106, 200)
+    return r.bootstrap_mean(behaviour_differences(spark, d), ["metric"], "unit", "difference", 20261106, DRAWS)
 
 
 @query("i6_mean_interval_report", "dataset n:i mean:6 median:6 skewness:6 fraction_below_zero:6 ci_low:6 ci_high:6",
        ctes(PR, LOSS, """src as (select dataset, unit, max(case when model = 'extended' then loss end) - max(case when model = 'base' then loss end) as delta
-         from loss where outcome = 'amount' group by dataset, unit)""", _draws("src", "dataset", 20261107, 100, "delta"))
+         from loss where outcome = 'amount' group by dataset, unit)""", _draws("src", "dataset", 20261107, CORRELATION_DRAWS, "delta"))
        + """, m as (select dataset, rep, avg(delta) as m from boot group by all),
        q as (select dataset, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high from m group by dataset)
        select dataset, count(*) as n, avg(delta) as mean, quantile_cont(delta, 0.5) as median, skewness(delta) as skewness, avg((delta < 0)::int) as fraction_below_zero,
          any_value(ci_low) as ci_low, any_value(ci_high) as ci_high from src join q using (dataset) group by dataset""")
 def _(spark, d):
     wide = cut_lineage(r.loss_increments(losses(spark, d).filter("outcome = 'amount'"), ["dataset"], "unit"))
-    return r.mean_interval_report(wide, ["dataset"], "unit", "delta", 20261107, 100)
+    return r.mean_interval_report(wide, ["dataset"], "unit", "delta", 20261107, CORRELATION_DRAWS)
 
 
 def user_summary(spark, d):
@@ -127,14 +131,14 @@ _US = """us as (select unit, 'all' as cohort, sqrt(power(avg(cos(m36)), 2) + pow
 
 
 @query("i7_bootstrap_spearman", "cohort n:i rho:6 n_finite:i ci_low:6 ci_high:6",
-       ctes(EV, FT, _US, _draws("us", "cohort", 20260923, 100, "round(itpc40, 9) as x, round(accuracy, 9) as y").replace("rep, round(itpc40, 9) as x, round(accuracy, 9) as y from dr", "rep, x, y from dr"))
+       ctes(EV, FT, _US, _draws("us", "cohort", 20260923, CORRELATION_DRAWS, "round(itpc40, 9) as x, round(accuracy, 9) as y").replace("rep, round(itpc40, 9) as x, round(accuracy, 9) as y from dr", "rep, x, y from dr"))
        + f""", rb as (select cohort, rep, {average_rank('x', 'cohort, rep')} as rx, {average_rank('y', 'cohort, rep')} as ry from boot),
        cb as (select cohort, rep, corr(rx, ry) as c from rb group by all),
        r0 as (select cohort, {average_rank('round(itpc40, 9)', 'cohort')} as rx, {average_rank('round(accuracy, 9)', 'cohort')} as ry from us)
        select cohort, (select count(*) from us) as n, (select corr(rx, ry) from r0) as rho, count(c) as n_finite, quantile_cont(c, 0.025) as ci_low, quantile_cont(c, 0.975) as ci_high from cb group by cohort""")
 def _(spark, d):
     u = cut_lineage(user_summary(spark, d).withColumn("x", F.round("itpc40", 9)).withColumn("y", F.round("accuracy", 9)))
-    return r.bootstrap_spearman(u, ["cohort"], "unit", "x", "y", 20260923, 100)
+    return r.bootstrap_spearman(u, ["cohort"], "unit", "x", "y", 20260923, CORRELATION_DRAWS)
 
 
 def half_values(spark, d):
@@ -149,7 +153,7 @@ hv as (select unit, condition, round(avg(case when h = 1 then y end), 9) as odd,
 
 
 @query("i8_bootstrap_split_half", "condition n:i rho:6 spearman_brown:6 ci_low:6 ci_high:6",
-       ctes(EV, TR, _HV, "src as (select * from hv where odd is not null and even is not null)", _draws("src", "condition", 20261206, 100, "odd, even"))
+       ctes(EV, TR, _HV, "src as (select * from hv where odd is not null and even is not null)", _draws("src", "condition", 20261206, DRAWS, "odd, even"))
        + f""", rb as (select condition, rep, {average_rank('odd', 'condition, rep')} as rx, {average_rank('even', 'condition, rep')} as ry from boot),
        cb as (select condition, rep, corr(rx, ry) as c from rb group by all),
        q as (select condition, quantile_cont(case when c > -1 then 2 * c / (1 + c) end, 0.025) as ci_low, quantile_cont(case when c > -1 then 2 * c / (1 + c) end, 0.975) as ci_high from cb group by condition),
@@ -157,7 +161,7 @@ hv as (select unit, condition, round(avg(case when h = 1 then y end), 9) as odd,
        p as (select condition, count(*) as n, corr(rx, ry) as rho from r0 group by condition)
        select condition, n, rho, 2 * rho / (1 + rho) as spearman_brown, ci_low, ci_high from p join q using (condition)""")
 def _(spark, d):
-    return r.bootstrap_split_half(cut_lineage(half_values(spark, d)), ["condition"], "unit", "odd", "even", 20261206, 100)
+    return r.bootstrap_split_half(cut_lineage(half_values(spark, d)), ["condition"], "unit", "odd", "even", 20261206, DRAWS)
 
 
 #: replicates as the protocol states them

@@ -32,7 +32,7 @@ def _(spark, d):
 @query("w3_trial_order_z", "unit:i event_id:i order_z:6",
        ctes(EV, TR, TRI) + "select unit, event_id, (trial_index - avg(trial_index) over (partition by unit)) / stddev_samp(trial_index) over (partition by unit) as order_z from tri")
 def _(spark, d):
-    return w.zscore(indexed_trials(spark, d, rows_per_slice=10), ["unit"], {"trial_index": "order_z"})
+    return w.zscore(indexed_trials(spark, d), ["unit"], {"trial_index": "order_z"})
 
 
 @query("w4_population_z", "c_custkey:i z:6", "select c_custkey, (c_acctbal - avg(c_acctbal) over ()) / stddev_pop(c_acctbal) over () as z from customer")
@@ -44,7 +44,7 @@ def _(spark, d):
        f"select l_orderkey, l_linenumber, l_partkey, {rank_sql('l_extendedprice', 'l_returnflag')} as rank_in_flag from lineitem")
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice")
-    return average_rank(li, ["l_returnflag"], "l_extendedprice", "rank_in_flag", rows_per_slice=2000)
+    return average_rank(li, ["l_returnflag"], "l_extendedprice", "rank_in_flag")
 
 
 @query("w6_benjamini_hochberg", "family term:i p_value:9 q_value:9",
@@ -52,7 +52,7 @@ def _(spark, d):
        q as (select family, term, p_value, least(1.0, min(p_value * n / i) over (partition by family order by i desc rows unbounded preceding)) as q_value from r)
        select t.family, t.term, t.p_value, q.q_value from tests t left join q using (family, term)""")
 def _(spark, d):
-    return w.benjamini_hochberg(tests_table(spark, d), ["family"], "p_value", "q_value", rows_per_slice=20)
+    return w.benjamini_hochberg(tests_table(spark, d), ["family"], "p_value", "q_value")
 
 
 @query("w7_holm", "family term:i p_value:9 p_holm:9",
@@ -60,7 +60,7 @@ def _(spark, d):
        q as (select family, term, least(1.0, max(p_value * (n - i + 1)) over (partition by family order by i rows unbounded preceding)) as p_holm from r)
        select t.family, t.term, t.p_value, q.p_holm from tests t left join q using (family, term)""")
 def _(spark, d):
-    return w.holm(tests_table(spark, d), ["family"], "p_value", "p_holm", rows_per_slice=20)
+    return w.holm(tests_table(spark, d), ["family"], "p_value", "p_holm")
 
 
 @query("w8_leave_one_out_mean", "c_custkey:i loo:6",
@@ -92,23 +92,23 @@ def _(spark, d):
     return s.groupBy("unit", "condition", "half").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"))
 
 
-def reconstructed(spark, d, rows_per_slice=None):
+def reconstructed(spark, d):
     return w.reconstruct_trials(
-        event_log(spark, d), "unit", ["sample", "event_id"], "sample", "code", 0.01, LOG_CONDITIONS, LOG_RESPONSES, LOG_CONGRUENT, rows_per_slice)
+        event_log(spark, d), "unit", ["sample", "event_id"], "sample", "code", 0.01, LOG_CONDITIONS, LOG_RESPONSES, LOG_CONGRUENT)
 
 
 RECON = """lg as (select unit, event_id, sample, code & 255 as code, row_number() over (partition by unit order by sample, event_id) as pos from elog),
-lg2 as (select *, sum((code in (31, 32))::int) over (partition by unit order by pos rows between unbounded preceding and 1 preceding) as seg0,
+lg2 as (select *, sum((code in (20, 21, 22))::int) over (partition by unit order by pos rows between unbounded preceding and 1 preceding) as seg0,
   lead(code) over (partition by unit order by pos) as ncode, lead(sample) over (partition by unit order by pos) as nsample from lg),
 lg3 as (select *, coalesce(seg0, 0) as seg from lg2),
-lg4 as (select *, last_value(case when code in (1, 2) then pos end ignore nulls) over (partition by unit, seg order by pos rows unbounded preceding) as cpos from lg3),
+lg4 as (select *, last_value(case when code in (8, 9) then pos end ignore nulls) over (partition by unit, seg order by pos rows unbounded preceding) as cpos from lg3),
 rec0 as (select t.*, c.code as ccode, c.sample as csample,
-  case when t.ncode = 70 then 'incorrect' when t.ncode = 75 then 'omission' when t.ncode = t.code + 40 then 'correct' end as label
-  from lg4 t left join lg c on c.unit = t.unit and c.pos = t.cpos where t.code in (31, 32)),
+  case when t.ncode = 43 then 'unsure' when t.ncode = 50 then 'skipped' when t.ncode = t.code + 20 then 'correct' when t.ncode in (40, 41, 42) then 'incorrect' end as label
+  from lg4 t left join lg c on c.unit = t.unit and c.pos = t.cpos where t.code in (20, 21, 22)),
 rec as (select unit, row_number() over (partition by unit order by pos) as trial_index, ccode as condition_code,
-  case ccode when 1 then 'rhythmic' when 2 then 'irregular' else 'missing' end as condition, csample as stimulation_sample, code as target_code, sample as target_sample,
-  case when code = 31 then 'congruent' else 'incongruent' end as congruency, case when label is not null then ncode end as response_code,
-  coalesce(label, 'missing_or_unexpected') as response_class, code + 40 as expected_correct_code,
+  case ccode when 8 then 'new' when 9 then 'returning' else 'missing' end as condition, csample as stimulation_sample, code as target_code, sample as target_sample,
+  case when code in (20, 22) then 'congruent' else 'incongruent' end as congruency, case when label is not null then ncode end as response_code,
+  coalesce(label, 'missing_or_unexpected') as response_class, code + 20 as expected_correct_code,
   (sample - csample) * 1000.0 / 0.01 as stimulation_to_target_ms,
   case when label in ('correct', 'incorrect') then (nsample - sample) * 1000.0 / 0.01 end as rt_ms, ccode is not null and label is not null as sequence_valid from rec0)"""
 
@@ -116,22 +116,22 @@ rec as (select unit, row_number() over (partition by unit order by pos) as trial
 @query("w12_reconstruct_trials", "unit:i trial_index:i condition_code:i condition stimulation_sample:i target_code:i target_sample:i congruency response_code:i response_class expected_correct_code:i stimulation_to_target_ms:3 rt_ms:3 sequence_valid",
        ctes(EV, LOG, RECON) + "select * from rec")
 def _(spark, d):
-    return reconstructed(spark, d, rows_per_slice=15)
+    return reconstructed(spark, d)
 
 
-ALLOWED = [1, 2, 31, 32, 71, 72, 75]
+ALLOWED = [8, 9, 20, 21, 22, 41, 50]
 
 
 @query("w13_collapse_overlaps", "unit:i sample:i code:i n:i",
        ctes(EV, LOG) + """, one as (select unit, sample, max(code & 255) as code from elog group by all),
        n0 as (select *, row_number() over (partition by unit order by sample) as pos, lead(sample) over (partition by unit order by sample) - sample as gap,
          lead(code) over (partition by unit order by sample) as ncode, sample - lag(sample) over (partition by unit order by sample) as back from one),
-       n1 as (select *, coalesce(gap <= 20000 and ncode in (1, 2, 31, 32, 71, 72, 75), false) as link, coalesce(back <= 20000 and code in (1, 2, 31, 32, 71, 72, 75), false) as linked from n0),
+       n1 as (select *, coalesce(gap <= 20000 and ncode in (8, 9, 20, 21, 22, 41, 50), false) as link, coalesce(back <= 20000 and code in (8, 9, 20, 21, 22, 41, 50), false) as linked from n0),
        n2 as (select *, last_value(case when not linked then pos end ignore nulls) over (partition by unit order by pos rows unbounded preceding) as st from n1)
-       select unit, sample, case when link then ncode else code end as code, 1 as n from n2 where (pos - st) % 2 = 0 and (link or code in (1, 2, 31, 32, 71, 72, 75))""")
+       select unit, sample, case when link then ncode else code end as code, 1 as n from n2 where (pos - st) % 2 = 0 and (link or code in (8, 9, 20, 21, 22, 41, 50))""")
 def _(spark, d):
     one = event_log(spark, d).groupBy("unit", "sample").agg(F.max(F.col("code").bitwiseAND(255)).alias("code"))
-    return w.collapse_overlaps(one, "unit", "sample", "code", ALLOWED, 20000, rows_per_slice=15).withColumn("n", F.lit(1))
+    return w.collapse_overlaps(one, "unit", "sample", "code", ALLOWED, 20000).withColumn("n", F.lit(1))
 
 
 @query("w14_robust_z", "event_id:i z:6",

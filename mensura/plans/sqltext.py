@@ -84,6 +84,23 @@ def uniform(seed: str, *keys: str) -> str:
     return f"(cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13) as bigint) / 4503599627370496.0)"
 
 
+def _wrapped(x: str) -> str:
+    return f"cast(({x}) % 18446744073709551616::hugeint as ubigint)"
+
+
+def position(base: str, turn: str, n: str) -> str:
+    """1-based row of a draw: the high bits of the mixed counter, spread over ``n`` rows."""
+    start = _wrapped(f"{base}::hugeint + {turn}::hugeint * {0x9E3779B97F4A7C15}::hugeint")
+    one = _wrapped(f"xor(a, a >> 30)::hugeint * {0x3F58476D1CE4E5B9}::hugeint")
+    two = _wrapped(f"xor(b, b >> 27)::hugeint * {0x14D049BB133111EB}::hugeint")
+    mixed = f"list_transform(list_transform(list_transform([{start}], lambda a: {one}), lambda b: {two}), lambda c: xor(c, c >> 31))[1]"
+    return f"cast(((({mixed}) >> 32) * {n}::ubigint) >> 32 as bigint) + 1"
+
+
+def draw_base(seed: str, *keys: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 15) as bigint)"
+
+
 def sign(seed: str, rep: str, unit: str) -> str:
     """+1/-1 for a replicate: bit (rep mod 32) of the hash of (rep div 32, unit)."""
     bits = f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {rep} // 32, {unit})), 1, 8) as bigint)"

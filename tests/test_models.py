@@ -263,3 +263,58 @@ def test_held_out_models_take_text_units_and_shifted_columns(data, spark):
     assert np.allclose(np.sort(ridge.predicted), np.sort(want.predicted), atol=1e-5)
     nested = m.nested_ridge(df.limit(30), "row", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y").toPandas()
     assert len(nested) == 30 and nested.row.str.startswith("r").all()
+
+
+def grouped_data(spark):
+    """Three models with their own slopes and unit counts; one of them has only constant outcomes."""
+    rng = np.random.default_rng(21)
+    parts = []
+    for g, units, slope in (("a", 9, 0.8), ("b", 14, -0.4), (None, 11, 0.1), ("constant", 4, 0.0)):
+        n = 40 * units
+        pdf = pd.DataFrame({"g": [g] * n, "u": np.repeat(np.arange(units), 40), "x": np.round(rng.normal(size=n), 3), "w": np.round(rng.normal(size=n), 3)})
+        eta = slope * pdf.x + 0.3 * pdf.w + rng.normal(size=units)[pdf.u]
+        pdf["o"] = (pdf.u % 2 if g == "constant" else rng.random(n) < 1 / (1 + np.exp(-eta))).astype(float)
+        pdf["y"] = eta + rng.normal(size=n)
+        parts.append(pdf)
+    rows = [(r.g if isinstance(r.g, str) else None, int(r.u), r.x, r.w, r.o, r.y) for r in pd.concat(parts).itertuples()]
+    return spark.createDataFrame(rows, "g string, u int, x double, w double, o double, y double")
+
+
+def fitted(models):
+    return {r.g: (*r.beta, *r.cov, r.n) for r in models.collect()}
+
+
+def test_grouped_logits_equal_single_fits(spark):
+    df = grouped_data(spark)
+    got = fitted(m.cluster_logit(df, "u", ["x", "w"], "o", ["g"]))
+    assert set(got) == {"a", "b", None}
+    for g, found in got.items():
+        single = m.cluster_logit(df.filter(F.col("g").eqNullSafe(g)), "u", ["x", "w"], "o").withColumn("g", F.lit(g)).first()
+        assert np.allclose(found, (*single.beta, *single.cov, single.n), rtol=1e-7, atol=1e-10)
+
+
+def test_grouped_equations_equal_single_fits(spark):
+    df = grouped_data(spark).filter("g is null or g <> 'constant'")
+    mixed = df.withColumn("value", F.when(F.col("g") == "b", F.col("y")).otherwise(F.col("o")))
+    got = fitted(m.gee_exchangeable(mixed, "u", ["x", "w"], "value", ~F.col("g").eqNullSafe("b"), ["g"]))
+    assert set(got) == {"a", "b", None}
+    for g, found in got.items():
+        own = df.filter(F.col("g").eqNullSafe(g))
+        single = m.gee_exchangeable(own, "u", ["x", "w"], "y" if g == "b" else "o", g != "b").first()
+        assert np.allclose(found, (*single.beta, *single.cov, single.n), rtol=1e-7, atol=1e-10)
+
+
+def test_sweep_has_both_outcomes_of_every_specification(spark):
+    from mensura.plans import q_reports
+    from mensura.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r.specification, r.analysis, r.term): (r.estimate, r.std_error) for r in QUERIES["c7_specification_sweep"](spark, folder).collect()}
+    assert {k[:2] for k in got} == {(s, a) for s in ("main", "strict", "without_first_unit", "envelope") for a in ("accuracy", "log_rt")}
+    assert len(got) == 8 * (len(q_reports.SWEEP_TERMS) + len(q_reports.SWEEP_CONTRASTS))
+    rows, columns = q_reports.sweep_rows(spark, folder)
+    for specification in ("strict", "envelope"):
+        single = m.cluster_logit(rows.filter(F.col("specification") == specification), "unit", columns, "correct").first()
+        for i, term in enumerate(columns[:5]):
+            want = single.beta[i], np.sqrt(single.cov[i * len(columns) + i])
+            assert np.allclose(got[specification, "accuracy", term], want, atol=2e-6)

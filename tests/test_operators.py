@@ -162,5 +162,5 @@ def test_nearest_neighbours_of_named_nodes(spark):
     v = draw.normal(size=(60, 3))
     named = spark.createDataFrame([(f"ch{i}", x.tolist()) for i, x in enumerate(v)], "node string, v array<double>")
     numbered = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node bigint, v array<double>")
-    of = lambda df: sorted((str(r.id).removeprefix("ch"), str(r.other).removeprefix("ch"), round(r.dist, 9)) for r in graph.nearest_neighbours(df, "node", "v", 4, n_pivots=5, block_rows=9).collect())
+    of = lambda df: sorted((str(r.id).removeprefix("ch"), str(r.other).removeprefix("ch"), round(r.dist, 9)) for r in graph.nearest_neighbours(df, "node", "v", 4, fan=5, block_rows=9).collect())
     assert of(named) == of(numbered) and len(of(named)) == 240

@@ -3,8 +3,9 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from mensura.functions.scalar import uniform
+from mensura.functions.scalar import dot
 from mensura.operators import graph
 from mensura.operators import resampling as r
 
@@ -55,6 +56,50 @@ def test_bootstrap_interval_matches_reference_within_noise(values):
     assert out.loc["a"].ci_high == pytest.approx(np.quantile(means, 0.975), abs=0.06)
 
 
+def counted(n, key, replicates, block_rows):
+    """How often each row of a group is drawn, block by block."""
+    out = []
+    for block, first in enumerate(range(0, n, block_rows)):
+        rows = min(block_rows, n - first)
+        out.append(np.concatenate([c for _, c in r.draw_counts(rows, n, block, key, replicates, block_rows)]))
+    return np.concatenate(out, axis=1)
+
+
+@pytest.mark.parametrize("n,block_rows", [(50, 8192), (50, 7), (400, 32)])
+def test_counts_are_multinomial(n, block_rows):
+    counts = counted(n, "k", 3000, block_rows)
+    assert (counts.sum(axis=1) == n).all()
+    assert abs(counts.mean(axis=0) - 1).max() < 0.12
+    assert counts.var() == pytest.approx(1 - 1 / n, rel=0.02)  # Binomial(n, 1 / n)
+    half = counts[:, : n // 2].sum(axis=1)
+    assert half.var() == pytest.approx(n / 4, rel=0.12)
+    assert abs(np.corrcoef(counts[:-1, 0], counts[1:, 0])[0, 1]) < 0.08
+
+
+@pytest.mark.parametrize("block_rows", [8192, 6])
+@pytest.mark.parametrize("cells", [1 << 20, 100])
+def test_bootstraps_equal_drawn_rows(spark, monkeypatch, block_rows, cells):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": [None] * 23 + ["b"] * 9, "u": rng.permutation(32), "x": rng.integers(0, 9, 32).astype(float), "y": rng.normal(size=32).round(1)})
+    df = spark.createDataFrame([(r.k if isinstance(r.k, str) else None, int(r.u), r.x, r.y) for r in pdf.itertuples()], "k string, u int, x double, y double")
+    monkeypatch.setattr(r, "COUNT_CELLS", cells)
+    sums = {(s.k, s.rep): (s.n, s.s0, s.s1) for s in r.bootstrap_sums(df, ["k"], "u", ["x", "y"], 3, 40, block_rows).collect()}
+    ranks = {(s.k, s.rep): s.rho for s in r.bootstrap_rank_correlation(df, ["k"], "u", "x", "y", 3, 40, block_rows).collect()}
+    assert len(sums) == len(ranks) == 80
+    for k, key in ((None, "3"), ("b", "3|b")):
+        own = pdf[pdf.k.isna() if k is None else pdf.k == k].sort_values("u")
+        for rep, row in enumerate(counted(len(own), key, 40, block_rows)):
+            drawn = own.iloc[np.repeat(np.arange(len(own)), row)]
+            assert np.allclose(sums[k, rep], (len(drawn), drawn.x.sum(), drawn.y.sum()))
+            assert ranks[k, rep] == pytest.approx(drawn.x.rank().corr(drawn.y.rank()))
+
+
+def test_undefined_replicates_are_null(spark):
+    df = spark.createDataFrame([(u, 1.0, float(u)) for u in range(6)], "u int, x double, y double")
+    for block_rows in (8192, 2):
+        assert {s.rho for s in r.bootstrap_rank_correlation(df, [], "u", "x", "y", 1, 5, block_rows).collect()} == {None}
+
+
 def test_perfect_rank_order_has_reliability_one(spark):
     df = spark.createDataFrame([("c", i, float(i), float(i * i)) for i in range(8)], "k string, unit int, x double, y double")
     row = r.bootstrap_split_half(df, ["k"], "unit", "x", "y", "q", 100).first()
@@ -98,19 +143,35 @@ def test_components_on_long_chain_and_hub(spark):
     assert set(out[out.node < n].component) == {0} and set(out[out.node >= 100].component) == {100}
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 1000), (6, 9)])
-def test_nearest_neighbours_exact_with_pruning(spark, pivots, block):
+@pytest.mark.parametrize("fan,block", [(64, 1000), (6, 9)])
+def test_nearest_neighbours_exact_with_pruning(spark, fan, block):
     rng = np.random.default_rng(8)
     # well separated clusters, so that cells are really pruned
     centres = rng.normal(size=(5, 3)) * 10
     v = np.vstack([c + rng.normal(scale=0.2, size=(24, 3)) for c in centres])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
-    got = graph.nearest_neighbours(df, "id", "v", 4, n_pivots=pivots, block_rows=block).toPandas()
+    got = graph.nearest_neighbours(df, "id", "v", 4, fan=fan, block_rows=block).toPandas()
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     dist = np.arccos(np.clip(u @ u.T, -1, 1))
     np.fill_diagonal(dist, np.inf)
     want = {(i, j) for i in range(len(v)) for j in np.argsort(dist[i])[:4]}
     assert {(r.id, r.other) for r in got.itertuples()} == want
+    placed, nodes = graph.neighbour_cells(df.select("id", F.transform("v", lambda x: x / F.sqrt(dot("v", "v"))).alias("v")), fan, block)
+    sizes = {r.cell: r["size"] for r in nodes.filter("leaf").collect()}
+    assert sum(sizes.values()) == len(v) == placed.join(nodes.filter("leaf"), "cell").count() and max(sizes.values()) <= block
+    compared = sum(sizes[r.cell] * sizes[r.other_cell] for r in graph.cell_pairs(nodes, 4).collect())
+    assert compared == len(v) ** 2 if block == 1000 else compared < 0.5 * len(v) ** 2
+
+
+def test_equal_vectors_stay_in_one_cell(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [0.0, 1.0 + i]) for i in range(3)] + [(200, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = graph.nearest_neighbours(df, "id", "v", 2, fan=3, block_rows=5).collect()
+    nearest = {}
+    for r in got:
+        nearest.setdefault(r.id, []).append((r.rank, r.other, round(r.dist, 6)))
+    assert len(got) == 2 * len(rows) and sorted(nearest[0]) == [(1, 1, 0.0), (2, 2, 0.0)] and sorted(nearest[39]) == [(1, 0, 0.0), (2, 1, 0.0)]
+    assert sorted(nearest[101]) == [(1, 100, 0.0), (2, 102, 0.0)] and {o for _, o, _ in nearest[200]} <= {0, 1, 100, 101}
 
 
 def test_channel_correlations_with_gaps(spark):
@@ -130,3 +191,28 @@ def test_text_units(values):
     assert out.loc["a"].ci_low < pdf[pdf.m == "a"].d.mean() < out.loc["a"].ci_high
     flips = r.sign_flip_test(named, ["m"], "unit", "d", "s", 99)
     assert flips.count() == 2
+
+
+@pytest.mark.parametrize("block,slice_samples", [(64, 4096), (3, 7), (1, 1000)])
+def test_channel_correlations_in_blocks(spark, block, slice_samples):
+    rng = np.random.default_rng(6)
+    frames = {}
+    for g in ("p", None):
+        x = rng.normal(size=(50, 8)) @ rng.normal(size=(8, 8)) + 50
+        x[rng.random(x.shape) < 0.2] = np.nan
+        x[:, 5] = 3.0  # no spread
+        x[2:, 7] = np.nan  # fewer than three pairs
+        frames[g] = x
+    rows = [(g, f"c{c}", s, float(v)) for g, x in frames.items() for s, line in enumerate(x) for c, v in enumerate(line)]
+    df = spark.createDataFrame(rows + [("p", None, 1, 1.0), ("p", "c1", 99, None)], "g string, c string, s int, x double")
+    got = {(r.g, r.a, r.b): (r.n, r.r) for r in graph.channel_correlations(df, ["g"], "c", None, "s", "x", block, slice_samples).collect()}
+    for g, x in frames.items():
+        pdf = pd.DataFrame(x, columns=[f"c{c}" for c in range(8)])
+        for a, b in itertools.permutations(pdf.columns, 2):
+            n = int((pdf[a].notna() & pdf[b].notna()).sum())
+            assert got.get((g, a, b), (0, None))[0] == n
+            if n:
+                want = pdf[a].corr(pdf[b]) if n >= 3 and "c5" not in (a, b) else None
+                assert got[g, a, b][1] == (None if want is None else pytest.approx(want))
+    only = graph.channel_correlations(df, ["g"], "c", ["c0", "c1"], "s", "x", block, slice_samples)
+    assert {(r.a, r.b) for r in only.collect()} == {("c0", "c1"), ("c1", "c0")}
