@@ -50,12 +50,17 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    blocks = decontaminate.phrase_blocks(table(spark, sf_dir, "benchmark"))
-    return _filtered(docs, decontaminate.hits(F.col("text"), blocks), lambda found: ~decontaminate.is_contaminated(found))
+    name = fresh(docs, "found")
+    found = decontaminate.with_hits(docs, decontaminate.phrase_blocks(table(spark, sf_dir, "benchmark")), name)
+    return found.filter(~decontaminate.is_contaminated(F.col(name))).drop(name)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_codec.encoded_digests(docs, VOCABULARY)
+    """The documents with the number of their ids and the digests of ids and decoded text; columns of these names give way."""
+    name = fresh(docs, "coded")
+    made = {c.split()[0] for c in bpe_codec.DIGESTS.split(", ")}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    return docs.withColumn(name, bpe_codec.digests(F.col("text"), VOCABULARY)).select(*kept, f"{name}.*")
 
 
 STAGES: list[tuple[str, Stage]] = [
