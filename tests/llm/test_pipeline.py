@@ -28,8 +28,12 @@ def test_every_stage_against_its_operator_or_brute_force(spark):
     found = {i: hits_by_hand(texts[i], items, 13) for i in ids(single)}
     assert sorted(ids(clean)) == sorted(i for i, (n, hit, _) in found.items() if not (hit and 20 * hit >= n))
     assert clean.columns == docs.columns and 0 < clean.count() < len(texts)
-    rows = stages["encoding"](spark, clean, SF).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in rows} == {i: expected(texts[i]) for i in ids(clean)}
+    coded = stages["encoding"](spark, clean, SF)
+    assert coded.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id: tuple(r)[-3:] for r in coded.collect()} == {i: expected(texts[i]) for i in ids(clean)}
+    assert {r.doc_id: r.text for r in coded.collect()} == {i: texts[i] for i in ids(clean)}
+    clash = stages["encoding"](spark, clean.withColumn("N_tokens", F.lit("x")), SF)
+    assert clash.columns == coded.columns
 
 
 def test_run_equals_its_stages(spark):
@@ -54,6 +58,17 @@ def test_edges(spark):
         assert stage(spark, docs, SF).count() <= 7
 
 
+def test_very_long_texts_pass_whole(spark):
+    draw = __import__("random").Random(2)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(4000)]
+    long = " ".join(draw.choice(words) for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, long[:-7] + " other"), (4, "short text here")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.uncontaminated(spark, docs, SF).collect()) == [1, 2, 3, 4]
+    rows = {r.doc_id: r for r in corpus_pipeline.encoded(spark, docs, SF).collect()}
+    assert rows[1].text == long and tuple(rows[1])[-3:] == expected(long) == tuple(rows[2])[-3:]
+
+
 def test_unlabelled_corpus_keeps_texts_with_a_letter(spark):
     texts = ["a b c", "12 %", None, "", "\u4e2d\u6587", "d e f", "\u2014 7"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
