@@ -11,6 +11,7 @@ probability and all of them sum to one.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -60,11 +61,11 @@ class Parameters:
 
     def __init__(self, classes: int, flat: np.ndarray | None = None, width: int = WIDTH):
         self.shapes = {"R": (classes, width), "Q": (classes, width), "C1": (width, width), "C2": (width, width), "b": (classes,)}
-        size = sum(int(np.prod(s)) for s in self.shapes.values())
+        size = sum(map(math.prod, self.shapes.values()))
         self.flat = np.zeros(size, dtype=np.float32) if flat is None else np.array(flat, dtype=np.float32)
         at = 0
         for name, shape in self.shapes.items():
-            n = int(np.prod(shape))
+            n = math.prod(shape)
             setattr(self, name, self.flat[at : at + n].reshape(shape))  # views: updates reach ``flat``
             at += n
 
@@ -156,7 +157,8 @@ class Trainer:
 
 def contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(one before, two before, class) of all tokens of texts whose last class is the end."""
-    padded = np.concatenate([np.zeros(2, dtype=np.int32), *[x for c in classes for x in (c, np.zeros(1, dtype=np.int32))]])
+    kind = classes[0].dtype  # sorting 16-bit codes is several times faster
+    padded = np.concatenate([np.zeros(2, dtype=kind), *[x for c in classes for x in (c, np.zeros(1, dtype=kind))]])
     # the text's own end and one more zero stand between texts
     keep = np.ones(len(padded), dtype=bool)
     ends = np.cumsum([len(c) + 1 for c in classes]) + 1

@@ -87,6 +87,44 @@ def test_query_against_counts(spark, monkeypatch):
     assert per_token("score") > per_token("base_score") + 0.1
 
 
+def test_scores_are_the_model_s_log_probabilities(spark, monkeypatch):
+    """Every token by the definition: softmax over the classes, then the share inside the class."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 60_000)
+    kept = {}
+
+    def untrained(coded, vocab, rounds):
+        draw = np.random.default_rng(4)
+        kept["vocab"], kept["params"] = vocab, lbl.Parameters(vocab.classes, draw.normal(0, 0.4, lbl.Parameters(vocab.classes).flat.shape))
+        return kept["params"]
+
+    monkeypatch.setattr(lm_score, "train", untrained)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = Counter(t for i, x in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1 for t in tokens(x))
+    scores = {r.doc_id: r.score for r in lm_score.lm_scores(docs).collect()}
+    vocab, p = kept["vocab"], kept["params"]
+    for text_id in sorted(texts)[:12]:
+        total, h1, h2 = 0.0, 0, 0
+        for t in tokens(texts[text_id]):
+            c = vocab.class_of(t)
+            x = (p.R[h1].astype(float) @ p.C1 + p.R[h2].astype(float) @ p.C2) @ p.Q.T + p.b
+            total += x[c] - (np.log(np.exp(x - x.max()).sum()) + x.max())
+            if c >= vocab.first_ending:
+                total += math.log((counts[t] + 0.5) / (vocab.class_counts[c] + 0.5 * (vocab.class_types[c] + 1)))
+            h1, h2 = c, h1
+        assert scores[text_id] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_blocks_end_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1000)
+    sizes = [10] * 50 + [900] * 20 + [5000] * 3 + [10] * 30
+    docs = spark.createDataFrame([(i, "w" * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(3)
+    texts, words = lm_score._split(docs, "doc_id", "text", 5, 1)
+    blocks = texts.groupBy("block").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("rows")).collect()
+    assert sum(b.rows for b in blocks) == len(sizes) and all(b.bytes <= 1000 or b.rows == 1 for b in blocks)
+    assert {b.block for b in blocks} == {r.block for r in words.select("block").distinct().collect()}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame(
         [(1, None), (2, ""), (3, "A b\x1cc  é"), (3, "A b\x1cc  é"), (None, "z " * 50_000), (4, " \n")], "doc_id long, text string"
