@@ -60,7 +60,8 @@ def dot(a, b) -> Column:
 
 def normalise(v) -> Column:
     v = _c(v)
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+    # the length is bound by an outer lambda; inside the inner one it would be computed again for every element
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda size: F.transform(v, lambda x: x.cast("double") / size))[0]
 
 
 def angular_distance(a, b) -> Column:

@@ -9,17 +9,10 @@ from mensura.operators.ordering import attach
 from mensura.plans.bindings import CM, EV, LOG, SMP, channel_metrics, event_log, samples
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import ctes
-from mensura.session import cut_lineage, ensure_checkpoint_dir
+from mensura.session import cut_lineage, scratch
 from mensura.sources import recordings, sheets, sinks, tables
 
 
-def scratch(spark) -> str:
-    """A fresh folder next to the shared checkpoints, for tables a query writes and reads back."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base + "/tables-" + spark._jvm.java.util.UUID.randomUUID().toString()
-
-
 @query("s1_csv_scan", "unit:i channel:i condition price:6 quantity:6 n_trials:i", ctes(CM) + "select * from cm")
 def _(spark, d):
     # two exports with their columns in another order, one of them with a further column

@@ -216,3 +216,17 @@ def test_channel_correlations_in_blocks(spark, block, slice_samples):
                 assert got[g, a, b][1] == (None if want is None else pytest.approx(want))
     only = graph.channel_correlations(df, ["g"], "c", ["c0", "c1"], "s", "x", block, slice_samples)
     assert {(r.a, r.b) for r in only.collect()} == {("c0", "c1"), ("c1", "c0")}
+
+
+def test_nearest_neighbours_move_no_pairs(spark):
+    """Rows shuffled and written grow with the nodes: no vector is repeated for each block it meets (failed with blocks joined by shuffle)."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    found = graph.nearest_neighbours(df, "id", "v", 3, fan=8, block_rows=50, search_rows=200)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "v#" not in plan.split("== Physical Plan ==")[1]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    dist = np.arccos(np.clip(u @ u.T, -1, 1))
+    np.fill_diagonal(dist, np.inf)
+    assert {(r.id, r.other, r.rank) for r in found.collect()} == {(i, int(j), p + 1) for i in range(len(v)) for p, j in enumerate(np.argsort(dist[i])[:3])}
