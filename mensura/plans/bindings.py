@@ -73,24 +73,40 @@ behdiff as (select metric, unit, max(case when condition = 'A' then value end) -
   from behlong group by all)"""
 
 
+#: hourly values that one task holds
+SERIES_ROWS = 2_000_000
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """Hourly series: unit = user, channel = event type, trial = day, s = hour, zero filled.
 
-    Types and days are those of the table; days count from its first.
+    Types and days are those of the table; days count from its first.  Only the
+    hours with events are shuffled: a unit's are brought together, and the
+    series is filled up in place, at most types x days x 24 values.  The result
+    stays partitioned by unit, so groups that hold the unit need no shuffle; the
+    number of partitions follows the filled series.
     """
     ev = table(spark, d, "events")
-    bounds = ev.agg(
-        F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"), F.array_sort(F.collect_set("event_type")).alias("types"))
-    dated = attach(ev, bounds, [])
-    cells = dated.groupBy(
-        F.col("user_id").alias("unit"), F.col("event_type").alias("channel"), F.date_diff("ts", "first").alias("trial"), F.hour("ts").alias("s"),
-    ).agg(F.sum("value").alias("x"))
-    grid = (
-        attach(ev.select(F.col("user_id").alias("unit")).distinct(), bounds, [])
-        .withColumn("channel", F.explode("types")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.date_diff("last", "first"))))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(N_HOURS - 1)))).drop("first", "last", "types")
-    )
-    return grid.join(cells, ["unit", "channel", "trial", "s"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    size = ev.agg(
+        F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"), F.array_sort(F.collect_set("event_type")).alias("types"),
+        F.approx_count_distinct("user_id").alias("units")).first()
+    types = size["types"]
+    days = (size["last"] - size["first"]).days + 1 if size["last"] else 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["units"] * len(types) * days * N_HOURS // SERIES_ROWS))
+    channels = F.array(*[F.lit(t) for t in types]).cast("array<string>")
+    epoch = (F.array_position(channels, F.col("event_type")) - 1) * days + F.date_diff("ts", F.lit(size["first"]).cast("date"))
+    cells = ev.groupBy(F.col("user_id").alias("unit"), F.when(F.col("user_id").isNotNull(), epoch).alias("epoch"), F.hour("ts").alias("s")).agg(
+        F.sum("value").alias("x")).repartition(parts, "unit")
+    hour = lambda h: F.coalesce(F.max(F.when(F.col("s") == h, F.col("x"))), F.lit(0.0))
+    seen = cells.groupBy("unit", "epoch").agg(F.array(*[hour(h) for h in range(N_HOURS)]).alias("values"))
+    seen = seen.groupBy("unit").agg(F.collect_list(F.when(F.col("epoch").isNotNull(), F.struct("epoch", "values"))).alias("seen"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(len(types) * days - 1).cast("bigint")) if types else F.array().cast("array<bigint>")
+    empty = F.array(*[F.lit(0.0)] * N_HOURS)
+    unseen = F.transform(F.array_except(every, F.col("seen.epoch")), lambda e: F.struct(e.alias("epoch"), empty.alias("values")))
+    filled = seen.select("unit", F.explode(F.concat("seen", unseen)).alias("e")).select(
+        "unit", F.get(channels, (F.col("e.epoch") / max(1, days)).cast("int")).alias("channel"),
+        (F.col("e.epoch") % max(1, days)).cast("int").alias("trial"), F.posexplode("e.values").alias("s", "x"))
+    return filled
 
 
 SMP = """smp as (select g.unit, g.channel, g.trial, g.s, coalesce(c.x, 0.0) as x from

@@ -36,3 +36,22 @@ def test_core_queries_without_the_corpus_libraries():
     done = subprocess.run([sys.executable, "-W", "ignore", "-c", script], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
     assert done.stdout.split()[1:] == ["True", "False", "True"]
+
+
+def test_filled_series_are_not_shuffled(spark, tmp_path):
+    """Groups of a unit's filled series need no exchange above the filling (failed with a joined grid); odd rows keep their place."""
+    from pyspark.sql import functions as F
+
+    from mensura.plans.bindings import samples
+
+    rows = [(0, "2024-01-01 03:10:00", 1, "a", 2.0), (1, "2024-01-01 03:50:00", 1, "a", 0.5), (2, "2024-01-03 23:00:00", 1, "b", 4.0),
+            (3, "2024-01-02 05:00:00", 2, None, 7.0), (4, "2024-01-02 06:00:00", None, "a", 9.0), (5, "2024-01-02 00:00:00", 2, "a", None)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double")
+    df.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    series = samples(spark, str(tmp_path))
+    grouped = series.groupBy("unit", "channel", "trial").agg(F.sum("x").alias("x"))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
+    got = series.collect()
+    assert len(got) == 3 * 2 * 3 * 24 == len({(r.unit, r.channel, r.trial, r.s) for r in got})
+    assert {(r.unit, r.channel, r.trial, r.s): r.x for r in got if r.x} == {(1, "a", 0, 3): 2.5, (1, "b", 2, 23): 4.0}
