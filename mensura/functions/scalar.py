@@ -33,6 +33,12 @@ def spearman_brown(r) -> Column:
     return F.when(r > -1, 2.0 * r / (1.0 + r))
 
 
+def natural_log(x) -> Column:
+    """Natural logarithm with minus infinity at zero, where ``F.log`` gives null."""
+    x = _c(x)
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def decibel_ratio(a, b, floor: float = POWER_FLOOR) -> Column:
     return 10.0 * F.log10((_c(a) + floor) / (_c(b) + floor))
 

@@ -58,7 +58,7 @@ def _(spark, d):
 @query("f7_log_and_decibel", "event_id:i log_value:6 db:6",
        ctes(EV) + "select event_id, ln(value) as log_value, 10 * log10((value + 1e-30) / (k + 1e-30)) as db from ev where k > 0")
 def _(spark, d):
-    return events(spark, d).filter("k > 0").select("event_id", F.log("value").alias("log_value"), s.decibel_ratio("value", F.col("k").cast("double")).alias("db"))
+    return events(spark, d).filter("k > 0").select("event_id", s.natural_log("value").alias("log_value"), s.decibel_ratio("value", F.col("k").cast("double")).alias("db"))
 
 
 @query("f8_clipped_logit", "event_id:i x:6",

@@ -60,3 +60,18 @@ def test_reasons_and_trigger(spark):
     row = spark.createDataFrame([(1, None, 511)], "a int, b int, code int").select(
         s.reasons((F.col("a") == 1, "x"), (F.col("b") == 1, "y"), (F.col("a") < 5, "z")).alias("r"), s.normalise_trigger("code").alias("c")).first()
     assert row.r == "x;z" and row.c == 255
+
+
+def test_logarithm_of_zero_is_minus_infinity(spark):
+    from mensura.functions.scalar import natural_log
+
+    got = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, None)], "i int, x double").select("i", natural_log("x").alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [float("-inf"), 0.0, None]
+
+
+def test_coherence_of_a_zero_coefficient_is_nan(spark):
+    from mensura.operators.signal import coefficient_coherence
+
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 0.0), ("b", 3.0, 4.0), ("b", 0.0, 2.0)], "k string, re double, im double")
+    got = {r.k: r for r in coefficient_coherence(df, ["k"], "re", "im").collect()}
+    assert got["a"].itpc != got["a"].itpc and got["a"].n_trials == 2 and abs(got["b"].itpc - (0.3**2 + 0.9**2) ** 0.5) < 1e-12
