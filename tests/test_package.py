@@ -55,3 +55,17 @@ def test_filled_series_are_not_shuffled(spark, tmp_path):
     got = series.collect()
     assert len(got) == 3 * 2 * 3 * 24 == len({(r.unit, r.channel, r.trial, r.s) for r in got})
     assert {(r.unit, r.channel, r.trial, r.s): r.x for r in got if r.x} == {(1, "a", 0, 3): 2.5, (1, "b", 2, 23): 4.0}
+
+
+def test_unit_folders_hold_one_file_each(spark):
+    """A unit's rows come from one task (failed with several files a folder)."""
+    from mensura.plans import catalog
+
+    # small tables would otherwise be joined into one task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        loaded = catalog.QUERIES["s5_unit_files_validated"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in loaded.inputFiles() if "folder=" in f]
+    assert files and len(files) == len({f.rsplit("/", 1)[0] for f in files})
