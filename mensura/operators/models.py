@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations_with_replacement, permutations
 from operator import add
 
 import numpy as np
@@ -700,26 +701,72 @@ def _own(units: pd.Series, fitted: pd.Series) -> np.ndarray:
     return pd.Index(fitted).get_indexer(units)
 
 
+#: bound of the fourth derivative of the logistic function
+_FOURTH = 0.14
+#: products of four columns up to which held-out logits are expanded
+EXPANSION_TERMS = 50_000
+
+
+def _products_of(q: int, order: int) -> np.ndarray:
+    """Places of all products of ``order`` out of ``q`` columns."""
+    return np.array(list(combinations_with_replacement(range(q), order))).reshape(-1, order)
+
+
+def _symmetric(packed: np.ndarray, q: int, order: int) -> np.ndarray:
+    out, place = np.zeros((q,) * order), _products_of(q, order)
+    for turn in permutations(range(order)):
+        out[tuple(place[:, turn].T)] = packed
+    return out
+
+
+def logit_expansion(x: np.ndarray, y: np.ndarray, slope: np.ndarray, cells: int = 4_000_000) -> np.ndarray:
+    """Sums over the rows for the gradient of a logit around ``slope``: orders 1 to 4, packed one after the other."""
+    q = x.shape[1]
+    steps = []
+    for order in range(2, 5):
+        shorter = {tuple(v): i for i, v in enumerate(_products_of(q, order - 1).tolist())}
+        place = _products_of(q, order)
+        steps.append(([shorter[tuple(v)] for v in place[:, :-1].tolist()], place[:, -1]))
+    out, rows = 0.0, max(1, cells // max(1, len(steps[-1][0])))
+    for start in range(0, len(x), rows):
+        z = x[start : start + rows]
+        p = 1.0 / (1.0 + np.exp(-(z @ slope)))
+        v = p * (1.0 - p)
+        product, parts = z, [(y[start : start + rows] - p) @ z]
+        for weight, (shorter, last) in zip((v, v * (1.0 - 2.0 * p), v * (1.0 - 6.0 * v)), steps):
+            product = product[:, shorter] * z[:, last]
+            parts.append(weight @ product)
+        out = out + np.concatenate(parts)
+    return out
+
+
 def leave_unit_out_logistic(
     df: DataFrame, unit: str, numeric: list[str], dummies: list[str], models: dict[str, list[str]], outcome: str,
     c: float = 1.0, iterations: int = 25, tolerance: float = 1e-8, folds_per_block: int = 512, rows_per_block: int = 20_000,
+    expand: bool = True,
 ) -> DataFrame:
     """Held-out probabilities, each unit predicted by an L2 logistic fit on all others.
 
     The fits are a table with one row per unit and model.  They begin at the fit
-    on all rows.  A Newton step multiplies blocks of rows with blocks of fits,
-    leaves out each fit's own unit, adds the partial sums per fit and solves
-    them in tasks; settled fits leave the table.  Training means and SDs come
-    from sums.
+    on all rows.  Around it the gradient over all rows is a polynomial whose sums
+    are taken once, so a Newton step of a fit needs the exact terms of its own
+    unit's rows only and all steps read each row once.  What the polynomial
+    leaves out is bounded for every fit.  Fits whose coefficients it could move
+    by ``tolerance`` or more (units with a large share of the rows) go on with
+    exact steps: those multiply blocks of rows with blocks of fits, leave out
+    each fit's own unit, add the partial sums per fit and solve them in tasks;
+    settled fits leave the table.  Training means and SDs come from sums.
     """
     columns = [*numeric, *dummies]
     p = len(columns) + 1
     rows = _stable(df, [], [_q(unit).alias("_unit")], numeric, dummies, outcome)
     rows = cut_lineage(rows.select("_unit", *[_q(x).alias(f"_x{i}") for i, x in enumerate(columns)], F.col("observed").alias("_y")))
     names = [f"_x{i}" for i in range(p - 1)]
-    moments = gram(rows, ["_unit"], names)
-    total = np.asarray(add_arrays(moments, [], "gram", p * (p + 1) // 2).first()["gram"] or np.zeros(p * (p + 1) // 2), dtype=float)
+    moments = cut_lineage(gram(rows, ["_unit"], names))
+    total = np.asarray(add_arrays(moments, [], "gram", p * (p + 1) // 2).first()["gram"], dtype=float)
+    total = np.zeros(p * (p + 1) // 2) if np.isnan(total).any() else total  # no rows
     kept = {name: np.asarray([0] + [columns.index(x) + 1 for x in used]) for name, used in models.items()}
+    packed = {name: tuple(np.asarray(v) for v in zip(*_packed(len(q)))) for name, q in kept.items()}
 
     def scaling(packed: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Means and SDs of a model's columns, the constant first."""
@@ -734,13 +781,136 @@ def leave_unit_out_logistic(
 
     fields = [T.StructField("model", T.StringType())] + [T.StructField(f, _DOUBLES) for f in ("mean", "scale", "beta")] + [
         T.StructField("largest", T.DoubleType())]
-    leave_out = False  # as long as the fit is the one on all rows
+
+    def to_raw(mean: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return np.concatenate([[beta[0] - (beta[1:] * mean[1:] / scale[1:]).sum()], beta[1:] / scale[1:]])
+
+    def to_scaled(mean: np.ndarray, scale: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return np.concatenate([[slope[0] + slope[1:] @ mean[1:]], slope[1:] * scale[1:]])
+
+    def moved(g: np.ndarray, h: np.ndarray, mean: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """A Newton step from raw sums: new coefficients, size of the step, and the map from a raw gradient to a step."""
+        # raw sums to standardised ones: z = T x with T lower triangular in the constant
+        t = np.diag(1.0 / scale)
+        t[1:, 0] = -mean[1:] / scale[1:]
+        penalty = np.full(len(beta), 1.0 / c)
+        penalty[0] = 0.0
+        inverse = pseudo_inverse(t @ h @ t.T + np.diag(penalty))[0]
+        move = inverse @ (t @ g - penalty * beta)
+        return beta + move, float(np.max(np.abs(move))), inverse @ t
+
+    def over_rows(work, sizes: dict[str, int], together=np.add, across=F.sum) -> dict[str, np.ndarray]:
+        """``work(model, x, y)`` added up over all rows for each model of ``sizes``; one partial result per task and model."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, np.ndarray] = {}
+            for data in batches:
+                x, y = np.column_stack([np.ones(len(data)), data[names].to_numpy(float)]), data["_y"].to_numpy(float)
+                for name in sizes if len(data) else ():
+                    part = work(name, x[:, kept[name]], y)
+                    held[name] = together(held[name], part) if name in held else part
+            if held:
+                yield pd.DataFrame({"model": list(held), "v": [v.tolist() for v in held.values()]})
+
+        parts = rows.mapInPandas(run, "model string, v array<double>")
+        added = parts.select("model", F.posexplode("v").alias("i", "v")).groupBy("model", "i").agg(across("v").alias("v"))
+        out = {name: np.zeros(size) for name, size in sizes.items()}
+        for r in added.collect():
+            out[r.model][r.i] = r.v
+        return out
+
+    # the fit on all rows, in raw coefficients
+    whole: dict[str, np.ndarray] = {}
+    state = {name: (*scaling(total, name), np.zeros(len(q))) for name, q in kept.items()}
+    for _ in range(iterations):
+        def first_two(name, x, y):
+            first, second = packed[name]
+            prob = 1.0 / (1.0 + np.exp(-(x @ to_raw(*state[name]))))
+            return np.concatenate([(y - prob) @ x, (prob * (1.0 - prob)) @ (x[:, first] * x[:, second])])
+
+        sums_of = over_rows(first_two, {name: len(kept[name]) + len(packed[name][0]) for name in state})
+        for name, v in sums_of.items():
+            mean, scale, beta = state.pop(name)
+            q = len(beta)
+            beta, size, _ = moved(v[:q], _square(v[q:], q), mean, scale, beta)
+            if size < tolerance:
+                whole[name] = to_raw(mean, scale, beta)
+            else:
+                state[name] = (mean, scale, beta)
+        if not state:
+            break
+    else:
+        raise RuntimeError(f"the logits on all rows did not settle in {iterations} steps")
+
+    at = ["_unit", "model"]
+    raw_fields = [T.StructField("model", T.StringType()), *[T.StructField(f, _DOUBLES) for f in ("mean", "scale", "slope")],
+                  T.StructField("largest", T.DoubleType()), T.StructField("wrong", T.DoubleType())]
+
+    def expanded(name_list: list[str]) -> DataFrame:
+        """Fits whose polynomial is good to ``tolerance``: unit, model, ``slope`` (raw, all columns)."""
+        sizes = {name: sum(math.comb(len(kept[name]) + k - 1, k) for k in range(1, 5)) for name in name_list}
+        sums_of = over_rows(lambda name, x, y: logit_expansion(x, y, whole[name]), sizes)
+        tensors, inverses, grams = {}, {}, {}
+        for name, v in sums_of.items():
+            q, tensors[name], start = len(kept[name]), [], 0
+            for order in range(1, 5):
+                end = start + math.comb(q + order - 1, order)
+                tensors[name].append(_symmetric(v[start:end], q, order))
+                start = end
+            grams[name] = _square(total, p)[np.ix_(kept[name], kept[name])]
+            inverses[name] = pseudo_inverse(grams[name])[0]
+        widest_of = over_rows(
+            lambda name, x, y: np.append(np.abs(x).max(axis=0), np.einsum("ij,jk,ik->i", x, inverses[name], x).max()),
+            {name: len(kept[name]) + 1 for name in name_list}, np.maximum, F.max)
+
+        def near(row):
+            name = row.model
+            q, (t1, t2, t3, t4), reach = kept[name], tensors[name], widest_of[name]
+            mean, scale, slope = np.asarray(row.mean, dtype=float), np.asarray(row.scale, dtype=float), np.asarray(row.slope, dtype=float)[q]
+            d = slope - whole[name]
+            cubic = t4 @ d
+            e, f = t3 @ d, cubic @ d
+            own = _square(row.own_h, p)[np.ix_(q, q)]
+            gradient = t1 - t2 @ d - e @ d / 2.0 - f @ d / 6.0 - np.asarray(row.own_g)[q]
+            beta, size, back = moved(gradient, t2 + e + f / 2.0 - own, mean, scale, to_scaled(mean, scale, slope))
+            slope = to_raw(mean, scale, beta)
+            d = slope - whole[name]
+            # |x d|^2 is at most s times the largest leverage, and s is the sum of its squares
+            s = float(d @ grams[name] @ d)
+            wrong = 2.0 * float(np.max(np.abs(back) @ (_FOURTH / 24.0 * s * s * reach[-1] * reach[:-1])))
+            full = np.zeros(p)
+            full[q] = slope
+            return [(mean.tolist(), scale.tolist(), full.tolist(), size, wrong)]
+
+        def begin(row):
+            out = []
+            for name in name_list:
+                mean, scale = scaling(total - np.asarray(row.gram), name)
+                full = np.zeros(p)
+                full[kept[name]] = whole[name]
+                out.append((name, mean.tolist(), scale.tolist(), full.tolist(), math.inf, 0.0))
+            return out
+
+        terms = [F.lit(1.0)] + [F.col(x) for x in names]
+        fits, settled = cut_lineage(_solve_rows(moments, ["_unit"], raw_fields, begin)), None
+        for _ in range(iterations):
+            joined = join_null_safe(rows, fits.select(*at, "slope"), ["_unit"]).withColumn("_p", _sigmoid(_fitted(terms, "slope")))
+            own = joined.groupBy(*at).agg(
+                F.array(*[F.sum((F.col("_y") - F.col("_p")) * t) for t in terms]).alias("own_g"),
+                F.array(*[F.sum(F.col("_p") * (1.0 - F.col("_p")) * terms[i] * terms[j]) for i, j in _packed(p)]).alias("own_h"))
+            stepped = cut_lineage(_solve_rows(attach(fits, own, at), at, raw_fields[1:], near))
+            good = stepped.filter(F.col("wrong") < tolerance)
+            done = good.filter(F.col("largest") < tolerance)
+            settled = done if settled is None else settled.unionByName(done)
+            fits = good.filter(F.col("largest") >= tolerance)
+            if fits.isEmpty():
+                break
+        return settled.select(*at, "slope")
 
     def sums(data: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, part in block.groupby("model", sort=False):
             q = kept[name]
-            first, second = (np.asarray(v) for v in zip(*_packed(len(q))))
+            first, second = packed[name]
             beta, mean, scale = (np.stack(part[f].to_numpy()) for f in ("beta", "mean", "scale"))
             slope = beta / scale
             slope[:, 0] = beta[:, 0] - (slope[:, 1:] * mean[:, 1:]).sum(axis=1)
@@ -749,7 +919,7 @@ def leave_unit_out_logistic(
                 own = _own(data["_unit"], part["_unit"])
                 prob = 1.0 / (1.0 + np.exp(-(x @ slope.T)))
                 error, weight = data["_y"].to_numpy(float)[:, None] - prob, prob * (1.0 - prob)
-                mine = np.flatnonzero(own >= 0) if leave_out else []
+                mine = np.flatnonzero(own >= 0)
                 error[mine, own[mine]] = 0.0
                 weight[mine, own[mine]] = 0.0
                 gradient, hessian = error.T @ x, weight.T @ (x[:, first] * x[:, second])
@@ -764,21 +934,15 @@ def leave_unit_out_logistic(
 
     def step(row):
         mean, scale, beta = (np.asarray(v, dtype=float) for v in (row.mean, row.scale, row.beta))
-        q = len(beta)
-        # raw sums to standardised ones: z = T x with T lower triangular in the constant
-        t = np.diag(1.0 / scale)
-        t[1:, 0] = -mean[1:] / scale[1:]
-        penalty = np.full(q, 1.0 / c)
-        penalty[0] = 0.0
-        move = pseudo_inverse(t @ _square(row.h, q) @ t.T + np.diag(penalty))[0] @ (t @ np.asarray(row.g) - penalty * beta)
-        return [(mean.tolist(), scale.tolist(), (beta + move).tolist(), float(np.max(np.abs(move))))]
+        beta, size, _ = moved(np.asarray(row.g), _square(row.h, len(beta)), mean, scale, beta)
+        return [(mean.tolist(), scale.tolist(), beta.tolist(), size)]
 
     def newton(fits: DataFrame) -> DataFrame:
         settled = None
         for _ in range(iterations):
             partial = _block_product(rows, fits, sums, f"_unit {kind}, model string, g array<double>, h array<double>", rows_per_block, folds_per_block)
-            added = partial.groupBy("_unit", "model").agg(add_up("g", widest), add_up("h", widest * (widest + 1) // 2))
-            stepped = cut_lineage(_solve_rows(attach(fits, added, ["_unit", "model"]), ["_unit", "model"], fields[1:], step))
+            added = partial.groupBy(*at).agg(add_up("g", widest), add_up("h", widest * (widest + 1) // 2))
+            stepped = cut_lineage(_solve_rows(attach(fits, added, at), at, fields[1:], step))
             done = stepped.filter(F.col("largest") < tolerance)
             settled = done if settled is None else settled.unionByName(done)
             fits = stepped.filter(F.col("largest") >= tolerance)
@@ -786,29 +950,29 @@ def leave_unit_out_logistic(
                 return settled
         raise RuntimeError(f"the held-out logits did not settle in {iterations} steps")
 
-    def raw(row):
-        mean, scale, beta = (np.asarray(v, dtype=float) for v in (row.mean, row.scale, row.beta))
-        weights = np.zeros(p - 1)
-        weights[kept[row.model][1:] - 1] = beta[1:] / scale[1:]
-        return [(float(beta[0] - (beta[1:] * mean[1:] / scale[1:]).sum()), weights.tolist())]
-
-    zero = [(None, name, *[v.tolist() for v in scaling(total, name)], [0.0] * len(q), math.inf) for name, q in kept.items()]
-    shape = T.StructType([T.StructField("_unit", rows.schema["_unit"].dataType), *fields])
-    whole = {r.model: raw(r)[0] for r in newton(cut_lineage(df.sparkSession.createDataFrame(zero, shape))).collect()}
-    leave_out = True
-
     def begin(row):
         out = []
-        for name, q in kept.items():
+        for name in kept:
             mean, scale = scaling(total - np.asarray(row.gram), name)
-            intercept, weights = whole[name]
-            w = np.asarray(weights)[q[1:] - 1]
-            out.append((name, mean.tolist(), scale.tolist(), [intercept + float(w @ mean[1:]), *(w * scale[1:]).tolist()], math.inf))
+            out.append((name, mean.tolist(), scale.tolist(), to_scaled(mean, scale, whole[name]).tolist(), math.inf))
         return out
 
-    fits = newton(cut_lineage(_solve_rows(moments, ["_unit"], fields, begin)))
-
-    final = _solve_rows(fits, ["_unit", "model"], [T.StructField("intercept", T.DoubleType()), T.StructField("weights", _DOUBLES)], raw)
+    def raw(row):
+        full = np.zeros(p)
+        full[kept[row.model]] = to_raw(*(np.asarray(v, dtype=float) for v in (row.mean, row.scale, row.beta)))
+        return [(full.tolist(),)]
+
+    exact = _solve_rows(moments, ["_unit"], fields, begin)
+    narrow = [name for name, q in kept.items() if math.comb(len(q) + 3, 4) <= EXPANSION_TERMS]
+    final = None
+    if expand and narrow:
+        final = cut_lineage(expanded(narrow))
+        exact = join_null_safe(exact, final.select(*at), at, "left_anti")
+    exact = cut_lineage(exact)
+    if final is None or not exact.isEmpty():
+        rest = _solve_rows(newton(exact), at, [T.StructField("slope", _DOUBLES)], raw)
+        final = rest if final is None else final.unionByName(rest)
+    final = final.select(*at, F.col("slope")[0].alias("intercept"), F.slice("slope", 2, p).alias("weights"))
     scored = join_null_safe(rows, final, ["_unit"])
     return scored.select(F.col("_unit").alias(unit), "model", F.col("_y").alias("observed"), _sigmoid(_predict(names)).alias("predicted"))
 

@@ -148,6 +148,21 @@ def test_leave_unit_out_logistic(data):
         assert np.allclose(np.sort(out[out.unit == u].predicted), np.sort(1 / (1 + np.exp(-prep(test) @ beta))), atol=1e-6)
 
 
+def test_held_out_logits_read_rows_once_per_step_unless_a_unit_is_large(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    pdf = pd.DataFrame({"unit": rng.integers(0, 400, n), "a": rng.normal(size=n), "b": rng.normal(size=n) + 3, "g1": rng.integers(0, 2, n) * 1.0})
+    pdf.loc[:2500, "unit"] = 9999
+    pdf["z"] = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + 0.8 * pdf.a - 0.4 * pdf.b)))).astype(float)
+    df, asked, product = spark.createDataFrame(pdf).cache(), [], m._block_product
+    monkeypatch.setattr(m, "_block_product", lambda rows, fits, *rest: (asked.append(fits.count()), product(rows, fits, *rest))[1])
+    sets, one = {"base": ["a"], "all": ["a", "b", "g1"]}, ["unit", "model", "predicted"]
+    quick = m.leave_unit_out_logistic(df, "unit", ["a", "b"], ["g1"], sets, "z").toPandas().sort_values(one)
+    assert max(asked) == 2, "only the large unit's fits meet all rows"
+    exact = m.leave_unit_out_logistic(df, "unit", ["a", "b"], ["g1"], sets, "z", expand=False).toPandas().sort_values(one)
+    assert len(quick) == 2 * n and np.allclose(quick.predicted, exact.predicted, atol=1e-9)
+
+
 def test_repeated_folds_are_balanced_and_match_refit(data, spark):
     pdf, df = data
     out = m.repeated_fold_ridge(df, [], "row", ["a", "b"], ["g1"], {"all": ["a", "b", "g1"]}, "y", n_folds=7, repeats=2).toPandas()
