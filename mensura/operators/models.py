@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mensura.functions.scalar import uniform
 from mensura.functions.special import chi2_two_df_p, normal_two_sided_p
-from mensura.operators.ordering import attach, join_null_safe, row_index
+from mensura.operators.ordering import SENT_ROWS, attach, attach_few, join_null_safe, row_index
 from mensura.session import cut_lineage
 
 
@@ -106,13 +106,18 @@ def standardised(df: DataFrame, keys: list[str], columns: list[str], kept: list[
     from zero (years, timestamps, ids), so models are fitted on these columns
     and mapped back.  A column without spread keeps scale 1.
     """
+    return _standardise(df, keys, columns, kept)[0]
+
+
+def _standardise(df: DataFrame, keys: list[str], columns: list[str], kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``standardised`` rows and the table of means and scales, which is written out."""
     values = [_q(c).cast("double") for c in columns]
     spread = [F.coalesce(F.stddev_pop(v), F.lit(0.0)) for v in values]
-    stats = df.groupBy(*keys).agg(
+    stats = cut_lineage(df.groupBy(*keys).agg(
         F.array(*[F.avg(v) for v in values]).alias("_mean"), F.array(*[F.when(s > 0, s).otherwise(1.0) for s in spread]).alias("_scale")
-    )
-    rows = attach(df.select(*keys, *(kept or []), *[v.alias(f"_z{i}") for i, v in enumerate(values)]), stats, keys)
-    return rows.withColumns({f"_z{i}": (F.col(f"_z{i}") - F.col("_mean")[i]) / F.col("_scale")[i] for i in range(len(columns))})
+    ))
+    rows = attach_few(df.select(*keys, *(kept or []), *[v.alias(f"_z{i}") for i, v in enumerate(values)]), stats, keys)
+    return rows.withColumns({f"_z{i}": (F.col(f"_z{i}") - F.col("_mean")[i]) / F.col("_scale")[i] for i in range(len(columns))}), stats
 
 
 def pseudo_inverse(a: np.ndarray) -> tuple[np.ndarray, int]:
@@ -130,16 +135,43 @@ def _back(mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_squares(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """Fit on ``standardised`` rows whose last column is the outcome.
+def _sums_of_few(rows: DataFrame, keys: list[str], numbered: DataFrame, p: int, name: str, size: int, work) -> DataFrame:
+    """``work(model, x, whole)`` added up per model, as array ``name``; ``x`` holds [1, ``_z0``, ...] of a batch's rows.
+
+    For models that fit into every task: matrix products of the task's own
+    rows, one partial result per task and model.  A null adds nothing to a
+    product, as in SQL; ``whole`` marks the rows without one.
+    """
+    z = [f"_z{i}" for i in range(p)]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in z])
+    flat = attach_few(rows.select(*keys, *z), numbered.select(*keys, "_m"), keys).select(
+        "_m", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in z], whole.alias("_whole"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for data in batches:
+            x, model = np.column_stack([np.ones(len(data)), data[z].to_numpy(float)]), data["_m"].to_numpy()
+            for one in np.unique(model).tolist():
+                mine = model == one
+                part = work(one, x[mine], data["_whole"].to_numpy(bool)[mine])
+                held[one] = held[one] + part if one in held else part
+        if held:
+            yield pd.DataFrame({"_m": list(held), name: [v.tolist() for v in held.values()]})
+
+    sums = add_arrays(flat.mapInPandas(run, f"_m bigint, {name} array<double>"), ["_m"], name, size)
+    return attach(numbered.select(*keys, "_m"), sums, ["_m"]).drop("_m")
+
+
+def least_squares(rows: DataFrame, stats: DataFrame, keys: list[str], p: int, products: DataFrame | None = None) -> DataFrame:
+    """Fit on standardised rows, whose last column is the outcome, and their ``stats``; written out.
 
     ``beta`` and ``inverse`` belong to the standardised columns, ``coefficients``
     to the given ones; residual and total sums of squares are in the outcome's
     unit.  With a singular design the fit is that of a pseudo-inverse and
     ``rank`` is below ``p``.
     """
-    stats = gram(rows, keys, [f"_z{i}" for i in range(p)])
-    scales = rows.groupBy(*keys).agg(F.first("_mean").alias("means"), F.first("_scale").alias("scales"))
+    products = gram(rows, keys, [f"_z{i}" for i in range(p)]) if products is None else products
+    scales = stats.select(*keys, F.col("_mean").alias("means"), F.col("_scale").alias("scales"))
 
     def solve(row):
         g = _square(row.gram, p + 1)
@@ -158,7 +190,7 @@ def least_squares(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
     fields = [T.StructField(c, _DOUBLES) for c in ("beta", "inverse", "coefficients", "mean", "scale")] + [
         T.StructField(c, T.DoubleType()) for c in ("n", "rss", "tss")
     ] + [T.StructField("rank", T.LongType())]
-    return _solve_rows(attach(stats, scales, keys), keys, fields, solve)
+    return cut_lineage(_solve_rows(attach(products, scales, keys), keys, fields, solve))
 
 
 def _leverage(terms: list[Column], inverse: str) -> Column:
@@ -186,14 +218,29 @@ def ols_hc3(df: DataFrame, keys: list[str], predictors: list[str], outcome: str)
     """
     names = ["Intercept", *predictors]
     p = len(names)
-    rows = standardised(df, keys, [*predictors, outcome])
-    fit = least_squares(rows, keys, p)
+    rows, stats = _standardise(df, keys, [*predictors, outcome])
     terms = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(p - 1)]
-    residual = F.col(f"_z{p - 1}") - _fitted(terms, "beta")
-    rows = attach(rows, fit, keys).withColumn("_w", F.pow(residual / (1.0 - _leverage(terms, "inverse")), F.lit(2.0)))
     pairs = _packed(p)
-    meat = rows.groupBy(*keys).agg(*[F.sum(F.col("_w") * terms[i] * terms[j]).alias(f"_m{k}") for k, (i, j) in enumerate(pairs)])
-    meat = meat.select(*keys, F.array(*[f"_m{k}" for k in range(len(pairs))]).alias("meat"))
+    if keys and stats.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        numbered = cut_lineage(stats.withColumn("_m", F.monotonically_increasing_id()))
+        upper, inner = np.triu_indices(p + 1), np.triu_indices(p)
+        products = _sums_of_few(rows, keys, numbered, p, "gram", len(upper[0]), lambda model, x, whole: (x.T @ x)[upper])
+        fit = least_squares(rows, stats, keys, p, products)
+        sent = {r["_m"]: (np.asarray(r["beta"]), np.asarray(r["inverse"]).reshape(p, p)) for r in attach(fit, numbered.select(*keys, "_m"), keys).collect()}
+
+        def scores(model, x, whole):
+            beta, inverse = sent[model]
+            y, x = x[whole, p], x[whole, :p]
+            weight = ((y - x @ beta) / (1.0 - np.einsum("ij,ij->i", x @ inverse, x))) ** 2
+            return ((x * weight[:, None]).T @ x)[inner]
+
+        meat = _sums_of_few(rows, keys, numbered, p, "meat", len(pairs), scores)
+    else:
+        fit = least_squares(rows, stats, keys, p)
+        residual = F.col(f"_z{p - 1}") - _fitted(terms, "beta")
+        rows = attach_few(rows, fit, keys).withColumn("_w", F.pow(residual / (1.0 - _leverage(terms, "inverse")), F.lit(2.0)))
+        meat = rows.groupBy(*keys).agg(*[F.sum(F.col("_w") * terms[i] * terms[j]).alias(f"_m{k}") for k, (i, j) in enumerate(pairs)])
+        meat = meat.select(*keys, F.array(*[f"_m{k}" for k in range(len(pairs))]).alias("meat"))
     both = attach(fit, meat, keys)
 
     def solve(row):
@@ -294,10 +341,10 @@ def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str]
     also each unit's score: s_u = c_u - W_u b.  The rows are not read again.
     """
     p = len(predictors)
-    rows = standardised(df, keys, [*predictors, outcome], kept=[unit])
+    rows, stats = _standardise(df, keys, [*predictors, outcome], kept=[unit])
     per_unit = gram(rows, [*keys, unit], [f"_z{i}" for i in range(p + 1)])
-    scale = F.first("_scale")
-    factors = rows.groupBy(*keys).agg(F.array(*[scale[p] / scale[i] for i in range(p)]).alias("factor"))
+    scale = F.col("_scale")
+    factors = stats.select(*keys, F.array(*[scale[p] / scale[i] for i in range(p)]).alias("factor"))
 
     def within(row):
         g = _square(row.gram, p + 2)
@@ -305,7 +352,7 @@ def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str]
         return [([w[i, j] for i, j in _packed(p + 1)], float(g[0, 0]))]
 
     fields = [T.StructField("within", _DOUBLES), T.StructField("rows", T.DoubleType())]
-    units = _solve_rows(per_unit, [*keys, unit], fields, within)
+    units = cut_lineage(_solve_rows(per_unit, [*keys, unit], fields, within))
     counts = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("rows").alias("n_rows"))
     total = add_arrays(units, keys, "within", (p + 1) * (p + 2) // 2)
 
@@ -319,7 +366,7 @@ def cluster_ols(df: DataFrame, keys: list[str], unit: str, predictors: list[str]
         w = _square(row.within, p + 1)
         return [((w[:p, p] - w[:p, :p] @ np.asarray(row.solution)).tolist(),)]
 
-    scores = _solve_rows(attach(units, fit, keys), [*keys, unit], [T.StructField("score", _DOUBLES)], score)
+    scores = _solve_rows(attach_few(units, fit, keys), [*keys, unit], [T.StructField("score", _DOUBLES)], score)
     meat = _outer_sum(scores, keys, "score", p, "meat")
     return _cluster_result(keys, predictors, attach(attach(attach(fit, meat, keys), counts, keys), factors, keys))
 
@@ -346,9 +393,9 @@ def cluster_logit(
     at = [*keys, unit]
     x = [F.col(f"_z{i}") for i in range(p)]
     pairs = _packed(p)
-    rows = standardised(df, keys, predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
-    scale = F.first("_scale")
-    factors = rows.groupBy(*keys).agg(F.array(*[1.0 / scale[i] for i in range(p)]).alias("factor"))
+    rows, stats = _standardise(df, keys, predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
+    scale = F.col("_scale")
+    factors = stats.select(*keys, F.array(*[1.0 / scale[i] for i in range(p)]).alias("factor"))
     effects = cut_lineage(rows.groupBy(*at).agg(
         F.log((F.sum("_y") + 0.5) / (F.count(F.lit(1)) - F.sum("_y") + 0.5)).alias("_alpha"),
         F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_ones"),
@@ -358,7 +405,7 @@ def cluster_logit(
 
     def unit_sums(models: DataFrame) -> DataFrame:
         """Newton terms of every unit of ``models``, with the unit's row of ``effects``."""
-        joined = join_null_safe(attach(rows, models.select(*keys, "_beta"), keys), effects.select(*at, "_alpha"), at)
+        joined = join_null_safe(attach_few(rows, models.select(*keys, "_beta"), keys), effects.select(*at, "_alpha"), at)
         prob = _sigmoid(F.col("_alpha") + reduce(add, [F.col("_beta")[i] * x[i] for i in range(p)]))
         joined = joined.withColumn("_p", prob).withColumn("_w", F.col("_p") * (1.0 - F.col("_p")))
         error = F.col("_y") - F.col("_p")
@@ -384,7 +431,7 @@ def cluster_logit(
             F.count(F.lit(1)).alias("_units"), F.array(*schur).alias("hessian"), F.array(*gradient).alias("gradient")
         ).filter("_units > 0")
         steps = cut_lineage(_solve_rows(totals, keys, fields, newton))
-        moved = attach(sums, steps.select(*keys, "_step"), keys)
+        moved = attach_few(sums, steps.select(*keys, "_step"), keys)
         shift = F.col("_ga") - reduce(add, [F.col("_step")[i] * F.col("_b")[i] for i in range(p)])
         bounded = F.col("_alpha") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), shift / F.col("_d")))
         held = F.when(F.col("_ones") > 0, 30.0).otherwise(-30.0)
@@ -493,7 +540,7 @@ def gee_exchangeable(
 
     def unit_sums(models: DataFrame) -> DataFrame:
         eta = reduce(add, [F.col("_beta")[i] * terms[i] for i in range(p)])
-        out = attach(rows, models.select(*keys, "_beta"), keys)
+        out = attach_few(rows, models.select(*keys, "_beta"), keys)
         out = out.withColumn("_mu", F.when(F.col("_binomial"), _sigmoid(eta)).otherwise(eta))
         out = out.withColumn("_v", F.when(F.col("_binomial"), F.col("_mu") * (1.0 - F.col("_mu"))).otherwise(1.0))
         root = F.sqrt("_v")
@@ -535,7 +582,7 @@ def gee_exchangeable(
         sums = unit_sums(models)
         rho = correlations(sums)
         rho = cut_lineage(rho if iteration else rho.withColumn("rho_", F.lit(0.0)))
-        totals = attach(sums, rho, keys).groupBy(*keys).agg(
+        totals = attach_few(sums, rho, keys).groupBy(*keys).agg(
             F.array(*[F.sum(e) for e in bread]).alias("bread_"), F.array(*[F.sum(e) for e in score]).alias("score_"),
             F.array(*[F.sum(score[i] * score[j]) for i, j in pairs]).alias("meat_"),
         )
@@ -1095,7 +1142,7 @@ def calibration_hc3(df: DataFrame, keys: list[str], observed: str = "observed",
         (F.var_pop(x) * F.count(F.lit(1))).alias("_sxx"), (F.covar_pop(x, y) * F.count(F.lit(1))).alias("_sxy"),
         (F.var_pop(y) * F.count(F.lit(1))).alias("_syy"),
     ).withColumn("slope", F.col("_sxy") / F.col("_sxx")).withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
-    rows = attach(df.select(*keys, predicted, observed), base, keys)
+    rows = attach_few(df.select(*keys, predicted, observed), base, keys)
     d = x - F.col("_mx")
     leverage = 1.0 / F.col("n") + d * d / F.col("_sxx")
     e = (y - F.col("intercept") - F.col("slope") * x) / (1.0 - leverage)
@@ -1123,8 +1170,8 @@ def influence(df: DataFrame, ids: list[str], predictors: list[str], outcome: str
     """
     names = ["Intercept", *predictors]
     p, at = len(names), names.index(term)
-    rows = standardised(df, [], [*predictors, outcome], kept=ids)
-    rows = attach(rows, least_squares(rows, [], p), [])
+    rows, stats = _standardise(df, [], [*predictors, outcome], kept=ids)
+    rows = attach(rows, least_squares(rows, stats, [], p), [])
     terms = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(p - 1)]
     unit = F.col("scale")[p - 1]
     rows = rows.withColumn("_h", _leverage(terms, "inverse")).withColumn("_e", unit * (F.col(f"_z{p - 1}") - _fitted(terms, "beta")))

@@ -46,6 +46,24 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner")
     )
 
 
+#: rows of a table that are sent to every task instead of moving the large side to them
+SENT_ROWS = 1000
+
+
+def attach_few(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``attach`` for groups that may be few, such as models or flags.
+
+    A shuffle by such keys would bring all rows of a group into one task, and
+    aggregates by the same keys would stay there.  The table is written out and
+    counted; up to ``SENT_ROWS`` rows go to the tasks of the large side, whose
+    rows stay where they are.
+    """
+    if not keys:
+        return attach(df, table, keys, how)
+    table = cut_lineage(table)
+    return attach(df, F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table, keys, how)
+
+
 def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Group aggregates on every row: partial aggregation, then ``attach``."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])

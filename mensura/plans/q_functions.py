@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import scalar as s
 from mensura.functions import special as sp
-from mensura.operators.ordering import attach, quantile_table
+from mensura.operators.ordering import attach_few, quantile_table
 from mensura.operators.windows import robust_z
 from mensura.plans.bindings import CM, EV, TR, channel_metrics, events, trials
 from mensura.plans.registry import query, table
@@ -115,7 +115,7 @@ def _(spark, d):
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_extendedprice")
     bounds = quantile_table(li, ["l_returnflag"], "l_extendedprice", {"lo": 0.025, "hi": 0.975})
-    return attach(li, bounds, ["l_returnflag"]).withColumn("price", F.greatest("lo", F.least("hi", "l_extendedprice")))
+    return attach_few(li, bounds, ["l_returnflag"]).withColumn("price", F.greatest("lo", F.least("hi", "l_extendedprice")))
 
 
 def flag_channels(metrics, keys):

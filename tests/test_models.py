@@ -41,6 +41,25 @@ def test_hc3(data):
     assert row.r_squared == pytest.approx(1 - (e @ e) / ((y - y.mean()) ** 2).sum())
 
 
+def test_few_models_leave_the_rows_in_place_and_equal_the_sums_in_sql(data, spark, monkeypatch):
+    pdf, _ = data
+    rows = pdf.assign(model=np.where(pdf.unit < 14, "x", None), a=pdf.a.where(pdf.row % 50 != 0))
+    df = spark.createDataFrame(rows[["model", "a", "b", "y"]].astype({"a": object}).where(rows[["model", "a", "b", "y"]].notna(), None), "model string, a double, b double, y double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = m.standardised(df, ["model"], ["a", "y"])._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+        few = {r.model: r for r in m.ols_hc3(df, ["model"], ["a", "b"], "y").collect()}
+        monkeypatch.setattr(m, "SENT_ROWS", 0)
+        many = {r.model: r for r in m.ols_hc3(df, ["model"], ["a", "b"], "y").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(few) == set(many) == {"x", None}
+    for k in few:
+        assert few[k].n == many[k].n and np.allclose(few[k].beta, many[k].beta) and np.allclose(few[k].cov, many[k].cov)
+
+
 def test_closed_form_calibration_equals_general_fit(data):
     pdf, df = data
     row = m.calibration_hc3(df, [], "y", "a").first()
