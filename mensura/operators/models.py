@@ -210,6 +210,10 @@ def _fitted(terms: list[Column], beta: str) -> Column:
     return total
 
 
+#: terms from which a few models take matrix products; fewer are quicker as sums in SQL
+MATRIX_TERMS = 8
+
+
 def ols_hc3(df: DataFrame, keys: list[str], predictors: list[str], outcome: str) -> DataFrame:
     """One row per model: ``terms``, ``beta``, ``cov`` (HC3, flattened), n, R2, adjusted R2, ``rank``.
 
@@ -221,7 +225,7 @@ def ols_hc3(df: DataFrame, keys: list[str], predictors: list[str], outcome: str)
     rows, stats = _standardise(df, keys, [*predictors, outcome])
     terms = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(p - 1)]
     pairs = _packed(p)
-    if keys and stats.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+    if keys and p >= MATRIX_TERMS and stats.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         numbered = cut_lineage(stats.withColumn("_m", F.monotonically_increasing_id()))
         upper, inner = np.triu_indices(p + 1), np.triu_indices(p)
         products = _sums_of_few(rows, keys, numbered, p, "gram", len(upper[0]), lambda model, x, whole: (x.T @ x)[upper])
