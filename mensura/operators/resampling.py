@@ -122,6 +122,10 @@ def paired_effects(
 BLOCK_ROWS = 8192
 #: counts held at once in a task: replicates x rows
 COUNT_CELLS = 2 << 20
+#: rows of a group whose replicates are ranked inside tasks, a share of the replicates in each
+RANKED_ROWS = 1 << 20
+#: counts of one turn of such a task, and of all its turns: at least and at most
+RANK_CELLS, TASK_CELLS = 1 << 18, (1 << 24, 1 << 28)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,26 +151,61 @@ def block_draws(total: int, block: int, key: str, replicates: int, block_rows: i
     finds its draws alone and the blocks of a replicate add up to ``total``.
     """
     draws, low, high = np.full(replicates, total, dtype=np.int64), 0, -(-total // block_rows)
-    rows = lambda a, b: min(total, b * block_rows) - a * block_rows
     while high - low > 1:
         middle = (low + high) // 2
-        drawn = np.random.Generator(np.random.PCG64(_digest(f"{key}|{low}|{high}"))).binomial(draws, rows(low, middle) / rows(low, high))
+        drawn = _left_draws(draws, total, low, high, key, block_rows)
         draws, low, high = (drawn, low, middle) if block < middle else (draws - drawn, middle, high)
     return draws
 
 
+def _left_draws(draws: np.ndarray, total: int, low: int, high: int, key: str, block_rows: int) -> np.ndarray:
+    """Draws of the blocks ``low`` to ``high`` - 1 that fall into the first half of them."""
+    rows = lambda a, b: min(total, b * block_rows) - a * block_rows
+    share = rows(low, (low + high) // 2) / rows(low, high)
+    return np.random.Generator(np.random.PCG64(_digest(f"{key}|{low}|{high}"))).binomial(draws, share)
+
+
+def all_block_draws(total: int, key: str, replicates: int, block_rows: int, first: int, last: int) -> list[np.ndarray]:
+    """``block_draws`` of every block, for the replicates ``first`` to ``last`` - 1; each node is split once."""
+
+    def below(draws: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        if high - low == 1:
+            return [draws[first:last].copy()]
+        middle, drawn = (low + high) // 2, _left_draws(draws, total, low, high, key, block_rows)
+        return below(drawn, low, middle) + below(draws - drawn, middle, high)
+
+    return below(np.full(replicates, total, dtype=np.int64), 0, -(-total // block_rows))
+
+
+def _counted(rows: int, own: np.ndarray, first: int, block: int, key: str) -> np.ndarray:
+    """How often each of ``rows`` rows is drawn, for replicates from ``first`` on with ``own`` draws each."""
+    base = np.array([_digest(f"{key}|{rep}|{block}") for rep in range(first, first + len(own))], dtype=np.uint64)
+    rep = np.repeat(np.arange(len(own)), own)
+    turn = np.arange(1, len(rep) + 1) - np.repeat(np.cumsum(own) - own, own)
+    high = mixed(base[rep] + turn.astype(np.uint64) * _STEP) >> np.uint64(32)
+    place = (high * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
+    return np.bincount(rep * rows + place, minlength=len(own) * rows).reshape(len(own), rows)
+
+
 def draw_counts(rows: int, total: int, block: int, key: str, replicates: int, block_rows: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first replicate, counts of shape replicates x rows) of a block with ``rows`` rows; all replicates in turn."""
     draws = block_draws(total, block, key, replicates, block_rows)
     each = max(1, COUNT_CELLS // max(rows, int(draws.max(initial=1))))
     for first in range(0, replicates, each):
-        own = draws[first : first + each]
-        base = np.array([_digest(f"{key}|{rep}|{block}") for rep in range(first, first + len(own))], dtype=np.uint64)
-        rep = np.repeat(np.arange(len(own)), own)
-        turn = np.arange(1, len(rep) + 1) - np.repeat(np.cumsum(own) - own, own)
-        high = mixed(base[rep] + turn.astype(np.uint64) * _STEP) >> np.uint64(32)
-        place = (high * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
-        yield first, np.bincount(rep * rows + place, minlength=len(own) * rows).reshape(len(own), rows)
+        yield first, _counted(rows, draws[first : first + each], first, block, key)
+
+
+def group_counts(total: int, key: str, replicates: int, block_rows: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``draw_counts`` of all blocks of a group side by side, for the replicates ``first`` to ``last`` - 1 in turn."""
+    draws = all_block_draws(total, key, replicates, block_rows, first, last)
+    each = max(1, RANK_CELLS // total)
+    for low in range(first, last, each):
+        high = min(last, low + each)
+        counts = np.empty((high - low, total), dtype=np.int64)
+        for block, own in enumerate(draws):
+            begin, end = block * block_rows, min(total, (block + 1) * block_rows)
+            counts[:, begin:end] = _counted(end - begin, own[low - first : high - first], low, block, key)
+        yield low, counts
 
 
 def _blocks(df: DataFrame, keys: list[str], unit: str, values: list[str], seed, block_rows: int) -> DataFrame:
@@ -221,15 +260,58 @@ def bootstrap_sums(
     return parts.groupBy(*keys, "rep").agg(*[F.sum(f.name).alias(f.name) for f in fields[1:]])
 
 
-def _count_ranks(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Average ranks of the rows in every replicate, from how often each is drawn."""
+def _ties(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows, first place of every distinct value in it, number of its value for each row."""
     order = np.argsort(values, kind="stable")
     change = np.concatenate([[True], values[order][1:] != values[order][:-1]])
-    ties = np.add.reduceat(counts[:, order], np.flatnonzero(change), axis=1)
-    ranks = np.cumsum(ties, axis=1) - (ties - 1) / 2.0
     of_row = np.empty(len(values), dtype=np.int64)
     of_row[order] = np.cumsum(change) - 1
-    return ranks[:, of_row]
+    return order, np.flatnonzero(change), of_row
+
+
+def _counted_correlations(batches: Iterator[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(replicates, their rank correlations) from how often each row is drawn; null where undefined.
+
+    A replicate has as many draws as rows.  Ranks belong to distinct values, so
+    sums of squares run over values and only the products run over rows.
+    """
+    total, middle = len(x), (len(x) + 1) / 2.0
+    order, starts, _ = _ties(x)
+    places, begins, value_of = _ties(y)
+    value_of = value_of[order]
+    for first, counts in batches:
+        in_x = np.take(counts, order, axis=1)
+        tx, ty = np.add.reduceat(in_x, starts, axis=1), np.add.reduceat(np.take(counts, places, axis=1), begins, axis=1)
+        rx, ry = (np.cumsum(t, axis=1) - (t - 1) / 2.0 - middle for t in (tx, ty))
+        xx, yy = (np.einsum("ij,ij,ij->i", t, r, r) for t, r in ((tx, rx), (ty, ry)))
+        xy = np.einsum("ij,ij->i", rx, np.add.reduceat(in_x * np.take(ry, value_of, axis=1), starts, axis=1))
+        defined = (xx > 0) & (yy > 0) & (total >= 3)
+        rho = np.divide(xy, np.sqrt(xx * yy), out=np.zeros(len(xy)), where=defined)
+        yield np.arange(first, first + len(counts)), pa.array(rho, mask=~defined)
+
+
+def _ranked_in_tasks(blocks: DataFrame, keys: list[str], schema: T.StructType, replicates: int, block_rows: int) -> DataFrame:
+    """Rank correlations of groups of several blocks: a task has a group's rows and a share of its replicates."""
+    least, most = TASK_CELLS
+    width = _width(blocks.sparkSession)
+    cells = F.col("_total") * F.lit(replicates)
+    shares = F.least(F.lit(replicates), F.greatest(F.ceil(cells / most), F.least(F.lit(width), F.ceil(cells / least)))).cast("int")
+    dealt = blocks.withColumn("_shares", shares).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+
+    def ranked(table: pa.Table) -> pa.Table:
+        one = lambda name: table.column(name)[0].as_py()
+        table = table.sort_by("_block")
+        rows = [part.values for part in table.column("_rows").combine_chunks()]
+        x, y = (np.concatenate([r.field(f"_v{k}").to_numpy(zero_copy_only=False) for r in rows]) for k in range(2))
+        shares, share = one("_shares"), one("_share")
+        counts = group_counts(len(x), one("_key"), replicates, block_rows, replicates * share // shares, replicates * (share + 1) // shares)
+        reps, rhos = zip(*_counted_correlations(counts, x, y))
+        reps = np.concatenate(reps)
+        heads = [table.column(f.name).take(pa.array(np.zeros(len(reps), dtype=np.int64))) for f in schema.fields[:-2]]
+        return pa.Table.from_arrays([*heads, pa.array(reps), pa.chunked_array(rhos)], names=schema.names)
+
+    # more partitions than tasks at a time, since shares meet in them by hash
+    return dealt.repartition(4 * width, *keys, "_share").groupBy(*keys, "_share").applyInArrow(ranked, schema)
 
 
 def bootstrap_rank_correlation(
@@ -237,22 +319,22 @@ def bootstrap_rank_correlation(
 ) -> DataFrame:
     """Rank correlation of the rows drawn in each replicate: keys, ``rep``, ``rho`` (null where undefined).
 
-    Groups of one block rank their counts inside the task.  Larger groups keep
-    counted rows, which are ranked by the ordering layer with the counts as weights.
+    Groups of one block rank their counts inside the task.  Groups up to
+    ``RANKED_ROWS`` do so too, with their replicates dealt to tasks.  Larger
+    groups keep counted rows, which are ranked by the ordering layer with the
+    counts as weights.
     """
     blocks = cut_lineage(_blocks(df, keys, unit, [x, y], seed, block_rows))
 
     def whole(rows, total, block, key):
-        for first, counts in draw_counts(len(rows), total, block, key, replicates, block_rows):
-            middle = (total + 1) / 2.0
-            rx, ry = _count_ranks(counts, rows[:, 0]) - middle, _count_ranks(counts, rows[:, 1]) - middle
-            xx, yy, xy = ((counts * a * b).sum(axis=1) for a, b in ((rx, rx), (ry, ry), (rx, ry)))
-            defined = (xx > 0) & (yy > 0) & (total >= 3)
-            rho = np.divide(xy, np.sqrt(xx * yy), out=np.zeros(len(xy)), where=defined)
-            yield np.arange(first, first + len(counts)), pa.array(rho, mask=~defined)
+        return _counted_correlations(draw_counts(len(rows), total, block, key, replicates, block_rows), rows[:, 0], rows[:, 1])
 
     fields = [T.StructField("rep", T.LongType()), T.StructField("rho", T.DoubleType())]
     small = _each_block(blocks.filter(F.col("_total") <= block_rows), keys, 2, fields, whole)
+    many = F.col("_total") > max(block_rows, RANKED_ROWS)
+    inside = small.unionByName(_ranked_in_tasks(blocks.filter((F.col("_total") > block_rows) & ~many), keys, small.schema, replicates, block_rows))
+    if blocks.filter(many).isEmpty():
+        return inside
 
     def counted(rows, total, block, key):
         for first, counts in draw_counts(len(rows), total, block, key, replicates, block_rows):
@@ -260,7 +342,7 @@ def bootstrap_rank_correlation(
             yield rep + first, rows[row, 0], rows[row, 1], counts[rep, row]
 
     fields = [fields[0], T.StructField("_x", T.DoubleType()), T.StructField("_y", T.DoubleType()), T.StructField("_c", T.LongType())]
-    drawn = _each_block(blocks.filter(F.col("_total") > block_rows), keys, 2, fields, counted)
+    drawn = _each_block(blocks.filter(many), keys, 2, fields, counted)
     by, ranked = [*keys, "rep"], drawn
     for column, name in (("_x", "_rx"), ("_y", "_ry")):
         ranks = rank_table(drawn, by, column, weight=F.col("_c")).select(*by, column, F.col("rank").alias(name))
@@ -271,7 +353,7 @@ def bootstrap_rank_correlation(
     )
     xx, yy, xy = (F.expr(f"_{k} - _{i} * _{j} / n") for k, i, j in ((2, 0, 0), (3, 1, 1), (4, 0, 1)))
     large = sums.select(*by, F.when((xx > 0) & (yy > 0) & (F.col("n") >= 3), xy / F.sqrt(xx * yy)).alias("rho"))
-    return small.unionByName(large)
+    return inside.unionByName(large)
 
 
 def bootstrap_mean(

@@ -94,6 +94,25 @@ def test_bootstraps_equal_drawn_rows(spark, monkeypatch, block_rows, cells):
             assert ranks[k, rep] == pytest.approx(drawn.x.rank().corr(drawn.y.rank()))
 
 
+@pytest.mark.parametrize("shares", [(1 << 24, 1 << 28), (16, 200)])
+def test_groups_of_several_blocks_are_ranked_in_tasks(spark, monkeypatch, shares):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": [None] * 40 + ["b"] * 25, "u": rng.permutation(65), "x": rng.integers(0, 9, 65).astype(float), "y": rng.normal(size=65).round(1)})
+    df = spark.createDataFrame([(r.k if isinstance(r.k, str) else None, int(r.u), r.x, r.y) for r in pdf.itertuples()], "k string, u int, x double, y double")
+    run = lambda: {(s.k, s.rep): s.rho for s in r.bootstrap_rank_correlation(df, ["k"], "u", "x", "y", 3, 30, 6).collect()}
+    monkeypatch.setattr(r, "RANKED_ROWS", 6, raising=False)
+    ordered = run()
+    monkeypatch.setattr(r, "RANKED_ROWS", 100)
+    monkeypatch.setattr(r, "TASK_CELLS", shares, raising=False)
+
+    def no_rows(*_, **__):
+        raise AssertionError("drawn rows left the task")
+
+    monkeypatch.setattr(r, "rank_table", no_rows)
+    inside = run()
+    assert len(ordered) == 60 and inside == {k: pytest.approx(v) for k, v in ordered.items()}
+
+
 def test_undefined_replicates_are_null(spark):
     df = spark.createDataFrame([(u, 1.0, float(u)) for u in range(6)], "u int, x double, y double")
     for block_rows in (8192, 2):
