@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from mensura.functions.scalar import hash_bits, spearman_brown
+from mensura.functions.scalar import spearman_brown
 from mensura.functions.special import normal_two_sided_p, t_quantile, t_two_sided_p
 from mensura.operators.aggregates import corrected_skewness, spearman
 from mensura.operators.graph import connected_components
@@ -410,24 +410,146 @@ def bootstrap_split_half(
 
 # --- sign flips --------------------------------------------------------------------
 
+#: signs of a turn, in hashes; sums that a task holds before it hands them on
+FLIP_HASHES, FLIP_SUMS = 1 << 14, 1 << 23
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MD5_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+
+
+def _md5_words(words: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """First word of the MD5 of messages of one block, given as 16 words that spread to ``shape``."""
+    a, b, c, d = (np.full(shape, v, dtype=np.uint32) for v in _MD5_START)
+    f, spare = np.empty(shape, dtype=np.uint32), np.empty(shape, dtype=np.uint32)
+    for i in range(61):  # the last three steps do not touch the first word
+        if i < 16:
+            place = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            place = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            place = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            place = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += words[place] + np.uint32(_MD5_SINES[i])
+        turn = _MD5_TURNS[i // 16][i % 4]
+        np.left_shift(f, np.uint32(turn), out=spare)
+        f >>= np.uint32(32 - turn)
+        f |= spare
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return b + np.uint32(_MD5_START[0])
+
+
+def sign_words(seed: str, blocks: range, units: list[str | None]) -> np.ndarray:
+    """First 32 bits of the MD5 of ``seed|block|unit``, blocks x units, as the digest's bytes lie in memory.
+
+    Short ids are hashed side by side.  Long ones, and a missing id, which
+    leaves its place out as in ``hash_bits``, go one by one.
+    """
+    out = np.empty((len(blocks), len(units)), dtype="<u4")
+    texts = [None if u is None else u.encode() for u in units]
+    low = blocks.start
+    while low < blocks.stop:
+        high = min(blocks.stop, 10 ** len(str(low)))  # numbers of one length
+        heads = [f"{seed}|{b}|".encode() for b in range(low, high)]
+        start = len(heads[0])
+        short = [i for i, t in enumerate(texts) if t is not None and start + len(t) <= 55]
+        for i in sorted(set(range(len(texts))) - set(short)):
+            for j, head in enumerate(heads):
+                digest = hashlib.md5(head[:-1] if texts[i] is None else head + texts[i]).digest()
+                out[low - blocks.start + j, i] = int.from_bytes(digest[:4], "little")
+        if short:
+            sizes = np.array([len(texts[i]) for i in short])
+            tail = np.zeros((len(short), 64), dtype=np.uint8)
+            longest = max(1, int(sizes.max()))
+            tail[:, start : start + longest] = np.array([texts[i] for i in short], dtype=f"S{longest}").view(np.uint8).reshape(len(short), longest)
+            tail[np.arange(len(short)), start + sizes] = 0x80
+            tail.view("<u4")[:, 14] = 8 * (start + sizes)
+            front = np.zeros((len(heads), 64), dtype=np.uint8)
+            front[:, :start] = np.frombuffer(b"".join(heads), dtype=np.uint8).reshape(len(heads), start)
+            tails, fronts = (np.ascontiguousarray(m.view("<u4").T) for m in (tail, front))
+            words = [t[None, :] if not f.any() else f[:, None] if not t.any() else f[:, None] | t[None, :] for t, f in zip(tails, fronts)]
+            out[low - blocks.start : high - blocks.start, short] = _md5_words(words, (len(heads), len(short)))
+        low = high
+    return out
+
+
 def sign_flip_sums(
     df: DataFrame, keys: list[str], unit: str, value: str, seed, replicates: int
 ) -> DataFrame:
     """Sum of randomly signed values per group and replicate.
 
-    One hash gives the signs of 32 replicates, which become 32 sums of a single
-    aggregate.  Partial sums are formed before the shuffle, so it carries
-    replicates per task and not replicates per unit.  The same unit gets the
-    same sign in every group.
+    One hash of (seed, block of 32 replicates, unit) gives the signs of 32
+    replicates.  Tasks hash their units side by side and multiply signs with
+    values, so the shuffle carries replicates per task and not replicates per
+    unit.  The same unit gets the same sign in every group.
     """
-    blocks = math.ceil(replicates / SIGNS_PER_HASH)
-    spread = df.select(*keys, unit, value).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    bits = spread.withColumn("_bits", hash_bits(seed, "_block", unit, digits=8))
-    signed = [
-        F.sum(F.when(F.shiftright("_bits", j).bitwiseAND(1) == 1, F.col(value)).otherwise(-F.col(value))).alias(f"_s{j}")
-        for j in range(SIGNS_PER_HASH)
-    ]
-    sums = bits.groupBy(*keys, "_block").agg(*signed)
+    n_blocks = math.ceil(replicates / SIGNS_PER_HASH)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(unit).cast("string").alias("_unit"), F.col(value).cast("double").alias("_value"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [
+        T.StructField("_block", T.IntegerType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+    heads = [f.name for f in schema.fields[:-2]]
+    most = max(1, FLIP_SUMS // (n_blocks * SIGNS_PER_HASH))  # groups
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[pa.RecordBatch, np.ndarray]] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for head, sums in held.values():
+                columns = [head.column(k).take(pa.array(np.zeros(n_blocks, dtype=np.int64))) for k in heads]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n_blocks + 1) * SIGNS_PER_HASH, pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n_blocks), pa.int32()), lists], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*[batch.column(k).to_pylist() for k in heads]) if heads else [()] * batch.num_rows):
+                groups.setdefault(group, []).append(i)
+            ids = batch.column("_unit").dictionary_encode(null_encoding="encode")
+            code_of, units = ids.indices.to_numpy(zero_copy_only=False), np.array(ids.dictionary.to_pylist(), dtype=object)
+            values = batch.column("_value").to_numpy(zero_copy_only=False)
+            named = list(groups.items())
+            for start in range(0, len(named), most):
+                some = named[start : start + most]
+                order = np.concatenate([places for _, places in some])
+                own, code = np.unique(code_of[order], return_inverse=True)
+                bounds = np.concatenate([[0], np.cumsum([len(places) for _, places in some])])
+                sums = np.empty((len(some), n_blocks, SIGNS_PER_HASH))
+                each = max(1, FLIP_HASHES // len(order))
+                for low in range(0, n_blocks, each):
+                    high = min(n_blocks, low + each)
+                    words = np.take(sign_words(str(seed), range(low, high), list(units[own])), code, axis=1)
+                    bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 4), axis=-1)
+                    signs = (bits.view(np.int8) * np.int8(2) - np.int8(1)).astype(np.float64)
+                    for g in range(len(some)):
+                        part = slice(bounds[g], bounds[g + 1])
+                        sums[g, low:high] = np.matmul(values[order[part]], signs[:, part])[:, ::-1]  # the lowest bit comes first
+                for g, (group, places) in enumerate(some):
+                    if group in held:
+                        np.add(held[group][1], sums[g], out=held[group][1])
+                    else:
+                        held[group] = batch.slice(places[0], 1), sums[g].copy()
+                if len(held) >= most:
+                    yield from handed_on()
+        yield from handed_on()
+
+    # a unit's rows meet, so its hashes serve all its groups
+    dealt = rows.repartition(_width(rows.sparkSession), "_unit").mapInArrow(flip, schema)
+    sums = dealt.groupBy(*keys, "_block").agg(*[F.sum(F.col("_sums")[j]).alias(f"_s{j}") for j in range(SIGNS_PER_HASH)])
     return (
         sums.select(*keys, "_block", F.posexplode(F.array(*[f"_s{j}" for j in range(SIGNS_PER_HASH)])).alias("_j", "signed_sum"))
         .withColumn("rep", F.col("_block") * SIGNS_PER_HASH + F.col("_j"))

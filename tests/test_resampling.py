@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -46,6 +47,23 @@ def test_sign_flips_repeat_and_match_direct_sums(values):
     assert test.loc["a"].p_value == pytest.approx((null >= abs(d.mean())).mean(), abs=0.05)
 
 
+@pytest.mark.parametrize("held", [1 << 23, 40])
+def test_signs_are_hash_bits_of_any_unit_and_no_row_is_made_per_block(spark, monkeypatch, held):
+    units = [None, "", "7", "u" * 80, "längerer Name", "x" * 43, *map(str, range(20))]
+    rows = [(k, u, 0.1 + i) for k in ("a", None) for i, u in enumerate(units) if k or i % 3]
+    df = spark.createDataFrame(rows, "k string, unit string, d double")
+    monkeypatch.setattr(r, "FLIP_SUMS", held, raising=False)
+    monkeypatch.setattr(r, "FLIP_HASHES", 1000, raising=False)
+    sums = r.sign_flip_sums(df, ["k"], "unit", "d", "s", 400)
+    got = {(s.k, s.rep): s.signed_sum for s in sums.collect()}
+    assert len(got) == 800
+    for (k, rep), total in got.items():
+        bits = {u: int(hashlib.md5(f"s|{rep // 32}{'' if u is None else '|' + u}".encode()).hexdigest()[:8], 16) >> rep % 32 & 1 for u in units}
+        assert total == pytest.approx(sum(d if bits[u] else -d for g, u, d in rows if g == k))
+    before_shuffle = sums._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
+    assert "Generate" not in before_shuffle and "md5" not in before_shuffle
+
+
 def test_bootstrap_interval_matches_reference_within_noise(values):
     pdf, df = values
     out = r.bootstrap_mean(df, ["m"], "unit", "d", "b", 1500).toPandas().set_index("m")
