@@ -529,15 +529,18 @@ def sign_flip_sums(
                 own, code = np.unique(code_of[order], return_inverse=True)
                 bounds = np.concatenate([[0], np.cumsum([len(places) for _, places in some])])
                 sums = np.empty((len(some), n_blocks, SIGNS_PER_HASH))
-                each = max(1, FLIP_HASHES // len(order))
-                for low in range(0, n_blocks, each):
-                    high = min(n_blocks, low + each)
-                    words = np.take(sign_words(str(seed), range(low, high), list(units[own])), code, axis=1)
-                    bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 4), axis=-1)
-                    signs = (bits.view(np.int8) * np.int8(2) - np.int8(1)).astype(np.float64)
-                    for g in range(len(some)):
-                        part = slice(bounds[g], bounds[g + 1])
-                        sums[g, low:high] = np.matmul(values[order[part]], signs[:, part])[:, ::-1]  # the lowest bit comes first
+                ahead, each = max(1, 4 * FLIP_HASHES // len(own)), max(1, FLIP_HASHES // len(order))
+                texts = list(units[own])
+                for first in range(0, n_blocks, ahead):
+                    hashed = sign_words(str(seed), range(first, min(n_blocks, first + ahead)), texts)
+                    for low in range(0, len(hashed), each):
+                        words = np.take(hashed[low : low + each], code, axis=1)
+                        bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 4), axis=-1)
+                        signs = (bits.view(np.int8) * np.int8(2) - np.int8(1)).astype(np.float64)
+                        for g in range(len(some)):
+                            part = slice(bounds[g], bounds[g + 1])
+                            signed = np.matmul(values[order[part]], signs[:, part])[:, ::-1]  # the lowest bit comes first
+                            sums[g, first + low : first + low + len(words)] = signed
                 for g, (group, places) in enumerate(some):
                     if group in held:
                         np.add(held[group][1], sums[g], out=held[group][1])
