@@ -77,8 +77,8 @@ behdiff as (select metric, unit, max(case when condition = 'A' then value end) -
 SERIES_ROWS = 2_000_000
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly series: unit = user, channel = event type, trial = day, s = hour, zero filled.
+def daily_series(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly series by day: unit = user, channel = event type, trial = day, ``values`` of its hours, zero filled.
 
     Types and days are those of the table; days count from its first.  Only the
     hours with events are shuffled: a unit's are brought together, and the
@@ -103,10 +103,14 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(len(types) * days - 1).cast("bigint")) if types else F.array().cast("array<bigint>")
     empty = F.array(*[F.lit(0.0)] * N_HOURS)
     unseen = F.transform(F.array_except(every, F.col("seen.epoch")), lambda e: F.struct(e.alias("epoch"), empty.alias("values")))
-    filled = seen.select("unit", F.explode(F.concat("seen", unseen)).alias("e")).select(
+    return seen.select("unit", F.explode(F.concat("seen", unseen)).alias("e")).select(
         "unit", F.get(channels, (F.col("e.epoch") / max(1, days)).cast("int")).alias("channel"),
-        (F.col("e.epoch") % max(1, days)).cast("int").alias("trial"), F.posexplode("e.values").alias("s", "x"))
-    return filled
+        (F.col("e.epoch") % max(1, days)).cast("int").alias("trial"), F.col("e.values").alias("values"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """``daily_series`` with a row per hour: unit, channel, trial, s = hour, x."""
+    return daily_series(spark, d).select("unit", "channel", "trial", F.posexplode("values").alias("s", "x"))
 
 
 SMP = """smp as (select g.unit, g.channel, g.trial, g.s, coalesce(c.x, 0.0) as x from

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mensura.operators.joins import windows_join
 from mensura.operators.ordering import attach
-from mensura.plans.bindings import CM, EV, LOG, SMP, channel_metrics, event_log, samples
+from mensura.plans.bindings import CM, EV, LOG, SMP, channel_metrics, daily_series, event_log
 from mensura.plans.registry import query, table
 from mensura.plans.sqltext import ctes
 from mensura.session import cut_lineage, scratch
@@ -110,10 +110,11 @@ def _(spark, d):
 def _(spark, d):
     # the hourly series of every user as a recording of its own, a day a record; two channels in 18 windows are read
     path = scratch(spark)
-    series = samples(spark, d).select(
-        F.col("unit").cast("string").alias("file"), "channel", (F.col("trial") * 24 + F.col("s")).cast("bigint").alias("sample"), F.round(F.col("x") * 100).alias("value"))
-    recordings.write_recordings(series, path, rate=24)
-    lengths = series.groupBy("file").agg((F.max("sample") + 1).alias("n"))
+    series = daily_series(spark, d).select(
+        F.col("unit").cast("string").alias("file"), "channel", F.col("trial").cast("bigint").alias("record"),
+        F.transform("values", lambda x: F.round(x * 100)).alias("values"))
+    recordings.write_records(series, path, rate=24)
+    lengths = series.groupBy("file").agg((F.max("record") * 24 + 24).alias("n"))
     windows = lengths.select("file", F.explode(tables.even_windows("n", 48, 18)).alias("window_start")).withColumn("stop", F.col("window_start") + 48)
     read = recordings.read_recordings(spark, path, ["click", "view"], windows)
     return read.groupBy(F.col("file").alias("unit"), "channel", "window_start").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

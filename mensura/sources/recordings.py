@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mensura.sources.storage import listed, new_file, open_input
 
 #: bytes of wanted channels that a task reads at once
 RANGE_BYTES = 8 << 20
+#: samples of windows that a task gathers before it hands them on
+HELD_SAMPLES = 1 << 16
 #: Field widths of the file header and of its channel part.
 FILE_FIELDS = {"version": 8, "subject": 80, "recording": 80, "date": 8, "time": 8, "header_bytes": 8, "reserved": 44, "records": 8, "seconds": 8, "channels": 4}
 CHANNEL_FIELDS = {"label": 16, "transducer": 80, "unit": 8, "physical_min": 8, "physical_max": 8, "digital_min": 8, "digital_max": 8, "filter": 80, "samples": 8, "reserved": 32}
@@ -153,27 +155,44 @@ def read_recordings(
     kind = pa.float64() if physical else pa.int32()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, object, Header] | None = None
+        held: tuple[str, object, Header, list[int]] | None = None
+        parts: list[tuple[str, str, int, np.ndarray, int]] = []  # file, channel, first sample, values, window
+
+        def handed_on() -> pa.RecordBatch:
+            sizes = np.array([len(p[3]) for p in parts])
+            repeated = lambda i, kind: pa.array([p[i] for p in parts], kind).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out = pa.RecordBatch.from_arrays([
+                repeated(0, pa.string()), repeated(1, pa.string()), pa.array(np.repeat([p[2] for p in parts], sizes) + within),
+                pa.array(np.concatenate([p[3] for p in parts]), kind), repeated(4, pa.int64()),
+            ], names=["file", "channel", "sample", "value", "window_start"])
+            parts.clear()
+            return out
+
+        waiting = 0
         for batch in batches:
             for row in batch.to_pylist():
                 if held is None or held[0] != row["path"]:
                     if held:
                         held[1].close()
                     file = open_input(row["path"])
-                    held = row["path"], file, read_header(file)
-                _, file, header = held
+                    header = read_header(file)
+                    held = row["path"], file, header, _wanted(header, channels, row["path"])
+                _, file, header, wanted = held
                 rate = row["rate"]
                 start, stop = max(row["window_start"], row["first"] * rate), min(row["stop"], row["last"] * rate)
                 first, last = start // rate, -(-stop // rate)
-                for c, values in read_records(file, header, first, last, _wanted(header, channels, row["path"])).items():
+                for c, values in read_records(file, header, first, last, wanted).items():
                     values = values[start - first * rate : stop - first * rate]
                     if physical:
                         values = values * header.scale[c] + header.offset[c]
-                    n = len(values)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["file"]] * n, pa.string()), pa.array([header.channels[c]] * n, pa.string()),
-                        pa.array(np.arange(start, start + n)), pa.array(values, kind), pa.array(np.full(n, row["window_start"])),
-                    ], names=["file", "channel", "sample", "value", "window_start"])
+                    parts.append((row["file"], header.channels[c], start, values, row["window_start"]))
+                    waiting += len(values)
+                if waiting >= HELD_SAMPLES:
+                    yield handed_on()
+                    waiting = 0
+        if parts:
+            yield handed_on()
         if held:
             held[1].close()
 
@@ -193,48 +212,89 @@ def _header_bytes(channels: list[str], rate: int, records: int, seconds: float,
 def write_recordings(rows: DataFrame, folder: str, rate: int, seconds: float = 1.0, limit: float = 262144.0) -> None:
     """One file per ``file`` from ``file``, ``channel``, ``sample``, ``value``; samples count from 0 without gaps.
 
-    A task writes its files record by record, so it holds one record.  The last
-    record is filled with zeros.
+    A record's samples of a channel are brought together first; the last record
+    is filled with zeros.
     """
-    sizes = rows.groupBy("file").agg((F.floor(F.max("sample") / rate) + 1).alias("records"), F.count_distinct("channel").alias("n_channels"))
-    ordered = rows.join(sizes, "file").select(
-        "file", F.floor(F.col("sample") / rate).cast("bigint").alias("record"), "channel", "sample", F.col("value").cast("bigint").alias("value"), "records", "n_channels"
-    ).repartition("file").sortWithinPartitions("file", "record", "channel", "sample")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, dict[str, np.ndarray]]]:
-        """(file, records, channels, record, values of each channel) record by record."""
-        current, held = None, {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                at = (r["file"], r["records"], r["n_channels"], r["record"])
-                if at != current:
-                    if current is not None:
-                        yield *current, held
-                    current, held = at, {}
-                held.setdefault(r["channel"], []).append((r["sample"], r["value"]))
-        if current is not None:
-            yield *current, held
+    record = F.floor(F.col("sample") / rate).cast("bigint")
+    parts = rows.groupBy("file", "channel", record.alias("record")).agg(
+        F.sort_array(F.collect_list(F.struct("sample", F.col("value").cast("bigint").alias("value")))).alias("held"))
+    gapless = F.forall(
+        F.transform("held", lambda h, i: h["sample"] == F.col("record") * rate + i), lambda ok: F.coalesce(ok, F.lit(False)))
+    # a gap leaves the part empty, which no record is
+    write_records(parts.select("file", "channel", "record", F.when(gapless, F.col("held.value")).otherwise(F.array().cast("array<bigint>")).alias("values")),
+                  folder, rate, seconds, limit)
+
+
+def write_records(records: DataFrame, folder: str, rate: int, seconds: float = 1.0, limit: float = 262144.0) -> None:
+    """One file per ``file`` from ``file``, ``channel``, ``record``, ``values``; records count from 0 without gaps.
+
+    Only the last record may be short of ``rate`` values; it is filled with
+    zeros.  A task writes the records it has at a time, never a whole file.
+    """
+    whole = Window.partitionBy("file")
+    # the window needs no further sort, since files are together already
+    ordered = records.filter("file is not null").select(
+        "file", "record", "channel", F.transform("values", lambda v: v.cast("bigint")).alias("values")
+    ).repartition("file").sortWithinPartitions("file", "record", "channel").select(
+        "*", (F.max("record").over(whole) + 1).alias("records"), F.size(F.collect_set("channel").over(whole)).alias("n_channels"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, stream, context, names, due = [], None, None, None, 0
-        for file, records, n_channels, record, held in parts(batches):
-            if not made or made[-1] != file:
+        made, stream, context, names, due, open_file = [], None, None, [], 0, None
+        left: list[pa.RecordBatch] = []  # the parts of a record that is not yet complete
+
+        def put(table: pa.Table) -> None:
+            """Write rows of whole records of one file."""
+            nonlocal stream, context, names, due, open_file
+            file, n_records, n_channels = (table.column(c)[0].as_py() for c in ("file", "records", "n_channels"))
+            if file != open_file:
                 if context is not None:
                     context.__exit__(None, None, None)
                 context = new_file(f"{folder}/{file}.bdf")
-                stream, names, due = context.__enter__(), sorted(held), 0
-                stream.write(_header_bytes(names, rate, records, seconds, limit))
+                stream, due, open_file = context.__enter__(), 0, file
+                names = table.column("channel")[:n_channels].to_pylist()
+                stream.write(_header_bytes(names, rate, n_records, seconds, limit))
                 made.append(file)
-            if record != due or sorted(held) != names or len(names) != n_channels:
+            record = table.column("record").to_numpy()
+            if (record != due + np.arange(len(record)) // n_channels).any() or table.column("channel").to_pylist() != names * (len(record) // n_channels):
                 raise ValueError(f"recording {file} has a gap at record {due}")
-            for name in names:
-                values = np.zeros(rate, dtype=np.int64)
-                samples = [s for s, _ in held[name]]
-                if samples != list(range(record * rate, record * rate + len(samples))) or len(samples) < rate and record < records - 1:
-                    raise ValueError(f"recording {file} has a gap in record {record} of {name}")
-                values[: len(samples)] = [v for _, v in held[name]]
-                stream.write(encode(values))
-            due += 1
+            lists = table.column("values").combine_chunks()
+            if lists.null_count or lists.flatten().null_count:
+                raise ValueError(f"recording {file} lacks a value")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            if (sizes != rate).any():
+                wrong = (sizes < 1) | (sizes > rate) | (sizes < rate) & (record < n_records - 1)
+                if wrong.any():
+                    raise ValueError(f"recording {file} has a gap in record {record[wrong][0]} of {names[int(np.argmax(wrong)) % n_channels]}")
+                filled = np.zeros((len(sizes), rate), dtype=np.int64)
+                filled[np.arange(rate)[None, :] < sizes[:, None]] = values
+                values = filled.ravel()
+            stream.write(encode(values))
+            due += len(record) // n_channels
+
+        def files(table: pa.Table) -> None:
+            code = table.column("file").combine_chunks().dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for low, high in zip(cuts, cuts[1:]):
+                put(table.slice(low, high - low))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column("file").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            record = batch.column("record").to_numpy(zero_copy_only=False)
+            # the batch's last record may go on in the next one
+            ends = np.flatnonzero((code[1:] != code[:-1]) | (record[1:] != record[:-1])) + 1
+            same = not left or left[-1].column("file")[-1].as_py() == batch.column("file")[0].as_py() and left[-1].column("record")[-1].as_py() == record[0]
+            if not same or len(ends):
+                cut = int(ends[-1]) if len(ends) else 0
+                head = [*left, batch.slice(0, cut)] if cut else left
+                files(pa.Table.from_batches(head))
+                left = []
+                batch = batch.slice(cut)
+            left.append(batch)
+        if left:
+            files(pa.Table.from_batches(left))
         if context is not None:
             context.__exit__(None, None, None)
         yield pa.RecordBatch.from_pydict({"file": pa.array(made, pa.string())})

@@ -95,3 +95,22 @@ def test_last_record_is_filled(spark, tmp_path):
     rec.write_recordings(rows, str(tmp_path / "new"), rate=4)
     got = sorted((r.sample, r.value) for r in rec.read_recordings(spark, str(tmp_path / "new")).collect())
     assert got == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (6, 0), (7, 0)]
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 4, 10_000])
+def test_records_are_written_as_arrays_and_windows_gathered(spark, tmp_path, monkeypatch, rows_a_batch):
+    monkeypatch.setattr(rec, "HELD_SAMPLES", 10)
+    data = {(f, c, k): [100.0 * k + s + len(c) for s in range(3 if k < 4 else 2)] for f in ("a", "b", "c") for c in ("x", "yy", "zzz") for k in range(5)}
+    rows = spark.createDataFrame([(f, c, k, v) for (f, c, k), v in data.items()], "file string, channel string, record int, values array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        rec.write_records(rows.orderBy(F.rand(2)), str(tmp_path / "all"), rate=3)
+        got = {(r.file, r.channel, r.sample): r.value for r in rec.read_recordings(spark, str(tmp_path / "all")).collect()}
+        for wrong in (rows.filter("record <> 1 or file <> 'b'"), rows.filter("record <> 1 or file <> 'b' or channel <> 'yy'"),
+                      rows.withColumn("values", F.expr("if(record = 2, slice(values, 1, 2), values)")), rows.withColumn("values", F.expr("if(record = 2, array(1, null, 2D), values)"))):
+            with pytest.raises(Exception, match="gap|lacks a value"):
+                rec.write_records(wrong, str(tmp_path / "wrong"), rate=3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(f, c, 3 * k + s): v for (f, c, k), values in data.items() for s, v in enumerate([*values, 0.0][:3])}
+    assert got == want
