@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import ctypes
+import ctypes.util
 import hashlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -12,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from mensura.operators.guards import nan_to_null
-from mensura.session import cut_lineage
+from mensura.session import cut_lineage, scratch
+from mensura.sources.storage import listed
 
 
 #: threads that look into files for their first line
@@ -176,40 +179,93 @@ def _with_empty(spark: SparkSession, paths: str | list[str], digests: DataFrame,
     return joined.select("path", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in empty.items()])
 
 
-def fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+#: bytes of a file that one task hashes
+STEP_BYTES = 256 << 20
+
+
+class _Sha256:
+    """SHA-256 whose state can be handed to another task, by the functions of OpenSSL's library."""
+
+    def __init__(self, state: bytes | None = None):
+        self.lib = ctypes.CDLL(ctypes.util.find_library("crypto"))
+        self.held = ctypes.create_string_buffer(state or bytes(256), 256)  # its context has 112 bytes
+        if state is None:
+            self.lib.SHA256_Init(self.held)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.held, data, ctypes.c_size_t(len(data)))
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib.SHA256_Final(out, ctypes.create_string_buffer(self.held.raw, 256))
+        return out.raw.hex()
+
+
+def fingerprints(spark: SparkSession, paths: str | list[str], step_bytes: int = STEP_BYTES) -> DataFrame:
     """SHA-256 of each input file, streamed: ``path``, ``length``, ``sha256``.
 
     The pieces between line feeds are brought into file order by a sort that may
-    spill, and a task feeds them to the hash one by one, so no file is ever in
-    memory.  The hash is sequential within a file; for very large files
-    ``range_fingerprints`` works on all ranges at once.
+    spill, and a task feeds them to the hash, so no file is ever in memory.  The
+    hash is sequential within a file.  Files of more than ``step_bytes`` are
+    written out by steps, and the state of the hash goes from the task of one
+    step to that of the next, so no task reads a large file whole, but the time
+    still grows with the largest file; ``range_fingerprints`` works on all
+    ranges at once.
     """
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None  # path, length, hash, bytes so far
-
-        def closed():
-            path, length, digest, fed = state
-            if fed < length:  # the file ends in a line feed
-                digest.update(b"\n")
-            return pa.RecordBatch.from_pydict({"path": [path], "length": [length], "sha256": [digest.hexdigest()]})
-
-        for batch in batches:
-            for path, length, piece in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "piece")]):
-                if state is None or state[0] != path:
-                    if state is not None:
-                        yield closed()
-                    state = [path, length, hashlib.sha256(piece), len(piece)]
-                else:
-                    state[2].update(b"\n")
-                    state[2].update(piece)
-                    state[3] += len(piece) + 1
-        if state is not None:
-            yield closed()
-
-    ordered = _pieces(spark, paths).repartition("path").sortWithinPartitions("path", "start", "at").select("path", "length", "piece")
-    found = ordered.mapInArrow(stream, "path string, length bigint, sha256 string")
-    return _with_empty(spark, paths, found, sha256=hashlib.sha256(b"").hexdigest())
+    kind = "path string, length bigint, state binary, fed bigint, sha256 string"
+
+    def hashed(pieces: DataFrame, before: dict[str, tuple[bytes, int]]) -> DataFrame:
+        """State and digest of each file after ``pieces``, from the states ``before``."""
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = None  # path, length, hash, bytes so far
+
+            def closed():
+                path, length, digest, fed = now
+                state = digest.held.raw
+                if fed < length:  # a file that is at its end ends in a line feed
+                    digest.update(b"\n")
+                return pa.RecordBatch.from_pydict({"path": [path], "length": [length], "state": [state], "fed": [fed], "sha256": [digest.hexdigest()]})
+
+            for batch in batches:
+                names, lengths, parts = (batch.column(c).to_pylist() for c in ("path", "length", "piece"))
+                low = 0
+                while low < len(names):
+                    high = low + 1
+                    while high < len(names) and names[high] == names[low]:
+                        high += 1
+                    if now is None or now[0] != names[low]:
+                        if now is not None:
+                            yield closed()
+                        known = before.get(names[low])
+                        now = [names[low], lengths[low], _Sha256(known and known[0]), known[1] if known else -1]
+                    data = b"\n".join(parts[low:high])
+                    if now[3] >= 0:
+                        data = b"\n" + data
+                    now[2].update(data)
+                    now[3] = max(0, now[3]) + len(data)
+                    low = high
+            if now is not None:
+                yield closed()
+
+        ordered = pieces.repartition("path").sortWithinPartitions("path", "start", "at").select("path", "length", "piece")
+        return ordered.mapInArrow(stream, kind)
+
+    pieces = _pieces(spark, paths)
+    largest = listed(spark, paths).agg(F.max("length")).first()[0] or 0
+    if largest <= step_bytes:
+        found = hashed(pieces, {})
+    else:
+        folder = scratch(spark)
+        pieces.withColumn("step", F.floor(F.col("start") / step_bytes).cast("int")).write.partitionBy("step").parquet(folder)
+        written = spark.read.parquet(folder)
+        states: dict[str, tuple] = {}  # a row per file
+        for step in sorted(r[0] for r in written.select("step").distinct().collect()):
+            known = {path: (bytes(r["state"]), r["fed"]) for path, r in states.items()}
+            for r in hashed(written.filter(F.col("step") == step), known).collect():
+                states[r["path"]] = r
+        found = spark.createDataFrame([tuple(r) for r in states.values()], kind)
+    return _with_empty(spark, paths, found.select("path", "length", "sha256"), sha256=hashlib.sha256(b"").hexdigest())
 
 
 #: pieces under one leaf of a range fingerprint

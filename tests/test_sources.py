@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mensura.plans.catalog import QUERIES
+from mensura.session import scratch
 from mensura.sources import tables
 
 SCHEMA = "unit int, rt double, acc int"
@@ -86,6 +87,19 @@ def test_streamed_hashes(spark, files, size):
     assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in files[1].items()}
 
 
+def test_large_files_are_hashed_step_by_step(spark, files, monkeypatch):
+    taken = []
+    monkeypatch.setattr(tables, "scratch", lambda s: taken.append(scratch(s)) or taken[-1])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = named(tables.fingerprints(spark, files[0], step_bytes=50_000), "sha256")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in files[1].items()}
+    steps = spark.read.parquet(taken[0]).filter("length(piece) < 50000").groupBy("path", "step").agg(F.sum(F.length("piece") + 1).alias("n"))
+    assert steps.groupBy("path").count().filter("count > 1").count() >= 2 and steps.filter("n > 100000").isEmpty()
+
+
 def by_hand(data, leaf):
     """Hash tree of the pieces between line feeds."""
     if not data:
