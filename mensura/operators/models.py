@@ -1028,6 +1028,36 @@ def leave_unit_out_logistic(
     return scored.select(F.col("_unit").alias(unit), "model", F.col("_y").alias("observed"), _sigmoid(_predict(names)).alias("predicted"))
 
 
+def _stacked_ridge(g: np.ndarray, numeric: list[int], features: list[int], target: int, alphas) -> np.ndarray:
+    """``_ridge`` of a stack of Gram matrices: (matrix, alpha, [intercept, slopes]), unused columns 0."""
+    n = g[:, 0, 0]
+    means = g[:, 0] / n[:, None]
+    centred = g - n[:, None, None] * means[:, :, None] * means[:, None, :]
+    scale = np.ones(means.shape)
+    for i in numeric:
+        sd = np.sqrt(np.maximum(centred[:, i, i], 0.0) / n)
+        scale[:, i] = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(means[:, i])), sd, 1.0)
+    f = np.asarray(features)
+    x = centred[:, f[:, None], f] / (scale[:, f, None] * scale[:, None, f])
+    y = centred[:, f, target] / scale[:, f]
+    out = np.zeros((len(g), len(alphas), target))
+    for j, a in enumerate(alphas):
+        w = np.linalg.solve(x + a * np.eye(len(f)), y[:, :, None])[:, :, 0] / scale[:, f]
+        out[:, j, f] = w
+        out[:, j, 0] = means[:, target] - _dot(means[:, f], w)
+    return out
+
+
+def _dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum over the last axis, column by column: equal inputs give equal results wherever they stand in a block."""
+    return reduce(add, [x[..., c] * w[..., c] for c in range(x.shape[-1])])
+
+
+def _arrays(values) -> pd.Series:
+    """A column of arrays, also without rows."""
+    return pd.Series(list(values), dtype=object)
+
+
 def nested_ridge(
     df: DataFrame, unit: str, numeric: list[str], dummies: list[str], models: dict[str, list[str]], outcome: str,
     alphas=(0.1, 1.0, 10.0, 100.0), n_inner: int = 5, seed="inner", outers_per_block: int = 512, rows_per_block: int = 20_000,
@@ -1036,73 +1066,171 @@ def nested_ridge(
 
     One row per unit.  Inner folds are fixed by hash, so the training sums of
     (outer unit, inner fold) are total - inner fold - outer unit and every
-    system is solved in the task that holds the unit's sums.  Validation errors
-    are matrix products of blocks of rows with blocks of fits; only sums per
-    (outer, fold, penalty) leave a task.  Errors are averaged within each inner
-    fold and then over folds; ties keep the smaller penalty.
+    system is solved in the task that holds the unit's sums.
+
+    A unit moves the fit on all rows outside the inner fold, ``b``, by a small
+    ``d``, or not at all if the fold holds it.  With s = sign(r) for a row's
+    residual r at ``b``, |r - x'd| = |r| - s x'd but for rows with
+    |r| <= |x'd|, whose residual may change its sign.  So the sums of |r| and
+    s x are taken once per fold, and a fit meets only the rows with
+    |r| / |x| <= |d|.  Rows and fits meet by powers of two of these sizes, in
+    blocks inside tasks.  The errors are those of all rows; if most residuals
+    are near zero, all rows meet all fits.  Errors are averaged within each
+    inner fold and then over folds; ties keep the smaller penalty.
     """
     columns = [*numeric, *dummies]
     size, grid = len(columns) + 2, len(alphas)
+    p = size - 1
     names = [f"_x{i}" for i in range(len(columns))]
     stable = _stable(df, [], [_q(unit).alias("_unit")], numeric, dummies, outcome)
     base = cut_lineage(assign_folds(
         stable.select("_unit", *[_q(x).alias(f"_x{i}") for i, x in enumerate(columns)], "_y", "observed", "_my", "_sy"), [], "_unit", n_inner, 1, seed,
     ).drop("repeat"))
-    per_unit = cut_lineage(gram(base, ["_unit", "fold"], [*names, "_y"]))
-    inner = {r["fold"]: np.asarray(r["gram"]) for r in add_arrays(per_unit, ["fold"], "gram", size * (size + 1) // 2).collect()}  # n_inner rows
-    total = sum(inner.values()) if inner else np.zeros(size * (size + 1) // 2)
-    inner_folds = sorted(inner)
+    fold_sums = gram(base, ["fold"], [*names, "_y"])
+    inner = {r["fold"]: np.asarray(r["gram"], dtype=float) for r in fold_sums.collect()}  # n_inner rows
+    if not inner:
+        inner = {0: np.zeros(size * (size + 1) // 2)}
+    folds = sorted(inner)
+    total = sum(inner.values())
     place = {x: i + 1 for i, x in enumerate(columns)}
+    used = {name: ([place[x] for x in cols if x in numeric], [place[x] for x in cols]) for name, cols in models.items()}
+    upper = _packed(size)
+    kind = base.schema["_unit"].dataType.simpleString()
 
-    def solve(row):
-        own = np.asarray(row.gram)
-        out = []
-        for name, used in models.items():
-            f = [place[x] for x in used]
-            standard = [place[x] for x in used if x in numeric]
-
-            def weights(packed: np.ndarray) -> np.ndarray:
-                w = np.zeros((grid, size - 1))
-                for j, (_, b0, b) in enumerate(_ridge(_square(packed, size), standard, f, size - 1, alphas)):
-                    w[j, 0] = b0
-                    w[j, f] = b
-                return w
-
-            trained = [weights(total - inner[i] - (0.0 if row.fold == i else own)) for i in inner_folds]
-            out.append((name, np.stack(trained).ravel().tolist(), weights(total - own).ravel().tolist()))
-        return out
+    def weights(grams: np.ndarray, name: str) -> np.ndarray:
+        full = np.zeros((len(grams), size, size))
+        for k, (i, j) in enumerate(upper):
+            full[:, i, j] = full[:, j, i] = grams[:, k]
+        return _stacked_ridge(full, *used[name], p, alphas)
 
-    fields = [T.StructField("model", T.StringType()), T.StructField("inner", _DOUBLES), T.StructField("final", _DOUBLES)]
-    fits = cut_lineage(_solve_rows(per_unit, ["_unit", "fold"], fields, solve).drop("fold"))
+    start = {name: {i: weights((total - inner[i])[None], name)[0] for i in folds} if len(folds) > 1 else {} for name in models}
 
-    def errors(data: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for name, part in block.groupby("model", sort=False):
-            w = np.stack(part["inner"].to_numpy()).reshape(len(part), len(inner_folds), grid, size - 1)
-            own = _own(data["_unit"], part["_unit"]) if len(data) else np.zeros(0, dtype=int)
-            for k, i in enumerate(inner_folds):
-                pick = (data["fold"] == i).to_numpy() if len(data) else np.zeros(0, dtype=bool)
-                x = np.column_stack([np.ones(pick.sum()), data.loc[pick, names].to_numpy(float)])
-                miss = np.abs(data.loc[pick, "_y"].to_numpy(float)[:, None, None] - np.tensordot(x, w[:, k], axes=([1], [2])))
-                other = own[pick][:, None] != np.arange(len(part))[None, :]
-                out.append(pd.DataFrame({
-                    "_unit": part["_unit"].to_numpy(), "model": name, "i": np.int32(i), "c": other.sum(axis=0).astype(float),
-                    "e": list((miss * other[:, :, None]).sum(axis=0)),
-                }))
-        return pd.concat(out) if out else pd.DataFrame({"_unit": [], "model": [], "i": [], "c": [], "e": []})
+    def design(data: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.column_stack([np.ones(len(data)), data[names].to_numpy(float)]), data["_y"].to_numpy(float)
 
-    kind = base.schema["_unit"].dataType.simpleString()
-    partial = _block_product(
-        base.select("_unit", "fold", *names, "_y"), fits, errors, f"_unit {kind}, model string, i int, c double, e array<double>", rows_per_block, outers_per_block)
-    per_fold = partial.groupBy("_unit", "model", "i").agg(F.sum("c").alias("c"), *[F.sum(F.col("e")[j]).alias(f"e{j}") for j in range(grid)])
-    mean_error = per_fold.groupBy("_unit", "model").agg(F.array(*[F.avg(F.col(f"e{j}") / F.col("c")) for j in range(grid)]).alias("error"))
+    def residuals(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return y[:, None] - _dot(x[:, None, :], w[None])
+
+    def level(sizes: np.ndarray) -> np.ndarray:
+        """Least e with size < 2^e."""
+        return np.where(sizes > 0, np.frexp(sizes)[1], -2000)
+
+    def errors_at_start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for data in batches:
+            x, y = design(data)
+            fold = data["fold"].to_numpy()
+            for name, fits in start.items():
+                for i, w in fits.items():
+                    mine = fold == i
+                    r = residuals(x[mine], y[mine], w)
+                    tilt = np.stack([(np.sign(r) * x[mine, c][:, None]).sum(axis=0) for c in range(p)], axis=1)
+                    part = np.concatenate([[mine.sum()], np.abs(r).sum(axis=0), tilt.ravel()])
+                    held[name, i] = held[name, i] + part if (name, i) in held else part
+        if held:
+            yield pd.DataFrame({"model": [k[0] for k in held], "fold": [k[1] for k in held], "sums": [v.tolist() for v in held.values()]})
+
+    narrow = base.select("_unit", "fold", *names, "_y")
+    at_start = add_arrays(narrow.mapInPandas(errors_at_start, "model string, fold int, sums array<double>"), ["model", "fold"], "sums", 1 + grid + grid * p)
+    known = {(r["model"], r["fold"]): np.asarray(r["sums"]) for r in at_start.collect()}  # models by folds
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for data in batches:
+            if not len(data):
+                continue
+            x, y = design(data)
+            z = np.column_stack([x, y])
+            own = np.stack([z[:, i] * z[:, j] for i, j in upper], axis=1)
+            fold = data["fold"].to_numpy()
+            for name in models:
+                error = np.full((len(data), len(folds), grid), np.nan)
+                moves = np.zeros((len(data), len(folds), grid, p))
+                levels = np.full((len(data), len(folds)), -3000)
+                for k, (i, w) in enumerate(start[name].items()):
+                    sums = known[name, i]
+                    whole, tilt = sums[1:1 + grid], sums[1 + grid:].reshape(grid, p)
+                    inside, outside = fold == i, np.flatnonzero(fold != i)
+                    if sums[0] > 1:
+                        error[inside, k] = (whole - np.abs(residuals(x[inside], y[inside], w))) / (sums[0] - 1)
+                    if len(outside):
+                        d = weights(total - inner[i] - own[outside], name) - w
+                        error[outside, k] = (whole - _dot(tilt[None], d)) / sums[0]
+                        moves[outside, k] = d
+                        # the margin covers the rounding of sizes and products
+                        levels[outside, k] = level(np.sqrt(_dot(d, d)).max(axis=1) * (1 + 1e-6))
+                yield pd.DataFrame({
+                    "_unit": data["_unit"], "model": name, "error": list(error.reshape(len(data), -1)), "moves": list(moves.reshape(len(data), -1)),
+                    "levels": list(levels.astype(np.int32)), "final": list(weights(total - own, name).reshape(len(data), -1)),
+                })
+
+    fits = cut_lineage(narrow.mapInPandas(
+        solve, f"_unit {kind}, model string, error array<double>, moves array<double>, levels array<int>, final array<double>"))
+    moved = fits.select("_unit", "model", "moves", F.posexplode("levels").alias("i", "level")).filter("level > -2000")
+    moved = moved.select("_unit", "model", "i", "level", F.slice("moves", F.col("i") * (grid * p) + 1, F.lit(grid * p)).alias("move"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for data in batches:
+            x, y = design(data)
+            fold, length = data["fold"].to_numpy(), np.sqrt(_dot(x, x))
+            for name, at in start.items():
+                for k, (i, w) in enumerate(at.items()):
+                    mine = fold == i
+                    r = residuals(x[mine], y[mine], w)
+                    yield pd.DataFrame({
+                        "model": name, "i": np.int32(k), "level": level(np.abs(r).min(axis=1) / length[mine]).astype(np.int32), "x": _arrays(x[mine]), "r": _arrays(r),
+                    })
+
+    rows = cut_lineage(narrow.mapInPandas(near, "model string, i int, level int, x array<double>, r array<double>"))
+    # a few rows per model, fold and power of two
+    group = ["model", "i", "level"]
+    asked = {tuple(r[c] for c in group): r["count"] for r in moved.groupBy(*group).count().collect()}
+    there = {tuple(r[c] for c in group): r["count"] for r in rows.groupBy(*group).count().collect()}
+    met = {g: sum(n for (name, i, e), n in there.items() if (name, i) == g[:2] and e <= g[2]) for g in asked}
+    plan = [(*g, -(-met[g] // rows_per_block), -(-n // outers_per_block)) for g, n in asked.items() if met[g]]
+    if plan:
+        sent = F.broadcast(df.sparkSession.createDataFrame(plan, "model string, i int, at int, row_blocks bigint, fit_blocks bigint"))
+        block = F.monotonically_increasing_id()
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        left = rows.withColumn("_place", block).join(sent, ["model", "i"]).filter("level <= at").select(
+            "model", "i", "at", "x", "r", F.pmod("_place", "row_blocks").alias("_rb"), every("fit_blocks").alias("_fb"))
+        right = moved.withColumnRenamed("level", "at").withColumn("_place", block).join(sent, ["model", "i", "at"]).select(
+            "_unit", "model", "i", "at", "move", F.pmod("_place", "fit_blocks").alias("_fb"), every("row_blocks").alias("_rb"))
+
+        def turned(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            """What |r - x'd| exceeds |r| - s x'd by, summed over the rows."""
+            if not len(a) or not len(b):
+                return pd.DataFrame({"_unit": b["_unit"][:0], "model": b["model"][:0], "i": b["i"][:0], "more": _arrays([])})
+            x, r = np.stack(a["x"].to_numpy()), np.stack(a["r"].to_numpy())
+            d = np.stack(b["move"].to_numpy()).reshape(len(b), grid, p)
+            more, step = np.zeros((len(b), grid)), max(1, 500_000 // (len(b) * grid))
+            for first in range(0, len(x), step):
+                part = slice(first, first + step)
+                shift = _dot(x[part, None, None, :], d[None])
+                here = r[part, None, :]
+                side = np.sign(here)
+                more += np.where(side * shift > np.abs(here), 2.0 * (np.abs(shift) - np.abs(here)), np.where(side == 0, np.abs(shift), 0.0)).sum(axis=0)
+            some = more.any(axis=1)
+            return pd.DataFrame({c: b[c].to_numpy()[some] for c in ("_unit", "model", "i")} | {"more": _arrays(more[some])})
+
+        keys = ["model", "i", "at", "_rb", "_fb"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(turned, f"_unit {kind}, model string, i int, more array<double>")
+        more = found.groupBy("_unit", "model").agg(F.array(*[
+            F.sum(F.when(F.col("i") == k, F.col("more")[j]).otherwise(0.0)) for k in range(len(folds)) for j in range(grid)]).alias("more"))
+        fits = join_null_safe(fits, more, ["_unit", "model"], "left")
+    else:
+        fits = fits.withColumn("more", F.lit(None).cast("array<double>"))
+    counts = np.array([[known[name, i][0] if (name, i) in known else np.nan for i in folds] for name in models])
+    order = list(models)
 
     def choose(row):
-        best = int(np.nanargmin(np.asarray(row.error, dtype=float)))
-        w = np.asarray(row.final).reshape(grid, size - 1)[best]
+        error = np.asarray(row.error, dtype=float).reshape(len(folds), grid)
+        if row.more is not None:
+            error = error + np.asarray(row.more, dtype=float).reshape(len(folds), grid) / counts[order.index(row.model)][:, None]
+        best = int(np.nanargmin(np.nanmean(error, axis=0)))
+        w = np.asarray(row.final).reshape(grid, p)[best]
         return [(float(alphas[best]), float(w[0]), w[1:].tolist())]
 
-    chosen = _solve_rows(attach(fits, mean_error, ["_unit", "model"]), ["_unit", "model"], [
+    chosen = _solve_rows(fits, ["_unit", "model"], [
         T.StructField("alpha", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("weights", _DOUBLES)], choose)
     return join_null_safe(base, chosen, ["_unit"]).select(
         F.col("_unit").alias(unit), "model", "alpha", "observed", (F.col("_my") + F.col("_sy") * _predict(names)).alias("predicted"))

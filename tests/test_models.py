@@ -216,6 +216,28 @@ def test_nested_ridge(data, spark):
         assert out.loc[held].predicted == pytest.approx(ridge_predict(train, small[small.row == held], ["a", "b"], ["g1"], best, "y")[0])
 
 
+def test_nested_ridge_meets_only_rows_whose_residual_may_turn(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, alphas = 90, (0.5, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0, 13.0)
+    pdf = pd.DataFrame({"row": np.arange(n), "a": rng.standard_t(2, n), "b": rng.normal(size=n)})
+    pdf["y"] = 0.3 * pdf.a + 0.2 * pdf.b + rng.normal(size=n)
+    pdf.loc[60:74, ["a", "b", "y"]] = pdf.loc[0:14, ["a", "b", "y"]].to_numpy()
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(m, "_block_product", None)  # all rows with all fits
+    out = m.nested_ridge(df, "row", ["a", "b"], [], {"all": ["a", "b"]}, "y", alphas, outers_per_block=7, rows_per_block=4).toPandas().set_index("row")
+    fold = m.assign_folds(df, [], "row", 5, 1, "inner").toPandas().set_index("row").fold
+    for held in range(n):
+        train = pdf[pdf.row != held]
+        inside = [train.row.map(fold) == k for k in range(5)]
+        errors = [np.mean([np.abs(train[i].y - ridge_predict(train[~i], train[i], ["a", "b"], [], alpha, "y")).mean() for i in inside]) for alpha in alphas]
+        assert out.loc[held].alpha == alphas[int(np.argmin(errors))]
+    # residuals of zero meet every fit
+    exact = pdf.assign(y=2.0 * pdf.a)
+    exact.loc[3, "y"] += 1.0
+    line = m.nested_ridge(spark.createDataFrame(exact), "row", ["a"], [], {"all": ["a"]}, "y", (1e-9, 1.0), outers_per_block=7, rows_per_block=4).toPandas().set_index("row")
+    assert (line.alpha == 1e-9).all() and np.allclose(line.predicted[3], 2.0 * pdf.a[3], atol=1e-6)
+
+
 def test_influence_by_deletion(data):
     pdf, df = data
     out = m.influence(df, ["row"], ["a", "b"], "y", "a").toPandas().set_index("row")
