@@ -16,6 +16,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mensura.functions.scalar import uniform
@@ -379,6 +380,87 @@ def _sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+#: rows of a unit that one task takes at once; larger units are cut into parts
+UNIT_ROWS = 50_000
+#: bytes of rows in a partition of blocks, about
+BLOCK_BYTES = 64 << 20
+
+
+def _unit_blocks(rows: DataFrame, p: int, n_rows: int) -> DataFrame:
+    """Rows of ``_m``, ``_unit``, ``_u``, ``_part``, ``_y``, ``_z0``, ... as blocks of whole units or parts of one; written out.
+
+    A block belongs to one model and holds ``x`` and ``y`` as bytes and the rows
+    of each of its units.  Units whose outcome is constant are left out.
+    """
+    z = [f"_z{i}" for i in range(p)]
+    at = ["_m", "_unit", "_part"]
+
+    def cut(table: pa.Table, last: bool) -> tuple[list, pa.Table]:
+        """Blocks of the complete runs of equal ``at``, and the rows after them."""
+        codes = [table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in at]
+        change = reduce(lambda a, b: a | b, [c[1:] != c[:-1] for c in codes])
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        end = table.num_rows if last else int(starts[-1])
+        starts = starts[starts < end]
+        if not len(starts):
+            return [], table
+        x = np.column_stack([table[c].to_numpy()[:end] for c in z])
+        y = table["_y"].to_numpy()[:end]
+        sizes, seen = np.diff(np.append(starts, end)), ~np.isnan(y)
+        ones, n = np.add.reduceat(np.where(seen, y, 0.0), starts), np.add.reduceat(seen.astype(float), starts)
+        parts = table["_u"].take(starts).to_pylist()
+        model = table["_m"].to_numpy()[starts]
+        whole = np.array([u is None for u in parts])
+        out = [(int(model[i]), parts[i], slice(starts[i], starts[i] + sizes[i]), sizes[i:i + 1]) for i in np.flatnonzero(~whole)]
+        free = whole & (ones > 0) & (ones < n)
+        for one in np.unique(model[free]).tolist():
+            mine = free & (model == one)
+            out.append((one, None, np.repeat(mine, sizes), sizes[mine]))
+        found = [(one, u, np.ascontiguousarray(x[rows]).tobytes(), np.ascontiguousarray(y[rows]).tobytes(), size.astype(np.int64).tobytes()) for one, u, rows, size in out]
+        return found, table.slice(end)
+
+    schema = pa.schema([("_m", pa.int64()), ("_u", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("sizes", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            blocks, held = cut(table if held is None else pa.concat_tables([held, table]), False)
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*blocks), schema)], schema=schema)
+        if held is not None and held.num_rows:
+            blocks, _ = cut(held, True)
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*blocks), schema)], schema=schema)
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows * (p + 1) * 8 // BLOCK_BYTES))
+    together = rows.select(*at, "_u", "_y", *z).repartition(tasks, *at).sortWithinPartitions(*at)
+    return cut_lineage(together.mapInArrow(pack, "_m bigint, _u bigint, x binary, y binary, sizes binary"))
+
+
+def _unit_effects(e: np.ndarray, y: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each unit's effect at which its fitted outcomes add up to the observed ones; Newton steps within a bracket."""
+    seen = ~np.isnan(y)
+    ones, n = np.add.reduceat(np.where(seen, y, 0.0), starts), np.add.reduceat(seen.astype(float), starts)
+    middle = np.log(ones / (n - ones))
+    low, high = middle - np.maximum.reduceat(e, starts), middle - np.minimum.reduceat(e, starts)
+    at = middle - np.add.reduceat(e, starts) / sizes
+    for _ in range(200):
+        prob = 1.0 / (1.0 + np.exp(-(np.repeat(at, sizes) + e)))
+        miss = ones - np.add.reduceat(seen * prob, starts)
+        slope = np.add.reduceat(seen * prob * (1.0 - prob), starts)
+        low, high = np.where(miss > 0, at, low), np.where(miss < 0, at, high)
+        moved = at + miss / slope
+        moved = np.where((moved >= low) & (moved <= high), moved, (low + high) / 2)
+        done = np.abs(moved - at) <= 1e-11 * (1.0 + np.abs(at))
+        at = moved
+        if done.all():
+            break
+    return at
+
+
 def cluster_logit(
     df: DataFrame, unit: str, predictors: list[str], outcome: str, keys: list[str] | None = None,
     max_iterations: int = 30, tolerance: float = 1e-9,
@@ -387,78 +469,120 @@ def cluster_logit(
 
     ``keys`` tell the models apart; all of them take their Newton steps in the
     same jobs, and models that have settled are left out of the later ones.  The
-    unit effects are eliminated: each unit contributes its weighted sums, the
-    slopes solve the p-by-p Schur complement of their model, and each unit's own
-    effect is updated in the unit table.  Units with a constant outcome carry no
-    information on the slopes; their effect is held at a bound.  A model without
-    any other unit has no row.
+    rows of a unit are brought together once, as blocks.  The unit effects are
+    eliminated: a task solves the effect of each of its units at the model's
+    slopes, and what leaves it is one sum per model, of the p-by-p Schur
+    complement and the gradient.  Units over ``UNIT_ROWS`` are cut into parts;
+    the sums of their parts meet per unit and their effects are kept in a table,
+    which takes its Newton steps along with the slopes.  Units with a constant
+    outcome carry no information on the slopes.  A model without any other unit
+    has no row.
     """
     keys, p = keys or [], len(predictors)
-    at = [*keys, unit]
-    x = [F.col(f"_z{i}") for i in range(p)]
+    z = [f"_z{i}" for i in range(p)]
     pairs = _packed(p)
-    rows, stats = _standardise(df, keys, predictors, kept=[unit, _q(outcome).cast("double").alias("_y")])
+    upper, size = tuple(zip(*pairs)), len(pairs)
+    rows, stats = _standardise(df, keys, predictors, kept=[_q(unit).alias("_unit"), _q(outcome).cast("double").alias("_y")])
     scale = F.col("_scale")
-    factors = stats.select(*keys, F.array(*[1.0 / scale[i] for i in range(p)]).alias("factor"))
-    effects = cut_lineage(rows.groupBy(*at).agg(
-        F.log((F.sum("_y") + 0.5) / (F.count(F.lit(1)) - F.sum("_y") + 0.5)).alias("_alpha"),
-        F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_ones"),
-    ))
-    state = cut_lineage(effects.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("_beta"), F.lit(True).alias("_open")))
-    free = (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))
-
-    def unit_sums(models: DataFrame) -> DataFrame:
-        """Newton terms of every unit of ``models``, with the unit's row of ``effects``."""
-        joined = join_null_safe(attach_few(rows, models.select(*keys, "_beta"), keys), effects.select(*at, "_alpha"), at)
-        prob = _sigmoid(F.col("_alpha") + reduce(add, [F.col("_beta")[i] * x[i] for i in range(p)]))
-        joined = joined.withColumn("_p", prob).withColumn("_w", F.col("_p") * (1.0 - F.col("_p")))
-        error = F.col("_y") - F.col("_p")
-        sums = joined.groupBy(*at).agg(
-            F.sum("_w").alias("_d"), F.sum(error).alias("_ga"),
-            F.array(*[F.sum(F.col("_w") * c) for c in x]).alias("_b"),
-            F.array(*[F.sum(error * c) for c in x]).alias("_gb"),
-            F.array(*[F.sum(F.col("_w") * x[i] * x[j]) for i, j in pairs]).alias("_a"),
-        )
-        return cut_lineage(join_null_safe(sums, effects, at))
+    models = cut_lineage(stats.select(*keys, F.array(*[1.0 / scale[i] for i in range(p)]).alias("factor"), F.monotonically_increasing_id().alias("_m")))
+    flat = attach_few(rows.select(*keys, "_unit", "_y", *z), models.select(*keys, "_m"), keys).select("_m", "_unit", "_y", *z)
+    units = cut_lineage(flat.groupBy("_m", "_unit").agg(F.count(F.lit(1)).alias("_size"), F.sum("_y").alias("_ones")))
+    counts = cut_lineage(units.groupBy("_m").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("_size").cast("double").alias("n_rows")))
+    giants = cut_lineage(units.filter((F.col("_size") > UNIT_ROWS) & (F.col("_ones") > 0) & (F.col("_ones") < F.col("_size"))).select(
+        "_m", "_unit", F.monotonically_increasing_id().alias("_u"), F.ceil(F.col("_size") / UNIT_ROWS).alias("_parts"),
+        F.log((F.col("_ones") + 0.5) / (F.col("_size") - F.col("_ones") + 0.5)).alias("_alpha")))
+    # a row with a null among its predictors adds nothing to the sums
+    flat = flat.na.drop(subset=z)
+    cut_up = not giants.isEmpty()
+    if cut_up:
+        flat = attach_few(cut_lineage(flat), giants.select("_m", "_unit", "_u", "_parts"), ["_m", "_unit"], "left")
+        flat = flat.withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0).cast("bigint")))
+    else:
+        flat = flat.withColumns({"_u": F.lit(None).cast("bigint"), "_part": F.lit(0).cast("bigint")})
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    blocks = _unit_blocks(flat, p, int(total))
+    effects = giants.select("_u", "_alpha")
+    state = cut_lineage(models.select("_m", F.array(*[F.lit(0.0)] * p).alias("_beta"), F.lit(True).alias("_open")))
 
-    schur = [F.sum(F.col("_a")[k] - F.col("_b")[i] * F.col("_b")[j] / F.col("_d")) for k, (i, j) in enumerate(pairs)]
-    gradient = [F.sum(F.col("_gb")[i] - F.col("_b")[i] * F.col("_ga") / F.col("_d")) for i in range(p)]
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        parts = []
+        for data in batches:
+            for row in data.itertuples(index=False):
+                one, u, x, y, sizes, beta, alpha = row
+                x, y, sizes = np.frombuffer(x).reshape(-1, p), np.frombuffer(y), np.frombuffer(sizes, dtype=np.int64)
+                starts = np.cumsum(sizes) - sizes
+                whole = pd.isna(u)
+                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                    e = x @ np.asarray(beta, dtype=float)
+                    effect = np.repeat(_unit_effects(e, y, starts, sizes), sizes) if whole else alpha
+                    prob = 1.0 / (1.0 + np.exp(-(effect + e)))
+                weight, error = prob * (1.0 - prob), np.where(np.isnan(y), 0.0, y - prob)
+                wx = weight[:, None] * x
+                d, ga = np.add.reduceat(weight, starts), np.add.reduceat(error, starts)
+                b, gb = np.add.reduceat(wx, starts, axis=0), np.add.reduceat(error[:, None] * x, starts, axis=0)
+                a = (x.T @ wx)[upper]
+                if whole:
+                    part = eliminated(d, ga, b, gb, a)
+                    held[one] = held[one] + part if one in held else part
+                else:
+                    parts.append((one, int(u), np.concatenate([d, ga, b[0], gb[0], a]).tolist()))
+            if parts:
+                yield pd.DataFrame(parts, columns=["_m", "_u", "sums"]).astype({"_u": "Int64"})
+                parts = []
+        if held:
+            yield pd.DataFrame({"_m": list(held), "_u": pd.array([None] * len(held), dtype="Int64"), "sums": [v.tolist() for v in held.values()]})
+
+    def eliminated(d: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Number of units, Schur complement, gradient and outer products of the scores."""
+        share = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        schur = a - (b.T @ (b * share[:, None]))[upper]
+        return np.concatenate([[len(d)], schur, gb.sum(axis=0) - b.T @ (ga * share), (gb.T @ gb)[upper]])
+
+    def giant(row):
+        v = np.asarray(row.sums, dtype=float)
+        d, ga, b, gb, a = v[:1], v[1:2], v[2:2 + p], v[2 + p:2 + 2 * p], v[2 + 2 * p:]
+        return [(eliminated(d, ga, b[None], gb[None], a).tolist(),)]
+
+    def model_sums(open_models: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Newton terms per model, and the sums of the units that are cut into parts."""
+        met = attach_few(blocks, open_models.select("_m", "_beta"), ["_m"])
+        met = attach_few(met, effects, ["_u"], "left") if cut_up else met.withColumn("_alpha", F.lit(None).cast("double"))
+        found = cut_lineage(met.select("_m", "_u", "x", "y", "sizes", "_beta", "_alpha").mapInPandas(terms, "_m bigint, _u bigint, sums array<double>"))
+        per_model, cut_units = found.filter("_u is null").select("_m", "sums"), None
+        if cut_up:
+            cut_units = cut_lineage(add_arrays(found.filter("_u is not null"), ["_m", "_u"], "sums", 2 + 2 * p + size))
+            per_model = per_model.unionByName(_solve_rows(cut_units, ["_m"], [T.StructField("sums", _DOUBLES)], giant))
+        return add_arrays(per_model, ["_m"], "sums", 1 + 2 * size + p), cut_units
 
     def newton(row):
-        step = pseudo_inverse(_square(row.hessian, p))[0] @ np.asarray(row.gradient, dtype=float)
+        v = np.asarray(row.sums, dtype=float)
+        step = pseudo_inverse(_square(v[1:1 + size], p))[0] @ v[1 + size:1 + size + p]
         return [(step.tolist(), float(np.max(np.abs(step))))]
 
+    def follow(row):
+        v, step = np.asarray(row.sums, dtype=float), np.asarray(row.step, dtype=float)
+        return [(float(np.clip((v[1] - step @ v[2:2 + p]) / v[0], -3.0, 3.0)),)]
+
     fields = [T.StructField("_step", _DOUBLES), T.StructField("_size_of_step", T.DoubleType())]
     for _ in range(max_iterations):
-        sums = unit_sums(state.filter("_open"))
-        totals = sums.filter(free).groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_units"), F.array(*schur).alias("hessian"), F.array(*gradient).alias("gradient")
-        ).filter("_units > 0")
-        steps = cut_lineage(_solve_rows(totals, keys, fields, newton))
-        moved = attach_few(sums, steps.select(*keys, "_step"), keys)
-        shift = F.col("_ga") - reduce(add, [F.col("_step")[i] * F.col("_b")[i] for i in range(p)])
-        bounded = F.col("_alpha") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), shift / F.col("_d")))
-        held = F.when(F.col("_ones") > 0, 30.0).otherwise(-30.0)
-        moved = moved.select(*at, F.when(free, bounded).otherwise(held).alias("_alpha"), "_size", "_ones")
-        others = join_null_safe(effects, moved.select(*at), at, "left_anti")
-        effects = cut_lineage(moved.unionByName(others))
-        stepped = attach(state, steps, keys, "left") if keys else attach(state, steps, keys)
-        state = cut_lineage(stepped.select(
-            *keys, F.when(F.col("_step").isNotNull(), F.zip_with("_beta", "_step", lambda b, s: b + s)).otherwise(F.col("_beta")).alias("_beta"),
+        sums, cut_units = model_sums(state.filter("_open"))
+        steps = cut_lineage(_solve_rows(sums, ["_m"], fields, newton))
+        if cut_up:
+            shifts = _solve_rows(attach_few(cut_units, steps.select("_m", F.col("_step").alias("step")), ["_m"]), ["_u"], [T.StructField("_shift", T.DoubleType())], follow)
+            effects = cut_lineage(attach(effects, shifts, ["_u"], "left").select("_u", (F.col("_alpha") + F.coalesce("_shift", F.lit(0.0))).alias("_alpha")))
+        state = cut_lineage(attach(state, steps, ["_m"], "left").select(
+            "_m", F.when(F.col("_step").isNotNull(), F.zip_with("_beta", "_step", lambda b, s: b + s)).otherwise(F.col("_beta")).alias("_beta"),
             F.coalesce(F.col("_size_of_step") >= tolerance, F.lit(False)).alias("_open"),
         ))
         if state.filter("_open").isEmpty():
             break
     else:
         raise RuntimeError(f"a logit did not settle in {max_iterations} steps; its outcome may be separated")
-    final = unit_sums(state).filter(free)
-    bread = final.groupBy(*keys).agg(F.array(*schur).alias("bread"), F.count(F.lit(1)).alias("_units")).filter("_units > 0").drop("_units")
-    counts = effects.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("_size").cast("double").alias("n_rows"))
-    solution = state.select(*keys, F.col("_beta").alias("solution"))
-    stats = bread
-    for table in (_outer_sum(final, keys, "_gb", p, "meat"), counts, solution, factors):
-        stats = attach(stats, table, keys)
-    return _cluster_result(keys, predictors, stats)
+    final = model_sums(state)[0].select("_m", F.slice("sums", 2, size).alias("bread"), F.slice("sums", 2 + size + p, size).alias("meat"))
+    for table in (counts, state.select("_m", F.col("_beta").alias("solution")), models):
+        final = attach(final, table, ["_m"])
+    return _cluster_result(keys, predictors, final)
 
 
 # --- one model per unit ------------------------------------------------------------------

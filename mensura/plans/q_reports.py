@@ -153,7 +153,7 @@ def sweep_rows(spark, d):
     """Trials of the four specifications, and the model's columns."""
     one = lambda name, frame: frame.withColumn("specification", F.lit(name))
     # one unit is left out in one specification: the one with the smallest id
-    base = prepared(spark, d)
+    base = cut_lineage(prepared(spark, d))
     first = base.agg(F.min("unit").alias("unit"))
     specs = one("main", base).unionByName(one("strict", prepared(spark, d, strict=True))).unionByName(
         one("without_first_unit", base.join(first, "unit", "left_anti"))).unionByName(one("envelope", prepared(spark, d, family="envelope")))

@@ -350,6 +350,21 @@ def test_grouped_logits_equal_single_fits(spark):
         assert np.allclose(found, (*single.beta, *single.cov, single.n), rtol=1e-7, atol=1e-10)
 
 
+def test_steps_of_logits_meet_blocks_and_large_units_are_cut(spark, monkeypatch):
+    df = grouped_data(spark).withColumn("u", F.when(F.col("u") > 0, F.col("u").cast("bigint") + 2**60))  # one unit is null
+    met, attach = [], m.attach_few
+    monkeypatch.setattr(m, "attach_few", lambda rows, table, *rest: (met.append(rows.count()) if "_beta" in table.columns else None, attach(rows, table, *rest))[1])
+    whole = fitted(m.cluster_logit(df, "u", ["x", "w"], "o", ["g"]))
+    assert len(met) > 3 and max(met) <= 100 < df.count()
+    small = fitted(m.cluster_logit(df.filter("g = 'a'"), "u", ["x", "w"], "o", ["g"]))
+    monkeypatch.setattr(m, "UNIT_ROWS", 15)
+    cut = fitted(m.cluster_logit(df, "u", ["x", "w"], "o", ["g"]))
+    assert set(whole) == set(cut) == {"a", "b", None}
+    for g in whole:
+        assert np.allclose(whole[g], cut[g], rtol=1e-7, atol=1e-10)
+    assert np.allclose(whole["a"], small["a"], rtol=1e-7, atol=1e-10)
+
+
 def test_grouped_equations_equal_single_fits(spark):
     df = grouped_data(spark).filter("g is null or g <> 'constant'")
     mixed = df.withColumn("value", F.when(F.col("g") == "b", F.col("y")).otherwise(F.col("o")))
