@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mensura.functions.scalar import safe_ratio
 from mensura.functions.special import normal_quantile, t_two_sided_p
-from mensura.operators.ordering import attach, mad_table, median_table, quantile_table, rank_table
+from mensura.operators.ordering import attach, mad_table, median_table, ordered_mean, quantile_table, rank_table
 
 
 def behaviour_summary(
@@ -187,16 +187,17 @@ def region_contrast(
     )
 
 
-def held_out_loss(predictions: DataFrame, keys: list[str], binary_outcomes: list[str], outcome: str = "outcome") -> DataFrame:
-    """Mean log loss for binary outcomes, mean absolute error otherwise."""
+def held_out_loss(
+    predictions: DataFrame, keys: list[str], binary_outcomes: list[str], outcome: str = "outcome", ordered: bool = False
+) -> DataFrame:
+    """Mean log loss for binary outcomes, mean absolute error otherwise; of ``ordered`` rows (``in_order``) added in their order."""
     eps = 2.220446049250313e-16
     p = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), F.col("predicted")))
     y = F.col("observed")
     log_loss = -(y * F.log(p) + (1.0 - y) * F.log(1.0 - p))
     binary = F.coalesce(F.col(outcome).isin(binary_outcomes), F.lit(False))
-    grouped = predictions.groupBy(*keys).agg(
-        F.avg(F.when(binary, log_loss).otherwise(F.abs(y - F.col("predicted")))).alias("loss")
-    )
+    loss = F.when(binary, log_loss).otherwise(F.abs(y - F.col("predicted")))
+    grouped = ordered_mean(predictions, keys, loss, "loss") if ordered else predictions.groupBy(*keys).agg(F.avg(loss).alias("loss"))
     return grouped.withColumn(
         "metric", F.when(F.col(outcome).isin(binary_outcomes), "log_loss").otherwise("absolute_error")
     )

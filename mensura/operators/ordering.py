@@ -64,6 +64,35 @@ def attach_few(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inn
     return attach(df, F.broadcast(table) if table.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table, keys, how)
 
 
+#: rows of a unit that one task adds up one after the other
+IN_ORDER_ROWS = 100_000
+
+
+def in_order(df: DataFrame, unit: str, order: str, most: int = IN_ORDER_ROWS) -> DataFrame:
+    """A unit's rows in one task, ascending by ``order``, so that sums by the unit and further keys add them one by one.
+
+    A sum of doubles over a shuffle depends in its last digit on how the tasks
+    cut the rows; where signs or places follow from it, that digit shows.
+    ``order`` is a whole number, unique within a unit.  ``_part`` is 0, but units
+    of more than ``most`` rows are cut into parts of ``most`` numbers each,
+    which start at 1; it belongs to the keys of the sums, and ``ordered_mean``
+    brings the parts together.
+    """
+    large = df.groupBy(unit).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most)
+    part = F.when(F.col("_rows").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(F.col(order) / most) + 1)
+    parted = attach_few(df, large, [unit], "left").withColumn("_part", part).drop("_rows")
+    return parted.repartition(unit, "_part").sortWithinPartitions(unit, "_part", order)
+
+
+def ordered_mean(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """Mean by keys that hold the unit of ``in_order``: the sums of the parts are added in their order."""
+    parts = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    sums = F.array_sort(F.collect_list(F.struct("_part", "_sum", "_n")))
+    total = F.aggregate(sums, F.lit(0.0), lambda s, x: s + F.coalesce(x["_sum"], F.lit(0.0)))
+    count = F.aggregate(sums, F.lit(0).cast("bigint"), lambda s, x: s + x["_n"])
+    return parts.groupBy(*keys).agg(F.when(count > 0, total / count).alias(name))
+
+
 def with_group_stats(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Group aggregates on every row: partial aggregation, then ``attach``."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mensura.operators.ordering import attach, row_index
+from mensura.operators.ordering import attach, in_order, row_index
 from mensura.plans.registry import table
 
 #: origin of sample numbers; any instant serves
@@ -258,22 +258,25 @@ FT = """ft as (select unit, event_id, ts, event_type as trial_type, value as m40
   (event_type in ('click', 'purchase'))::int as auditory from ev)"""
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out prediction rows in the common schema, base and extended models, two outcomes."""
+def predictions(spark: SparkSession, d: str, ordered: bool = False) -> DataFrame:
+    """Held-out prediction rows in the common schema, base and extended models, two outcomes; if ``ordered``, a unit's by order key, see ``in_order``."""
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("dataset"), F.col("o_custkey").alias("unit"), "o_orderkey",
         (F.col("o_totalprice") / 100003.0).alias("amount"), (F.col("o_orderstatus") == "F").cast("double").alias("closed"),
         (F.col("c_acctbal") / 10000.0).alias("bal"), F.col("o_custkey").alias("ck"),
     )
+    if ordered:
+        rows = in_order(rows, "unit", "o_orderkey")
     cell = lambda outcome, model, obs, pred: F.struct(
         F.lit(outcome).alias("outcome"), F.lit(model).alias("model"), obs.alias("observed"), pred.alias("predicted")
     )
     amount, closed, bal = F.col("amount"), F.col("closed"), F.col("bal")
     wiggle = (F.col("ck") % 10) / 100.0
-    return rows.select("dataset", "unit", "o_orderkey", F.explode(F.array(
+    place = ["dataset", "unit", "o_orderkey", *(["_part"] if ordered else [])]
+    return rows.select(*place, F.explode(F.array(
         cell("amount", "base", amount, 2.5 + wiggle), cell("amount", "extended", amount, 2.4 + 0.3 * bal),
         cell("accuracy", "base", closed, 0.35 + wiggle), cell("accuracy", "extended", closed, 0.2 + 0.06 * amount + wiggle),
-    )).alias("c")).select("dataset", "unit", "o_orderkey", "c.*")
+    )).alias("c")).select(*place, "c.*")
 
 
 PR = """prb as (select c_mktsegment as dataset, o_custkey as unit, o_orderkey, o_totalprice / 100003.0 as amount,

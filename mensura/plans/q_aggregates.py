@@ -241,7 +241,8 @@ LOSS = """loss as (select dataset, outcome, unit, model, case when outcome = 'ac
 
 
 def losses(spark, d):
-    return a.held_out_loss(predictions(spark, d), ["dataset", "outcome", "unit", "model"], ["accuracy"])
+    # the rows of a unit are added in the order of the table: signs and places depend on the last digit
+    return a.held_out_loss(predictions(spark, d, ordered=True), ["dataset", "outcome", "unit", "model"], ["accuracy"], ordered=True)
 
 
 @query("a22_held_out_loss", "dataset outcome unit:i model metric loss:6", ctes(PR, LOSS) + "select * from loss")

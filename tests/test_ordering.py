@@ -150,3 +150,43 @@ def test_null_keys_and_null_order_follow_sort_order(spark):
     assert len(stats) == 6 and {r.m for r in stats} == {2}
     ranks = o.average_rank(df, ["g"], "x", "r", rows_per_slice=1).collect()
     assert len(ranks) == 6 and sorted(r.r for r in ranks if r.g is None and r.x is not None) == [1.0, 2.0]
+
+
+@pytest.mark.parametrize("most", [100_000, 64])
+def test_ordered_mean_adds_one_by_one(spark, most):
+    """To the last digit the sum of one loop; a unit over the limit is added by parts, the same on any cut of the rows."""
+    rng = np.random.default_rng(8)
+    n = 2000
+    pdf = pd.DataFrame({"u": np.where(rng.random(n) < 0.3, 0, rng.integers(1, 90, n)), "k": np.arange(n), "x": rng.lognormal(size=n) / 3.0})
+    pdf["x"] = pdf.x.mask(pdf.u == 5)
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    got = {r.u: r.m for r in o.ordered_mean(o.in_order(df.repartition(16), "u", "k", most), ["u"], F.col("x"), "m").collect()}
+    for u, g in pdf.groupby("u"):
+        part = g.k // most if len(g) > most else g.k * 0
+        sums = [_added(p.x.dropna()) for _, p in g.groupby(part)]
+        want = _added(sums) / g.x.count() if g.x.count() else None
+        assert got[u] == want
+
+
+def _added(values):
+    total = 0.0
+    for v in values:  # sum() of Python 3.12 and later compensates
+        total += float(v)
+    return total
+
+
+def test_losses_do_not_depend_on_the_cut_of_the_table(spark, tmp_path):
+    """The orders of a unit lie in eight files, which tasks read (failed with sums per task)."""
+    from mensura.plans.q_aggregates import losses
+
+    rng = np.random.default_rng(9)
+    n = 1600
+    orders = pd.DataFrame({"o_orderkey": np.arange(n), "o_custkey": rng.integers(0, 40, n), "o_orderstatus": "F", "o_totalprice": np.round(rng.uniform(900, 500_000, n), 2)})
+    people = pd.DataFrame({"c_custkey": np.arange(40), "c_acctbal": np.round(rng.uniform(-999, 9999, 40), 2), "c_mktsegment": "A"})
+    spark.createDataFrame(people).write.parquet(f"{tmp_path}/customer.parquet")
+    for low in range(0, n, n // 8):
+        spark.createDataFrame(orders[low:low + n // 8]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    got = {r.unit: r.loss for r in losses(spark, str(tmp_path)).filter("outcome = 'amount' and model = 'extended'").collect()}
+    joined = orders.merge(people, left_on="o_custkey", right_on="c_custkey").sort_values("o_orderkey")
+    joined["e"] = (joined.o_totalprice / 100003.0 - (2.4 + 0.3 * (joined.c_acctbal / 10000.0))).abs()
+    assert got == {u: _added(g.e) / len(g) for u, g in joined.groupby("o_custkey")}
