@@ -190,3 +190,20 @@ def test_losses_do_not_depend_on_the_cut_of_the_table(spark, tmp_path):
     joined = orders.merge(people, left_on="o_custkey", right_on="c_custkey").sort_values("o_orderkey")
     joined["e"] = (joined.o_totalprice / 100003.0 - (2.4 + 0.3 * (joined.c_acctbal / 10000.0))).abs()
     assert got == {u: _added(g.e) / len(g) for u, g in joined.groupby("o_custkey")}
+
+
+def test_equal_losses_are_numbered_by_unit(spark, tmp_path):
+    """Three copies of the units, cut at other places by the files: equal losses stay equal (failed with sums per task)."""
+    from mensura.plans import catalog
+
+    rng = np.random.default_rng(10)
+    n, m = 1000, 30
+    orders = pd.DataFrame({"o_orderkey": np.arange(n), "o_custkey": rng.integers(0, m, n), "o_orderstatus": "F", "o_totalprice": np.round(rng.uniform(900, 500_000, n), 2)})
+    people = pd.DataFrame({"c_custkey": np.arange(m), "c_acctbal": np.round(rng.uniform(-999, 9999, m), 2), "c_mktsegment": "A"})
+    copied = lambda df, **shift: pd.concat([df.assign(**{c: df[c] + i * by for c, by in shift.items()}) for i in range(3)], ignore_index=True)
+    spark.createDataFrame(copied(people, c_custkey=m)).write.parquet(f"{tmp_path}/customer.parquet")
+    every = copied(orders, o_orderkey=n, o_custkey=m)
+    for low in range(0, 3 * n, 430):
+        spark.createDataFrame(every[low:low + 430]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    got = [r.unit for r in catalog.QUERIES["w15_mass_numbering"](spark, str(tmp_path)).orderBy("cluster_id").collect()]
+    assert len(got) == 3 * m and all(got[i:i + 3] == [got[i], got[i] + m, got[i] + 2 * m] for i in range(0, 3 * m, 3))
