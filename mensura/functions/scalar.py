@@ -33,14 +33,15 @@ def spearman_brown(r) -> Column:
     return F.when(r > -1, 2.0 * r / (1.0 + r))
 
 
-def natural_log(x) -> Column:
-    """Natural logarithm with minus infinity at zero, where ``F.log`` gives null."""
+def natural_log(x, log=F.log) -> Column:
+    """Logarithm, natural by default, with minus infinity at zero and NaN below, where ``F.log`` gives null."""
     x = _c(x)
-    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+    return F.coalesce(log(x), F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))))
 
 
 def decibel_ratio(a, b, floor: float = POWER_FLOOR) -> Column:
-    return 10.0 * F.log10((_c(a) + floor) / (_c(b) + floor))
+    """Ratio in decibel; NaN when it is negative, as the SQL says."""
+    return 10.0 * natural_log((_c(a) + floor) / (_c(b) + floor), F.log10)
 
 
 def logit(p, clip: float = 1e-6) -> Column:

@@ -75,3 +75,15 @@ def test_coherence_of_a_zero_coefficient_is_nan(spark):
     df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 0.0), ("b", 3.0, 4.0), ("b", 0.0, 2.0)], "k string, re double, im double")
     got = {r.k: r for r in coefficient_coherence(df, ["k"], "re", "im").collect()}
     assert got["a"].itpc != got["a"].itpc and got["a"].n_trials == 2 and abs(got["b"].itpc - (0.3**2 + 0.9**2) ** 0.5) < 1e-12
+
+
+def test_logarithms_below_zero_are_nan(spark, tmp_path):
+    """As the SQL has it, also for the ratio (failed with null)."""
+    from mensura.plans import catalog
+
+    rows = [(0, -2.0, '{"k": 3}'), (1, 0.0, '{"k": 1}'), (2, float("nan"), '{"k": 1}'), (3, None, '{"k": 1}'), (4, -1e-30, '{"k": 1}'), (5, -0.0, '{"k": 1}')]
+    df = spark.createDataFrame(rows, "event_id bigint, value double, props string").selectExpr("*", "timestamp'2024-01-01' as ts", "1L as user_id", "'a' as event_type")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r.log_value, r.db) for r in catalog.QUERIES["f7_log_and_decibel"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    low = float("-inf")
+    assert [str(g) for g in got] == [str(w) for w in [(float("nan"),) * 2, (low, -300.0), (float("nan"),) * 2, (None, None), (float("nan"), low), (low, -300.0)]]
