@@ -62,9 +62,7 @@ def _(spark, d):
     path = scratch(spark)
     m = channel_metrics(spark, d)
     supported = attach(m, m.agg(F.avg("n_trials").alias("average")), []).filter("n_trials >= average").drop("average")
-    # a unit's rows in one task leave one file a folder
-    placed = supported.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    placed.withColumn("folder", F.col("unit")).write.partitionBy("folder").option("header", True).csv(path)
+    sinks.write_unit_tables(supported, "unit", path)
     schema = "unit bigint, channel int, condition string, price double, quantity double, n_trials bigint"
     loaded = tables.read_unit_tables(spark, path, schema, r"folder=(\d+)")
     expected = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"))

@@ -9,8 +9,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from mensura.operators.guards import nan_to_null
@@ -20,6 +23,10 @@ from mensura.sources.storage import listed
 
 #: threads that look into files for their first line
 HEADER_READERS = 16
+#: files that the driver looks into or names one by one; of more, tasks find the first lines
+HEADER_FILES = 256
+#: tasks for each core that do so
+HEADER_TASKS = 4
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -35,22 +42,47 @@ def _first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def headers(spark: SparkSession, path: str | list[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
-    """Files below ``path`` by the column names of their first line; empty files are left out."""
-    files = spark.read.text(path).inputFiles()
+def _column_names(line: str, sep: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), []))
+
+
+def headers(spark: SparkSession, files: list[str], sep: str = ",") -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line; empty files are left out."""
     with ThreadPoolExecutor(HEADER_READERS) as pool:
         lines = pool.map(lambda f: _first_line(spark, f), files)
     layouts: dict[tuple[str, ...], list[str]] = {}
     for file, line in sorted(zip(files, lines)):
-        names = tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), []))
+        names = _column_names(line, sep)
         if names:
             layouts.setdefault(names, []).append(file)
     return layouts
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """``path`` and first line, ``head``, of the files of a text scan, found by tasks; files without a byte have none."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # a task reads the start of a file in one go
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column("path"))
+            starts = np.concatenate([[0], runs.run_ends.to_numpy()[:-1]])
+            names = runs.values
+            if names[0].as_py() == before:
+                starts = starts[1:]
+            before = names[-1].as_py()
+            yield batch.take(pa.array(starts, pa.int64()))
+
+    starting = lines.filter(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("head"))
+    # Spark deals few files to a task; so many tasks of Python would take longer than the files
+    few = HEADER_TASKS * lines.sparkSession.sparkContext.defaultParallelism
+    return starting.coalesce(few).mapInArrow(firsts, "path string, head string")
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ",", optional: Iterable[str] = (),
-    unit_pattern: str | None = None,
+    unit_pattern: str | None = None, nested: bool = False,
 ) -> DataFrame:
     """Delimited text, columns found by the header of each file; NaN and empty cells become null.
 
@@ -58,20 +90,56 @@ def read_csv(
     parsed.  A declared column that a file lacks is an error that names the
     file, unless it is ``optional``: then it is null there.  Files of one layout
     form one scan, in which Spark compares every file's header with the layout
-    again.  ``unit_pattern`` adds ``file_unit``, its first group in the file's path.
+    again.  Beyond ``HEADER_FILES`` files the tasks of a text scan find the
+    headers and no list of files passes through the driver: if there is one
+    layout, one scan covers ``path``, otherwise a layout of many files is one
+    scan joined with its files.  With ``nested`` the files of all folders below
+    are read and no folder's name is parsed, which takes Spark long for many
+    folders.  ``unit_pattern`` adds ``file_unit``, its first group in the file's path.
     """
     wanted = spark.createDataFrame([], schema).schema
     types = {f.name: f.dataType for f in wanted}
     extra = T.StructType([T.StructField("file_unit", T.StringType())] if unit_pattern else [])
-    parts = []
-    for names, files in headers(spark, path, sep).items():
+    lines = spark.read.option("recursiveFileLookup", nested).text(path)
+    folders = nested or len(lines.columns) > 1  # the names of partition folders are no columns of the files
+
+    def scan(names: tuple[str, ...], files: str | list[str], by_place: bool = False) -> DataFrame:
+        found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        reader = spark.read.schema(found).option("header", True).option("sep", sep).option("enforceSchema", by_place)
+        return reader.option("recursiveFileLookup", folders and files is path).csv(files)
+
+    def checked(names: tuple[str, ...], file: str) -> None:
         twice = sorted({n for n in names if [x.lower() for x in names].count(n.lower()) > 1})
         lacking = sorted(set(types) - set(names) - set(optional))
         if twice or lacking:
             what = f"repeats the columns {twice}" if twice else f"lacks the columns {lacking}"
-            raise ValueError(f"the header of {files[0]} {what}")
-        found = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        frame = spark.read.schema(found).option("header", True).option("sep", sep).option("enforceSchema", False).csv(files)
+            raise ValueError(f"the header of {file} {what}")
+
+    frames: list[tuple[tuple[str, ...], DataFrame]] = []
+    listing = lines._jdf.inputFiles()
+    if len(listing) <= HEADER_FILES:
+        for names, files in headers(spark, list(listing), sep).items():
+            checked(names, files[0])
+            frames.append((names, scan(names, files)))
+    else:
+        heads = _heads(lines)
+        layouts: dict[tuple[str, ...], list] = {}
+        for r in heads.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("file")).orderBy("file").collect():
+            layouts.setdefault(_column_names(r["head"], sep), []).append(r)
+        for names, found in layouts.items():
+            if not names:
+                continue
+            checked(names, found[0]["file"])
+            those = heads.filter(F.col("head").isin([r["head"] for r in found])).select(F.col("path").alias("_path"))
+            if len(layouts) == 1:
+                frames.append((names, scan(names, path)))
+            elif sum(r["n"] for r in found) <= HEADER_FILES:
+                frames.append((names, scan(names, [unquote(r[0]) for r in those.collect()])))
+            else:  # all files are read by place, and those of other layouts left out
+                every = scan(names, path, by_place=True).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata"))
+                frames.append((names, every.join(those, "_path", "left_semi")))
+    parts = []
+    for names, frame in frames:
         columns = [(F.col(f"`{n}`") if n in names else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
         if unit_pattern:
             columns.append(F.regexp_extract(F.col("_metadata.file_path"), unit_pattern, 1).alias("file_unit"))
@@ -103,8 +171,8 @@ def read_protocol(spark: SparkSession, path: str, frozen_status: str) -> dict:
 def read_unit_tables(
     spark: SparkSession, paths: str | list[str], schema: T.StructType | str, unit_pattern: str
 ) -> DataFrame:
-    """Per-unit files in one scan; ``file_unit`` is taken from the file path."""
-    return read_csv(spark, paths, schema, unit_pattern=unit_pattern)
+    """Per-unit files, in folders of any depth, in one scan; ``file_unit`` is taken from the file path."""
+    return read_csv(spark, paths, schema, unit_pattern=unit_pattern, nested=True)
 
 
 def unit_table_violations(
@@ -116,19 +184,23 @@ def unit_table_violations(
     none of the expected.
     """
     known = F.col(condition).isin(conditions)
-    per_file = tables.groupBy("file_unit").agg(
-        F.min(F.coalesce(F.col(unit).cast("string") == F.col("file_unit"), F.lit(False))).alias("_own"),
-        F.min(F.coalesce(known, F.lit(False))).alias("_known"),
-        *[F.max(F.coalesce(F.col(condition) == F.lit(c), F.lit(False))).alias(f"_has{i}") for i, c in enumerate(conditions)],
+    rows = tables.select(
+        "file_unit", F.coalesce(F.col(unit).cast("string") == F.col("file_unit"), F.lit(False)).alias("own"),
+        F.coalesce(known, F.lit(False)).alias("known"),
+        *[F.coalesce(F.col(condition) == F.lit(c), F.lit(False)).alias(f"has{i}") for i, c in enumerate(conditions)],
+    )
+    wanted = expected.select(F.col(unit).cast("string").alias("file_unit"), F.lit(1).alias("expected"))
+    # files and expected units meet in one aggregate, so the files are read once
+    units = rows.unionByName(wanted, allowMissingColumns=True).groupBy("file_unit").agg(
+        F.min("own").alias("own"), F.min("known").alias("known"),
+        *[F.max(f"has{i}").alias(f"has{i}") for i in range(len(conditions))], F.sum("expected").cast("int").alias("expected"),
     )
-    wrong_id = per_file.filter(~F.col("_own"))
-    complete = F.col("_known")
+    complete = F.col("known")
     for i in range(len(conditions)):
-        complete = complete & F.col(f"_has{i}")
-    wrong_set = per_file.filter(~complete)
-    missing = expected.select(F.col(unit).cast("string").alias("file_unit")).join(per_file, "file_unit", "left_anti")
-    row = lambda d, rule: d.select("file_unit", F.lit(rule).alias("rule"))
-    return row(wrong_id, "unit_mismatch").unionByName(row(wrong_set, "condition_mismatch")).unionByName(row(missing, "missing"))
+        complete = complete & F.col(f"has{i}")
+    wrong = F.array_compact(F.array(F.when(~F.col("own"), F.lit("unit_mismatch")), F.when(~complete, F.lit("condition_mismatch"))))
+    rules = F.when(F.col("own").isNull(), F.array_repeat(F.lit("missing"), F.col("expected"))).otherwise(wrong)
+    return units.select("file_unit", F.explode(rules).alias("rule"))
 
 
 def read_edges(spark: SparkSession, path: str, a: str = "channel_a", b: str = "channel_b") -> DataFrame:

@@ -130,3 +130,53 @@ def test_packed_files_are_refused(spark, tmp_path):
 
 def test_query_names_the_changed_file(spark):
     assert [r.name for r in QUERIES["s13_source_identity"](spark, "/root/testdata/sf0.001").collect()] == ["nation.parquet"]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 256])
+def test_headers_found_by_tasks(spark, tmp_path, monkeypatch, most):
+    """The same rows, whether the driver or tasks look into the files, and whether a layout is named file by file or not."""
+    monkeypatch.setattr(tables, "HEADER_FILES", most)
+    texts = {"folder=1/a b": "﻿unit,rt,acc\n1,2,1\n", "folder=2/a": "acc,rt,unit\n0,3,2\nunit,rt,acc\n", "folder=3/a": "unit,rt,acc\r\n3,NaN,1\r\n", "folder=4/a": "",
+             "folder=5/a": 'unit,"folder",rt,acc\n5,x,4,1\n', "folder=6/a": "unit,rt,acc\n", "folder=7/a": "unit,rt,acc\n7,,0\n7,1,0"}
+    if most == 256:
+        texts = {n.replace(" ", ""): t for n, t in texts.items()}  # named files with a space were not found before either
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+    got = tables.read_unit_tables(spark, str(tmp_path), SCHEMA, r"folder=(\d+)").collect()
+    want = [(1, 2.0, 1, "1"), (2, 3.0, 0, "2"), (None, None, None, "2"), (3, None, 1, "3"), (5, 4.0, 1, "5"), (7, None, 0, "7"), (7, 1.0, 0, "7")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    (tmp_path / "folder=8").mkdir()
+    (tmp_path / "folder=8" / "a.csv").write_text("unit,rt\n8,1\n")
+    with pytest.raises(ValueError, match=r"folder=8/a.csv lacks the columns \['acc'\]"):
+        tables.read_unit_tables(spark, str(tmp_path), SCHEMA, r"folder=(\d+)")
+
+
+UNIT_ROWS = [(u, c, f'a"{u},') for u in range(300) for c in ("A", "R") if (u, c) != (7, "R")]
+
+
+def test_many_files_are_not_opened_by_the_driver(spark, tmp_path, monkeypatch):
+    """One layout is one scan of the folder, and violations read it once (failed with a look into each file and three scans)."""
+    opened = []
+    look = tables._first_line
+    monkeypatch.setattr(tables, "_first_line", lambda s, f: opened.append(f) or look(s, f))
+    for u in range(300):
+        (tmp_path / f"folder={u}").mkdir()
+        (tmp_path / f"folder={u}" / "part.csv").write_text("unit,condition\n" + "".join(f"{v},{c}\n" for v, c, _ in UNIT_ROWS if v == u))
+    loaded = tables.read_unit_tables(spark, str(tmp_path), "unit bigint, condition string", r"folder=(\d+)")
+    assert not opened
+    expected = spark.createDataFrame([(3,), (300,), (300,)], "unit bigint")
+    found = tables.unit_table_violations(loaded, "unit", "condition", ["A", "R"], expected)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert sorted(map(tuple, found.collect())) == [("300", "missing"), ("300", "missing"), ("7", "condition_mismatch")]
+
+
+def test_unit_files_come_back_as_written(spark, tmp_path):
+    from mensura.sources import sinks
+
+    df = spark.createDataFrame([*UNIT_ROWS, (None, "A", None)], "unit bigint, condition string, note string")
+    assert sinks.write_unit_tables(df.repartition(5), "unit", f"{tmp_path}/units") == 301
+    loaded = tables.read_unit_tables(spark, f"{tmp_path}/units", "unit bigint, condition string, note string", r"folder=(\d+)")
+    got = [tuple(r) for r in loaded.collect()]
+    assert sorted(r[:3] for r in got if r[0] is not None) == sorted(UNIT_ROWS) and all(r[3] == str(r[0]) for r in got if r[0] is not None)
+    assert [r for r in got if r[0] is None] == [(None, "A", None, "")]
